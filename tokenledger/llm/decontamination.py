@@ -10,19 +10,31 @@ from tokenledger.llm.common import bounded, save, table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words: runs of ASCII letters and digits and of anything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a fingerprint, and of a window that a shared span must have.
-GRAM, WINDOW = 5, 10
+GRAM, WINDOW = 4, 10
 
 
 def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: body, an array, with name standing for value, which is computed once."""
+    return f"flatten(transform(array({value}), {name} -> {body}))"
+
+
+def _combine(items: str, size: int, how: str) -> str:
+    """SQL: `how(a, b)` folded over all runs of size elements of an array, by doubling."""
+    if size == 1:
+        return items
+    half = 1 << ((size - 1).bit_length() - 1)
+    return _let(_combine(items, half, how), "v", f"zip_with(slice(v, 1, greatest(0, size(v) - {size - half})), slice(v, {size - half + 1}, size(v)), (a, b) -> {how}(a, b))")
+
+
 def _grams(size: int) -> str:
     """SQL: hashes of all runs of size words of `words`; none if there are fewer."""
-    at = ", ".join(f"words[i + {j}]" for j in range(size))
-    return f"CASE WHEN size(words) >= {size} THEN transform(sequence(0, size(words) - {size}), i -> xxhash64({at})) ELSE cast(array() AS array<bigint>) END"
+    return _combine("transform(words, w -> xxhash64(w))", size, "xxhash64")
 
 
 def _runs(length: int) -> str:
@@ -49,31 +61,35 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     items = save(benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words")).where(F.size("words") > 0).withColumn("n", F.least(F.size("words"), F.lit(window))), "bench-items")
     lengths = sorted(r["n"] for r in items.select("n").distinct().collect())  # at most window values
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    found = None
-    for length in lengths:
-        k = min(gram, length)
-        own = items.where(F.col("n") == length)
-        known = save(own.select(F.explode(F.expr(_grams(k))).alias("print")).distinct(), "bench-prints")
-        windows = save(own.select("item_id", F.explode(F.expr(_runs(length))).alias("run")).distinct(), "bench-windows")
+    # Unicode lower case keeps the words apart as they are and unites more: enough for fingerprints, and faster
+    loose = F.coalesce(F.array_remove(F.split(F.lower("text"), NOT_WORD), ""), F.array().cast("array<string>")).alias("words")
+    split = keyed.select("doc_id", "text_hash", loose)
+    counted, found = None, None
+    for length in lengths or [0]:
+        k = min(gram, max(length, 1))
         span = length - k + 1
-        rows = keyed.select("doc_id", "text_hash", words_of(F.col("text")).alias("words"))
-        kept = "g" if span == 1 else f"CASE WHEN size(g) >= {span} THEN transform(sequence(1, size(g) - {span - 1}), i -> array_min(slice(g, i, {span}))) ELSE cast(array() AS array<bigint>) END"
-        # one-element arrays bind values: the optimiser would else move their expressions into the lambdas
-        rows = rows.select("doc_id", "text_hash", "words", F.expr(f"array_distinct(flatten(transform(array(words), words -> flatten(transform(array({_grams(k)}), g -> {kept})))))").alias("kept"))
-        prints = bounded(known, 1_000_000)
-        if prints is known:  # too many to broadcast: shuffle fingerprints alone, then fetch the words of documents with hits
-            hits = rows.select("doc_id", "text_hash", F.explode("kept").alias("print")).join(known, "print", "left_semi").distinct()
-            hits = rows.select("doc_id", "text_hash", "words").join(hits, ["doc_id", "text_hash"])
-        else:
-            hits = rows.select("doc_id", "text_hash", "words", F.explode("kept").alias("print")).join(prints, "print")
-        starts = f"flatten(transform(array({_grams(k)}), g -> flatten(transform(filter(sequence(0, size(g) - 1), i -> g[i] = print), i -> sequence(greatest(0, i - {span - 1}), i)))))"
-        hits = hits.withColumn("start", F.explode(F.array_distinct(F.expr(starts)))).where(F.col("start") <= F.size("words") - length)
-        hits = hits.select("doc_id", "text_hash", "start", F.expr(f"array_join(slice(words, start + 1, {length}), ' ')").alias("run")).distinct()
-        hits = hits.join(bounded(windows, 200_000), "run").select("doc_id", "text_hash", "start", F.lit(length).alias("length"), "item_id")
-        found = hits if found is None else found.unionByName(hits)
-    counted = keyed.select("doc_id", "text_hash", F.coalesce(F.regexp_count("text", F.lit(ANY_CASE_WORD)), F.lit(0)).cast("long").alias("n_words"))
+        own = items.where(F.col("n") == length)
+        lowered = own.select("item_id", F.transform("words", F.lower).alias("words"))
+        # 0 stands for the document itself, so that one scan yields both its hits and its number of words
+        known = save(lowered.select(F.explode(F.expr(_grams(k))).alias("print")).unionByName(spark.range(1).select(F.col("id").alias("print"))).distinct(), "bench-prints")
+        windows = save(own.select("item_id", F.explode(F.expr(_runs(length))).alias("run")).distinct(), "bench-windows") if length else None
+        kept = _let("words", "words", _combine(_grams(k), span, "least")) if length else "array()"
+        rows = split.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), F.explode(F.expr(f"concat(array(0L), array_distinct({kept}))")).alias("print"))
+        hits = save(rows.join(bounded(known, 1_000_000), "print", "left_semi"), "bench-hits")
+        counted = hits.where("print = 0").select("doc_id", "text_hash", "n_words") if counted is None else counted
+        if not length:
+            break
+        hits = save(hits.where("print <> 0").groupBy("doc_id", "text_hash").agg(F.collect_set("print").alias("prints")), "bench-prints")
+        mine = bounded(hits.toDF("d", "h", "prints"), 100_000)
+        rows = keyed.join(mine, keyed["doc_id"].eqNullSafe(mine["d"]) & (keyed["text_hash"] == mine["h"])).dropDuplicates(["doc_id", "text_hash"])
+        starts = _let(_grams(k).replace("xxhash64(w)", "xxhash64(lower(w))"), "g", f"array_distinct(flatten(transform(filter(sequence(0, size(g) - 1), i -> array_contains(prints, g[i])), i -> sequence(greatest(0, i - {span - 1}), i))))")
+        rows = rows.select("doc_id", "text_hash", "prints", words_of(F.col("text")).alias("words")).where(F.size("words") >= length)
+        rows = rows.select("doc_id", "text_hash", "words", F.explode(F.expr(starts)).alias("start")).where(F.col("start") <= F.size("words") - length)
+        rows = rows.select("doc_id", "text_hash", "start", F.expr(f"array_join(slice(words, start + 1, {length}), ' ')").alias("run"))
+        rows = rows.join(bounded(windows, 200_000), "run").select("doc_id", "text_hash", "start", F.lit(length).alias("length"), "item_id")
+        found = rows if found is None else found.unionByName(rows)
     if found is None:
-        found = spark.createDataFrame([], "doc_id long, text_hash long, start int, length int, item_id string").withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+        found = counted.where("false").select("doc_id", "text_hash", F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit("").alias("item_id"))
     per = found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.sort_array(F.collect_set("item_id")).alias("items"))
     per = per.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.expr("size(array_distinct(flatten(transform(spans, s -> sequence(s.start, s.start + s.length - 1)))))").cast("long").alias("hit"), "items")
     out = counted.join(per, counted["doc_id"].eqNullSafe(per["d"]) & (counted["text_hash"] == per["h"]), "left")
