@@ -14,8 +14,8 @@ from tokenledger.llm.common import table, text_chunks, word_hashes, word_spans
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 12, (1, 2, 3), 12
 #: Labelled documents used at most, and their words (a longer sample is cut by whole documents).
-TRAIN_ROWS, TRAIN_WORDS = 12_000, 6_000_000
-EPOCHS, RATE, OPENING = 10, 0.01, 4
+TRAIN_ROWS, TRAIN_WORDS = 6_000, 4_000_000
+EPOCHS, RATE, OPENING = 6, 0.01, 4
 
 _SPLIT = np.ones(256, bool)
 _SPLIT[48:58] = _SPLIT[65:91] = _SPLIT[97:123] = False
