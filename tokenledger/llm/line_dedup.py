@@ -92,7 +92,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS)
     text = docs.where("text IS NOT NULL").select(*key, "text")
     chars = text.join(small, text["doc_id"].eqNullSafe(small["d"]) & (text["t"] == small["u"])).select("h", F.split(F.trim(F.element_at(F.split("text", "\n", -1), F.col("p") + 1)), "").alias("chars")).dropDuplicates(["h"])
     chars = save(chars, "lines-chars")
-    joined = pairs.join(chars.toDF("a", "x"), "a").join(chars.toDF("b", "y"), "b").withColumn("n", F.size("x")).withColumn("m", F.size("y"))
+    # the distances cost far more than the pairs' bytes tell: deal them out by number
+    joined = pairs.join(chars.toDF("a", "x"), "a").join(chars.toDF("b", "y"), "b").withColumn("n", F.size("x")).withColumn("m", F.size("y")).repartition(max(1, min(20_000, pairs.count() // 1_000)))
     links = save(joined.where(F.expr(f"CASE WHEN abs(n - m) <= {edits} THEN {_within(edits)} <= {edits} ELSE false END")).select("a", "b"), "lines-links")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     first = nodes.join(both.select(F.col("a").alias("h")).distinct(), "h", "left_semi").select("h", "first")
