@@ -94,7 +94,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS)
     chars = save(chars, "lines-chars")
     # the distances cost far more than the pairs' bytes tell: deal them out by number
     joined = pairs.join(chars.toDF("a", "x"), "a").join(chars.toDF("b", "y"), "b").withColumn("n", F.size("x")).withColumn("m", F.size("y")).repartition(max(1, min(20_000, pairs.count() // 1_000)))
-    links = save(joined.where(F.expr(f"CASE WHEN abs(n - m) <= {edits} THEN {_within(edits)} <= {edits} ELSE false END")).select("a", "b"), "lines-links")
+    # (a column, not a condition: the optimiser moves conditions below the dealing)
+    links = save(joined.select("a", "b", F.expr(f"CASE WHEN abs(n - m) <= {edits} THEN {_within(edits)} <= {edits} ELSE false END").alias("near")), "lines-links").where("near").select("a", "b")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     first = nodes.join(both.select(F.col("a").alias("h")).distinct(), "h", "left_semi").select("h", "first")
     near = both.join(first.toDF("a", "fa"), "a").join(first.toDF("b", "fb"), "b").where("fb < fa").select(F.col("a").alias("h")).distinct().withColumn("near", F.lit(True))
