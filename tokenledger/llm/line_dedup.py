@@ -57,8 +57,8 @@ def _within(edits: int) -> str:
       aggregate(sequence(1, m), named_struct('vp', {start}, 'vn', 0, 'dist', {edits}), (a, j) -> {step}).dist)[0]"""
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_lines, n_removed, n_near, kept_sha256, text (what is kept).
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS, keep: list[str] | None = None) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_lines, n_removed, n_near, kept_sha256, text (what is kept), and the columns keep.
 
     A line (between line feeds, outer spaces aside) of min_chars characters or
     more is removed if the same line, or one within edits edits, occurs
@@ -104,12 +104,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS)
     gone = lines.select("doc_id", "t", "pos", "h").join(bounded(known, 200_000), "h").where(F.col("near") | (F.struct("doc_id", "t", "pos") != F.col("first")))
     gone = gone.groupBy("doc_id", "t").agg(F.collect_set("pos").alias("gone"), F.collect_set(F.when(F.col("near"), F.col("pos"))).alias("near"))
     gone = save(gone.select(F.col("doc_id").alias("d"), F.col("t").alias("u"), "gone", "near"), "lines-gone")
-    rows = docs.select(*key, F.col("text"))
+    rows = docs.select(*key, F.col("text"), F.struct(F.lit(0).alias("-"), *(keep or [])).alias("rest"))
     small = bounded(gone, 200_000)
     rows = rows.join(small, rows["doc_id"].eqNullSafe(small["d"]) & (rows["t"] == small["u"]), "left").withColumn("lines", F.coalesce(F.split("text", "\n", -1), F.array().cast("array<string>")))
     kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.expr("array_join(transform(array_except(sequence(0, size(lines) - 1), gone), i -> lines[i]), '\\n')"))
-    out = rows.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.size("near"), F.lit(0)).cast("long").alias("n_near"), kept.alias("text"))
-    return out.select("doc_id", "n_lines", F.greatest("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.greatest("n_near", F.lit(0)).cast("long").alias("n_near"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), "text")
+    out = rows.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.size("near"), F.lit(0)).cast("long").alias("n_near"), kept.alias("text"), "rest")
+    return out.select("doc_id", "n_lines", F.greatest("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.greatest("n_near", F.lit(0)).cast("long").alias("n_near"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), "text", *[F.col("rest").getField(c).alias(c) for c in keep or []])
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
