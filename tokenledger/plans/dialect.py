@@ -1,0 +1,58 @@
+"""The few spots where Spark SQL and the SQL of the check engine differ."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+
+@dataclass(frozen=True)
+class Dialect:
+    name: str
+    table: Callable[[str], str]
+
+    @property
+    def spark(self) -> bool:
+        return self.name == "spark"
+
+    def json(self, column: str, path: str) -> str:
+        return f"get_json_object({column}, '{path}')" if self.spark else f"json_extract_string({column}, '{path}')"
+
+    def matches(self, text: str, pattern: str) -> str:
+        quoted = pattern.replace("'", "''")
+        return f"({text} RLIKE r'{pattern}')" if self.spark else f"regexp_matches({text}, '{quoted}')"
+
+    def substitute(self, text: str, pattern: str, by: str) -> str:
+        return f"regexp_replace({text}, r'{pattern}', '{by}')" if self.spark else f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+
+    def word(self, words: str) -> str:
+        """Pattern of whole words, ASCII, without regard to case."""
+        return f"(?i)(?<![A-Za-z0-9_])(?:{words})(?![A-Za-z0-9_])" if self.spark else rf"(?i)\b(?:{words})\b"
+
+    def explode(self, array: str, alias: str, source: str) -> str:
+        return f"{source} LATERAL VIEW explode({array}) AS {alias}" if self.spark else f"{source}, unnest({array}) AS _(\"{alias}\")"
+
+    def tokens(self, text: str, longer_than: int, norm: bool) -> str:
+        """Distinct words of lower-cased ASCII letters and digits."""
+        t = text if norm else f"lower({text})"
+        clean = self.substitute(t, "[^a-z0-9 \\t\\n\\r\\f\\x0B]", " ")
+        if self.spark:
+            return f"array_distinct(filter(split({clean}, r'\\s+'), w -> length(w) > {longer_than}))"
+        return f"list_distinct(list_filter(string_split_regex({clean}, '\\s+'), lambda w: length(w) > {longer_than}))"
+
+    def size(self, a: str) -> str:
+        return f"size({a})" if self.spark else f"len({a})"
+
+    def jaccard(self, a: str, b: str) -> str:
+        both = f"size(array_intersect({a}, {b}))" if self.spark else f"len(list_intersect({a}, {b}))"
+        return f"CASE WHEN {self.size(a)} = 0 OR {self.size(b)} = 0 THEN 0.0e0 ELSE cast({both} AS double) / ({self.size(a)} + {self.size(b)} - {both}) END"
+
+    def collect(self, value: str, order: str) -> str:
+        return f"array_sort(collect_list({value}))" if self.spark else f"list_sort(list({value}))"
+
+    def fixed(self, value: str, digits: int) -> str:
+        return f"format_string('%.{digits}f', {value})" if self.spark else f"printf('%.{digits}f', {value})"
+
+    @property
+    def string(self) -> str:
+        return "string" if self.spark else "varchar"

@@ -1,0 +1,336 @@
+"""Operators of the ledger as SQL over canonical tables.
+
+A plan is a SELECT over named inputs: canonical tables (built from the raw
+tables by the adapters below) or other plans. operator() runs a plan on any
+DataFrames of the canonical shape; query() runs it on a folder of tables.
+Money is counted in whole units of 1e-13 USD, so sums are exact whatever the
+order of rows, and becomes double dollars on output.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tokenledger import settings as S
+from tokenledger.plans.dialect import Dialect
+from tokenledger.settings import DEFAULTS, Settings
+
+UNITS = 10_000_000  # a price per million tokens in units of 1e-7 USD; times tokens: 1e-13
+
+
+def usd(x: str) -> str:
+    return f"cast(sum(cast({x} AS decimal(38, 0))) AS double) / 1e13"
+
+
+def dollars(x: str) -> str:
+    return f"cast({x} AS double) / 1e13"
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    quote = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in rows)}) AS v({names})"
+
+
+def _turns(d: Dialect, day: str) -> str:
+    return f"""
+SELECT CASE WHEN event_id % 4 = 0 THEN 'agent' ELSE 'legacy' END AS source, 'p' || cast(user_id % 9 AS {d.string}) AS project,
+  's' || cast(user_id AS {d.string}) || '-' || cast({day} AS {d.string}) AS session_id, event_id AS seq,
+  CASE WHEN event_id % 17 = 0 THEN '' WHEN event_id % 20 = 19 THEN 'r' || cast(event_id - 1 AS {d.string}) ELSE 'r' || cast(event_id AS {d.string}) END AS response_id,
+  CASE event_type WHEN 'click' THEN 'gpt-4o-mini' WHEN 'view' THEN 'claude-3-5-sonnet' WHEN 'purchase' THEN 'claude-opus-4.8' WHEN 'signup' THEN 'gemini-3-flash' ELSE 'in-house-7b' END AS model,
+  CASE WHEN event_id % 97 = 0 THEN NULL ELSE ts END AS ts, cast(floor(value * 100) AS bigint) AS input_tokens,
+  20 * cast({d.json("props", "$.k")} AS bigint) AS output_tokens, CASE WHEN event_id % 4 = 0 THEN cast(floor(value * 60) AS bigint) END AS cache_read_tokens,
+  'ask ' || cast(event_id % 50 AS {d.string}) AS snippet, 'f' || cast(event_id % 7 AS {d.string}) || '.py' AS file
+FROM {d.table("events")}"""
+
+
+def plans(d: Dialect, s: Settings = DEFAULTS) -> dict[str, str]:
+    """name -> SQL, each over the names before it."""
+    q: dict[str, str] = {}
+    string = d.string
+    book = s.prices()
+    unit = lambda x: round(x * UNITS)
+    fall = tuple(map(unit, s.fallback))
+    mult = s.cache_read_multiplier
+
+    # --- canonical tables -------------------------------------------------
+    q["turns"] = _turns(d, "year(ts) * 10000 + month(ts) * 100 + day(ts)")
+    q["turns_monthly"] = _turns(d, "year(ts) * 100 + month(ts)")
+    q["price_rows"] = "SELECT ordinal, price_key, cast(p_in AS bigint) AS p_in, cast(p_out AS bigint) AS p_out FROM (" + _values([(i, k, unit(a), unit(b)) for i, k, a, b in book], "ordinal, price_key, p_in, p_out") + ") AS r"
+    q["credit_rows"] = _values([(i, k, v) for i, k, v in s.credits()], "ordinal, credit_key, multiplier")
+    q["price_book"] = f"SELECT ordinal, price_key, {dollars('p_in * 1000000')} AS input_per_m, {dollars('p_out * 1000000')} AS output_per_m FROM price_rows"
+
+    # --- turns: union, dedup, prices --------------------------------------
+    q["turns_union"] = "SELECT source, project, session_id, seq, response_id, model, ts, input_tokens, output_tokens, 0 AS cache_read_tokens FROM turns WHERE source = 'legacy' UNION ALL SELECT source, project, session_id, seq, response_id, model, ts, input_tokens, output_tokens, cache_read_tokens FROM turns WHERE source = 'agent'"
+    for name in ("turns", "turns_monthly"):
+        columns = "source, project, session_id, seq, response_id, model, ts, input_tokens, output_tokens, cache_read_tokens, snippet, file"
+        kept = f"""SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY response_id ORDER BY CASE source WHEN 'legacy' THEN 0 ELSE 1 END, project, session_id, seq) AS rn FROM {name} WHERE response_id <> '') AS x WHERE rn = 1
+          UNION ALL SELECT {columns} FROM {name} WHERE coalesce(response_id, '') = ''"""
+        q["turns_deduped" if name == "turns" else "monthly_deduped"] = kept
+    q["turns_dedup"] = "SELECT source, project, session_id, seq, response_id, model, ts, input_tokens, output_tokens FROM turns_deduped"
+    q["models"] = f"SELECT DISTINCT model, lower(model) AS id FROM turns UNION SELECT model, lower(model) FROM ({_values([(x,) for x in ('copilot/GPT-4.1-mini', 'gemini-1.5-flash', 'claude-3-5-haiku', 'o3-pro', '')], 'model')}) AS m"
+    q["model_book"] = f"""SELECT model, id, price_key, coalesce(p_in, cast({fall[0]} AS bigint)) AS p_in, coalesce(p_out, cast({fall[1]} AS bigint)) AS p_out FROM (
+      SELECT m.model, m.id, b.price_key, b.p_in, b.p_out, row_number() OVER (PARTITION BY m.model ORDER BY length(b.price_key) DESC, b.ordinal) AS rn
+      FROM models AS m LEFT JOIN price_rows AS b ON m.id LIKE '%' || b.price_key || '%') AS x WHERE rn = 1"""
+    q["model_prices"] = f"SELECT model, price_key, {dollars('p_in * 1000000')} AS input_per_m, {dollars('p_out * 1000000')} AS output_per_m, price_key IS NOT NULL AS matched FROM model_book"
+    for name, out in (("turns_deduped", "priced"), ("monthly_deduped", "priced_monthly")):
+        q[out] = f"""SELECT t.*, cast(ts AS date) AS day, price_key, p_in, p_out, cached, (input_tokens - cached) * p_in + cast(floor(cached * p_in * {mult}e0 + 0.5) AS bigint) AS input_cost, output_tokens * p_out AS output_cost,
+          (input_tokens - cached) * p_in + cast(floor(cached * p_in * {mult}e0 + 0.5) AS bigint) + output_tokens * p_out AS cost
+          FROM (SELECT *, greatest(0, least(coalesce(cache_read_tokens, 0), input_tokens)) AS cached FROM {name}) AS t JOIN model_book AS b ON t.model = b.model"""
+        q[out] = q[out].replace("t.*", "t.source, t.project, t.session_id, t.seq, t.response_id, t.model, t.ts, t.input_tokens, t.output_tokens, t.snippet, t.file")
+    q["turn_cost"] = f"SELECT seq, t.model, {dollars('input_tokens * p_in + output_tokens * p_out')} AS cost_usd FROM turns AS t JOIN model_book AS b ON t.model = b.model"
+    fraction = 0.25
+    q["cost_assumed_cache"] = f"""SELECT seq, {dollars('full_in + cheap_in')} AS input_cost, {dollars('full_out')} AS output_cost, {dollars('full_in + cheap_in + full_out')} AS cost FROM (
+      SELECT seq, (input_tokens - c) * p_in AS full_in, cast(floor(c * p_in * {mult}e0 + 0.5) AS bigint) AS cheap_in, output_tokens * p_out AS full_out
+      FROM (SELECT seq, input_tokens, output_tokens, model, cast(floor(input_tokens * {fraction}e0) AS bigint) AS c FROM turns) AS t JOIN model_book AS b ON t.model = b.model) AS x"""
+    q["cost_real_cache"] = f"SELECT seq, model, cached AS cached_tokens, {dollars('input_cost')} AS input_cost, {dollars('output_cost')} AS output_cost, {dollars('cost')} AS cost FROM priced"
+    q["credit_multiplier"] = """SELECT model, credit_key, coalesce(cast(multiplier AS double), 1.0e0) AS multiplier, credit_key IS NOT NULL AS matched FROM (
+      SELECT m.model, b.credit_key, b.multiplier, row_number() OVER (PARTITION BY m.model ORDER BY length(b.credit_key) DESC, b.ordinal) AS rn FROM models AS m LEFT JOIN credit_rows AS b ON m.id LIKE '%' || b.credit_key || '%') AS x WHERE rn = 1"""
+    hint = lambda hints, x="id": "(" + (" OR ".join(f"{x} LIKE '%{h.lower()}%'" for h in hints) or "false") + ")"
+    q["reasoning_flag"] = f"SELECT model, {hint(s.reasoning_hints)} AS reasoning, CASE WHEN {hint(s.reasoning_hints)} THEN {s.reasoning_multiplier}e0 ELSE 1.0e0 END AS multiplier FROM models"
+    # the fold over the book takes a key if it beats the best so far by a thousandth: on a book of few distinct prices the first smallest
+    q["cheaper_model"] = f"""SELECT model, input_tokens, output_tokens, suggestion, {dollars('now')} AS current_usd, CASE WHEN suggestion IS NOT NULL THEN {dollars('best')} END AS suggested_usd FROM (
+      SELECT model, input_tokens, output_tokens, now, best, CASE WHEN rn = 1 AND now > 0 AND best < now * 0.999e0 AND cast(now - best AS double) / now >= {s.suggestion_floor}e0 THEN price_key END AS suggestion FROM (
+        SELECT m.model, t.input_tokens, t.output_tokens, t.input_tokens * m.p_in + t.output_tokens * m.p_out AS now, b.price_key, t.input_tokens * b.p_in + t.output_tokens * b.p_out AS best,
+          row_number() OVER (PARTITION BY m.model, t.input_tokens, t.output_tokens ORDER BY t.input_tokens * b.p_in + t.output_tokens * b.p_out, b.ordinal) AS rn
+        FROM model_book AS m CROSS JOIN ({_values([(10000, 1000), (500, 4000), (0, 0)], 'input_tokens, output_tokens')}) AS t JOIN price_rows AS b ON m.id NOT LIKE '%' || b.price_key || '%') AS x WHERE rn = 1) AS y"""
+    q["cheapest_family"] = f"SELECT price_key, {dollars('(p_in + p_out) * 500000')} AS blended FROM (SELECT price_key, p_in, p_out, row_number() OVER (ORDER BY p_in + p_out, ordinal) AS rn FROM price_rows) AS x WHERE rn = 1"
+
+    # --- scalar functions ---------------------------------------------------
+    q["normalize_model"] = f"SELECT p_partkey, trim({'substring_index(raw, ' + repr('/') + ', -1)' if d.spark else 'regexp_extract(raw, ' + repr('[^/]*$') + ')'}) AS model FROM (SELECT p_partkey, p_type || '/' || p_name || '/ ' || p_brand || ' ' AS raw FROM {d.table('part')}) AS x"
+    decode = "try_url_decode(replace(uri, '+', '%2B'))" if d.spark else "url_decode(uri)"
+    q["project_name"] = f"""SELECT c_custkey, coalesce(nullif({'regexp_extract(u, ' + "r'([^/\\\\]+)[/\\\\]*$'" + ', 1)' if d.spark else 'regexp_extract(u, ' + "'([^/\\\\]+)[/\\\\]*$'" + ', 1)'}, ''), 'unknown') AS project FROM (
+      SELECT c_custkey, {decode} AS u FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'file:///w/My%20App+x/' WHEN 2 THEN 'file:///w/' || c_name WHEN 3 THEN '///' ELSE 'c:' || chr(92) || 'ws' || chr(92) || c_mktsegment || chr(92) END AS uri FROM {d.table('customer')}) AS y) AS x"""
+    q["token_estimate"] = f"SELECT doc_id, cast(ceil(length(text) / 4.0e0) AS bigint) AS tokens FROM {d.table('documents')}"
+    q["projected_output"] = f"SELECT seq, t.model, cast(ceil(least(2000.0e0, ceil(0.3e0 * input_tokens)) * multiplier) AS bigint) AS projected FROM turns AS t JOIN reasoning_flag AS r ON t.model = r.model"
+    q["receipt_delta"] = f"""SELECT seq, CASE WHEN est = 0 THEN 0 ELSE cast(floor((act - est) * 100.0e0 / est + 0.5e0) AS bigint) END AS delta_pct FROM (
+      SELECT t.seq, t.input_tokens * b.p_in + p.projected * b.p_out AS est, t.input_tokens * b.p_in + t.output_tokens * b.p_out AS act FROM turns AS t JOIN model_book AS b ON t.model = b.model JOIN projected_output AS p ON t.seq = p.seq) AS x"""
+    q["finish_reason"] = "SELECT seq, CASE WHEN seq % 13 = 0 THEN 'duplicate_skipped' WHEN seq % 11 = 0 THEN 'length' WHEN seq % 3 = 0 THEN 'tool_calls_then_stop' ELSE 'stop' END AS finish_reason FROM turns"
+    cost = dollars("cost")
+    rounded = lambda x, k: f"floor({x} * 1e{k} + 0.5e0) / 1e{k}"
+    show = lambda x, k: d.fixed(rounded(x, k), k)
+    q["format_usd"] = f"SELECT seq, CASE WHEN {cost} >= 1 THEN '$' || {show(cost, 2)} WHEN {cost} >= 0.01e0 THEN '$' || {show(cost, 3)} ELSE '$' || {show(cost, 4)} END AS usd, CASE WHEN input_tokens >= 1000000 THEN {show('(input_tokens / 1000000.0e0)', 1)} || 'M' WHEN input_tokens >= 1000 THEN {show('(input_tokens / 1000.0e0)', 1)} || 'k' ELSE cast(input_tokens AS {string}) END AS tokens FROM priced"
+
+    # --- usage ----------------------------------------------------------------
+    tot = f"count(*) AS turns, cast(sum(input_tokens) AS bigint) AS input_tokens, cast(sum(output_tokens) AS bigint) AS output_tokens, {usd('cost')} AS cost"
+    q["usage_by_model"] = f"SELECT model, {tot} FROM priced GROUP BY model"
+    q["usage_by_project"] = f"SELECT coalesce(nullif(project, ''), 'unknown') AS project, {tot} FROM priced GROUP BY coalesce(nullif(project, ''), 'unknown')"
+    q["usage_daily"] = f"SELECT day, {tot} FROM priced WHERE day IS NOT NULL GROUP BY day"
+    q["usage_daily_by_model"] = f"SELECT day, model, {tot} FROM priced WHERE day IS NOT NULL GROUP BY day, model"
+    q["cells"] = "SELECT day, model, project, count(*) AS turns, cast(sum(input_tokens) AS bigint) AS input_tokens, cast(sum(output_tokens) AS bigint) AS output_tokens, sum(cast(input_cost AS decimal(38, 0))) AS input_cost, sum(cast(output_cost AS decimal(38, 0))) AS output_cost, sum(cast(cost AS decimal(38, 0))) AS cost FROM priced GROUP BY day, model, project"
+    shown = f"day, model, project, turns, input_tokens, output_tokens, {dollars('input_cost')} AS input_cost, {dollars('output_cost')} AS output_cost, {dollars('cost')} AS cost"
+    q["usage_cells"] = f"SELECT {shown} FROM cells"
+    q["session_first"] = "SELECT project, session_id, snippet FROM (SELECT project, session_id, snippet, row_number() OVER (PARTITION BY project, session_id ORDER BY seq) AS rn FROM turns) AS x WHERE rn = 1"
+    q["sessions"] = f"""SELECT p.project, p.session_id, p.turns, p.input_tokens, p.output_tokens, p.cost, f.day AS first_day, coalesce(nullif(s.snippet, ''), '(untitled)') AS title
+      FROM (SELECT project, session_id, count(*) AS turns, cast(sum(input_tokens) AS bigint) AS input_tokens, cast(sum(output_tokens) AS bigint) AS output_tokens, sum(cast(cost AS decimal(38, 0))) AS cost FROM priced GROUP BY project, session_id) AS p
+      LEFT JOIN (SELECT project, session_id, day FROM (SELECT project, session_id, day, row_number() OVER (PARTITION BY project, session_id ORDER BY seq) AS rn FROM priced WHERE day IS NOT NULL) AS x WHERE rn = 1) AS f ON p.project = f.project AND p.session_id = f.session_id
+      JOIN session_first AS s ON p.project = s.project AND p.session_id = s.session_id"""
+    ses = f"project, session_id, turns, input_tokens, output_tokens, {dollars('cost')} AS cost, first_day, title"
+    q["usage_sessions"] = f"SELECT {ses} FROM sessions"
+    q["session_peak_turn"] = "SELECT project, session_id, model, snippet, file, input_tokens FROM (SELECT project, session_id, model, snippet, file, input_tokens, row_number() OVER (PARTITION BY project, session_id ORDER BY input_tokens DESC, seq) AS rn FROM priced WHERE input_tokens > 0) AS x WHERE rn = 1"
+    q["session_detail"] = f"SELECT project, session_id, {d.collect('seq', 'seq')} AS detail FROM (SELECT project, session_id, seq, row_number() OVER (PARTITION BY project, session_id ORDER BY seq) AS rn FROM priced) AS x WHERE rn <= 200 GROUP BY project, session_id"
+    q["usage_totals"] = f"SELECT {tot}, count(DISTINCT day) AS active_days, count(DISTINCT project) AS projects, count(DISTINCT session_id) AS sessions FROM priced"
+    q["usage_grouping_sets"] = f"SELECT model, project, day, grouping(model) AS no_model, grouping(project) AS no_project, grouping(day) AS no_day, {tot} FROM priced GROUP BY GROUPING SETS ((model), (project), (day), (day, model, project), ())"
+    q["daily"] = "SELECT day, sum(cost) AS cost, cast(sum(turns) AS bigint) AS turns FROM cells WHERE day IS NOT NULL GROUP BY day"
+    q["peak_day"] = f"SELECT day, {dollars('cost')} AS cost FROM (SELECT day, cost, row_number() OVER (ORDER BY cost DESC, day) AS rn FROM daily) AS x WHERE rn = 1"
+    q["top_sessions"] = f"SELECT {ses} FROM sessions ORDER BY input_tokens DESC, project, session_id LIMIT 100"
+
+    # --- dashboard -------------------------------------------------------------
+    q["filtered"] = "SELECT * FROM cells WHERE model IN ('claude-opus-4.8', 'gpt-4o-mini', 'gemini-3-flash') AND project IN ('p1', 'p2', 'p3', 'p4', 'p5') AND (day IS NULL OR day BETWEEN (SELECT min(day) FROM cells) AND (SELECT max(day) FROM cells))"
+    q["cells_filtered"] = f"SELECT {shown} FROM filtered"
+    q["session_search"] = f"SELECT DISTINCT s.project, s.session_id, s.title FROM sessions AS s JOIN (SELECT project, session_id FROM priced WHERE lower(snippet) LIKE '%ask 1%' OR lower(file) LIKE '%f3%' UNION SELECT project, session_id FROM sessions WHERE lower(title) LIKE '%ask 1%') AS h ON s.project = h.project AND s.session_id = h.session_id WHERE s.project IN ('p1', 'p2')"
+    q["filter_domains"] = f"SELECT count(DISTINCT model) AS models, count(DISTINCT project) AS projects, min(day) AS first_day, max(day) AS last_day FROM cells"
+    q["dashboard_cards"] = f"SELECT {usd('cost')} AS cost, {usd('input_cost')} AS input_cost, {usd('output_cost')} AS output_cost, CASE WHEN sum(cost) = 0 THEN 0.0e0 ELSE cast(sum(input_cost) AS double) / cast(sum(cost) AS double) END AS input_share, {usd('cost')} / sum(turns) AS cost_per_turn, cast(floor({usd('cost')} / 0.01e0 + 0.5e0) AS bigint) AS credits, count(DISTINCT model) AS models FROM filtered"
+    back = lambda n: f"date_sub(m, {n})" if d.spark else f"(m - {n})"
+    q["trend_delta"] = f"""SELECT {dollars('now')} AS last_7d, {dollars('was')} AS prior_7d, CASE WHEN was > 0 THEN (cast(now AS double) - cast(was AS double)) / cast(was AS double) * 100 END AS change_pct,
+      CASE WHEN was > 0 THEN CASE WHEN (cast(now AS double) - cast(was AS double)) / cast(was AS double) * 100 > 2 THEN 'up' WHEN (cast(now AS double) - cast(was AS double)) / cast(was AS double) * 100 < -2 THEN 'down' ELSE 'flat' END END AS direction FROM (
+      SELECT sum(CASE WHEN day >= {back(6)} THEN cost ELSE 0 END) AS now, sum(CASE WHEN day < {back(6)} AND day >= {back(13)} THEN cost ELSE 0 END) AS was FROM filtered CROSS JOIN (SELECT max(day) AS m FROM cells) AS a) AS x"""
+    q["attribution_share"] = f"SELECT kind, name, {dollars('c')} AS cost, CASE WHEN t = 0 THEN 0.0e0 ELSE cast(c AS double) / cast(t AS double) END AS share FROM (SELECT kind, name, sum(cost) AS c FROM (SELECT 'model' AS kind, model AS name, cost FROM cells UNION ALL SELECT 'project' AS kind, project AS name, cost FROM cells) AS u GROUP BY kind, name) AS x CROSS JOIN (SELECT sum(cost) AS t FROM cells) AS y"
+    ratio = lambda a, b: f"CASE WHEN {b} = 0 THEN 0.0e0 ELSE {a} / {b} END"
+    q["model_efficiency"] = f"SELECT model, {ratio('c', 'n')} AS usd_per_turn, {ratio('ci * 1000', 'ti')} AS usd_per_1k_in, {ratio('co * 1000', 'tout')} AS usd_per_1k_out, {ratio('cast(tout AS double)', 'ti')} AS out_in_ratio, {ratio('ci * 100', 'c')} AS input_cost_pct FROM (SELECT model, {usd('cost')} AS c, {usd('input_cost')} AS ci, {usd('output_cost')} AS co, cast(sum(turns) AS bigint) AS n, cast(sum(input_tokens) AS bigint) AS ti, cast(sum(output_tokens) AS bigint) AS tout FROM cells GROUP BY model) AS x"
+    q["by_model"] = "SELECT model, sum(cost) AS cost, sum(input_cost) AS input_cost, sum(output_cost) AS output_cost, cast(sum(input_tokens) AS bigint) AS input_tokens, cast(sum(output_tokens) AS bigint) AS output_tokens FROM cells GROUP BY model"
+    q["savings_whatif"] = f"""SELECT family, {dollars('saved')} AS savings, saved > 5e10 AND saved >= 0.05e0 * total AS emitted FROM (
+      SELECT f.price_key AS family, sum(CASE WHEN m.p_in + m.p_out >= 4 * (f.p_in + f.p_out) AND x.cost > x.input_tokens * f.p_in + x.output_tokens * f.p_out THEN x.cost - (x.input_tokens * f.p_in + x.output_tokens * f.p_out) ELSE 0 END) AS saved, sum(x.cost) AS total
+      FROM by_model AS x JOIN model_book AS m ON x.model = m.model CROSS JOIN (SELECT price_key, p_in, p_out FROM (SELECT *, row_number() OVER (ORDER BY p_in + p_out, ordinal) AS rn FROM price_rows) AS z WHERE rn = 1) AS f GROUP BY f.price_key) AS y"""
+    q["insights"] = f"""SELECT 'top_driver' AS insight, name AS subject, share FROM (SELECT name, share, row_number() OVER (ORDER BY cost DESC, name) AS rn FROM attribution_share WHERE kind = 'model') AS a WHERE rn = 1
+      UNION ALL SELECT CASE WHEN i / t >= 0.65e0 THEN 'input_heavy' ELSE 'output_heavy' END, 'all', CASE WHEN i / t >= 0.65e0 THEN i / t ELSE o / t END FROM (SELECT cast(sum(input_cost) AS double) AS i, cast(sum(output_cost) AS double) AS o, cast(sum(cost) AS double) AS t FROM cells) AS b WHERE t > 0 AND (i / t >= 0.65e0 OR o / t >= 0.6e0)
+      UNION ALL SELECT 'priciest_session', session_id, {dollars('cost')} FROM (SELECT session_id, cost, row_number() OVER (ORDER BY cost DESC, project, session_id) AS rn FROM sessions) AS c WHERE rn = 1
+      UNION ALL SELECT 'peak_day', cast(p.day AS {string}), p.cost / t.t FROM peak_day AS p CROSS JOIN (SELECT {usd('cost')} AS t FROM cells) AS t WHERE p.cost / t.t >= 0.4e0
+      UNION ALL SELECT 'cheaper_family', family, savings FROM savings_whatif WHERE emitted"""
+    q["cost_cumulative"] = f"SELECT day, {dollars('c')} AS cumulative FROM (SELECT day, sum(cost) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) AS c FROM daily) AS x"
+    q["cost_moving_avg"] = f"SELECT day, {dollars('c')} / n AS average FROM (SELECT day, sum(cost) OVER (ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS c, count(*) OVER (ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS n FROM daily) AS x"
+    q["day_model"] = "SELECT c.day, c.model, sum(c.cost) AS cost, r.model_rank FROM cells AS c JOIN (SELECT model, row_number() OVER (ORDER BY cost DESC, model) AS model_rank FROM by_model) AS r ON c.model = r.model WHERE c.day IS NOT NULL GROUP BY c.day, c.model, r.model_rank"
+    q["cost_stack"] = f"SELECT day, model, {dollars('hi - cost')} AS lower, {dollars('hi')} AS upper FROM (SELECT day, model, cost, sum(cost) OVER (PARTITION BY day ORDER BY model_rank ROWS UNBOUNDED PRECEDING) AS hi FROM day_model) AS x"
+    q["daily_top_models"] = f"SELECT day, model, {dollars('cost')} AS cost, cast(rn AS bigint) AS place FROM (SELECT day, model, cost, row_number() OVER (PARTITION BY day ORDER BY cost DESC, model) AS rn FROM day_model WHERE cost > 0) AS x WHERE rn <= 5"
+    six = lambda x: f"floor(cast({x} AS double) / 1e7 + 0.5e0) / 1e6"
+    q["export_cells"] = f"SELECT coalesce(cast(day AS {string}), 'undated') AS date, model, project, turns, input_tokens, output_tokens, {six('input_cost')} AS input_cost, {six('output_cost')} AS output_cost, {six('cost')} AS cost FROM filtered"
+
+    # --- the usage log and calibration -------------------------------------------
+    q["usage_log"] = f"""SELECT session_id, seq, model, cast(row_number() OVER (PARTITION BY session_id ORDER BY seq) AS bigint) AS turn_index, {hint(s.reasoning_hints, 'lower(model)')} AS reasoning, seq % 13 = 0 AS duplicate,
+      CASE WHEN seq % 13 = 0 THEN 0 ELSE input_tokens END AS input_tokens, CASE WHEN seq % 13 = 0 THEN 0 ELSE output_tokens END AS output_tokens, CASE WHEN seq % 13 = 0 THEN 0 ELSE cost END AS cost FROM priced_monthly"""
+    calibrate = f"count(*) AS turns, sum(input_tokens) / cast(count(*) AS double) AS avg_input, sum(output_tokens) / cast(count(*) AS double) AS avg_output, {usd('cost')} / count(*) AS avg_cost, CASE WHEN sum(input_tokens) = 0 THEN NULL ELSE cast(sum(output_tokens) AS double) / cast(sum(input_tokens) AS double) END AS out_in_ratio"
+    q["calibration_models"] = f"SELECT model, {calibrate}, max(CASE WHEN reasoning THEN 1 ELSE 0 END) = 1 AS reasoning FROM usage_log GROUP BY model"
+    q["calibration_baseline"] = "SELECT CASE WHEN sum(CASE WHEN NOT reasoning THEN input_tokens END) > 0 THEN cast(sum(CASE WHEN NOT reasoning THEN output_tokens END) AS double) / cast(sum(CASE WHEN NOT reasoning THEN input_tokens END) AS double) END AS baseline FROM usage_log"
+    q["duplicate_rate"] = "SELECT coalesce(sum(CASE WHEN duplicate THEN 1 ELSE 0 END) / cast(nullif(count(*), 0) AS double), 0.0e0) AS duplicate_rate FROM usage_log"
+    q["context_growth"] = "SELECT session_id, seq, turn_index, growth FROM (SELECT session_id, seq, turn_index, input_tokens - lag(input_tokens) OVER (PARTITION BY session_id ORDER BY turn_index, seq) AS growth FROM usage_log) AS x WHERE growth IS NOT NULL"
+    q["snowball_p90"] = """SELECT max(n) AS growths, min(CASE WHEN seen >= least(n, (9 * n - (9 * n) % 10) / 10 + 1) THEN growth END) AS p90 FROM (
+      SELECT growth, sum(k) OVER (ORDER BY growth ROWS UNBOUNDED PRECEDING) AS seen, sum(k) OVER () AS n FROM (SELECT growth, count(*) AS k FROM context_growth WHERE growth > 0 GROUP BY growth) AS h) AS x"""
+    q["snowball_p90"] = q["snowball_p90"].replace("max(n) AS growths", "cast(coalesce(max(n), 0) AS bigint) AS growths").replace("min(CASE", "cast(min(CASE", 1).replace("END) AS p90", "END) AS bigint) AS p90")
+    q["snowball_threshold"] = f"SELECT CASE WHEN n >= {s.min_turns} AND p90 IS NOT NULL THEN p90 ELSE {s.snowball_tokens} END AS threshold FROM snowball_p90 CROSS JOIN (SELECT count(*) AS n FROM usage_log) AS t"
+    real = calibrate.replace("usage_log", "priced")
+    q["calibration_real"] = f"SELECT m.*, b.baseline, p.p90, r.duplicate_rate FROM (SELECT model, {real}, {hint(s.reasoning_hints, 'lower(model)')} AS reasoning FROM priced GROUP BY model) AS m CROSS JOIN (SELECT coalesce((SELECT cast(sum(output_tokens) AS double) / cast(nullif(sum(input_tokens), 0) AS double) FROM priced WHERE NOT {hint(s.reasoning_hints, 'lower(model)')}), (SELECT baseline FROM calibration_baseline)) AS baseline) AS b CROSS JOIN snowball_p90 AS p CROSS JOIN duplicate_rate AS r"
+    q["calibration_real"] = q["calibration_real"].replace("m.*", "m.model, m.turns, m.avg_input, m.avg_output, m.avg_cost, m.out_in_ratio, m.reasoning")
+    q["calibrated_multiplier"] = f"""SELECT model, multiplier FROM (SELECT m.model, CASE WHEN c.turns >= {s.min_turns} AND c.out_in_ratio IS NOT NULL AND b.baseline > 0 THEN greatest(1.0e0, least(5.0e0, floor(c.out_in_ratio / b.baseline * 100 + 0.5e0) / 100.0e0)) END AS multiplier, row_number() OVER (PARTITION BY m.model ORDER BY c.turns DESC, c.model) AS rn
+      FROM models AS m LEFT JOIN calibration_models AS c ON m.id LIKE '%' || lower(c.model) || '%' OR lower(c.model) LIKE '%' || m.id || '%' CROSS JOIN calibration_baseline AS b) AS x WHERE rn = 1"""
+    q["savings_columns"] = f"SELECT seq, CASE WHEN seq % 5 = 0 THEN cast(ceil(greatest(0, input_tokens - 400) / 4.0e0) AS bigint) ELSE 0 END AS tokens_saved_by_compaction, CASE WHEN seq % 13 = 0 THEN input_tokens ELSE 0 END AS tokens_saved_by_duplicate_block, {dollars('CASE WHEN seq % 13 = 0 THEN cost ELSE 0 END')} AS potential_savings_usd FROM priced"
+    q["turn_index"] = "SELECT session_id, seq, cast(row_number() OVER (PARTITION BY session_id ORDER BY seq) AS bigint) AS turn_index FROM turns"
+
+    # --- budgets -----------------------------------------------------------------
+    used = "input_tokens + output_tokens"
+    q["budget_replay"] = f"""SELECT session_id, seq, cast(session_used AS bigint) AS session_used, cast(day_used AS bigint) AS day_used, cast(floor(session_used * 100.0e0 / {s.session_budget} + 0.5e0) AS bigint) AS session_pct, cast(floor(day_used * 100.0e0 / {s.daily_budget} + 0.5e0) AS bigint) AS day_pct,
+      CASE WHEN session_used >= {s.session_budget} OR day_used >= {s.daily_budget} THEN 'over' WHEN session_used * 100 >= {s.session_budget * s.warn_pct} OR day_used * 100 >= {s.daily_budget * s.warn_pct} THEN 'warn' ELSE 'ok' END AS level,
+      CASE WHEN session_used >= {s.session_budget} THEN 'session' WHEN day_used >= {s.daily_budget} THEN 'daily' WHEN session_used * 100 >= {s.session_budget * s.warn_pct} THEN 'session' WHEN day_used * 100 >= {s.daily_budget * s.warn_pct} THEN 'daily' END AS budget
+      FROM (SELECT session_id, seq, coalesce(sum({used}) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS session_used, coalesce(sum({used}) OVER (PARTITION BY project, cast(ts AS date) ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS day_used FROM turns_monthly) AS x"""
+    q["budget_reset"] = f"SELECT session_id, seq, cast(segment AS bigint) AS segment, cast(coalesce(sum(u) OVER (PARTITION BY session_id, segment ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS session_used FROM (SELECT session_id, seq, {used} AS u, sum(CASE WHEN seq % 29 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS segment FROM turns_monthly) AS x"
+
+    # --- prompts, duplicates, rules -------------------------------------------------
+    lead = "CASE (conv_id + turn) % 6 WHEN 0 THEN 'Write a function: ' WHEN 1 THEN 'List the files: ' WHEN 2 THEN 'Debug the race condition: ' WHEN 3 THEN 'Explain, be concise: ' WHEN 4 THEN '/src/app/main.py ' ELSE 'Contact a.b@example.com: ' END"
+    q["conv_running"] = f"SELECT conv_id, turn, role, text, cast(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS bigint) AS chars FROM {d.table('conversations')}"
+    q["base_prompts"] = f"SELECT conv_id, turn, {lead} || CASE WHEN conv_id % 8 = 3 THEN text || ' ' || text || ' ' || text || ' ' ELSE text END AS prompt, cast(ceil(chars / 4.0e0) AS bigint) AS context_tokens FROM conv_running WHERE role = 'user'"
+    q["prompts"] = f"""SELECT conv_id, turn, prompt, context_tokens, (conv_id * 7 + turn) % 9 AS ref_count, CASE conv_id % 5 WHEN 0 THEN 'claude-opus-4.8' WHEN 1 THEN 'gpt-4o-mini' WHEN 2 THEN 'claude-3-5-sonnet' WHEN 3 THEN 'gemini-1.5-pro' ELSE 'o3' END AS model FROM (
+      SELECT conv_id, turn, prompt, context_tokens FROM base_prompts UNION ALL SELECT conv_id, turn + 100, prompt || ' please', context_tokens FROM base_prompts WHERE turn <= 1 AND conv_id % 5 = 0
+      UNION ALL SELECT conv_id + 1000000, turn, prompt || ' again', context_tokens FROM base_prompts WHERE turn <= 1 AND conv_id % 7 = 0) AS x"""
+    q["session_sets"] = f"SELECT conv_id, turn, {d.tokens('prompt', 1, False)} AS words FROM prompts WHERE trim(prompt) <> ''"
+    fenced = d.substitute("lower(prompt)", "(?s)```.*?```", " ")
+    q["history_sets"] = f"SELECT conv_id, turn, norm, {d.tokens('norm', 2, True)} AS words FROM (SELECT conv_id, turn, left(trim({d.substitute(fenced, '[ \\t\\n\\r\\f\\x0B]+', ' ')}), 500) AS norm FROM prompts) AS x"
+    q["session_pairs"] = f"SELECT a.conv_id, a.turn, b.turn AS earlier, {d.jaccard('a.words', 'b.words')} AS similarity FROM session_sets AS a JOIN session_sets AS b ON a.conv_id = b.conv_id AND b.turn < a.turn"
+    q["session_duplicates"] = f"SELECT conv_id, turn, max(similarity) AS similarity FROM session_pairs GROUP BY conv_id, turn HAVING max(similarity) >= {s.dup_threshold}e0"
+    q["prompt_index"] = f"SELECT norm, max(conv_id * 1000 + turn) AS latest FROM history_sets WHERE {d.size('words')} >= 4 GROUP BY norm ORDER BY latest DESC, norm LIMIT 4000"
+    return {k: _dates(k, v, string) for k, v in (q | _more(d, s, q, hint)).items()}
+
+
+def _dates(name: str, sql: str, string: str) -> str:
+    """Results show days as text (ISO), so that every reader sees the same value."""
+    day = {"usage_daily": "day", "usage_daily_by_model": "day", "usage_cells": "day", "usage_grouping_sets": "day", "peak_day": "day", "cells_filtered": "day", "cost_cumulative": "day", "cost_moving_avg": "day", "cost_stack": "day", "daily_top_models": "day", "usage_sessions": "first_day", "top_sessions": "first_day"}.get(name)
+    if name == "filter_domains":
+        return sql.replace("min(day)", f"cast(min(day) AS {string})").replace("max(day)", f"cast(max(day) AS {string})")
+    if not day:
+        return sql
+    if name == "usage_grouping_sets":
+        return sql.replace("SELECT model, project, day,", f"SELECT model, project, cast(day AS {string}) AS day,", 1)
+    return re.sub(rf"\b{day}\b", f"cast({day} AS {string}) AS {day}", sql, count=1)
+
+
+def _more(d: Dialect, s: Settings, q: dict[str, str], hint) -> dict[str, str]:
+    string, out = d.string, {}
+    t = s.history_threshold
+    # prefix filter: similar sets share a word among the first |x| - ceil(t|x|) + 1 in one order of words, the rarest first
+    out["history_words"] = f"SELECT conv_id, turn, word, cast({d.size('words')} AS bigint) AS n FROM {d.explode('words', 'word', 'history_sets')} WHERE {d.size('words')} >= 4"
+    out["word_rank"] = "SELECT conv_id, turn, w.word, n, row_number() OVER (PARTITION BY conv_id, turn ORDER BY f.df, w.word) AS rn FROM history_words AS w JOIN (SELECT word, count(*) AS df FROM history_words GROUP BY word) AS f ON w.word = f.word"
+    out["history_prefix"] = f"SELECT conv_id, turn, word, n FROM word_rank WHERE rn <= n - cast(ceil({t}e0 * n) AS bigint) + 1"
+    pairs = f"SELECT DISTINCT a.conv_id, a.turn, b.conv_id AS other_conv, b.turn AS other_turn FROM history_prefix AS a JOIN history_prefix AS b ON a.word = b.word AND a.conv_id <> b.conv_id AND b.n >= {t}e0 * a.n AND a.n >= {t}e0 * b.n"
+    if not d.spark:  # the check has every pair of two prompts
+        pairs = "SELECT a.conv_id, a.turn, b.conv_id AS other_conv, b.turn AS other_turn FROM history_sets AS a JOIN history_sets AS b ON a.conv_id <> b.conv_id AND len(a.words) >= 4 AND len(b.words) >= 4"
+    out["history_pairs"] = f"SELECT p.conv_id, p.turn, p.other_conv, p.other_turn, {d.jaccard('a.words', 'b.words')} AS similarity FROM ({pairs}) AS p JOIN history_sets AS a ON p.conv_id = a.conv_id AND p.turn = a.turn JOIN history_sets AS b ON p.other_conv = b.conv_id AND p.other_turn = b.turn"
+    out["history_duplicates"] = f"SELECT conv_id, turn, other_conv, other_turn, similarity FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY similarity DESC, other_conv DESC, other_turn DESC) AS rn FROM history_pairs WHERE similarity >= {t}e0) AS x WHERE rn = 1"
+    cheap = hint(s.cheap_hints, "lower(p.model)")
+    lower_cheaper = "EXISTS (SELECT 1 FROM cheaper_model AS c WHERE c.model = p.model AND c.input_tokens = 10000 AND c.suggestion IS NOT NULL)"
+    word = lambda w: d.matches("p.prompt", d.word(w))
+    brief = d.word(S.BRIEF)
+    open_fence = d.matches("ltrim(p.prompt)", r"^(```|[A-Za-z]:\\|/)") if d.spark else d.matches("ltrim(p.prompt)", r"^(```|[A-Za-z]:\\|/)")
+    sensitive = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+    rules = {
+        "duplicate": "sd.turn IS NOT NULL", "asked_before": "sd.turn IS NULL AND hd.turn IS NOT NULL", "many_references": f"p.ref_count > {s.max_refs}", "snowball": "p.context_tokens - p.previous > 300",
+        "sensitive": d.matches("p.prompt", sensitive), "cache_order": f"({open_fence} OR (length(ltrim(p.prompt)) > 600 AND NOT {d.matches('ltrim(p.prompt)', '(?i)^(' + S.STABLE_LEAD + ')')}))",
+        "overkill": f"(NOT {cheap} AND ({word(S.TRIVIAL)} OR NOT {word(S.HARD)}) AND length(p.prompt) < 600 AND sg.model IS NOT NULL)", "no_cap": f"({word(S.GENERATIVE)} AND NOT {d.matches('p.prompt', brief)} AND NOT {d.matches('p.prompt', r'(?i)[A-Za-z0-9_]<[0-9]+ (words|lines|tokens)')} AND length(p.prompt) < 2000)",
+        "reasoning": hint(s.reasoning_hints, "lower(p.model)"),
+    }
+    flags = ", ".join(f"({v}) AS {k}" for k, v in rules.items())
+    models = "SELECT model FROM cheaper_like"
+    out["cheaper_like"] = f"SELECT DISTINCT p.model FROM (SELECT DISTINCT model, lower(model) AS id FROM prompts) AS p JOIN (SELECT m.model, min(b.p_in * 10 + b.p_out) AS best FROM (SELECT DISTINCT model, lower(model) AS id FROM prompts) AS m JOIN price_rows AS b ON m.id NOT LIKE '%' || b.price_key || '%' GROUP BY m.model) AS y ON p.model = y.model JOIN (SELECT model, now FROM (SELECT m.model, b.p_in * 10 + b.p_out AS now, row_number() OVER (PARTITION BY m.model ORDER BY length(b.price_key) DESC, b.ordinal) AS rn FROM (SELECT DISTINCT model, lower(model) AS id FROM prompts) AS m JOIN price_rows AS b ON m.id LIKE '%' || b.price_key || '%') AS z WHERE rn = 1) AS n ON p.model = n.model WHERE cast(n.now - y.best AS double) / n.now >= {s.suggestion_floor}e0"
+    del lower_cheaper, models
+    out["findings"] = f"SELECT p.conv_id, p.turn, p.context_tokens, {flags} FROM (SELECT *, lag(context_tokens) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM prompts) AS p LEFT JOIN session_duplicates AS sd ON p.conv_id = sd.conv_id AND p.turn = sd.turn LEFT JOIN history_duplicates AS hd ON p.conv_id = hd.conv_id AND p.turn = hd.turn LEFT JOIN cheaper_like AS sg ON p.model = sg.model"
+    listed = " || ".join(f"CASE WHEN {k} THEN '{k},' ELSE '' END" for k in rules)
+    out["guardrail_findings"] = f"SELECT conv_id, turn, {listed} AS findings FROM findings"
+    out["rule_counts"] = " UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) AS prompts FROM findings WHERE {k}" for k in rules)
+    out["duplicate_savings"] = "SELECT count(*) AS skipped, cast(coalesce(sum(context_tokens), 0) AS bigint) AS input_tokens_saved, cast(coalesce(sum(cast(ceil(least(2000.0e0, ceil(0.3e0 * context_tokens))) AS bigint)), 0) AS bigint) AS output_tokens_saved FROM findings WHERE duplicate"
+    sha = "sha2(left(prompt, 80), 256)" if d.spark else "sha256(left(prompt, 80))"
+    out["session_anchor"] = f"SELECT conv_id, {sha} AS anchor FROM (SELECT conv_id, prompt, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM prompts) AS x WHERE rn = 1"
+
+    # --- edits --------------------------------------------------------------------
+    li, part = d.table("lineitem"), f"cast(l_partkey * 100 + l_suppkey % 10 AS {string})"
+    out["edit_ops"] = f"SELECT 'e' || cast(l_orderkey % 50 AS {string}) AS session_id, CASE WHEN l_linenumber = 1 AND l_returnflag = 'R' THEN 'create' ELSE 'edit' END AS type, CASE WHEN l_partkey % 11 = 0 THEN '/ws/other' ELSE '/ws/app/src' END || '/f' || {part} || '.py' AS fs_path, CASE WHEN l_orderkey % 13 = 0 THEN '' ELSE 'q' || cast(l_orderkey AS {string}) END AS request_id, l_partkey % 5 <> 0 AS there FROM {li} WHERE l_orderkey % 4 = 0"
+    out["request_models"] = f"SELECT 'q' || cast(o_orderkey AS {string}) AS request_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'claude-opus-4.8' WHEN '2-HIGH' THEN 'claude-3-5-sonnet' WHEN '3-MEDIUM' THEN 'gpt-4o-mini' ELSE 'gemini-3-flash' END AS model FROM {d.table('orders')} WHERE o_orderpriority <> '5-LOW'"
+    joined = f"array_join(sort_array(collect_set(m.model)), ',')" if d.spark else "coalesce(string_agg(DISTINCT m.model, ',' ORDER BY m.model), '')"
+    out["roi_files"] = f"""SELECT fs_path, ops, iterations, created, there, models, CASE WHEN NOT there AND created THEN 'discarded' WHEN iterations >= 3 THEN 'rework' WHEN there THEN 'kept' ELSE 'pending' END AS verdict FROM (
+      SELECT e.fs_path, count(*) AS ops, greatest(1, count(DISTINCT nullif(e.request_id, ''))) AS iterations, max(CASE WHEN type = 'create' THEN 1 ELSE 0 END) = 1 AS created, max(CASE WHEN there THEN 1 ELSE 0 END) = 1 AS there, {joined} AS models
+      FROM edit_ops AS e LEFT JOIN request_models AS m ON e.request_id = m.request_id WHERE lower(e.fs_path) LIKE '/ws/app/%' GROUP BY e.fs_path) AS x"""
+    out["edit_roi_files"] = "SELECT * FROM roi_files"
+    split = d.explode("split(models, ',')" if d.spark else "string_split(models, ',')", "model", "roi_files")
+    out["model_roi"] = f"""SELECT x.model, files, iterations, kept, rework, discarded, pending, CASE WHEN c.avg_cost IS NULL THEN NULL ELSE c.avg_cost * iterations END AS est_cost FROM (
+      SELECT model, count(*) AS files, cast(sum(iterations) AS bigint) AS iterations, count(CASE WHEN verdict = 'kept' THEN 1 END) AS kept, count(CASE WHEN verdict = 'rework' THEN 1 END) AS rework, count(CASE WHEN verdict = 'discarded' THEN 1 END) AS discarded, count(CASE WHEN verdict = 'pending' THEN 1 END) AS pending FROM {split} WHERE model <> '' GROUP BY model) AS x
+      LEFT JOIN (SELECT model, avg_cost, row_number() OVER (ORDER BY model) AS ordinal FROM calibration_models) AS c ON x.model LIKE '%' || c.model || '%' OR c.model LIKE '%' || x.model || '%'"""
+    out["roi_totals"] = "SELECT count(*) AS files, count(CASE WHEN verdict = 'kept' THEN 1 END) AS kept, count(CASE WHEN verdict = 'rework' THEN 1 END) AS rework, count(CASE WHEN verdict = 'discarded' THEN 1 END) AS discarded, count(CASE WHEN verdict = 'pending' THEN 1 END) AS pending, max(CASE WHEN models <> '' THEN 1 ELSE 0 END) = 1 AS attributed, max(n) AS sessions FROM roi_files CROSS JOIN (SELECT count(DISTINCT session_id) AS n FROM edit_ops WHERE lower(fs_path) LIKE '/ws/app/%') AS s"
+    out["roi_top_files"] = "SELECT fs_path, iterations, ops, verdict FROM roi_files ORDER BY iterations DESC, ops DESC, fs_path LIMIT 60"
+
+    # --- conversations ------------------------------------------------------------
+    out["messages"] = f"SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'tool_result' ELSE 'text' END AS kind, text FROM {d.table('conversations')}"
+    out["compact_context"] = """SELECT conv_id, turn, CASE WHEN cut THEN left(text, 400) || ' [compacted]' ELSE text END AS text, CASE WHEN cut THEN length(text) - 400 ELSE 0 END AS chars_saved FROM (
+      SELECT conv_id, turn, text, kind = 'tool_result' AND chars > 200 * 4 AND from_end > 2 AND length(text) > 500 AS cut FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id) AS chars, row_number() OVER (PARTITION BY conv_id, kind ORDER BY turn DESC) AS from_end FROM messages) AS x) AS y"""
+    out["cap_tool_result"] = "SELECT conv_id, turn, CASE WHEN kind = 'tool_result' AND length(text) > 800 THEN left(text, 800) || ' [truncated]' ELSE text END AS text FROM messages"
+    out["conversation_context"] = "SELECT conv_id, turn, cast(ceil(chars / 4.0e0) AS bigint) AS context_tokens FROM conv_running"
+    out["tool_catalog"] = f"SELECT p_partkey AS ordinal, lower(p_name || ' ' || p_type) AS words, length(p_name || p_type || p_brand) AS chars FROM {d.table('part')} WHERE p_partkey <= 100"
+    prompt_words = d.explode(d.tokens("prompt", 2, False), "word", "prompts")
+    out["tool_scores"] = f"SELECT p.conv_id, p.turn, t.ordinal, t.chars, count(CASE WHEN t.words LIKE '%' || p.word || '%' THEN 1 END) AS score FROM (SELECT conv_id, turn, word FROM {prompt_words}) AS p CROSS JOIN tool_catalog AS t GROUP BY p.conv_id, p.turn, t.ordinal, t.chars"
+    out["tool_tiering"] = f"SELECT conv_id, turn, count(CASE WHEN rn <= {s.max_tools} THEN 1 END) AS kept, cast(ceil(coalesce(sum(CASE WHEN rn > {s.max_tools} THEN chars END), 0) / 4.0e0) AS bigint) AS tokens_saved, cast(sum(CASE WHEN rn <= {s.max_tools} THEN ordinal ELSE 0 END) AS bigint) AS kept_ids FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, ordinal) AS rn FROM tool_scores) AS x GROUP BY conv_id, turn"
+    out["turn_receipt"] = f"SELECT t.seq, t.model, t.input_tokens + t.seq % 100 AS input_tokens, cast(ceil(t.output_tokens * r.multiplier) AS bigint) AS billed_output, {dollars('(t.input_tokens + t.seq % 100) * b.p_in + cast(ceil(t.output_tokens * r.multiplier) AS bigint) * b.p_out')} AS cost, CASE WHEN c.matched AND c.multiplier > 0 THEN c.multiplier END AS credits FROM turns AS t JOIN model_book AS b ON t.model = b.model JOIN reasoning_flag AS r ON t.model = r.model JOIN credit_multiplier AS c ON t.model = c.model"
+    out["strip_chrome"] = f"SELECT conv_id, turn, trim({d.substitute(d.substitute('x', '(?m)^> .*$', ''), '(?m)^---$', '')}) AS text FROM (SELECT conv_id, turn, '> panel' || chr(10) || text || chr(10) || '---' AS x FROM messages) AS y"
+    out["corpus"] = f"SELECT source || '/' || lang || '/' || cast(doc_id AS {string}) AS path, text FROM {d.table('documents')} WHERE length(text) <= 200000"
+    lines = "SELECT path, i AS line, l AS text FROM corpus LATERAL VIEW posexplode(split(text, '\\n')) AS i, l" if d.spark else "SELECT path, unnest(range(0, len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS text FROM corpus"
+    out["corpus_grep"] = f"SELECT path, cast(line + 1 AS bigint) AS line, left(text, 200) AS text FROM ({lines}) AS x WHERE {d.matches('text', '(?i)license')} ORDER BY path, line LIMIT 200"
+    out["corpus_find"] = f"SELECT path FROM corpus WHERE {d.matches('path', '^src1[^/]*/en/[^/]*$')} ORDER BY path LIMIT 500"
+    out["agent_turns"] = "SELECT session_id, seq, response_id, model, input_tokens, output_tokens, cache_read_tokens FROM turns WHERE source = 'agent' AND (input_tokens <> 0 OR output_tokens <> 0)"
+    out["scope_workspace"] = "SELECT source, session_id, seq, model FROM turns WHERE project = 'p3' AND source = 'legacy' UNION ALL SELECT source, session_id, seq, model FROM turns WHERE project = 'p3' AND source = 'agent'"
+    return out
+
+
+#: Plans that are steps of others rather than results.
+STEPS = frozenset("turns turns_monthly price_rows credit_rows turns_deduped monthly_deduped models model_book priced priced_monthly cells session_first sessions daily filtered by_model day_model usage_log conv_running base_prompts prompts session_sets history_sets session_pairs history_words word_rank history_prefix history_pairs cheaper_like findings edit_ops roi_files messages tool_catalog tool_scores corpus".split())
+
+
+def statement(name: str, all_plans: dict[str, str], given: frozenset = frozenset()) -> str:
+    """The plan of a name with the plans it needs in front; given names are inputs."""
+    order = list(all_plans)
+    need, todo = set(), [name]
+    while todo:
+        sql = all_plans[todo.pop()]
+        for other in order:
+            if other not in need and other not in given and other != name and re.search(rf"\b{other}\b", re.sub(r"AS \w+|`[^`]*`|'[^']*'", "", sql)):
+                need.add(other)
+                todo.append(other)
+    sql = all_plans[name]
+    return ("WITH " + ",\n".join(f"{x} AS ({all_plans[x]})" for x in order if x in need) + "\n" if need else "") + sql
+
+
+def query(name: str, spark: SparkSession, sf_dir: str, settings: Settings = DEFAULTS) -> DataFrame:
+    """The result of a plan over the tables of a folder."""
+    return spark.sql(statement(name, plans(Dialect("spark", lambda t: f"parquet.`{sf_dir}/{t}.parquet`"), settings)))
+
+
+def operator(name: str, settings: Settings = DEFAULTS, **tables: DataFrame) -> DataFrame:
+    """The result of a plan over DataFrames that stand for canonical tables or other plans, by name."""
+    spark = next(iter(tables.values())).sparkSession
+    text = statement(name, plans(Dialect("spark", lambda t: "{" + t + "}"), settings), frozenset(tables))
+    text = re.sub(r"\{(\w+)\}", lambda m: m[0] if m[1] in tables else "{{" + m[1] + "}}", text)
+    for t in tables:
+        text = re.sub(rf"\b(FROM|JOIN|,) {t}\b", rf"\1 {{{t}}}", text)
+    return spark.sql(text, **tables)
+
+
+def names() -> list[str]:
+    return [x for x in plans(Dialect("spark", str)) if x not in STEPS]
+
+
+def check_sql(name: str) -> str:
+    return statement(name, plans(Dialect("duckdb", lambda t: t)))

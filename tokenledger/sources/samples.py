@@ -1,0 +1,50 @@
+"""Queries of the readers and sinks: raw files are written from the given tables in the shared folder, then read."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tokenledger.plans import ledger
+from tokenledger.sources import readers, sinks
+
+
+def _folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tokenledger-")
+    return f"{base.rstrip('/')}/samples-{uuid.uuid4().hex}"
+
+
+def _write_sessions(spark: SparkSession, sf_dir: str) -> str:
+    """A chat session file for each conversation, by Spark's writer: a request per user turn."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    meta = F.struct((F.length("text") * 3).cast("double").alias("promptTokens"), F.length("text").cast("double").alias("outputTokens"), F.concat(F.lit("r"), F.col("conv_id") * 1000 + F.col("turn")).alias("responseId"))
+    request = F.struct(F.lit("vendor/gpt-4o-mini").alias("modelId"), (F.lit(1.7e12) + F.col("turn") * 1000).alias("timestamp"), F.struct(F.col("text")).alias("message"), F.struct(meta.alias("metadata")).alias("result"))
+    entry = F.struct(F.struct(F.concat(F.lit("Conversation "), F.col("conv_id")).alias("customTitle"), F.array(request).alias("requests")).alias("v"))
+    path = _folder(spark)
+    lines = rows.where("role = 'user'").select(F.concat(F.lit("w"), F.col("conv_id") % 7).alias("w"), F.to_json(entry).alias("value"))
+    # the writer's folders w=<hash> play the workspaces, its files the sessions
+    lines.write.partitionBy("w").text(path)
+    return path
+
+
+def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _write_sessions(spark, sf_dir)
+    lines = spark.read.text(path, pathGlobFilter="part-*").select("value", F.col("_metadata.file_path").alias("file")).select(F.try_parse_json("value").alias("entry"), "file").where("entry IS NOT NULL")
+    raw = lines.select(F.regexp_extract("file", r"w=([^/]+)/", 1).alias("workspace_hash"), F.try_variant_get("entry", "$.v.customTitle", "string").alias("session_id"), F.lit(0).alias("line_no"), "entry")
+    return readers.extract_turns(raw).select("session_id", "response_id", "model", "input_tokens", "output_tokens", "snippet")
+
+
+def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    turns = ledger.query("usage_log", spark, sf_dir).withColumns({"cost_usd": F.col("cost") / 1e13, "ts": F.timestamp_millis(F.col("seq") * 1000)})
+    sinks.append_usage_log(turns, path, "ledger")
+    return readers.read_usage_log(spark, path, "ledger").select("session_id", "turn_index", "model", "input_tokens", "output_tokens", "duplicate")
+
+
+QUERIES = {"turn_extract": chat_turns, "usage_log_read": usage_log}
+ORACLES = {
+    "turn_extract": "SELECT 'Conversation ' || conv_id AS session_id, 'r' || (conv_id * 1000 + turn) AS response_id, 'gpt-4o-mini' AS model, length(text) * 3 AS input_tokens, length(text) AS output_tokens, left(text, 140) AS snippet FROM conversations WHERE role = 'user'",
+}
