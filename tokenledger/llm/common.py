@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +109,24 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = 2_000_
         at = to
 
 
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups: rows of one key (first column) lie together."""
+    held, last = [], None
+    for batch in batches:
+        key = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            if held and key[a] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key[a]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over the whole word."""
     h = h ^ (h >> np.uint64(32))

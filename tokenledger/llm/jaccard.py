@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokenledger.llm.common import bounded, components, mix, save, table, text_chunks, word_hashes, word_spans
+from tokenledger.llm.common import bounded, components, groups, mix, save, table, text_chunks, word_hashes, word_spans
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -20,6 +20,8 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 #: Set hashes that a task remembers, so as to deal the keys of equal sets once.
 SEEN = 200_000
+#: Nodes of a tile that are held against each other at once; larger tiles are dealt out as pairs of blocks.
+BLOCK = 4_096
 
 
 @lru_cache
@@ -95,6 +97,25 @@ def may_link(a: bytes, b: bytes, n: int, m: int, percent: int) -> bool:
     return 100 * most >= percent * (n + m - most)
 
 
+def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of a tile's nodes in different components that bitmaps don't rule out; tiles lie together."""
+    for tile in groups(batches):
+        node, first = np.unique(tile["node"].to_numpy(), return_index=True)
+        part, n = (tile[k].to_numpy()[first] for k in ("component", "n"))
+        maps = [np.frombuffer(x.as_py(), np.uint8) for x in tile["bits"].combine_chunks().take(pa.array(first))]
+        short = min(map(len, maps))
+        words = np.stack([np.bitwise_xor.reduce(x.reshape(-1, short), axis=0) for x in maps]).view(np.uint64)
+        for at in range(0, len(node), 256):
+            to = slice(at, at + 256)
+            apart = np.zeros((len(node[to]), len(node)), np.int64)
+            for w in range(words.shape[1]):
+                apart += np.bitwise_count(words[to, w, None] ^ words[None, :, w])
+            both = n[to, None] + n[None, :]
+            most = np.minimum((both - apart) // 2, np.minimum(n[to, None], n[None, :]))
+            i, j = np.nonzero((100 * most >= percent * (both - most)) & (part[to, None] != part[None, :]) & (node[to, None] < node[None, :]))
+            yield pa.RecordBatch.from_arrays([pa.array(node[at + i]), pa.array(node[j])], ["a", "b"])
+
+
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
@@ -178,12 +199,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     tiles = tiles.select("key", "node", F.min("node").over(same).alias("lead"), F.max("node").over(same).alias("last"))
     tiles = save(tiles.where("lead <> last").select("key", "node", "lead").distinct(), "jaccard-tiles")
 
+    wanted = save(nodes.join(tiles.select("node").unionByName(tiles.select(F.col("lead").alias("node"))).distinct(), "node").select(F.col("least").alias("doc_id")), "jaccard-wanted")
+    arrays = text.join(bounded(wanted), "doc_id", "left_semi").mapInArrow(lambda it: _arrays(it, width), "node long, bits binary, items array<long>")
+    arrays = save(arrays.dropDuplicates(["node"]), "jaccard-arrays")
+    bits = arrays.join(nodes, "node").select("node", "n", "bits")
+
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of nodes those that link."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        ids = save(nodes.join(wanted, "node").select("least"), "jaccard-wanted")
-        arrays = text.join(bounded(ids.withColumnRenamed("least", "doc_id")), "doc_id", "left_semi").mapInArrow(lambda it: _arrays(it, width), "node long, bits binary, items array<long>")
-        arrays = save(arrays.dropDuplicates(["node"]), "jaccard-arrays")
 
         @F.pandas_udf("boolean")
         def near(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
@@ -199,7 +221,6 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
                 out.append(100 * both >= percent * (len(x) + len(y) - both))
             return pd.Series(out, dtype=bool)
 
-        bits = arrays.join(nodes, "node").select("node", "n", "bits")
         left, right = bits.toDF("a", "n", "x"), bits.toDF("b", "m", "y")
         sized = pairs.join(left, "a").join(right, "b").where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
         likely = save(sized.where(near("x", "y", "n", "m")).select("a", "b"), "jaccard-likely")
@@ -210,11 +231,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     links = verified(star)
     named = components(links)
     part = tiles.join(named.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    apart = part.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    open_tiles = save(part.join(apart, "key", "left_semi"), "jaccard-open")
-    one, two = open_tiles.toDF("key", "a", "p"), open_tiles.toDF("key", "b", "q")
-    rest = one.join(two, "key").where("p <> q AND a < b").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    rest = save(rest, "jaccard-rest")
+    apart = part.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("x <> y").select("key", "blocks")
+    dealt = part.join(apart, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "node", "component").join(bits, "node").select("tile", "node", "component", "n", "bits")
+    rest = dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda it: _open_pairs(it, percent), "a long, b long").distinct()
+    rest = save(rest.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "jaccard-rest")
     if rest.limit(1).count():
         links = links.unionByName(verified(rest))
         named = components(links)

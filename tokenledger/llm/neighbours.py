@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokenledger.llm.common import bounded, save, table
+from tokenledger.llm.common import bounded, groups, save, table
 
 #: Neighbours kept in the graph, first neighbours from each random tree, trees, members of a leaf (about) and of a block (at most).
 DEGREE, FIRST, TREES, LEAF, BLOCK = 24, 12, 14, 1_500, 2_500
@@ -42,26 +42,8 @@ def _best(ids, near, score, keep: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u), *lists], ["id", "near", "score"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of whole groups: rows of one key (first column) lie together."""
-    held, last = [], None
-    for batch in batches:
-        key = batch.column(0).to_numpy()
-        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if a == b:
-                continue
-            if held and key[a] != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key[a]
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _leaves(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
-    for group in _groups(batches):
+    for group in groups(batches):
         ids, x = group["id"].to_numpy(), _matrix(group["vector"].combine_chunks(), dim)
         for at in range(0, len(ids), 512):
             s = x[at : at + 512] @ x.T
@@ -75,7 +57,7 @@ def _leaves(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBa
 def _local_joins(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
     """At a pivot all its neighbours meet; pairs that beat the worst neighbour of one of them are emitted for it."""
     out: list[list] = [[], [], []]
-    for group in _groups(batches):
+    for group in groups(batches):
         ids, first = np.unique(group["id"].to_numpy(), return_index=True)
         if len(ids) < 2:
             continue
