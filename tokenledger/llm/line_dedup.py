@@ -10,7 +10,7 @@ from tokenledger.llm.common import bounded, save, table
 #: Lines shorter than this are never removed; edits between near lines.
 MIN_CHARS, EDITS = 40, 2
 #: Letters whose counts bound the edits between two lines from below (an edit changes one count, or two).
-LETTERS = "aeinrsthdlou"
+LETTERS = "aeinrsthdloucmgbfpwy"
 
 
 def _segment_keys(edits: int) -> tuple[list[str], list[str]]:
@@ -76,16 +76,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS,
     lines = docs.where("text IS NOT NULL").select(*key, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("line", F.trim("line")).withColumn("n", F.length("line")).where(F.col("n") >= min_chars)
     lines = lines.withColumn("h", F.xxhash64(F.lit(1), "line"))
     index, probe = _segment_keys(edits)
-    # counts modulo 32, five bits each: their circular difference is never above the true one
-    counts = [((F.col("n") - F.length(F.replace(F.col("line"), F.lit(x)))) % 32).cast("long") for x in LETTERS]
-    packed = sum((F.shiftleft(c, 5 * i) for i, c in enumerate(counts)), F.lit(0).cast("long"))
+    # counts modulo 8, three bits each: their circular difference is never above the true one
+    counts = [((F.col("n") - F.length(F.replace(F.col("line"), F.lit(x)))) % 8).cast("long") for x in LETTERS]
+    packed = sum((F.shiftleft(c, 3 * i) for i, c in enumerate(counts)), F.lit(0).cast("long"))
     mine = lines.select("doc_id", "t", "pos", "h", "n", packed.alias("counts"), F.expr(f"array({', '.join(probe)})").alias("probe"))
     nodes = mine.groupBy("h").agg(F.min(F.struct("doc_id", "t", "pos")).alias("first"), F.count("*").alias("times"), F.first(F.struct("n", "counts", "probe")).alias("line"))
     nodes = save(nodes.select("h", "first", "times", "line.*"), "lines-nodes")
     places = [probe.index(k) for k in index]
     asked = nodes.select(F.col("h").alias("a"), F.col("counts").alias("x"), F.explode("probe").alias("key"))
     held = nodes.select(F.col("h").alias("b"), F.col("counts").alias("y"), F.explode(F.array(*[F.element_at("probe", p + 1) for p in places])).alias("key"))
-    apart = " + ".join(f"(16 - abs(16 - abs((shiftright(x, {5 * i}) & 31) - (shiftright(y, {5 * i}) & 31))))" for i in range(len(LETTERS)))
+    apart = " + ".join(f"(4 - abs(4 - abs((shiftright(x, {3 * i}) & 7) - (shiftright(y, {3 * i}) & 7))))" for i in range(len(LETTERS)))
     pairs = asked.join(held, (asked["key"] == held["key"]) & (F.col("a") != F.col("b")) & F.expr(f"{apart} <= {2 * edits}"))
     pairs = save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "lines-pairs")
     wanted = save(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "h").select("h", "first.*"), "lines-wanted")
