@@ -15,6 +15,8 @@ from tokenledger.llm.common import mix, table
 ORDER = 4
 #: Training documents in all; about a quarter of them calibrate the rejection.
 TRAIN_ROWS = 4_000
+#: Characters of the training documents in all; longer texts than a twentieth of it are not learnt from.
+TRAIN_CHARS = 12_000_000
 DISCOUNT = 0.75
 UNKNOWN = 1e-7
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -146,13 +148,13 @@ def entropies(model: dict, text: str, block: int = 1 << 18) -> tuple[np.ndarray,
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, seed: int = 7) -> dict:
-    """Fit on at most rows rows of docs (doc_id, text, lang) and calibrate each language's rejection.
+    """Fit on at most rows documents of docs (doc_id, text, lang), TRAIN_CHARS characters in all, and calibrate each language's rejection.
 
     A quarter of the sample is held back: a text is rejected if its bits a
     character exceed 1.25 times the largest of the held-back texts of the
     language it looks most like, widened for short texts.
     """
-    got = sample(docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang"), rows, seed).collect()
+    got = sample(docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang"), rows, TRAIN_CHARS, seed).collect()
     got = [r for r in got if len(_chars(r["text"]))]
     part: dict[str, list[str]] = {}
     for r in got:

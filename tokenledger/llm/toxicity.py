@@ -15,6 +15,8 @@ from tokenledger.llm.common import table, text_chunks, word_hashes, word_spans
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 12, (1, 2, 3), 12
 #: Labelled documents used at most, and their words (a longer sample is cut by whole documents).
 TRAIN_ROWS, TRAIN_WORDS = 6_000, 4_000_000
+#: Their characters at most; longer texts than a twentieth of it are not learnt from.
+TRAIN_CHARS = 24_000_000
 EPOCHS, RATE, OPENING = 6, 0.01, 4
 
 _SPLIT = np.ones(256, bool)
@@ -145,9 +147,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int
     of that language or more are toxic (0.5 for a language without toxic
     ones); it decides and is never an input of a score.
     """
-    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["label_id"])
-    known = sample(known.withColumnRenamed("label_id", "doc_id"), rows, seed)
-    got = docs.select("doc_id", "text", *(["lang"] if "lang" in docs.columns else [])).join(F.broadcast(known), "doc_id").orderBy(F.xxhash64(F.lit(seed), "doc_id")).toArrow().combine_chunks()
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    text = docs.select("doc_id", "text", *(["lang"] if "lang" in docs.columns else []))
+    got = sample(text, rows, TRAIN_CHARS, seed, known).toArrow().combine_chunks()
     if not got.num_rows:
         return {"model": None, "thresholds": {}}
     ids, at = [], [np.zeros(1, np.int64)]
