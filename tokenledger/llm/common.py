@@ -170,7 +170,7 @@ _CACHE: dict[int, np.ndarray] = {}
 
 def powers(base: int, n: int) -> np.ndarray:
     if len(_CACHE.get(base, ())) < n:
-        _CACHE[base] = _powers(base, max(n, 1 << 21))
+        _CACHE[base] = _powers(base, max(n, 1 << 19))
     return _CACHE[base][:n]
 
 

@@ -22,6 +22,8 @@ FOLD[65:91] += 32
 SEEN = 200_000
 #: Nodes of a tile that are held against each other at once; larger tiles are dealt out as pairs of blocks.
 BLOCK = 4_096
+#: Bytes of text that a task takes into arrays at once, and nodes that it holds against a tile's others at once.
+TEXT_BYTES, ROWS = 400_000, 48
 
 
 @lru_cache
@@ -105,8 +107,8 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         maps = [np.frombuffer(x.as_py(), np.uint8) for x in tile["bits"].combine_chunks().take(pa.array(first))]
         short = min(map(len, maps))
         words = np.stack([np.bitwise_xor.reduce(x.reshape(-1, short), axis=0) for x in maps]).view(np.uint64)
-        for at in range(0, len(node), 256):
-            to = slice(at, at + 256)
+        for at in range(0, len(node), ROWS):
+            to = slice(at, at + ROWS)
             apart = np.zeros((len(node[to]), len(node)), np.int64)
             for w in range(words.shape[1]):
                 apart += np.bitwise_count(words[to, w, None] ^ words[None, :, w])
@@ -119,7 +121,7 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
-        for first, rows, data, offsets in text_chunks(batch):
+        for first, rows, data, offsets in text_chunks(batch, limit=TEXT_BYTES):
             h, at = shingle_sets(data, offsets, width)
             yield pa.RecordBatch.from_arrays([ids.slice(first, rows), pa.array(np.diff(at)), pa.array(_group_sums(h, at))], ["doc_id", "n", "node"])
 
@@ -128,7 +130,7 @@ def _keys(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterat
     low, parts = bands(percent)
     seen: set[int] = set()
     for batch in batches:
-        for _, rows, data, offsets in text_chunks(batch):
+        for _, rows, data, offsets in text_chunks(batch, limit=TEXT_BYTES):
             h, at = shingle_sets(data, offsets, width)
             nodes, size = _group_sums(h, at), np.diff(at)
             new = np.zeros(rows, bool)
@@ -164,7 +166,7 @@ def _keys(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterat
 
 def _arrays(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, rows, data, offsets in text_chunks(batch):
+        for _, rows, data, offsets in text_chunks(batch, limit=TEXT_BYTES):
             h, at = shingle_sets(data, offsets, width)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(_group_sums(h, at)), pa.array([bitmap(h[at[i] : at[i + 1]]) for i in range(rows)], pa.binary()), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], ["node", "bits", "items"]
