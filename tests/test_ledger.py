@@ -70,3 +70,12 @@ def test_chat_sessions(spark, tmp_path):
     got = readers.extract_turns(raw).orderBy("seq").collect()
     assert [(r["model"], r["input_tokens"], r["output_tokens"], r["snippet"], r["ts"]) for r in got] == [("m", 0, 0, "hi", None), ("r", 0, 5, "yo", None)]
     assert readers.session_titles(raw).first()["title"] == "Two"
+
+
+def test_every_line_item_is_an_edit(spark, tmp_path):
+    rows = [(k, n, 7, 1, "R" if n == 1 else "N") for k in range(1, 9) for n in (1, 2)]  # order keys of every remainder, one file
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, "1-URGENT") for k in range(1, 9)], "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    (tmp_path / "events.parquet").symlink_to(f"{SF}/events.parquet")  # named by a plan that is not read here
+    assert [(r["ops"], r["iterations"]) for r in ledger.query("edit_roi_files", spark, str(tmp_path)).collect()] == [(16, 8)]
+    assert ledger.query("roi_totals", spark, str(tmp_path)).first()["sessions"] == 8

@@ -260,7 +260,7 @@ def _more(d: Dialect, s: Settings, q: dict[str, str], hint) -> dict[str, str]:
 
     # --- edits --------------------------------------------------------------------
     li, part = d.table("lineitem"), f"cast(l_partkey * 100 + l_suppkey % 10 AS {string})"
-    out["edit_ops"] = f"SELECT 'e' || cast(l_orderkey % 50 AS {string}) AS session_id, CASE WHEN l_linenumber = 1 AND l_returnflag = 'R' THEN 'create' ELSE 'edit' END AS type, CASE WHEN l_partkey % 11 = 0 THEN '/ws/other' ELSE '/ws/app/src' END || '/f' || {part} || '.py' AS fs_path, CASE WHEN l_orderkey % 13 = 0 THEN '' ELSE 'q' || cast(l_orderkey AS {string}) END AS request_id, l_partkey % 5 <> 0 AS there FROM {li} WHERE l_orderkey % 4 = 0"
+    out["edit_ops"] = f"SELECT 'e' || cast(l_orderkey % 50 AS {string}) AS session_id, CASE WHEN l_linenumber = 1 AND l_returnflag = 'R' THEN 'create' ELSE 'edit' END AS type, CASE WHEN l_partkey % 11 = 0 THEN '/ws/other' ELSE '/ws/app/src' END || '/f' || {part} || '.py' AS fs_path, CASE WHEN l_orderkey % 13 = 0 THEN '' ELSE 'q' || cast(l_orderkey AS {string}) END AS request_id, l_partkey % 5 <> 0 AS there FROM {li}"
     out["request_models"] = f"SELECT 'q' || cast(o_orderkey AS {string}) AS request_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'claude-opus-4.8' WHEN '2-HIGH' THEN 'claude-3-5-sonnet' WHEN '3-MEDIUM' THEN 'gpt-4o-mini' ELSE 'gemini-3-flash' END AS model FROM {d.table('orders')} WHERE o_orderpriority <> '5-LOW'"
     joined = f"array_join(sort_array(collect_set(m.model)), ',')" if d.spark else "coalesce(string_agg(DISTINCT m.model, ',' ORDER BY m.model), '')"
     out["roi_files"] = f"""SELECT fs_path, ops, iterations, created, there, models, CASE WHEN NOT there AND created THEN 'discarded' WHEN iterations >= 3 THEN 'rework' WHEN there THEN 'kept' ELSE 'pending' END AS verdict FROM (
