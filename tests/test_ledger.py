@@ -79,3 +79,19 @@ def test_every_line_item_is_an_edit(spark, tmp_path):
     (tmp_path / "events.parquet").symlink_to(f"{SF}/events.parquet")  # named by a plan that is not read here
     assert [(r["ops"], r["iterations"]) for r in ledger.query("edit_roi_files", spark, str(tmp_path)).collect()] == [(16, 8)]
     assert ledger.query("roi_totals", spark, str(tmp_path)).first()["sessions"] == 8
+
+
+def test_tools_beyond_the_hundredth_are_ranked(spark, tmp_path):
+    tools = [(i, "red bolt" if i == 4_000 else "oldest rings" if i % 150 == 7 else "x", "Ünit-ring" if i % 500 == 3 else None if i == 5 else "plain", "b" * (i % 7)) for i in range(4_100)]
+    turns = [(c, t, "user", w) for c, t, w in [(1, 0, "a red, RED thing"), (1, 2, "old ring of plate"), (2, 0, "zzz"), (3, 0, "ring old bol oldest rin")]]
+    con = duckdb.connect()
+    spark.createDataFrame(tools, "p_partkey long, p_name string, p_type string, p_brand string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    for t in ("part", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for t in ("events", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    ours, check = ledger.query("tool_tiering", spark, str(tmp_path)).toPandas(), con.execute(ledger.check_sql("tool_tiering")).df()
+    assert rows(ours) == rows(check)
+    assert ours["kept"].eq(Settings().max_tools).all() and ours["kept_ids"].max() > 4_000

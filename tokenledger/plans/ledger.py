@@ -280,10 +280,24 @@ def _more(d: Dialect, s: Settings, q: dict[str, str], hint) -> dict[str, str]:
       SELECT conv_id, turn, text, kind = 'tool_result' AND chars > 200 * 4 AND from_end > 2 AND length(text) > 500 AS cut FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id) AS chars, row_number() OVER (PARTITION BY conv_id, kind ORDER BY turn DESC) AS from_end FROM messages) AS x) AS y"""
     out["cap_tool_result"] = "SELECT conv_id, turn, CASE WHEN kind = 'tool_result' AND length(text) > 800 THEN left(text, 800) || ' [truncated]' ELSE text END AS text FROM messages"
     out["conversation_context"] = "SELECT conv_id, turn, cast(ceil(chars / 4.0e0) AS bigint) AS context_tokens FROM conv_running"
-    out["tool_catalog"] = f"SELECT p_partkey AS ordinal, lower(p_name || ' ' || p_type) AS words, length(p_name || p_type || p_brand) AS chars FROM {d.table('part')} WHERE p_partkey <= 100"
+    out["tool_catalog"] = f"SELECT p_partkey AS ordinal, lower(p_name || ' ' || p_type) AS words, length(p_name || p_type || p_brand) AS chars FROM {d.table('part')}"
     prompt_words = d.explode(d.tokens("prompt", 2, False), "word", "prompts")
-    out["tool_scores"] = f"SELECT p.conv_id, p.turn, t.ordinal, t.chars, count(CASE WHEN t.words LIKE '%' || p.word || '%' THEN 1 END) AS score FROM (SELECT conv_id, turn, word FROM {prompt_words}) AS p CROSS JOIN tool_catalog AS t GROUP BY p.conv_id, p.turn, t.ordinal, t.chars"
-    out["tool_tiering"] = f"SELECT conv_id, turn, count(CASE WHEN rn <= {s.max_tools} THEN 1 END) AS kept, cast(ceil(coalesce(sum(CASE WHEN rn > {s.max_tools} THEN chars END), 0) / 4.0e0) AS bigint) AS tokens_saved, cast(sum(CASE WHEN rn <= {s.max_tools} THEN ordinal ELSE 0 END) AS bigint) AS kept_ids FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, ordinal) AS rn FROM tool_scores) AS x GROUP BY conv_id, turn"
+    if d.spark:
+        # an inverted index: a prompt's word is a substring of a tool's text if it is one of a word of the text; prompts of the same hits are ranked once
+        pieces = "flatten(transform(sequence(1, length(term) - 2), i -> transform(sequence(3, length(term) - i + 1), k -> substring(term, i, k))))"
+        out["tool_terms"] = "SELECT DISTINCT words, term FROM (SELECT DISTINCT words FROM tool_catalog) AS c LATERAL VIEW explode(split(words, '[^a-z0-9]+')) AS term WHERE length(term) > 2"
+        out["tool_grams"] = f"SELECT DISTINCT x.words, g.gram FROM (SELECT term, gram FROM (SELECT DISTINCT term FROM tool_terms) AS t LATERAL VIEW explode({pieces}) AS gram) AS g JOIN tool_terms AS x ON g.term = x.term"
+        out["tool_hits"] = f"SELECT p.conv_id, p.turn, array_sort(collect_list(g.gram)) AS hits FROM (SELECT conv_id, turn, word FROM {prompt_words}) AS p LEFT JOIN (SELECT DISTINCT gram FROM tool_grams) AS g ON p.word = g.gram GROUP BY p.conv_id, p.turn"
+        out["tool_scores"] = f"""SELECT h.hits, t.ordinal, t.chars, h.score FROM (SELECT e.hits, g.words, count(*) AS score FROM (SELECT hits, gram FROM (SELECT DISTINCT hits FROM tool_hits) AS x LATERAL VIEW explode(hits) AS gram) AS e JOIN tool_grams AS g ON e.gram = g.gram GROUP BY e.hits, g.words) AS h
+          JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY words ORDER BY ordinal) AS place FROM tool_catalog) AS c WHERE place <= {s.max_tools}) AS t ON h.words = t.words"""
+        # what is kept is among the best scored and the first of all: a scored tool that is in the second alone is beaten by max_tools others
+        out["tool_kept"] = f"""SELECT hits, count(*) AS kept, sum(chars) AS chars, sum(ordinal) AS kept_ids FROM (SELECT *, row_number() OVER (PARTITION BY hits ORDER BY score DESC, ordinal) AS rn FROM (
+          SELECT hits, ordinal, chars, max(score) AS score FROM (SELECT hits, ordinal, chars, score FROM (SELECT *, row_number() OVER (PARTITION BY hits ORDER BY score DESC, ordinal) AS rn FROM tool_scores) AS x WHERE rn <= {s.max_tools}
+            UNION ALL SELECT h.hits, t.ordinal, t.chars, 0 AS score FROM (SELECT DISTINCT hits FROM tool_hits) AS h CROSS JOIN (SELECT ordinal, chars FROM tool_catalog ORDER BY ordinal LIMIT {s.max_tools}) AS t) AS u GROUP BY hits, ordinal, chars) AS y) AS z WHERE rn <= {s.max_tools} GROUP BY hits"""
+        out["tool_tiering"] = "SELECT p.conv_id, p.turn, k.kept, cast(ceil((coalesce(a.chars, 0) - coalesce(k.chars, 0)) / 4.0e0) AS bigint) AS tokens_saved, cast(k.kept_ids AS bigint) AS kept_ids FROM tool_hits AS p JOIN tool_kept AS k ON p.hits = k.hits CROSS JOIN (SELECT sum(chars) AS chars FROM tool_catalog) AS a"
+    else:  # the check scores every tool for every prompt
+        out["tool_scores"] = f"SELECT p.conv_id, p.turn, t.ordinal, t.chars, count(CASE WHEN t.words LIKE '%' || p.word || '%' THEN 1 END) AS score FROM (SELECT conv_id, turn, word FROM {prompt_words}) AS p CROSS JOIN tool_catalog AS t GROUP BY p.conv_id, p.turn, t.ordinal, t.chars"
+        out["tool_tiering"] = f"SELECT conv_id, turn, count(CASE WHEN rn <= {s.max_tools} THEN 1 END) AS kept, cast(ceil(coalesce(sum(CASE WHEN rn > {s.max_tools} THEN chars END), 0) / 4.0e0) AS bigint) AS tokens_saved, cast(sum(CASE WHEN rn <= {s.max_tools} THEN ordinal ELSE 0 END) AS bigint) AS kept_ids FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, ordinal) AS rn FROM tool_scores) AS x GROUP BY conv_id, turn"
     out["turn_receipt"] = f"SELECT t.seq, t.model, t.input_tokens + t.seq % 100 AS input_tokens, cast(ceil(t.output_tokens * r.multiplier) AS bigint) AS billed_output, {dollars('(t.input_tokens + t.seq % 100) * b.p_in + cast(ceil(t.output_tokens * r.multiplier) AS bigint) * b.p_out')} AS cost, CASE WHEN c.matched AND c.multiplier > 0 THEN c.multiplier END AS credits FROM turns AS t JOIN model_book AS b ON t.model = b.model JOIN reasoning_flag AS r ON t.model = r.model JOIN credit_multiplier AS c ON t.model = c.model"
     out["strip_chrome"] = f"SELECT conv_id, turn, trim({d.substitute(d.substitute('x', '(?m)^> .*$', ''), '(?m)^---$', '')}) AS text FROM (SELECT conv_id, turn, '> panel' || chr(10) || text || chr(10) || '---' AS x FROM messages) AS y"
     out["corpus"] = f"SELECT source || '/' || lang || '/' || cast(doc_id AS {string}) AS path, text FROM {d.table('documents')} WHERE length(text) <= 200000"
@@ -296,7 +310,7 @@ def _more(d: Dialect, s: Settings, q: dict[str, str], hint) -> dict[str, str]:
 
 
 #: Plans that are steps of others rather than results.
-STEPS = frozenset("turns turns_monthly price_rows credit_rows turns_deduped monthly_deduped models model_book priced priced_monthly cells session_first sessions daily filtered by_model day_model usage_log conv_running base_prompts prompts session_sets history_sets session_pairs history_words word_rank history_prefix history_pairs cheaper_like findings edit_ops roi_files messages tool_catalog tool_scores corpus".split())
+STEPS = frozenset("turns turns_monthly price_rows credit_rows turns_deduped monthly_deduped models model_book priced priced_monthly cells session_first sessions daily filtered by_model day_model usage_log conv_running base_prompts prompts session_sets history_sets session_pairs history_words word_rank history_prefix history_pairs cheaper_like findings edit_ops roi_files messages tool_catalog tool_terms tool_grams tool_hits tool_scores tool_kept corpus".split())
 
 
 def statement(name: str, all_plans: dict[str, str], given: frozenset = frozenset()) -> str:
