@@ -84,6 +84,12 @@ def test_line_dedup(spark):
     assert {r["n"] for r in got} == {"extra"}
 
 
+def test_short_lines_are_removed_as_exact_repeats(spark):
+    texts = ["All rights reserved.\n\n}\nTh.", " All rights reserved. \n\n}\nWh.\nThis line has thirty letters..", "All right reserved.\n}\nThis line had thirty letters.."]
+    got = {r["doc_id"]: (r["text"], r["n_removed"], r["n_near"]) for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    assert got == {0: (texts[0], 0, 0), 1: ("\nWh.\nThis line has thirty letters..", 2, 0), 2: ("All right reserved.", 2, 1)}
+
+
 @pytest.mark.parametrize(("width", "percent"), [(3, 90), (2, 60)])
 def test_jaccard_components(spark, width, percent):
     rng = random.Random(5)

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tokenledger.llm.common import bounded, save, table
 
-#: Lines shorter than this are never removed; edits between near lines.
-MIN_CHARS, EDITS = 40, 2
+#: Lines shorter than this are removed as exact repeats only; edits between near lines. Two edits are a tenth of a line of
+#: 20 characters; below, near lines are mostly different ones (sf0.01: 296 of the 298 pairs within 2 edits of lines under
+#: 20 characters have fewer than 10, such as "Th." and "Wh."; no pair has 20 to 39).
+NEAR_CHARS, EDITS = 20, 2
 #: Letters whose counts bound the edits between two lines from below (an edit changes one count, or two).
 LETTERS = "aeinrsthdloucmgbfpwy"
 
@@ -57,12 +59,13 @@ def _within(edits: int) -> str:
       aggregate(sequence(1, m), named_struct('vp', {start}, 'vn', 0, 'dist', {edits}), (a, j) -> {step}).dist)[0]"""
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS, keep: list[str] | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int | None = None, edits: int = EDITS, keep: list[str] | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_lines, n_removed, n_near, kept_sha256, text (what is kept), and the columns keep.
 
-    A line (between line feeds, outer spaces aside) of min_chars characters or
-    more is removed if the same line, or one within edits edits, occurs
-    earlier: in a document of smaller doc_id, or before it in its own. Equal
+    A line (between line feeds, outer spaces aside) that is not empty is removed
+    if the same line, or, from NEAR_CHARS characters on, one of so many within
+    edits edits, occurs earlier: in a document of smaller doc_id, or before it
+    in its own. A given min_chars is the least length for both. Equal
     lines are one node from the scan on (a combining aggregation), so that a
     line that a third of all documents hold is one row. Near lines are found
     through equal segments; counts of some letters, in the join's condition,
@@ -72,19 +75,20 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS,
     Null doc_id sorts first. Repeated rows are one document returned twice.
     No rows: no rows. Other columns are ignored.
     """
+    least, near_chars = (1, NEAR_CHARS) if min_chars is None else (max(1, min_chars), min_chars)
     key = [F.col("doc_id"), F.xxhash64("text").alias("t")]
-    lines = docs.where("text IS NOT NULL").select(*key, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("line", F.trim("line")).withColumn("n", F.length("line")).where(F.col("n") >= min_chars)
+    lines = docs.where("text IS NOT NULL").select(*key, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("line", F.trim("line")).withColumn("n", F.length("line")).where(F.col("n") >= least)
     lines = lines.withColumn("h", F.xxhash64(F.lit(1), "line"))
     index, probe = _segment_keys(edits)
     # counts modulo 8, three bits each: their circular difference is never above the true one
     counts = [((F.col("n") - F.length(F.replace(F.col("line"), F.lit(x)))) % 8).cast("long") for x in LETTERS]
     packed = sum((F.shiftleft(c, 3 * i) for i, c in enumerate(counts)), F.lit(0).cast("long"))
-    mine = lines.select("doc_id", "t", "pos", "h", "n", packed.alias("counts"), F.expr(f"array({', '.join(probe)})").alias("probe"))
+    mine = lines.select("doc_id", "t", "pos", "h", "n", packed.alias("counts"), F.expr(f"CASE WHEN n >= {near_chars} THEN array({', '.join(probe)}) END").alias("probe"))
     nodes = mine.groupBy("h").agg(F.min(F.struct("doc_id", "t", "pos")).alias("first"), F.count("*").alias("times"), F.first(F.struct("n", "counts", "probe")).alias("line"))
     nodes = save(nodes.select("h", "first", "times", "line.*"), "lines-nodes")
     places = [probe.index(k) for k in index]
     asked = nodes.select(F.col("h").alias("a"), F.col("counts").alias("x"), F.explode("probe").alias("key"))
-    held = nodes.select(F.col("h").alias("b"), F.col("counts").alias("y"), F.explode(F.array(*[F.element_at("probe", p + 1) for p in places])).alias("key"))
+    held = nodes.where("probe IS NOT NULL").select(F.col("h").alias("b"), F.col("counts").alias("y"), F.explode(F.array(*[F.element_at("probe", p + 1) for p in places])).alias("key"))
     apart = " + ".join(f"(4 - abs(4 - abs((shiftright(x, {3 * i}) & 7) - (shiftright(y, {3 * i}) & 7))))" for i in range(len(LETTERS)))
     pairs = asked.join(held, (asked["key"] == held["key"]) & (F.col("a") != F.col("b")) & F.expr(f"{apart} <= {2 * edits}"))
     pairs = save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "lines-pairs")
@@ -113,5 +117,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS,
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines of 40 characters or more of all documents, within 2 edits."""
+    """All lines of all documents, within 2 edits from 20 characters on."""
     return dedup_lines(table(spark, sf_dir, "documents")).drop("text")
