@@ -95,3 +95,13 @@ def test_tools_beyond_the_hundredth_are_ranked(spark, tmp_path):
     ours, check = ledger.query("tool_tiering", spark, str(tmp_path)).toPandas(), con.execute(ledger.check_sql("tool_tiering")).df()
     assert rows(ours) == rows(check)
     assert ours["kept"].eq(Settings().max_tools).all() and ours["kept_ids"].max() > 4_000
+
+
+def test_size_bounds_the_line_search_alone(spark, tmp_path):
+    texts = ["license", None, "x" * 200_001 + "\nlicense", "é" * 150_000 + "\nlicense", "license " + "x" * 199_992]
+    spark.createDataFrame([(i, t, "en", "src1") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r["path"] for r in ledger.query("corpus_find", spark, str(tmp_path)).collect()] == [f"src1/en/{i}" for i in range(5)]
+    assert [r["path"] for r in ledger.query("corpus_grep", spark, str(tmp_path)).collect()] == ["src1/en/0", "src1/en/4"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert [len(con.execute(ledger.check_sql(name)).fetchall()) for name in ("corpus_find", "corpus_grep")] == [5, 2]

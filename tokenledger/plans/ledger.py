@@ -300,10 +300,11 @@ def _more(d: Dialect, s: Settings, q: dict[str, str], hint) -> dict[str, str]:
         out["tool_tiering"] = f"SELECT conv_id, turn, count(CASE WHEN rn <= {s.max_tools} THEN 1 END) AS kept, cast(ceil(coalesce(sum(CASE WHEN rn > {s.max_tools} THEN chars END), 0) / 4.0e0) AS bigint) AS tokens_saved, cast(sum(CASE WHEN rn <= {s.max_tools} THEN ordinal ELSE 0 END) AS bigint) AS kept_ids FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, ordinal) AS rn FROM tool_scores) AS x GROUP BY conv_id, turn"
     out["turn_receipt"] = f"SELECT t.seq, t.model, t.input_tokens + t.seq % 100 AS input_tokens, cast(ceil(t.output_tokens * r.multiplier) AS bigint) AS billed_output, {dollars('(t.input_tokens + t.seq % 100) * b.p_in + cast(ceil(t.output_tokens * r.multiplier) AS bigint) * b.p_out')} AS cost, CASE WHEN c.matched AND c.multiplier > 0 THEN c.multiplier END AS credits FROM turns AS t JOIN model_book AS b ON t.model = b.model JOIN reasoning_flag AS r ON t.model = r.model JOIN credit_multiplier AS c ON t.model = c.model"
     out["strip_chrome"] = f"SELECT conv_id, turn, trim({d.substitute(d.substitute('x', '(?m)^> .*$', ''), '(?m)^---$', '')}) AS text FROM (SELECT conv_id, turn, '> panel' || chr(10) || text || chr(10) || '---' AS x FROM messages) AS y"
-    out["corpus"] = f"SELECT source || '/' || lang || '/' || cast(doc_id AS {string}) AS path, text FROM {d.table('documents')} WHERE length(text) <= 200000"
+    path = f"source || '/' || lang || '/' || cast(doc_id AS {string}) AS path"
+    out["corpus"] = f"SELECT {path}, text FROM {d.table('documents')} WHERE {'octet_length' if d.spark else 'strlen'}(text) <= 200000"
     lines = "SELECT path, i AS line, l AS text FROM corpus LATERAL VIEW posexplode(split(text, '\\n')) AS i, l" if d.spark else "SELECT path, unnest(range(0, len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS text FROM corpus"
     out["corpus_grep"] = f"SELECT path, cast(line + 1 AS bigint) AS line, left(text, 200) AS text FROM ({lines}) AS x WHERE {d.matches('text', '(?i)license')} ORDER BY path, line LIMIT 200"
-    out["corpus_find"] = f"SELECT path FROM corpus WHERE {d.matches('path', '^src1[^/]*/en/[^/]*$')} ORDER BY path LIMIT 500"
+    out["corpus_find"] = f"SELECT path FROM (SELECT {path} FROM {d.table('documents')}) AS x WHERE {d.matches('path', '^src1[^/]*/en/[^/]*$')} ORDER BY path LIMIT 500"
     out["agent_turns"] = "SELECT session_id, seq, response_id, model, input_tokens, output_tokens, cache_read_tokens FROM turns WHERE source = 'agent' AND (input_tokens <> 0 OR output_tokens <> 0)"
     out["scope_workspace"] = "SELECT source, session_id, seq, model FROM turns WHERE project = 'p3' AND source = 'legacy' UNION ALL SELECT source, session_id, seq, model FROM turns WHERE project = 'p3' AND source = 'agent'"
     return out
