@@ -13,9 +13,10 @@ from tokenledger.llm.classify import fold, sample
 from tokenledger.llm.common import mix, table
 
 ORDER = 4
-#: Training documents in all; about a quarter of them calibrate the rejection.
-TRAIN_ROWS = 4_000
-#: Characters of the training documents in all; longer texts than a twentieth of it are not learnt from.
+#: Training documents and their characters in all, dealt evenly to the languages: each gets TRAIN_ROWS / languages documents
+#: (LEAST_ROWS at least) of TRAIN_CHARS / languages characters, whatever its share of the corpus. A quarter of them calibrate
+#: the rejection; of a text only the first twentieth of its language's characters is learnt from.
+TRAIN_ROWS, LEAST_ROWS = 4_000, 8
 TRAIN_CHARS = 12_000_000
 DISCOUNT = 0.75
 UNKNOWN = 1e-7
@@ -148,13 +149,18 @@ def entropies(model: dict, text: str, block: int = 1 << 18) -> tuple[np.ndarray,
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, seed: int = 7) -> dict:
-    """Fit on at most rows documents of docs (doc_id, text, lang), TRAIN_CHARS characters in all, and calibrate each language's rejection.
+    """Fit on documents of docs (doc_id, text, lang), rows and TRAIN_CHARS characters in all, and calibrate each language's rejection.
 
-    A quarter of the sample is held back: a text is rejected if its bits a
+    Each value of lang has its own even part of the sample, by hash rank within
+    it (LEAST_ROWS documents at least, if it has so many), so rare languages
+    are learnt like frequent ones at every size. A quarter of the sample is held back: a text is rejected if its bits a
     character exceed 1.25 times the largest of the held-back texts of the
     language it looks most like, widened for short texts.
     """
-    got = sample(docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang"), rows, TRAIN_CHARS, seed).collect()
+    langs = max(1, docs.where("lang IS NOT NULL").select("lang").distinct().count())
+    chars = max(1, TRAIN_CHARS // langs)
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", F.substring("text", 1, max(1, chars // 20)).alias("text"), "lang")
+    got = sample(known, max(LEAST_ROWS, rows // langs), chars, seed, by="lang").collect()
     got = [r for r in got if len(_chars(r["text"]))]
     part: dict[str, list[str]] = {}
     for r in got:
