@@ -105,3 +105,14 @@ def test_size_bounds_the_line_search_alone(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert [len(con.execute(ledger.check_sql(name)).fetchall()) for name in ("corpus_find", "corpus_grep")] == [5, 2]
+
+
+def test_context_caps_are_the_settings(spark, tmp_path):
+    texts = [("assistant", "a" * 8_001), ("assistant", "b" * 8_000), ("assistant", "c" * 900)]
+    spark.createDataFrame([(1, i, role, t) for i, (role, t) in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    size = lambda name, **s: [len(r["text"]) for r in ledger.query(name, spark, str(tmp_path), Settings(**s)).orderBy("turn").collect()]
+    mark = len(" [truncated]")
+    assert size("cap_tool_result") == [8_000 + mark, 8_000, 900]
+    assert size("cap_tool_result", max_tool_result_chars=850) == [850 + mark, 850 + mark, 850 + mark]
+    assert size("compact_context") == [8_001, 8_000, 900]
+    assert size("compact_context", max_context_tokens=4_000) == [400 + len(" [compacted]"), 8_000, 900]

@@ -276,9 +276,9 @@ def _more(d: Dialect, s: Settings, q: dict[str, str], hint) -> dict[str, str]:
 
     # --- conversations ------------------------------------------------------------
     out["messages"] = f"SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'tool_result' ELSE 'text' END AS kind, text FROM {d.table('conversations')}"
-    out["compact_context"] = """SELECT conv_id, turn, CASE WHEN cut THEN left(text, 400) || ' [compacted]' ELSE text END AS text, CASE WHEN cut THEN length(text) - 400 ELSE 0 END AS chars_saved FROM (
-      SELECT conv_id, turn, text, kind = 'tool_result' AND chars > 200 * 4 AND from_end > 2 AND length(text) > 500 AS cut FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id) AS chars, row_number() OVER (PARTITION BY conv_id, kind ORDER BY turn DESC) AS from_end FROM messages) AS x) AS y"""
-    out["cap_tool_result"] = "SELECT conv_id, turn, CASE WHEN kind = 'tool_result' AND length(text) > 800 THEN left(text, 800) || ' [truncated]' ELSE text END AS text FROM messages"
+    out["compact_context"] = f"""SELECT conv_id, turn, CASE WHEN cut THEN left(text, 400) || ' [compacted]' ELSE text END AS text, CASE WHEN cut THEN length(text) - 400 ELSE 0 END AS chars_saved FROM (
+      SELECT conv_id, turn, text, kind = 'tool_result' AND chars > {s.max_context_tokens} * 4 AND from_end > 2 AND length(text) > 500 AS cut FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id) AS chars, row_number() OVER (PARTITION BY conv_id, kind ORDER BY turn DESC) AS from_end FROM messages) AS x) AS y"""
+    out["cap_tool_result"] = f"SELECT conv_id, turn, CASE WHEN kind = 'tool_result' AND length(text) > {s.max_tool_result_chars} THEN left(text, {s.max_tool_result_chars}) || ' [truncated]' ELSE text END AS text FROM messages"
     out["conversation_context"] = "SELECT conv_id, turn, cast(ceil(chars / 4.0e0) AS bigint) AS context_tokens FROM conv_running"
     out["tool_catalog"] = f"SELECT p_partkey AS ordinal, lower(p_name || ' ' || p_type) AS words, length(p_name || p_type || p_brand) AS chars FROM {d.table('part')}"
     prompt_words = d.explode(d.tokens("prompt", 2, False), "word", "prompts")
