@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a new one of our own only where none is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="tokenledger-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -78,10 +80,15 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     def state(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
+    def next_of(e: DataFrame) -> DataFrame:
+        out = save(star(star(e, True).distinct(), False).where("a <> b").distinct(), name)
+        discard(e)
+        return out
+
     e = save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     was = state(e)
     while was[0]:
-        e = save(star(star(e, True).distinct(), False).where("a <> b").distinct(), name)
+        e = next_of(e)
         now = state(e)
         if now == was:
             break

@@ -42,7 +42,7 @@ def _runs(length: int) -> str:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items.
+    """One row per row of docs (doc_id, text): doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated, items.
 
     A document word is hit if it lies in an occurrence of a window of the
     benchmark (item_id, text): window words in a row of an item, or the whole
@@ -94,12 +94,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     per = per.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.expr("size(array_distinct(flatten(transform(spans, s -> sequence(s.start, s.start + s.length - 1)))))").cast("long").alias("hit"), "items")
     out = counted.join(per, counted["doc_id"].eqNullSafe(per["d"]) & (counted["text_hash"] == per["h"]), "left")
     hit, ids = F.coalesce("hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), ids.alias("items"))
+    return out.select("doc_id", "text_hash", "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), ids.alias("items"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against the whole benchmark, windows of 10 words."""
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "text_hash")
 
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

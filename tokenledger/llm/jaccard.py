@@ -6,13 +6,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokenledger.llm.common import bounded, components, groups, mix, save, table, text_chunks, word_hashes, word_spans
+from tokenledger.llm.common import bounded, components, discard, groups, mix, save, table, text_chunks, word_hashes, word_spans
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -27,18 +26,35 @@ TEXT_BYTES, ROWS = 400_000, 48
 
 
 @lru_cache
-def bands(percent: int, top: int = 1 << 31) -> tuple[np.ndarray, np.ndarray]:
-    """Lower edges of the size bands and the keys that each takes.
+def bands(percent: int, top: int = 1 << 31) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower edges of the size bands, and the parts and the spare parts of each.
 
     Sets that reach percent similarity lie in one band or in neighbouring
-    ones. If the smaller is in band i, they differ in fewer elements than
-    keys[i], so of keys[i] parts of the hash range one at least is equal.
+    ones. If the smaller is in band i, they differ in at most d elements, so
+    of d + 1 + spare parts of the hash range at least spare + 1 are equal; if
+    one of the two sets has at most spare parts without elements, an equal part
+    with elements is among them. spare is what a set of the band exceeds
+    rarely; a band whose sets are too small for that has 0 parts.
     """
     low = [1]
     while low[-1] < top:
         low.append(max(low[-1] + 1, (low[-1] - 1) * 100 // percent + 1))
-    high = np.array(low[1:], np.int64) - 1
-    return np.array(low[:-1], np.int64), (100 - percent) * (high + high * 100 // percent) // (100 + percent) + 1
+    parts, spares = [], []
+    for least, nxt in zip(low, low[1:], strict=False):
+        high = nxt - 1
+        d = (100 - percent) * (high + high * 100 // percent) // (100 + percent)
+        k, spare = d + 1, 0
+        for _ in range(40):
+            empty = k * (1 - 1 / k) ** least
+            need = int(np.ceil(empty + 2 * empty**0.5))
+            if spare >= need or need > d:
+                break
+            spare = need
+            k = d + 1 + spare
+        if spare < need:
+            k, spare = 0, 0
+        parts.append(k), spares.append(spare)
+    return np.array(low[:-1], np.int64), np.array(parts, np.int64), np.array(spares, np.int64)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,47 +103,102 @@ def bitmap(h: np.ndarray) -> bytes:
     return np.packbits(np.bincount((h % np.uint64(bits)).astype(np.int64), minlength=bits) % 2 == 1).tobytes()
 
 
-def may_link(a: bytes, b: bytes, n: int, m: int, percent: int) -> bool:
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) != len(y):
-        if len(x) > len(y):
-            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-        else:
-            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    most = (n + m - int(np.bitwise_count(x ^ y).sum())) // 2
-    most = min(most, n, m)
-    return 100 * most >= percent * (n + m - most)
+def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int, most: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of a tile's nodes that bitmaps don't rule out, cut: whether more of them are open; tiles lie together.
 
-
-def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of a tile's nodes in different components that bitmaps don't rule out; tiles lie together."""
+    most None: pairs of the tile's first node. Else pairs of different
+    components, and of each two components the most likely ones, most at most.
+    """
     for tile in groups(batches):
         node, first = np.unique(tile["node"].to_numpy(), return_index=True)
         part, n = (tile[k].to_numpy()[first] for k in ("component", "n"))
         maps = [np.frombuffer(x.as_py(), np.uint8) for x in tile["bits"].combine_chunks().take(pa.array(first))]
         short = min(map(len, maps))
         words = np.stack([np.bitwise_xor.reduce(x.reshape(-1, short), axis=0) for x in maps]).view(np.uint64)
-        for at in range(0, len(node), ROWS):
-            to = slice(at, at + ROWS)
+        held, cut, size = [np.zeros((3, 0))], set(), 0
+
+        def best(held=held, part=part, cut=cut):
+            """The most likely pairs of each two components; the components that have more than these are noted."""
+            i, j, odds = np.concatenate(held, axis=1)
+            i, j = i.astype(np.int64), j.astype(np.int64)
+            x, y = np.minimum(part[i], part[j]), np.maximum(part[i], part[j])
+            order = np.lexsort((j, i, -odds, y, x))
+            x, y, i, j, odds = (v[order] for v in (x, y, i, j, odds))
+            new = np.ones(len(x), bool)
+            new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+            start = np.flatnonzero(new)
+            rank = np.arange(len(x)) - np.repeat(start, np.diff(np.append(start, len(x))))
+            over = np.flatnonzero(rank == most)
+            cut.update(zip(x[over].tolist(), y[over].tolist(), strict=True))
+            held[:] = [np.stack([i, j, odds])[:, rank < most]]
+
+        for at in range(0, len(node) if most else min(1, len(node)), ROWS):
+            to = slice(at, at + (ROWS if most else 1))
             apart = np.zeros((len(node[to]), len(node)), np.int64)
             for w in range(words.shape[1]):
                 apart += np.bitwise_count(words[to, w, None] ^ words[None, :, w])
             both = n[to, None] + n[None, :]
-            most = np.minimum((both - apart) // 2, np.minimum(n[to, None], n[None, :]))
-            i, j = np.nonzero((100 * most >= percent * (both - most)) & (part[to, None] != part[None, :]) & (node[to, None] < node[None, :]))
-            yield pa.RecordBatch.from_arrays([pa.array(node[at + i]), pa.array(node[j])], ["a", "b"])
+            top = np.minimum((both - apart) // 2, np.minimum(n[to, None], n[None, :]))
+            likely = (100 * top >= percent * (both - top)) & (node[to, None] < node[None, :])
+            i, j = np.nonzero(likely & (part[to, None] != part[None, :]) if most else likely)
+            if len(i):
+                held.append(np.stack([i + at, j, top[i, j] / (both - top)[i, j]]))
+                size += len(i)
+            if most and size > 500_000:
+                best()
+                size = held[0].shape[1]
+        if most:
+            best()
+        i, j, _ = np.concatenate(held, axis=1).astype(np.int64)
+        more = np.array([(min(p), max(p)) in cut for p in zip(part[i].tolist(), part[j].tolist(), strict=True)], bool)
+        yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(more)], ["a", "b", "cut"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0)
+        ids, texts = batch.column(0), batch.column(1)
         for first, rows, data, offsets in text_chunks(batch, limit=TEXT_BYTES):
             h, at = shingle_sets(data, offsets, width)
-            yield pa.RecordBatch.from_arrays([ids.slice(first, rows), pa.array(np.diff(at)), pa.array(_group_sums(h, at))], ["doc_id", "n", "node"])
+            bits = pa.array([bitmap(h[at[i] : at[i + 1]]) if at[i + 1] > at[i] else None for i in range(rows)], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids.slice(first, rows), texts.slice(first, rows), pa.array(np.diff(at)), pa.array(_group_sums(h, at)), bits], ["doc_id", "t", "n", "node", "bits"])
+
+
+def tile_keys(h: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, index of the set) of sorted sets one after another: the tiles in which each set meets those that it may link with.
+
+    For its band and the one below, a set has a key for each part of the hash
+    range that holds elements of it. A set with more parts without elements
+    than the band has to spare also meets its like by its first elements:
+    linked sets of n elements share one of the n - ceil(percent n) + 1 smallest.
+    """
+    low, parts, spares = bands(percent)
+    size = np.diff(at)
+    band = np.searchsorted(low, size, "right") - 1
+    prefix = size + (-percent * size // 100) + 1
+    keys, sets = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for below in (0, 1):
+        mine = np.where((size > 0) & (band >= below), band - below, -1)
+        owner = np.repeat(np.arange(len(size)), size)
+        ok = mine[owner] >= 0
+        g, own, rank = h[ok], owner[ok], (np.arange(len(h)) - at[owner])[ok]
+        if not len(g):
+            continue
+        b = mine[own]
+        part = ((g >> np.uint64(32)) * parts[b].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        new = np.ones(len(g), bool)
+        new[1:] = (own[1:] != own[:-1]) | (part[1:] != part[:-1])
+        start = np.flatnonzero(new)
+        total = np.add.reduceat(mix(g), start)
+        tiled = parts[b[start]] > 0
+        keys.append(mix(mix(total + part[start].astype(np.uint64)) + b[start].astype(np.uint64))[tiled]), sets.append(own[start][tiled])
+        filled = np.bincount(own[start], minlength=len(size))
+        bare = (mine >= 0) & (parts[mine] - filled > spares[mine]) | (mine >= 0) & (parts[mine] == 0)
+        pick = bare[own] & (rank < prefix[own])
+        keys.append(mix(g[pick] * np.uint64(3) + b[pick].astype(np.uint64))), sets.append(own[pick])
+    return np.concatenate(keys).view(np.int64), np.concatenate(sets)
 
 
 def _keys(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    low, parts = bands(percent)
     seen: set[int] = set()
     for batch in batches:
         for _, rows, data, offsets in text_chunks(batch, limit=TEXT_BYTES):
@@ -140,112 +211,110 @@ def _keys(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterat
                     new[i] = True
             if len(seen) > SEEN:
                 seen.clear()
-            owner = np.repeat(np.arange(rows), size)
-            h, owner = h[new[owner]], owner[new[owner]]
-            band = np.searchsorted(low, size, "right") - 1
-            for below in (0, 1):
-                mine = band[owner] - below
-                ok = mine >= 0
-                g, own, b = h[ok], owner[ok], mine[ok]
-                k = parts[b].astype(np.uint64)
-                part = ((g >> np.uint64(32)) * k >> np.uint64(32)).astype(np.int64)
-                # h is sorted within a document, so are its parts: sum each part's hashes; empty parts count as well
-                many = np.where(new & (band >= below), parts[np.maximum(band - below, 0)], 0)
-                base = np.concatenate([[0], np.cumsum(many)])
-                total = np.zeros(base[-1], np.uint64)
-                np.add.at(total, base[own] + part, mix(g))
-                doc = np.repeat(np.arange(rows), many)
-                part = np.arange(len(doc)) - base[doc]
-                full = total != 0
-                key = mix(mix(total + part.astype(np.uint64)) + (band[doc] - below).astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(key[full].view(np.int64)), pa.array(nodes[doc[full]])], ["key", "node"])
-                # a part without elements is equal to any other such part
-                bare = mix(part[~full].astype(np.uint64) * np.uint64(3) + (band[doc[~full]] - below).astype(np.uint64) + np.uint64(1))
-                yield pa.RecordBatch.from_arrays([pa.array(bare.view(np.int64)), pa.array(nodes[doc[~full]])], ["key", "node"])
+            key, which = tile_keys(h[np.repeat(new, size)], np.concatenate([[0], np.cumsum(size[new])]), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(nodes[new][which])], ["key", "node"])
 
 
 def _arrays(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, rows, data, offsets in text_chunks(batch, limit=TEXT_BYTES):
+        for _, _, data, offsets in text_chunks(batch, limit=TEXT_BYTES):
             h, at = shingle_sets(data, offsets, width)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_group_sums(h, at)), pa.array([bitmap(h[at[i] : at[i + 1]]) for i in range(rows)], pa.binary()), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], ["node", "bits", "items"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(_group_sums(h, at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], ["node", "items"])
+
+
+def _exact(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose sorted arrays x and y intersect enough; a share of a batch at once."""
+    for batch in batches:
+        a, b, x, y = (batch.column(k) for k in range(4))
+        sizes = np.stack([np.diff(v.offsets.to_numpy()) for v in (x, y)]).astype(np.int64)
+        ends, at, keep = np.cumsum(sizes.sum(0)), 0, np.zeros(batch.num_rows, bool)
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000, "right")))
+            values = np.concatenate([v.slice(at, to - at).flatten().to_numpy().view(np.uint64) for v in (x, y)])
+            pair = np.concatenate([np.repeat(np.arange(at, to), s[at:to]) for s in sizes])
+            order = np.lexsort((values, pair))
+            values, pair = values[order], pair[order]
+            both = np.bincount(pair[1:][(values[1:] == values[:-1]) & (pair[1:] == pair[:-1])] - at, minlength=to - at)
+            keep[at:to] = 100 * both >= percent * (sizes[:, at:to].sum(0) - both)
+            at = to
+        yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep)), b.filter(pa.array(keep))], ["a", "b"])
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, n_links, component_id.
+    """One row per row of docs (doc_id, text): doc_id, t (hash of the text), n_shingles, n_links, component_id.
 
     Sets of hashed word shingles (all words as one shingle if there are fewer)
     link when their Jaccard similarity reaches percent. Tiles: each set
-    belongs to a band of sizes and is dealt, for its band and the one below,
-    into so many parts of the hash range that linked sets have an equal part
-    (see bands); sets with an equal part meet in a tile. Equal sets are one
-    node. In a tile each node is held against the tile's first node alone;
-    bitmaps bound the overlap from above, and sorted arrays decide. Where a
-    tile's nodes are then still in different components, all its pairs across
-    components are held against each other. So no link between components is
-    lost, and the pairs of a group of near copies are not enumerated.
-    n_links counts the verified links of the document's set, those to equal
-    sets not included.
+    belongs to a band of sizes and meets, for its band and the one below, the
+    sets that share a key with it (see tile_keys); linked sets always do. Equal
+    sets are one node. Bitmaps bound the overlap of a tile's nodes from above,
+    and sorted arrays decide: first for the tile's first node alone, then in
+    rounds for the most likely pairs of each two components that still meet in
+    a tile, with more pairs a round until none is left out. So no link between
+    components is lost, and the pairs of a group of near copies are not
+    enumerated. n_links counts the verified links of the document's set, those
+    to equal sets not included.
 
     Null, empty or blank text: n_shingles 0, linked with nothing. Null doc_id:
     its own row, never a component's name unless alone. Repeated rows: each is
     returned. No rows: no rows. Other columns are ignored.
     """
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = save(text.mapInArrow(lambda it: _sets(it, width), "doc_id long, n long, node long"), "jaccard-sets")
-    nodes = save(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")), "jaccard-nodes")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    all_sets = save(text.mapInArrow(lambda it: _sets(it, width), "doc_id long, t long, n long, node long, bits binary"), "jaccard-sets")
+    sets = all_sets.select("doc_id", "t", "n", "node")
+    nodes = save(all_sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.min(F.struct("doc_id", "t")).alias("of"), F.first("bits").alias("bits")), "jaccard-nodes")
     same = Window.partitionBy("key")
-    tiles = text.select("doc_id", "text").mapInArrow(lambda it: _keys(it, width, percent), "key long, node long")
+    tiles = text.select("text").mapInArrow(lambda it: _keys(it, width, percent), "key long, node long")
     tiles = tiles.select("key", "node", F.min("node").over(same).alias("lead"), F.max("node").over(same).alias("last"))
-    tiles = save(tiles.where("lead <> last").select("key", "node", "lead").distinct(), "jaccard-tiles")
+    tiles = save(tiles.where("lead <> last").select("key", "node").distinct(), "jaccard-tiles")
+    bits = nodes.select("node", "n", "bits")
 
-    wanted = save(nodes.join(tiles.select("node").unionByName(tiles.select(F.col("lead").alias("node"))).distinct(), "node").select(F.col("least").alias("doc_id")), "jaccard-wanted")
-    arrays = text.join(bounded(wanted), "doc_id", "left_semi").mapInArrow(lambda it: _arrays(it, width), "node long, bits binary, items array<long>")
-    arrays = save(arrays.dropDuplicates(["node"]), "jaccard-arrays")
-    bits = arrays.join(nodes, "node").select("node", "n", "bits")
+    def open_pairs(part: DataFrame, most: int | None) -> DataFrame:
+        """Of part (tile, node, component) the pairs of _open_pairs."""
+        held = part.join(bits, "node").select("tile", "node", "component", "n", "bits")
+        pairs = held.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda it: _open_pairs(it, percent, most), "a long, b long, cut boolean")
+        return pairs.groupBy("a", "b").agg(F.max("cut").alias("cut"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of nodes those that link."""
-
-        @F.pandas_udf("boolean")
-        def near(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-            return pd.Series([may_link(*x, percent) for x in zip(a, b, n, m, strict=True)], dtype=bool)
-
-        @F.pandas_udf("boolean")
-        def exact(a: pd.Series, b: pd.Series) -> pd.Series:
-            out = []
-            for x, y in zip(a, b, strict=True):
-                x, y = (np.asarray(z, np.int64).view(np.uint64) for z in ((x, y) if len(x) <= len(y) else (y, x)))
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                out.append(100 * both >= percent * (len(x) + len(y) - both))
-            return pd.Series(out, dtype=bool)
-
-        left, right = bits.toDF("a", "n", "x"), bits.toDF("b", "m", "y")
-        sized = pairs.join(left, "a").join(right, "b").where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-        likely = save(sized.where(near("x", "y", "n", "m")).select("a", "b"), "jaccard-likely")
-        items = arrays.select("node", "items")
-        return save(likely.join(items.toDF("a", "x"), "a").join(items.toDF("b", "y"), "b").where(exact("x", "y")).select("a", "b"), "jaccard-links")
-
-    star = save(tiles.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "jaccard-star")
-    links = verified(star)
-    named = components(links)
-    part = tiles.join(named.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    apart = part.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("x <> y").select("key", "blocks")
-    dealt = part.join(apart, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "node", "component").join(bits, "node").select("tile", "node", "component", "n", "bits")
-    rest = dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda it: _open_pairs(it, percent), "a long, b long").distinct()
-    rest = save(rest.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "jaccard-rest")
-    if rest.limit(1).count():
-        links = links.unionByName(verified(rest))
-        named = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    label = nodes.join(named.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = save(nodes.join(ends, "node").select(F.col("of.doc_id").alias("d"), F.col("of.t").alias("u")), "jaccard-wanted")
+        small = bounded(wanted)
+        mine = text.join(small, text["doc_id"].eqNullSafe(small["d"]) & (text["t"] == small["u"]), "left_semi").select("text")
+        items = save(mine.mapInArrow(lambda it: _arrays(it, width), "node long, items array<long>").dropDuplicates(["node"]), "jaccard-items")
+        both = pairs.join(items.toDF("a", "x"), "a").join(items.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        out = save(both.mapInArrow(lambda it: _exact(it, percent), "a long, b long"), "jaccard-links")
+        discard(wanted), discard(items)
+        return out
+
+    tested = save(open_pairs(tiles.select(F.col("key").alias("tile"), "node", F.col("node").alias("component")), None), "jaccard-pairs")
+    links, most = [verified(tested.select("a", "b"))], 1
+    while True:
+        known = links[0]
+        for more in links[1:]:
+            known = known.unionByName(more)
+        named = components(known)
+        part = tiles.join(named.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        apart = part.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("x <> y").select("key", "blocks")
+        dealt = part.join(apart, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "node", "component")
+        found = save(open_pairs(dealt, most), "jaccard-pairs")
+        rest = save(found.join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "b"), "jaccard-rest")
+        if rest.limit(1).count():
+            links.append(verified(rest))
+        if not found.where("cut").limit(1).count():
+            break
+        tested, most = tested.select("a", "b").unionByName(rest), most * 16
+    if len(links) > 1:
+        known = known.unionByName(links[-1])
+        named = components(known)
+    degree = known.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    label = nodes.select("node", "least").join(named.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     label = label.join(label.groupBy("component").agg(F.min("least").alias("component_id")), "component").join(degree, "node", "left").select("node", "n_links", "component_id")
+    label = save(label, "jaccard-labels")
+    discard(nodes), discard(tiles)
     out = sets.join(label, (sets["node"] == label["node"]) & (sets["n"] > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "t", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

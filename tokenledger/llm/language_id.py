@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokenledger.llm.classify import fold, sample
 from tokenledger.llm.common import mix, table
@@ -23,16 +26,22 @@ UNKNOWN = 1e-7
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+@lru_cache
+def _kinds() -> np.ndarray:
+    """For each code point 2 for letters, 1 for marks (accents and vowel signs), else 0, by Unicode category."""
+    return np.array([{"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)], np.uint8)
+
+
 def _chars(text: str) -> np.ndarray:
-    """Code points, lower case, every run of anything but letters as one space."""
+    """Code points, lower case, every run of anything but letters and marks as one space; none if there is no letter."""
     t = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    ascii_letter = (t >= 97) & (t <= 122)
-    letter = ascii_letter | (t >= 0xAA) & (t != 0xD7) & (t != 0xF7) & ~((t >= 0x2000) & (t <= 0x2BFF)) & ~((t >= 0x3000) & (t <= 0x303F)) & ~((t >= 0xAB) & (t <= 0xBF) & (t != 0xB5) & (t != 0xBA)) & ~((t >= 0xE000) & (t <= 0xF8FF)) & (t < 0x1F000)
-    out = np.where(letter, t, 32).astype(np.uint64)
+    kind = _kinds()[t]
+    if not (kind == 2).any():
+        return np.zeros(0, np.uint64)
+    out = np.where(kind > 0, t, 32).astype(np.uint64)
     keep = np.ones(len(out), bool)
     keep[1:] = (out[1:] != 32) | (out[:-1] != 32)
-    out = out[keep]
-    return out if (out != 32).any() else out[:0]
+    return out[keep]
 
 
 def _hashes(c: np.ndarray, order: int) -> np.ndarray:
@@ -68,6 +77,8 @@ def fit(texts: dict[str, list[str]]) -> dict:
     value, so scoring needs one search for each order.
     """
     langs = sorted(texts)
+    if not langs:
+        return {"langs": [], "orders": []}
     grams: dict[int, list] = {k: [] for k in range(1, ORDER + 1)}
     per = []
     for lang in langs:
@@ -122,16 +133,23 @@ def fit(texts: dict[str, list[str]]) -> dict:
     return model
 
 
-def entropies(model: dict, text: str, block: int = 1 << 18) -> tuple[np.ndarray, int]:
+def _blocks(text: str, block: int) -> Iterator[np.ndarray]:
+    """The padded characters of a text in blocks, each led by the last ORDER - 1 characters before it."""
+    before = np.full(ORDER - 1, 32, np.uint64)
+    for at in range(0, len(text), block):
+        c = _chars(text[at : at + block])
+        c = c[1:] if len(c) and c[0] == before[-1] == 32 and at else c
+        if len(c):
+            yield np.concatenate([before, c])
+            before = np.concatenate([before, c])[-(ORDER - 1) :]
+
+
+def entropies(model: dict, text: str, block: int = 1 << 17) -> tuple[np.ndarray, int]:
     """Bits a character in each language, and the number of characters; a miss backs off to shorter runs, at a bit's cost."""
-    c = _padded(text)
-    n = len(c) - ORDER + 1
-    total = np.zeros(len(model["langs"]))
-    if n <= 0:
-        return total, 0
-    for at in range(0, n, block):
-        part = c[at : at + block + ORDER - 1]
+    total, n = np.zeros(len(model["langs"])), 0
+    for part in _blocks(text, block):
         m = len(part) - ORDER + 1
+        n += m
         missing = np.arange(m)
         for k in range(ORDER, 0, -1):
             u, logs = model["orders"][k - 1]
@@ -145,7 +163,7 @@ def entropies(model: dict, text: str, block: int = 1 << 18) -> tuple[np.ndarray,
             total += hit.sum() * (ORDER - k)
             missing = missing[~hit]
         total += len(missing) * (-np.log2(UNKNOWN))
-    return total / n, n
+    return total / max(n, 1), n
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, seed: int = 7) -> dict:
@@ -178,33 +196,37 @@ def _predict(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.Reco
     langs = model["langs"]
     for batch in batches:
         pred, score, bits, reject = [], [], [], []
-        for value in batch.column(batch.schema.get_field_index("text")):
+        for value in batch.column(0).field("text"):
             per, n = entropies(model, value.as_py() or "") if langs else (np.zeros(0), 0)
-            if not n or not len(langs):
+            if not n:
                 pred.append("und"), score.append(0.0), bits.append(None), reject.append(True)
                 continue
             best = int(per.argmin())
-            share = np.exp2(np.maximum((per[best] - per) * min(n, 200), -60))
+            share = np.exp2(np.maximum((per[best] - per) * n, -1_000))
             pred.append(langs[best]), score.append(float(1 / share.sum())), bits.append(float(per[best]))
             reject.append(bool(per[best] > model["limit"][langs[best]] * (1 + 10 / n)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(reject, pa.bool_())], ["key", "lang_pred", "score", "bits", "rejected"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(reject, pa.bool_())], ["row", "lang_pred", "score", "bits", "rejected"])
 
 
-def identify(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
-    """docs' columns keep (default doc_id) and lang_pred, score, bits (a character), rejected.
+def scored(docs: DataFrame, model: dict) -> DataFrame:
+    """row (all columns of docs as a struct, so no name can clash), lang_pred, score, bits (a character), rejected.
 
-    Scores are the best language's share of the likelihood, a text's length
-    counting up to 200 characters. Null, empty or letterless texts: 'und',
-    score 0, rejected. Repeated rows: each is returned; lang and source are not
-    read. Long texts are scored whole, in blocks.
+    Scores are the best language's share of the likelihood of the whole text.
+    Null, empty or letterless texts: 'und', score 0, rejected; so are all texts
+    if nothing was learnt. Repeated rows: each is returned; lang and source
+    are not read. Long texts are scored whole, in blocks.
     """
-    keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    # the kept columns travel as one struct, so no name can clash with the result's
-    rows = docs.select(F.struct(*keep).alias("key"), F.col("text").alias("text"))
-    schema = "key " + rows.schema["key"].dataType.simpleString() + ", lang_pred string, score double, bits double, rejected boolean"
-    out = rows.mapInArrow(lambda it: _predict(it, shared.value), schema)
-    return out.select(*[F.col("key").getField(k).alias(k) for k in keep], "lang_pred", "score", "bits", "rejected")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    schema = T.StructType([rows.schema["row"], *T._parse_datatype_string("lang_pred string, score double, bits double, rejected boolean").fields])
+    return rows.mapInArrow(lambda it: _predict(it, shared.value), schema)
+
+
+def identify(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
+    """The columns keep of docs (default doc_id), lang_pred, score, bits, rejected of scored(); keep has none of these names."""
+    keep = keep or ["doc_id"]
+    out = scored(docs.select(*keep, *([] if "text" in keep else ["text"])), model)
+    return out.select(*[F.col("row").getField(k).alias(k) for k in keep], "lang_pred", "score", "bits", "rejected")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenledger.llm.common import bounded, save, table
+from tokenledger.llm.common import bounded, discard, save, table
 
 #: Lines shorter than this are removed as exact repeats only; edits between near lines. Two edits are a tenth of a line of
 #: 20 characters; below, near lines are mostly different ones (sf0.01: 296 of the 298 pairs within 2 edits of lines under
@@ -59,8 +59,8 @@ def _within(edits: int) -> str:
       aggregate(sequence(1, m), named_struct('vp', {start}, 'vn', 0, 'dist', {edits}), (a, j) -> {step}).dist)[0]"""
 
 
-def dedup_lines(docs: DataFrame, min_chars: int | None = None, edits: int = EDITS, keep: list[str] | None = None) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_lines, n_removed, n_near, kept_sha256, text (what is kept), and the columns keep.
+def deduped(docs: DataFrame, min_chars: int | None = None, edits: int = EDITS) -> DataFrame:
+    """One row per row of docs (doc_id, text): row (its columns as a struct), n_lines, n_removed, n_near, text (what is kept).
 
     A line (between line feeds, outer spaces aside) that is not empty is removed
     if the same line, or, from NEAR_CHARS characters on, one of so many within
@@ -100,7 +100,8 @@ def dedup_lines(docs: DataFrame, min_chars: int | None = None, edits: int = EDIT
     # the distances cost far more than the pairs' bytes tell: deal them out by number
     joined = pairs.join(chars.toDF("a", "x"), "a").join(chars.toDF("b", "y"), "b").withColumn("n", F.size("x")).withColumn("m", F.size("y")).repartition(max(1, min(20_000, pairs.count() // 1_000)))
     # (a column, not a condition: the optimiser moves conditions below the dealing)
-    links = save(joined.select("a", "b", F.expr(f"CASE WHEN abs(n - m) <= {edits} THEN {_within(edits)} <= {edits} ELSE false END").alias("near")), "lines-links").where("near").select("a", "b")
+    made = save(joined.select("a", "b", F.expr(f"CASE WHEN abs(n - m) <= {edits} THEN {_within(edits)} <= {edits} ELSE false END").alias("near")), "lines-links")
+    links = made.where("near").select("a", "b")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     first = nodes.join(both.select(F.col("a").alias("h")).distinct(), "h", "left_semi").select("h", "first")
     near = both.join(first.toDF("a", "fa"), "a").join(first.toDF("b", "fb"), "b").where("fb < fa").select(F.col("a").alias("h")).distinct().withColumn("near", F.lit(True))
@@ -108,12 +109,20 @@ def dedup_lines(docs: DataFrame, min_chars: int | None = None, edits: int = EDIT
     gone = lines.select("doc_id", "t", "pos", "h").join(bounded(known, 200_000), "h").where(F.col("near") | (F.struct("doc_id", "t", "pos") != F.col("first")))
     gone = gone.groupBy("doc_id", "t").agg(F.collect_set("pos").alias("gone"), F.collect_set(F.when(F.col("near"), F.col("pos"))).alias("near"))
     gone = save(gone.select(F.col("doc_id").alias("d"), F.col("t").alias("u"), "gone", "near"), "lines-gone")
-    rows = docs.select(*key, F.col("text"), F.struct(F.lit(0).alias("-"), *(keep or [])).alias("rest"))
+    for done in (nodes, pairs, wanted, chars, made, known):
+        discard(done)
+    rows = docs.select(*key, F.col("text"), F.struct(*docs.columns).alias("row"))
     small = bounded(gone, 200_000)
     rows = rows.join(small, rows["doc_id"].eqNullSafe(small["d"]) & (rows["t"] == small["u"]), "left").withColumn("lines", F.coalesce(F.split("text", "\n", -1), F.array().cast("array<string>")))
     kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.expr("array_join(transform(array_except(sequence(0, size(lines) - 1), gone), i -> lines[i]), '\\n')"))
-    out = rows.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.size("near"), F.lit(0)).cast("long").alias("n_near"), kept.alias("text"), "rest")
-    return out.select("doc_id", "n_lines", F.greatest("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.greatest("n_near", F.lit(0)).cast("long").alias("n_near"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), "text", *[F.col("rest").getField(c).alias(c) for c in keep or []])
+    none = F.lit(0).cast("long")
+    return rows.select("row", F.size("lines").cast("long").alias("n_lines"), F.greatest(F.size("gone").cast("long"), none).alias("n_removed"), F.greatest(F.size("near").cast("long"), none).alias("n_near"), kept.alias("text"))
+
+
+def dedup_lines(docs: DataFrame, min_chars: int | None = None, edits: int = EDITS, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, n_lines, n_removed, n_near, kept_sha256, text (what is kept) of deduped(), and the columns keep, which have none of these names."""
+    out = deduped(docs, min_chars, edits)
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", "n_near", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), "text", *[F.col("row").getField(c).alias(c) for c in keep or []])
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
