@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokenledger.llm.common import bounded, components, discard, groups, mix, save, table, text_chunks, word_hashes, word_spans
+from tokenledger.llm.common import bounded, components, discard, mix, save, table, text_chunks, word_hashes, word_spans
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -23,6 +23,8 @@ SEEN = 200_000
 BLOCK = 4_096
 #: Bytes of text that a task takes into arrays at once, and nodes that it holds against a tile's others at once.
 TEXT_BYTES, ROWS = 400_000, 48
+#: Rows of tiles that a task takes at once, and rows up to which a tile is compared together with others.
+TILE_ROWS, SMALL = 20_000, 64
 
 
 @lru_cache
@@ -103,55 +105,127 @@ def bitmap(h: np.ndarray) -> bytes:
     return np.packbits(np.bincount((h % np.uint64(bits)).astype(np.int64), minlength=bits) % 2 == 1).tobytes()
 
 
+class _Bitmaps:
+    """Parity bitmaps of some sets, folded to every length that a pair may need."""
+
+    def __init__(self, bits: pa.BinaryArray, n: np.ndarray):
+        ends = np.frombuffer(bits.buffers()[1], np.int32)[bits.offset : bits.offset + len(bits) + 1].astype(np.int64)
+        data, self.n, self.size = np.frombuffer(bits.buffers()[2], np.uint8), n, np.diff(ends)
+        self.at, self.level = {}, {}
+        rows, held = np.zeros(0, np.int64), None
+        length = int(self.size.max(initial=0))
+        while length >= int(self.size.min(initial=1 << 30)):
+            own = np.flatnonzero(self.size == length)
+            new = data[ends[own][:, None] + np.arange(length)].view(np.uint64)
+            held = new if held is None else np.concatenate([held[:, : held.shape[1] // 2] ^ held[:, held.shape[1] // 2 :], new])
+            rows = np.concatenate([rows, own])
+            self.at[length], self.level[length] = np.zeros(len(n), np.int64), held
+            self.at[length][rows] = np.arange(len(rows))
+            length //= 2
+
+    def most(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """For pairs of sets the largest number of common elements that their bitmaps and sizes allow."""
+        apart, short = np.zeros(len(i), np.int64), np.minimum(self.size[i], self.size[j])
+        for length, held in self.level.items():
+            mine, place = np.flatnonzero(short == length), self.at[length]
+            step = max(1, (8 << 20) // length)
+            for at in range(0, len(mine), step):
+                k = mine[at : at + step]
+                apart[k] = np.bitwise_count(held[place[i[k]]] ^ held[place[j[k]]]).sum(1)
+        return np.minimum((self.n[i] + self.n[j] - apart) // 2, np.minimum(self.n[i], self.n[j]))
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.Table]:
+    """Some thousand rows at a time: whole tiles (first column), or any rows, a tile's first row before the rest of it."""
+    held, lead = [], None
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) < TILE_ROWS:
+            continue
+        rows = pa.Table.from_batches(([lead] if lead else []) + held)
+        key = rows.column(0).to_numpy()
+        start = int(np.flatnonzero(key != key[-1])[-1] + 1) if key[0] != key[-1] else 0
+        if whole:
+            held = rows.slice(start).combine_chunks().to_batches()
+            if start:
+                yield rows.slice(0, start)
+        else:
+            lead, held = rows.slice(start, 1).combine_chunks().to_batches()[0], []
+            yield rows
+    rows = ([lead] if lead else []) + held
+    if rows:
+        yield pa.Table.from_batches(rows)
+
+
+def _pairs(start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows (i < j) of tiles, many small tiles at once, a large one in parts."""
+    small = size <= SMALL
+    tile = np.repeat(np.arange(len(size)), size)
+    left = np.repeat(size, size) - (np.arange(len(tile)) - start[tile]) - 1  # rows behind this one in its tile
+    left[~small[tile]] = 0
+    for step in range(1, int(left.max(initial=0)) + 1):
+        i = np.flatnonzero(left >= step)
+        yield i, i + step
+    for k in np.flatnonzero(~small):
+        for at in range(int(start[k]), int(start[k] + size[k]), ROWS):
+            i = np.arange(at, min(at + ROWS, start[k] + size[k]))
+            behind = start[k] + size[k] - i - 1
+            first = np.repeat(i, behind)
+            yield first, first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(behind) - behind, behind)
+
+
 def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int, most: int | None) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of a tile's nodes that bitmaps don't rule out, cut: whether more of them are open; tiles lie together.
+    """Pairs (a, b) of a tile's nodes that bitmaps don't rule out, cut: whether more of their kind are open; tiles lie together, nodes in order.
 
     most None: pairs of the tile's first node. Else pairs of different
-    components, and of each two components the most likely ones, most at most.
+    components, and of each two components of a tile the most likely ones,
+    most at most.
     """
-    for tile in groups(batches):
-        node, first = np.unique(tile["node"].to_numpy(), return_index=True)
-        part, n = (tile[k].to_numpy()[first] for k in ("component", "n"))
-        maps = [np.frombuffer(x.as_py(), np.uint8) for x in tile["bits"].combine_chunks().take(pa.array(first))]
-        short = min(map(len, maps))
-        words = np.stack([np.bitwise_xor.reduce(x.reshape(-1, short), axis=0) for x in maps]).view(np.uint64)
-        held, cut, size = [np.zeros((3, 0))], set(), 0
-
-        def best(held=held, part=part, cut=cut):
-            """The most likely pairs of each two components; the components that have more than these are noted."""
+    for rows in _tiles(batches, most is not None):
+        rows = rows.combine_chunks()
+        key, node, part, n = (rows.column(k).to_numpy() for k in ("tile", "node", "component", "n"))
+        maps = _Bitmaps(rows["bits"].combine_chunks() if isinstance(rows["bits"], pa.ChunkedArray) and rows["bits"].num_chunks != 1 else rows["bits"].chunk(0), n)
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(start, len(key)))
+        lead = np.repeat(start, size)
+        found = _pairs(start, size) if most else [(lead, np.arange(len(key)))]
+        held, count = [np.zeros((3, 0))], 0
+
+        def best(held=held, part=part, lead=lead):
+            """Of the pairs of each two components of a tile the most likely; whether there were more."""
             i, j, odds = np.concatenate(held, axis=1)
             i, j = i.astype(np.int64), j.astype(np.int64)
             x, y = np.minimum(part[i], part[j]), np.maximum(part[i], part[j])
-            order = np.lexsort((j, i, -odds, y, x))
+            order = np.lexsort((j, i, -odds, y, x, lead[i]))
             x, y, i, j, odds = (v[order] for v in (x, y, i, j, odds))
             new = np.ones(len(x), bool)
-            new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-            start = np.flatnonzero(new)
-            rank = np.arange(len(x)) - np.repeat(start, np.diff(np.append(start, len(x))))
-            over = np.flatnonzero(rank == most)
-            cut.update(zip(x[over].tolist(), y[over].tolist(), strict=True))
-            held[:] = [np.stack([i, j, odds])[:, rank < most]]
-
-        for at in range(0, len(node) if most else min(1, len(node)), ROWS):
-            to = slice(at, at + (ROWS if most else 1))
-            apart = np.zeros((len(node[to]), len(node)), np.int64)
-            for w in range(words.shape[1]):
-                apart += np.bitwise_count(words[to, w, None] ^ words[None, :, w])
-            both = n[to, None] + n[None, :]
-            top = np.minimum((both - apart) // 2, np.minimum(n[to, None], n[None, :]))
-            likely = (100 * top >= percent * (both - top)) & (node[to, None] < node[None, :])
-            i, j = np.nonzero(likely & (part[to, None] != part[None, :]) if most else likely)
-            if len(i):
-                held.append(np.stack([i + at, j, top[i, j] / (both - top)[i, j]]))
-                size += len(i)
-            if most and size > 500_000:
+            new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (lead[i[1:]] != lead[i[:-1]])
+            first = np.flatnonzero(new)
+            many = np.diff(np.append(first, len(x)))
+            rank = np.arange(len(x)) - np.repeat(first, many)
+            keep = rank < most + 1  # one more tells that some are cut
+            held[:] = [np.stack([i, j, odds])[:, keep]]
+            return np.repeat(many > most, many)[keep], rank[keep] < most
+
+        for i, j in found:
+            ok = part[i] != part[j] if most else node[i] != node[j]
+            i, j = i[ok], j[ok]
+            if not len(i):
+                continue
+            top = maps.most(i, j)
+            both = n[i] + n[j]
+            ok = 100 * top >= percent * (both - top)
+            if ok.any():
+                held.append(np.stack([i[ok], j[ok], top[ok] / (both - top)[ok]]))
+                count += int(ok.sum())
+            if most and count > 500_000:
                 best()
-                size = held[0].shape[1]
-        if most:
-            best()
+                count = held[0].shape[1]
+        cut, shown = best() if most else (None, None)
         i, j, _ = np.concatenate(held, axis=1).astype(np.int64)
-        more = np.array([(min(p), max(p)) in cut for p in zip(part[i].tolist(), part[j].tolist(), strict=True)], bool)
-        yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(more)], ["a", "b", "cut"])
+        i, j, cut = (i[shown], j[shown], cut[shown]) if most else (i, j, np.zeros(len(i), bool))
+        a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(cut)], ["a", "b", "cut"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -272,7 +346,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     def open_pairs(part: DataFrame, most: int | None) -> DataFrame:
         """Of part (tile, node, component) the pairs of _open_pairs."""
         held = part.join(bits, "node").select("tile", "node", "component", "n", "bits")
-        pairs = held.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda it: _open_pairs(it, percent, most), "a long, b long, cut boolean")
+        pairs = held.repartition("tile").sortWithinPartitions("tile", "node").mapInArrow(lambda it: _open_pairs(it, percent, most), "a long, b long, cut boolean")
         return pairs.groupBy("a", "b").agg(F.max("cut").alias("cut"))
 
     def verified(pairs: DataFrame) -> DataFrame:
