@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenledger.functions.text import normalize_model, project_from_uri
+
 
 def number(v: Column, path: str) -> Column:
     """A JSON number as double, 0 for anything else: a number in quotes is none."""
@@ -22,21 +24,26 @@ def text(v: Column, path: str) -> Column:
     return F.when(kind == "STRING", F.try_variant_get(v, path, "string"))
 
 
-def normalize_model(model: Column) -> Column:
-    return F.trim(F.substring_index(model, "/", -1))
+def chat_entries(files: DataFrame, session: str = r"([^/]+)\.jsonl$", workspace: str = r"([^/]+)/chatSessions/[^/]*$") -> DataFrame:
+    """(workspace_hash, session_id, line_no, entry variant) of files (value: a whole file, file: its path); malformed and blank lines are left out.
 
+    session and workspace are the patterns whose first groups name them in a path.
+    """
+    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    lines = lines.withColumn("entry", F.try_parse_json("line")).where("entry IS NOT NULL")
+    return lines.select(F.regexp_extract("file", workspace, 1).alias("workspace_hash"), F.regexp_extract("file", session, 1).alias("session_id"), "line_no", "entry")
 
-def project_from_uri(uri: Column) -> Column:
-    decoded = F.try_url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
-    return F.coalesce(F.nullif(F.regexp_extract(decoded, r"([^/\\]+)[/\\]*$", 1), F.lit("")), F.lit("unknown"))
 
+def read_chat_sessions(spark: SparkSession, path: str, workspace: str = "*", glob: str = "*.jsonl") -> DataFrame:
+    """chat_entries of <path>/<workspace>/chatSessions/<session>.jsonl; a workspace's hash reads its folder alone."""
+    files = spark.read.text(f"{path}/{workspace}/chatSessions", wholetext=True, pathGlobFilter=glob).select("value", F.col("_metadata.file_path").alias("file"))
+    return chat_entries(files)
 
-def read_chat_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """(workspace_hash, session_id, line_no, entry variant) of <path>/<hash>/chatSessions/<session>.jsonl; malformed and blank lines are left out."""
-    files = spark.read.text(f"{path}/*/chatSessions", wholetext=True, pathGlobFilter="*.jsonl").select("value", F.col("_metadata.file_path").alias("file"))
-    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("entry", F.try_parse_json("line")).where("entry IS NOT NULL")
-    return lines.select(F.regexp_extract("file", r"([^/]+)/chatSessions/[^/]*$", 1).alias("workspace_hash"), F.regexp_extract("file", r"([^/]+)\.jsonl$", 1).alias("session_id"), "line_no", "entry")
+
+def bad_lines(files: DataFrame) -> DataFrame:
+    """(file, bad): the lines of each file that are neither blank nor JSON."""
+    lines = files.select("file", F.explode(F.split("value", "\n")).alias("line")).where("trim(line) <> ''")
+    return lines.groupBy("file").agg(F.count_if(F.try_parse_json("line").isNull()).alias("bad"))
 
 
 def session_titles(raw: DataFrame) -> DataFrame:
@@ -63,27 +70,40 @@ def extract_turns(raw: DataFrame) -> DataFrame:
     )
 
 
+def prompt_history(raw: DataFrame) -> DataFrame:
+    """(workspace_hash, session_id, line_no, index, prompt, asked_at) of every request with text, whether or not it has token counts; asked_at is null where no time is known."""
+    rows = raw.select("workspace_hash", "session_id", "line_no", F.posexplode(F.try_variant_get("entry", "$.v.requests", "array<variant>")).alias("index", "r"))
+    said, stamp = F.coalesce(text(F.col("r"), "$.message"), text(F.col("r"), "$.message.text"), F.lit("")), number(F.col("r"), "$.timestamp")
+    return rows.select("workspace_hash", "session_id", "line_no", "index", said.alias("prompt"), F.when(stamp > 0, stamp.cast("long")).alias("asked_at")).where("prompt <> ''")
+
+
 def _store_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["session_id", "kind", "n", "key", "value", "file_mtime"]
     for batch in batches:
         for path, content, mtime in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             session, rows = path.rsplit("/", 2)[-2], []
             db = sqlite3.connect(":memory:")
             try:
                 db.deserialize(content.as_py())
-                rows += [(session, "turn_usage", a, b, mtime) for a, b in db.execute("SELECT turn_id, usage FROM turn_usage ORDER BY rowid")]
-                rows += [(session, "session_metadata", a, b, mtime) for a, b in db.execute("SELECT key, value FROM session_metadata")]
+                for kind, sql in (("turn_usage", "SELECT turn_id, usage FROM turn_usage ORDER BY rowid"), ("session_metadata", "SELECT key, value FROM session_metadata ORDER BY rowid")):
+                    rows += [(session, kind, n, a, b, mtime) for n, (a, b) in enumerate(db.execute(sql))]
             except sqlite3.Error:
-                rows = [(session, "corrupt", None, None, mtime)]
+                rows = [(session, "corrupt", 0, None, None, mtime)]
             finally:
                 db.close()
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array([None if x is None else str(x) for x in c], pa.string()) for c in columns[:4]), pa.array(columns[4], pa.timestamp("us", "UTC"))], ["session_id", "kind", "key", "value", "file_mtime"])
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            text = lambda c: pa.array([None if x is None else str(x) for x in c], pa.string())
+            yield pa.RecordBatch.from_arrays([text(columns[0]), text(columns[1]), pa.array(columns[2], pa.int64()), text(columns[3]), text(columns[4]), pa.array(columns[5], pa.timestamp("us", "UTC"))], names)
 
 
 def read_agent_store(spark: SparkSession, path: str) -> DataFrame:
-    """(session_id, kind, key, value, file_mtime) of <path>/<session>/session.db: turn_usage and session_metadata rows; an unreadable file gives one row of kind corrupt."""
-    files = spark.read.format("binaryFile").load(f"{path}/*/session.db").select("path", "content", "modificationTime")
-    return files.mapInArrow(_store_rows, "session_id string, kind string, key string, value string, file_mtime timestamp")
+    """(session_id, kind, n, key, value, file_mtime) of <path>/<session>/session.db: turn_usage and session_metadata rows; an unreadable file gives one row of kind corrupt."""
+    return agent_store(spark.read.format("binaryFile").load(f"{path}/*/session.db"))
+
+
+def agent_store(files: DataFrame) -> DataFrame:
+    """The rows of read_agent_store for files (path, content, modificationTime)."""
+    return files.select("path", "content", "modificationTime").mapInArrow(_store_rows, "session_id string, kind string, n long, key string, value string, file_mtime timestamp")
 
 
 def agent_turns(store: DataFrame) -> DataFrame:
@@ -92,21 +112,28 @@ def agent_turns(store: DataFrame) -> DataFrame:
     rows = store.where("kind = 'turn_usage' AND trim(coalesce(value, '')) <> ''").withColumn("u", use)
     count = lambda c: F.coalesce(F.col(f"u.{c}"), F.lit(0.0)).cast("long")
     rows = rows.where((count("inputTokens") != 0) | (count("outputTokens") != 0))
-    name = F.when(F.coalesce("key", F.lit("")) == "", F.concat("session_id", F.lit(":turn:"), F.xxhash64("value").cast("string"))).otherwise(F.col("key"))
+    name = F.when(F.coalesce("key", F.lit("")) == "", F.concat("session_id", F.lit(":turn:"), F.col("n").cast("string"))).otherwise(F.col("key"))
     return rows.select(F.lit("agent").alias("source"), "session_id", name.alias("response_id"), normalize_model(F.coalesce("u.model", F.lit("unknown"))).alias("model"), F.col("file_mtime").alias("ts"), count("inputTokens").alias("input_tokens"), count("outputTokens").alias("output_tokens"), F.when(F.col("u.cacheReadTokens").isNotNull(), count("cacheReadTokens")).alias("cache_read_tokens"))
 
 
+def agent_titles(store: DataFrame) -> DataFrame:
+    """(session_id, title) of agent sessions: their customTitle, else '(agent session)'."""
+    named = F.max(F.when((F.col("kind") == "session_metadata") & (F.col("key") == "customTitle"), F.nullif("value", F.lit(""))))
+    return store.groupBy("session_id").agg(F.coalesce(named, F.lit("(agent session)")).alias("title"))
+
+
 def working_dirs(store: DataFrame, prefix: str = "copilot") -> DataFrame:
     """The working directory of each session: the first of a list, a single one, or the customization directory."""
-    meta = store.where("kind = 'session_metadata'").groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m"))
+    keys = [f"{prefix}.{k}" for k in ("workingDirectories", "workingDirectory", "customizationDirectory")]
+    meta = store.where((F.col("kind") == "session_metadata") & F.col("key").isin(keys)).dropDuplicates(["session_id", "key"]).groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m"))  # a few keys a session
     pick = lambda k: F.nullif(F.try_element_at("m", F.lit(f"{prefix}.{k}")), F.lit(""))
     return meta.select("session_id", F.coalesce(F.nullif(F.get_json_object(pick("workingDirectories"), "$[0]"), F.lit("")), pick("workingDirectory"), pick("customizationDirectory"), F.lit("")).alias("working_dir"))
 
 
-def read_workspaces(spark: SparkSession, path: str) -> DataFrame:
-    """(workspace_hash, project) of <path>/<hash>/workspace.json."""
-    files = spark.read.schema("folder string, workspace string").json(f"{path}/*/workspace.json", multiLine=True).select("*", F.col("_metadata.file_path").alias("file"))
-    return files.select(F.regexp_extract("file", r"([^/]+)/workspace\.json$", 1).alias("workspace_hash"), project_from_uri(F.coalesce(F.nullif("folder", F.lit("")), "workspace")).alias("project"))
+def read_workspaces(spark: SparkSession, path: str, glob: str = "workspace.json") -> DataFrame:
+    """(workspace_hash, project) of <path>/<hash>/workspace.json: of its folder, else of its workspace file; 'unknown' where neither is told."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(F.from_json("value", "folder string, workspace string").alias("w"), F.col("_metadata.file_path").alias("file")).select("w.*", "file")
+    return files.select(F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("workspace_hash"), project_from_uri(F.coalesce(F.nullif("folder", F.lit("")), "workspace")).alias("project"))
 
 
 def read_usage_log(spark: SparkSession, path: str, prefix: str) -> DataFrame:
@@ -120,15 +147,18 @@ def read_usage_log(spark: SparkSession, path: str, prefix: str) -> DataFrame:
     )
 
 
-def read_edit_ops(spark: SparkSession, path: str) -> DataFrame:
-    """(session_id, type, fs_path, request_id) of <path>/<session>/state.json; operations without a path are left out."""
+def read_edit_ops(spark: SparkSession, path: str, glob: str = "state.json") -> DataFrame:
+    """(session_id, type, fs_path, request_id) of <path>/<session>/state.json; operations without a path are left out, files that are no JSON as well."""
     schema = "timeline struct<operations: array<struct<type: string, requestId: string, uri: struct<fsPath: string>>>>"
-    files = spark.read.schema(schema).json(f"{path}/*/state.json", multiLine=True).select(F.col("_metadata.file_path").alias("file"), F.explode("timeline.operations").alias("o"))
-    return files.where("o.uri.fsPath <> ''").select(F.regexp_extract("file", r"([^/]+)/state\.json$", 1).alias("session_id"), F.coalesce("o.type", F.lit("edit")).alias("type"), F.col("o.uri.fsPath").alias("fs_path"), F.coalesce("o.requestId", F.lit("")).alias("request_id"))
-
-
-def read_request_models(spark: SparkSession, path: str) -> DataFrame:
-    """(request_id, model): the last file of the path order wins."""
-    files = spark.read.schema("requests array<struct<requestId: string, modelId: string>>").json(path, multiLine=True, pathGlobFilter="*.json").select(F.col("_metadata.file_path").alias("file"), F.posexplode("requests").alias("i", "r"))
-    rows = files.where("r.requestId IS NOT NULL AND r.modelId <> ''")
-    return rows.groupBy(F.col("r.requestId").alias("request_id")).agg(normalize_model(F.max_by("r.modelId", F.struct("file", "i"))).alias("model"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", schema).alias("s"))
+    ops = files.select("file", F.explode("s.timeline.operations").alias("o")).where("o.uri.fsPath <> ''")
+    return ops.select(F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("session_id"), F.coalesce("o.type", F.lit("edit")).alias("type"), F.col("o.uri.fsPath").alias("fs_path"), F.coalesce("o.requestId", F.lit("")).alias("request_id"))
+
+
+def read_request_models(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
+    """(request_id, model) of transcripts: of requests with both ids and a model the last in the order of paths and places wins."""
+    schema = "requests array<struct<requestId: string, modelId: string>>"
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", schema).alias("s"))
+    rows = files.select("file", F.posexplode("s.requests").alias("i", "r")).where("r.requestId IS NOT NULL AND r.modelId <> ''")
+    last = rows.groupBy(F.col("r.requestId").alias("request_id")).agg(normalize_model(F.max_by("r.modelId", F.struct("file", "i"))).alias("model"))
+    return last.where("model <> ''")

@@ -2,49 +2,208 @@
 
 from __future__ import annotations
 
+import sqlite3
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenledger.plans import ledger
+from tokenledger import adapters as T
+from tokenledger.operators import dashboard, duplicates, pricing, turns, usage
+from tokenledger.plans import checks
 from tokenledger.sources import readers, sinks
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tokenledger-")
-    return f"{base.rstrip('/')}/samples-{uuid.uuid4().hex}"
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir; of our own only on a local master where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tokenledger-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _write_sessions(spark: SparkSession, sf_dir: str) -> str:
-    """A chat session file for each conversation, by Spark's writer: a request per user turn."""
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    meta = F.struct((F.length("text") * 3).cast("double").alias("promptTokens"), F.length("text").cast("double").alias("outputTokens"), F.concat(F.lit("r"), F.col("conv_id") * 1000 + F.col("turn")).alias("responseId"))
-    request = F.struct(F.lit("vendor/gpt-4o-mini").alias("modelId"), (F.lit(1.7e12) + F.col("turn") * 1000).alias("timestamp"), F.struct(F.col("text")).alias("message"), F.struct(meta.alias("metadata")).alias("result"))
-    entry = F.struct(F.struct(F.concat(F.lit("Conversation "), F.col("conv_id")).alias("customTitle"), F.array(request).alias("requests")).alias("v"))
-    path = _folder(spark)
-    lines = rows.where("role = 'user'").select(F.concat(F.lit("w"), F.col("conv_id") % 7).alias("w"), F.to_json(entry).alias("value"))
-    # the writer's folders w=<hash> play the workspaces, its files the sessions
-    lines.write.partitionBy("w").text(path)
-    return path
+# --- chat sessions ---------------------------------------------------------------
+def _entry(turn_parts: str) -> str:
+    return f"""concat('{{"v":{{', {turn_parts}, '}}]}}}}')"""
+
+
+#: Lines of a session by (conv_id + turn) % 6; q is the text as a JSON string. The fourth kind brings a blank and a broken line.
+_LINES = [
+    _entry("""'"customTitle":"T', turn, '","requests":[{"modelId":"v/gpt-4o-mini","timestamp":', 1700000000000 + turn * 1000, ',"message":{"text":', q, '},"result":{"metadata":{"promptTokens":', 3 * length(text), ',"outputTokens":', length(text), ',"responseId":"r', conv_id, '-', turn, '"}}'"""),
+    _entry("""'"requests":[{"modelId":"v/claude-3-5-sonnet ","timestamp":0,"message":', q, ',"result":{"metadata":{"promptTokens":7,"responseId":"x"}}'"""),
+    _entry("""'"requests":[{"message":', q, ',"result":{"metadata":{"promptTokens":null,"resolvedModel":"x/o3"}}'"""),
+    "concat(chr(10), '{oops', chr(10), " + _entry("""'"requests":[{"message":', q, ',"result":{"metadata":{"resolvedModel":"x/o3"}}'""") + ")",
+    _entry("""'"customTitle":"","requests":[{"modelId":"","message":', q, ',"result":{"metadata":{"promptTokens":"12","outputTokens":5}}'"""),
+    _entry("""'"requests":[{"message":{"text":', q, '},"variableData":{"variables":[{"name":""},{"name":"a', turn, '.py"}]},"result":{"metadata":{"outputTokens":', length(text), '}}'"""),
+]
+
+
+def _chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of chat session files, one file a conversation, written and read."""
+    said = T.table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("q", F.expr("substring(to_json(array(text)), 2, length(to_json(array(text))) - 2)"))
+    kinds = " ".join(f"WHEN {i} THEN {line}" for i, line in enumerate(_LINES))
+    lines = said.selectExpr("concat('w', conv_id % 7) AS w", "concat('c', conv_id) AS s", "turn", f"CASE (conv_id + turn) % 6 {kinds} END AS value")
+    path = shared_folder(spark, "chats")
+    lines.repartition("w", "s").sortWithinPartitions("w", "s", "turn").select("w", "s", "value").write.partitionBy("w", "s").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="part-*").select("value", F.col("_metadata.file_path").alias("file"))
+    return readers.chat_entries(files, r"/s=([^/]+)/", r"/w=([^/]+)/")
 
 
 def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _write_sessions(spark, sf_dir)
-    lines = spark.read.text(path, pathGlobFilter="part-*").select("value", F.col("_metadata.file_path").alias("file")).select(F.try_parse_json("value").alias("entry"), "file").where("entry IS NOT NULL")
-    raw = lines.select(F.regexp_extract("file", r"w=([^/]+)/", 1).alias("workspace_hash"), F.try_variant_get("entry", "$.v.customTitle", "string").alias("session_id"), F.lit(0).alias("line_no"), "entry")
-    return readers.extract_turns(raw).select("session_id", "response_id", "model", "input_tokens", "output_tokens", "snippet")
+    return readers.extract_turns(_chat(spark, sf_dir)).select("workspace_hash", "session_id", "response_id", "model", F.col("ts").cast("string").alias("ts"), "input_tokens", "output_tokens", "snippet", "file")
+
+
+def chat_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.session_titles(_chat(spark, sf_dir))
+
+
+def chat_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chat(spark, sf_dir).groupBy("workspace_hash", "session_id").agg(F.count("*").alias("entries"), F.max("line_no").alias("last_line"))
+
+
+def chat_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = readers.prompt_history(_chat(spark, sf_dir)).select("prompt", F.coalesce("asked_at", F.lit(0)).alias("asked_at"), F.col("workspace_hash").alias("project"))
+    return duplicates.build_prompt_index(said, 4_000).select("norm", "latest", "project")
+
+
+# --- agent stores -----------------------------------------------------------------
+def _databases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A session.db for each session (session_id, first seq, project number, its turns in order); every fortieth is broken."""
+    for batch in batches:
+        paths, files = [], []
+        for session, first, project, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            db = sqlite3.connect(":memory:")
+            db.execute("CREATE TABLE turn_usage (turn_id TEXT, usage TEXT)")
+            db.execute("CREATE TABLE session_metadata (key TEXT, value TEXT)")
+            db.executemany("INSERT INTO turn_usage VALUES (?, ?)", [(r["id"], r["usage"]) for r in rows])
+            key = ("workingDirectories", "workingDirectory", "customizationDirectory")[project % 3]
+            folder = f'["/w/p{project}", "/other"]' if project % 3 == 0 else f"/w/p{project}"
+            db.executemany("INSERT INTO session_metadata VALUES (?, ?)", [(f"copilot.{key}", folder), ("unread", "x")] + [("customTitle", f"Title {first}")] * (first % 2))
+            db.commit()
+            paths.append(f"/stores/{session}/session.db"), files.append(b"broken" if first % 40 == 0 else db.serialize())
+            db.close()
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(files, pa.binary())], ["path", "content"])
+
+
+def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    agent = T.turns(spark, sf_dir).where("source = 'agent'")
+    value = F.when(F.col("seq") % 10 == 2, "").when(F.col("seq") % 10 == 6, "{bad").otherwise(F.to_json(F.struct(F.col("input_tokens").alias("inputTokens"), F.col("output_tokens").alias("outputTokens"), F.col("cache_read_tokens").alias("cacheReadTokens"), F.concat(F.lit("v/"), "model").alias("model"))))
+    rows = agent.groupBy("session_id").agg(F.min("seq").alias("first"), F.min(F.substring("project", 2, 9).cast("int")).alias("project"), F.array_sort(F.collect_list(F.struct("seq", F.col("response_id").alias("id"), value.alias("usage")))).alias("turns"))
+    path = shared_folder(spark, "stores")
+    rows.mapInArrow(_databases, "path string, content binary").withColumn("modificationTime", F.timestamp_seconds(F.lit(1_700_000_000))).write.parquet(path)
+    return readers.agent_store(spark.read.parquet(path))
+
+
+def agent_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _store(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("session_id").alias("sessions"))
+
+
+def agent_store_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.agent_turns(_store(spark, sf_dir)).select("session_id", "response_id", "model", F.col("ts").cast("string").alias("ts"), "input_tokens", "output_tokens", "cache_read_tokens")
+
+
+def agent_working_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(spark, sf_dir).persist()
+    return readers.working_dirs(store).join(readers.agent_titles(store.where("kind <> 'corrupt'")), "session_id")
+
+
+def agent_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folders = spark.createDataFrame([("file:///W/p3/",), ("/w/p4",), ("/w%2Fp5",)], "uri string")
+    dirs = readers.working_dirs(_store(spark, sf_dir))
+    return turns.scope_open_folders(dirs, folders.select(F.replace("uri", F.lit("file://"), F.lit("")).alias("uri")))
+
+
+# --- workspaces, edits, transcripts -----------------------------------------------
+def workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = T.table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS w", "CASE s_suppkey % 5 WHEN 0 THEN '{oops' WHEN 1 THEN '{\"folder\":\"file:///w/My%20App+x/\"}' WHEN 2 THEN concat('{\"workspace\":\"/w/n', s_nationkey, '\"}') WHEN 3 THEN '{}' ELSE concat('{\"folder\":\"/w/a', s_suppkey, '\",\"workspace\":\"/b\"}') END AS value")
+    path = shared_folder(spark, "workspaces")
+    rows.repartition("w").write.partitionBy("w").text(path)
+    return readers.read_workspaces(spark, path, "part-*").select(F.substring("workspace_hash", 3, 20).cast("long").alias("w"), "project")
+
+
+def edit_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checkpoints of a thousand order keys each; some operations lack type, request or path."""
+    op = F.struct(F.when(F.col("type") == "create", "create").alias("type"), F.nullif("request_id", F.lit("")).alias("requestId"), F.struct(F.when(F.col("k") % 19 > 0, F.col("fs_path")).alias("fsPath")).alias("uri"))
+    rows = T.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS k", "CASE WHEN l_linenumber = 1 AND l_returnflag = 'R' THEN 'create' ELSE 'edit' END AS type", "concat('/ws/f', l_partkey, '.py') AS fs_path", "CASE WHEN l_orderkey % 13 = 0 THEN '' ELSE concat('q', l_orderkey) END AS request_id")
+    states = rows.groupBy(F.floor(F.col("k") / 1000).alias("s")).agg(F.to_json(F.struct(F.struct(F.collect_list(op).alias("operations")).alias("timeline"))).alias("value"))
+    path = shared_folder(spark, "edits")
+    states.write.partitionBy("s").text(path)
+    return readers.read_edit_ops(spark, path, "part-*").groupBy("session_id", "type", "fs_path", "request_id").agg(F.count("*").alias("n"))
+
+
+def request_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts of a thousand order keys each; of each seventeenth order a later file tells another model."""
+    orders = T.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "concat('q', o_orderkey) AS requestId", f"{T.ORDER_MODEL} AS m")
+    first = orders.selectExpr("floor(k / 1000) AS g", "'a' AS f", "requestId", "CASE WHEN m = '' THEN m ELSE concat('v/', m) END AS modelId")
+    later = orders.where("k % 17 = 0").selectExpr("floor(k / 1000) AS g", "'z' AS f", "requestId", "'v/o3' AS modelId")
+    files = first.unionByName(later).groupBy("g", "f").agg(F.to_json(F.struct(F.collect_list(F.struct("requestId", "modelId")).alias("requests"))).alias("value"))
+    path = shared_folder(spark, "transcripts")
+    files.write.partitionBy("g", "f").text(path)
+    return readers.read_request_models(spark, path, "part-*")
+
+
+# --- sinks -----------------------------------------------------------------------------
+def _logged(spark: SparkSession, sf_dir: str) -> str:
+    path = shared_folder(spark, "log")
+    log = T.usage_log(spark, sf_dir).withColumnsRenamed({"reasoning": "reasoning_model"})
+    log = log.withColumns({"cost_usd": pricing.usd(F.col("cost_units")), "input_cost_usd": pricing.usd(F.col("input_units")), "ts": F.timestamp_millis(F.col("seq") * 1000), "finish_reason": F.when(F.col("duplicate"), "duplicate_skipped").otherwise("stop"), "budget_session_pct": (F.col("seq") % 1000) / 800, "findings": F.array(F.lit('a "b"'))})
+    sinks.write_usage_log(log, path, "ledger")
+    return path
+
+
+def usage_log_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.read_usage_log(spark, _logged(spark, sf_dir), "ledger").select("session_id", "turn_index", "model", "input_tokens", "output_tokens", "cost_usd", "duplicate", "reasoning")
+
+
+def usage_log_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.text(_logged(spark, sf_dir))
+    get = lambda k: F.get_json_object("value", f"$['{k}']")
+    return lines.select(F.size(F.json_object_keys("value")).alias("keys"), get("timestamp").alias("at"), get("gen_ai.response.finish_reasons").alias("reasons"), get("gen_ai.usage.total_tokens").cast("long").alias("total"), get("ledger.budget_session_pct").cast("long").alias("pct"), get("ledger.findings").alias("findings"), get("ledger.suggested_cheaper_model").alias("suggested"), get("ledger.workspace").alias("workspace"))
+
+
+def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = dashboard.export_rows(usage.usage_cells(T.priced(spark, sf_dir))).withColumn("project", F.concat("project", F.lit('"')))
+    path = shared_folder(spark, "csv")
+    sinks.export_cells(cells, path)
+    return spark.read.text(path)
+
 
+def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "json")
+    sinks.export_cells(dashboard.export_rows(usage.usage_cells(T.priced(spark, sf_dir))), path, "json")
+    return spark.read.schema("date string, model string, project string, turns long, input_tokens long, output_tokens long, input_cost double, output_cost double, cost double").json(path)
 
-def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark)
-    turns = ledger.query("usage_log", spark, sf_dir).withColumns({"cost_usd": F.col("cost") / 1e13, "ts": F.timestamp_millis(F.col("seq") * 1000)})
-    sinks.append_usage_log(turns, path, "ledger")
-    return readers.read_usage_log(spark, path, "ledger").select("session_id", "turn_index", "model", "input_tokens", "output_tokens", "duplicate")
 
+QUERIES = {
+    "src_chat_jsonl": chat_entries, "turn_extract": chat_turns, "session_titles": chat_titles, "chat_prompt_index": chat_index, "src_agent_store": agent_store, "agent_store_turns": agent_store_turns, "agent_working_dir": agent_working_dir, "agent_scope": agent_scope, "src_workspaces": workspaces,
+    "edit_ops_read": edit_ops, "request_models": request_models, "usage_log_read": usage_log_read, "usage_log_record": usage_log_record, "export_csv": export_csv, "export_json": export_json,
+}
 
-QUERIES = {"turn_extract": chat_turns, "usage_log_read": usage_log}
+_KIND = "(conv_id + turn) % 6"
+_USERS = f"SELECT *, {_KIND} AS k FROM conversations WHERE role = 'user'"
+_AGENT = "SELECT *, min(seq) OVER (PARTITION BY session_id) AS first, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS n FROM turns WHERE source = 'agent'"
+_EXPORT = "SELECT coalesce(cast(day AS varchar), 'undated') AS date, model, project, turns, input_tokens, output_tokens, " + ", ".join(f"floor(cast({c}_units AS double) / 1e13 * 1e6 + 0.5) / 1e6 AS {n}" for c, n in (("input", "input_cost"), ("output", "output_cost"), ("cost", "cost"))) + " FROM cells"
+_NORM = f"left(trim(regexp_replace(regexp_replace(lower(text), '(?s)```.*?```', ' ', 'g'), '{checks.SPACES}+', ' ', 'g')), 500)"
 ORACLES = {
-    "turn_extract": "SELECT 'Conversation ' || conv_id AS session_id, 'r' || (conv_id * 1000 + turn) AS response_id, 'gpt-4o-mini' AS model, length(text) * 3 AS input_tokens, length(text) AS output_tokens, left(text, 140) AS snippet FROM conversations WHERE role = 'user'",
+    "src_chat_jsonl": f"SELECT 'w' || (conv_id % 7) AS workspace_hash, 'c' || conv_id AS session_id, count(*) AS entries, cast(sum(CASE WHEN k = 3 THEN 3 ELSE 1 END) - 1 AS int) AS last_line FROM ({_USERS}) GROUP BY conv_id",
+    "turn_extract": f"""SELECT 'w' || (conv_id % 7) AS workspace_hash, 'c' || conv_id AS session_id, CASE k WHEN 0 THEN 'r' || conv_id || '-' || turn WHEN 1 THEN 'x' ELSE '' END AS response_id, ['gpt-4o-mini', 'claude-3-5-sonnet', 'o3', '', '', 'unknown'][k + 1] AS model,
+      CASE WHEN k = 0 THEN strftime(make_timestamp(1700000000000000 + turn * 1000000), '%Y-%m-%d %H:%M:%S') END AS ts, CASE k WHEN 0 THEN 3 * length(text) WHEN 1 THEN 7 ELSE 0 END AS input_tokens, CASE k WHEN 0 THEN length(text) WHEN 4 THEN 5 WHEN 5 THEN length(text) ELSE 0 END AS output_tokens, left(text, 140) AS snippet, CASE WHEN k = 5 THEN 'a' || turn || '.py' ELSE '' END AS file FROM ({_USERS}) WHERE k <> 3""",
+    "session_titles": f"SELECT 'w' || (conv_id % 7) AS workspace_hash, 'c' || conv_id AS session_id, 'T' || max(turn) AS title FROM ({_USERS}) WHERE k = 0 GROUP BY conv_id",
+    "chat_prompt_index": f"SELECT norm, max(asked) AS latest, arg_max(w, row(asked, w)) AS project FROM (SELECT {_NORM} AS norm, CASE WHEN k = 0 THEN 1700000000000 + turn * 1000 ELSE 0 END AS asked, 'w' || (conv_id % 7) AS w FROM ({_USERS})) WHERE len({checks.WORDS.format('norm', 2)}) >= 4 GROUP BY norm ORDER BY latest DESC, norm LIMIT 4000",
+    "src_agent_store": checks.statement("turns", f"SELECT kind, count(*) AS n, count(DISTINCT session_id) AS sessions FROM (SELECT session_id, 'turn_usage' AS kind FROM ({_AGENT}) WHERE first % 40 <> 0 UNION ALL SELECT session_id, unnest(CASE WHEN first % 40 = 0 THEN ['corrupt'] WHEN first % 2 = 1 THEN ['session_metadata', 'session_metadata', 'session_metadata'] ELSE ['session_metadata', 'session_metadata'] END) FROM ({_AGENT}) WHERE n = 0) GROUP BY kind"),
+    "agent_store_turns": checks.statement("turns", f"SELECT session_id, CASE WHEN response_id = '' THEN session_id || ':turn:' || n ELSE response_id END AS response_id, model, '2023-11-14 22:13:20' AS ts, input_tokens, output_tokens, cache_read_tokens FROM ({_AGENT}) WHERE first % 40 <> 0 AND seq % 10 NOT IN (2, 6) AND (input_tokens <> 0 OR output_tokens <> 0)"),
+    "agent_working_dir": checks.statement("turns", f"SELECT session_id, '/w/' || project AS working_dir, CASE WHEN first % 2 = 1 THEN 'Title ' || first ELSE '(agent session)' END AS title FROM ({_AGENT}) WHERE n = 0 AND first % 40 <> 0"),
+    "agent_scope": checks.statement("turns", f"SELECT session_id, '/w/' || project AS working_dir FROM ({_AGENT}) WHERE n = 0 AND first % 40 <> 0 AND project IN ('p3', 'p4', 'p5')"),
+    "src_workspaces": "SELECT s_suppkey AS w, CASE s_suppkey % 5 WHEN 1 THEN 'My App+x' WHEN 2 THEN 'n' || s_nationkey WHEN 4 THEN 'a' || s_suppkey ELSE 'unknown' END AS project FROM supplier",
+    "edit_ops_read": "SELECT 's=' || (l_orderkey // 1000) AS session_id, CASE WHEN l_linenumber = 1 AND l_returnflag = 'R' THEN 'create' ELSE 'edit' END AS type, '/ws/f' || l_partkey || '.py' AS fs_path, CASE WHEN l_orderkey % 13 = 0 THEN '' ELSE 'q' || l_orderkey END AS request_id, count(*) AS n FROM lineitem WHERE l_orderkey % 19 > 0 GROUP BY ALL",
+    "request_models": f"SELECT * FROM (SELECT 'q' || o_orderkey AS request_id, CASE WHEN o_orderkey % 17 = 0 THEN 'o3' ELSE {T.ORDER_MODEL} END AS model FROM orders) WHERE model <> ''",
+    "usage_log_read": checks.statement("usage_log", "SELECT session_id, turn_index, model, input_tokens, output_tokens, floor(cast(cost_units AS double) / 1e13 * 1e6 + 0.5) / 1e6 AS cost_usd, duplicate, reasoning FROM usage_log"),
+    "usage_log_record": checks.statement("usage_log", "SELECT 33 AS keys, strftime(make_timestamp(seq * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') AS at, CASE WHEN duplicate THEN '[\"duplicate_skipped\"]' ELSE '[\"stop\"]' END AS reasons, input_tokens + output_tokens AS total, cast(floor((seq % 1000) / 800 * 100 + 0.5) AS bigint) AS pct, '[\"a \\\"b\\\"\"]' AS findings, cast(NULL AS varchar) AS suggested, '(none)' AS workspace FROM usage_log"),
+    "export_csv": checks.statement("cells", f"SELECT 'date,model,project,turns,input_tokens,output_tokens,input_cost,output_cost,cost' AS value UNION ALL SELECT date || ',\"' || model || '\",\"' || project || '\"\"\",' || turns || ',' || input_tokens || ',' || output_tokens || ',' || printf('%.6f', input_cost) || ',' || printf('%.6f', output_cost) || ',' || printf('%.6f', cost) FROM ({_EXPORT})"),
+    "export_json": checks.statement("cells", _EXPORT),
 }

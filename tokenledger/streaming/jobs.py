@@ -1,81 +1,223 @@
-"""Streaming jobs over request events: daily usage, dedup and budgets with keyed state."""
+"""Streaming jobs: enrichment, the live coach with keyed state, daily usage, dedup, and the usage-log sink."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+import datetime
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tokenledger import adapters as T
+from tokenledger import settings as S
+from tokenledger.functions.text import prompt_words, token_estimate
+from tokenledger.operators import calibration, pricing, rules
+from tokenledger.operators.budget import with_projection
+from tokenledger.plans import checks
 from tokenledger.settings import DEFAULTS, Settings
+from tokenledger.sources import readers, sinks
+from tokenledger.sources.samples import shared_folder
 
-MODEL = "CASE event_type WHEN 'click' THEN 'gpt-4o-mini' WHEN 'view' THEN 'claude-3-5-sonnet' WHEN 'purchase' THEN 'claude-opus-4.8' WHEN 'signup' THEN 'gemini-3-flash' ELSE 'in-house-7b' END"
 
+def read_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
+    """The Parquet files of a folder (or a single one) as a stream, so many a batch."""
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", str(files)).parquet(path)
 
-def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    folder = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
-    rows = folder.parquet(f"{sf_dir}/events.parquet")
-    return rows.select("event_id", F.concat(F.lit("s"), F.col("user_id")).alias("session_id"), F.expr(MODEL).alias("model"), F.col("ts").cast("timestamp").alias("ts"), F.floor(F.col("value") * 100).cast("long").alias("input_tokens"), (20 * F.get_json_object("props", "$.k").cast("long")).alias("output_tokens"), F.when(F.col("event_id") % 20 == 19, F.col("event_id") - 1).otherwise(F.col("event_id")).alias("response_id"))
 
+def enrich(requests: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """requests (prompt, model, context_tokens, ref_count, ref_ids) with projected output and dollars, a cheaper model, and the rules that need no state."""
+    m = pricing.output_multiplier(F.col("model"), s)
+    out = requests.withColumn("projected", pricing.projected_output(F.col("context_tokens"), m))
+    p, c = pricing.price_of(F.col("model"), s), pricing.cheaper_of(F.col("model"), F.col("context_tokens"), F.col("projected"), s)
+    found = F.array(*[F.when(v, F.lit(k)) for k, v in rules.rule_columns(requests.sparkSession, s).items()])
+    return out.withColumns({"projected_usd": pricing.usd(F.col("context_tokens") * p["p_in"] + F.col("projected") * p["p_out"]), "cheaper": c["model"], "findings": F.filter(found, lambda x: x.isNotNull())})
 
-def daily(turns: DataFrame, delay: str = "31 days") -> DataFrame:
+
+def stream_daily(turns: DataFrame, delay: str = "31 days") -> DataFrame:
     """Turns and tokens per UTC day and model; rows later than the delay are dropped."""
     return turns.withWatermark("ts", delay).groupBy(F.window("ts", "1 day").alias("w"), "model").agg(F.count("*").alias("turns"), F.sum("input_tokens").alias("input_tokens")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "model", "turns", "input_tokens")
 
 
-def dedup(turns: DataFrame, delay: str = "1 day") -> DataFrame:
+def stream_dedup(turns: DataFrame, delay: str = "1 day") -> DataFrame:
     """The first turn of each response id within the delay."""
     return turns.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["response_id"])
 
 
-def budget(turns: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Each turn's session total so far and its level; with hard_block a turn over budget adds nothing. Order within a batch is by event_id."""
-    limit, warn, block = settings.session_budget, settings.warn_pct, settings.hard_block
+COACHED = "session_id string, seq long, turn_index long, similarity double, growth long, session_used long, day_used long, level string, budget string, ran boolean"
+
+
+STATE = "turn_index long, context long, session_used long, day string, day_used long, prompts array<string>"
+
+
+def coached(key: str, batch: pd.DataFrame, held: tuple | None, s: Settings) -> tuple[list[tuple], tuple]:
+    """What a session's requests of a batch, in order, are told, and its state after them.
+
+    The state is its turn index and prompts so far, the last context that ran,
+    and what its budgets have used. Index and prompts advance with every
+    request, context and budgets only with those that ran: neither skipped as
+    a duplicate nor blocked. A reset starts the session's budget anew.
+    """
+    index, context, used, day, day_used, prompts = held or (0, -1, 0, "", 0, [])
+    said, out = [frozenset(x.split()) for x in prompts], []
+    for r in batch.sort_values("seq").itertuples(index=False):
+        day, day_used = (r.day, day_used) if r.day == day else (r.day, 0)
+        if r.kind == "reset":
+            used = 0
+            continue
+        index += 1
+        words = frozenset(r.words.split())
+        similarity = max((len(words & x) / len(words | x) for x in said if words and x), default=0.0)
+        duplicate = bool(words) and similarity >= s.dup_threshold
+        level, budget = "ok", None
+        for share, word in ((s.warn_pct, "warn"), (100, "over")):
+            a, b = (used + r.projected) * 100 >= s.session_budget * share, (day_used + r.projected) * 100 >= s.daily_budget * share
+            level, budget = (word, "session" if a else "daily") if a or b else (level, budget)
+        ran = not (duplicate and s.block_duplicates) and not (s.hard_block and level == "over")
+        out.append((key, r.seq, index, similarity, None if context < 0 else r.context_tokens - context, used, day_used, level, budget, ran))
+        if ran:
+            context, used, day_used = r.context_tokens, used + r.spent, day_used + r.spent
+        if words and words not in said:
+            said.append(words)
+    return out, (int(index), int(context), int(used), day, int(day_used), [" ".join(sorted(x)) for x in said])
+
+
+def coach(requests: DataFrame, s: Settings = DEFAULTS, idle: datetime.timedelta | None = datetime.timedelta(days=7)) -> DataFrame:
+    """requests (session_id, seq, kind request or reset, day, words as text, context_tokens, projected, spent) as coached() tells of them.
+
+    Order within a batch is by seq. A session's state ends after the idle time;
+    with None it stays, as a run over what is there (availableNow) needs it: a
+    timeout by the clock would keep such a run going.
+    """
+    names = [c.split()[0] for c in COACHED.split(", ")]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        used = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values("event_id")
-        out = []
-        for event, size in zip(rows["event_id"], rows["tokens"], strict=True):
-            level = "over" if used >= limit else "warn" if used * 100 >= limit * warn else "ok"
-            out.append((key[0], event, used, level))
-            used += 0 if block and level == "over" else int(size)
-        state.update((used,))
-        yield pd.DataFrame(out, columns=["session_id", "event_id", "used", "level"])
-
-    rows = turns.select("session_id", "event_id", (F.col("input_tokens") + F.col("output_tokens")).alias("tokens"))
-    return rows.groupBy("session_id").applyInPandasWithState(step, "session_id string, event_id long, used long, level string", "used long", "append", GroupStateTimeout.NoTimeout)
-
-
-def run_to_table(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a streaming job over what is there into files of the shared folder, and read them."""
+        if state.hasTimedOut:
+            state.remove()
+            return
+        out, held = coached(key[0], pd.concat(list(frames)), state.get if state.exists else None, s)
+        state.update(held)
+        if idle:
+            state.setTimeoutDuration(int(idle.total_seconds() * 1000))
+        yield pd.DataFrame(out, columns=names).astype({"growth": "Int64"})
+
+    rows = requests.select("session_id", "seq", "kind", "day", "words", "context_tokens", "projected", "spent")
+    return rows.groupBy("session_id").applyInPandasWithState(step, COACHED, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
+
+
+def refreshed(load: Callable[[SparkSession], DataFrame], every: int = 25) -> Callable[[SparkSession, int], DataFrame]:
+    """load's table for a batch's number: read at the first batch and again after every so many, and kept between."""
+    held: list[DataFrame] = []
+
+    def table(spark: SparkSession, number: int) -> DataFrame:
+        if not held or number % every == 0:
+            for old in held:
+                old.unpersist()
+            held[:] = [load(spark).persist()]
+        return held[0]
+
+    return table
+
+
+def run_to_table(df: DataFrame, mode: str = "append", keys: list[str] | None = None, each: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """Run a streaming job over what is there into files of the shared folder, and read them.
+
+    A batch that is run again takes its own place. In update mode, of the
+    versions of a row (keys) the last batch's counts. each changes a batch
+    before it is written.
+    """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tokenledger-")
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "stream")
+    schemas = []
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+        out = each(batch, number) if each else batch
+        schemas.append(out.schema)
+        out.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
     query = df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{path}/out/batch=*")
+    if not schemas:
+        return spark.createDataFrame([], df.schema)
+    done = spark.read.schema(schemas[0]).parquet(f"{path}/out/batch=*") if not keys else spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out/batch=*")
+    if keys:
+        rest = [c for c in df.columns if c not in keys]
+        done = done.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*[c if c in keys else F.col(f"last.{c}").alias(c) for c in df.columns])
+    return done
 
 
-def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_to_table(daily(read_events(spark, sf_dir)), "update")
+# --- queries -------------------------------------------------------------------------
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.turns_of(read_stream(spark, f"{sf_dir}/events.parquet")).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_to_table(dedup(read_events(spark, sf_dir))).select("response_id", "session_id", "model")
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = read_stream(spark, f"{sf_dir}/conversations.parquet").where("role = 'user'")
+    model = "CASE conv_id % 4 WHEN 0 THEN 'claude-opus-4.8' WHEN 1 THEN 'gpt-4o-mini' WHEN 2 THEN 'o3' ELSE 'in-house-7b' END AS model"
+    return said.selectExpr("concat('c', conv_id) AS session_id", "cast(turn AS bigint) AS seq", "text AS prompt", model, "turn % 9 AS ref_count", "array('file:a') AS ref_ids").withColumn("context_tokens", token_estimate(F.col("prompt")))
 
 
-def stream_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_to_table(budget(read_events(spark, sf_dir)))
+def daily_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_to_table(stream_daily(_turns(spark, sf_dir)), "update", ["day", "model"])
 
 
-QUERIES = {"stream_daily": stream_daily, "stream_dedup": stream_dedup, "stream_budget": stream_budget}
+def dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _turns(spark, sf_dir).where("ts IS NOT NULL AND response_id <> ''")
+    return run_to_table(stream_dedup(rows, "40 days")).select("response_id")
+
+
+def enrich_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    threshold = refreshed(lambda x: calibration.snowball_threshold(T.usage_log(x, sf_dir)))
+    large = lambda batch, n: batch.join(F.broadcast(threshold(batch.sparkSession, n)), how="cross").withColumn("large", F.col("context_tokens") > F.col("threshold")).drop("threshold")
+    out = enrich(_requests(spark, sf_dir)).select("session_id", "seq", "projected", "projected_usd", "cheaper", F.array_join("findings", ",").alias("findings"), "context_tokens")
+    return run_to_table(out, each=large).drop("context_tokens")
+
+
+def session_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = pricing.output_multiplier(F.col("model"))
+    rows = _requests(spark, sf_dir).withColumns({"kind": F.lit("request"), "day": F.lit(""), "words": F.array_join(prompt_words(F.col("prompt")), " "), "spent": F.col("context_tokens"), "projected": F.col("context_tokens") + pricing.projected_output(F.col("context_tokens"), m)})
+    return run_to_table(coach(rows, idle=None)).select("session_id", "seq", "turn_index", "similarity", "growth", "ran")
+
+
+def budget_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with resets: each twenty-ninth event resets its session before its turn."""
+    rows = with_projection(T.turns_of(read_stream(spark, f"{sf_dir}/events.parquet"), monthly=True)).withColumns({"day": F.coalesce(F.to_date("ts").cast("string"), F.lit("")), "words": F.lit(""), "context_tokens": F.col("input_tokens")})
+    rows = rows.withColumn("kind", F.explode(F.when(F.col("seq") % 29 == 0, F.array(F.lit("reset"), F.lit("request"))).otherwise(F.array(F.lit("request")))))
+    rows = rows.withColumn("seq", F.col("seq") * 2 + (F.col("kind") == "request").cast("long"))
+    return run_to_table(coach(rows, idle=None)).select("session_id", F.floor(F.col("seq") / 2).alias("seq"), "turn_index", "session_used", "level")
+
+
+def sink_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usage log as a file sink: records are appended by the stream and read back."""
+    path = shared_folder(spark, "stream-log")
+    rows = pricing.list_cost(_turns(spark, sf_dir)).withColumn("turn_index", F.col("seq"))
+    query = sinks.usage_records(rows, "ledger").writeStream.format("text").option("path", f"{path}/log").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return readers.read_usage_log(spark, f"{path}/log", "ledger").select("session_id", F.col("turn_index").alias("seq"), "model", "input_tokens", "output_tokens", "cost_usd")
+
+
+QUERIES = {"stream_daily": daily_query, "stream_dedup": dedup_query, "stream_enrich": enrich_query, "stream_session_state": session_query, "stream_budget": budget_query, "stream_sink": sink_query}
+
+_D = DEFAULTS
+_SAID = "SELECT 'c' || conv_id AS session_id, turn AS seq, text AS prompt, CASE conv_id % 4 WHEN 0 THEN 'claude-opus-4.8' WHEN 1 THEN 'gpt-4o-mini' WHEN 2 THEN 'o3' ELSE 'in-house-7b' END AS model, cast(ceil(length(text) / 4) AS bigint) AS c FROM conversations WHERE role = 'user'"
+_WORDS = checks.WORDS.format("lower(prompt)", 1)
+ORACLES = {
+    "stream_daily": checks.statement("turns", "SELECT cast(cast(ts AS date) AS varchar) AS day, model, count(*) AS turns, cast(sum(input_tokens) AS bigint) AS input_tokens FROM turns WHERE ts IS NOT NULL GROUP BY ALL"),
+    "stream_dedup": checks.statement("turns", "SELECT DISTINCT response_id FROM turns WHERE ts IS NOT NULL AND response_id <> ''"),
+    "stream_enrich": checks.statement("book_of usage_log p90", f"""WITH p AS (SELECT x.*, b.price_key, {checks.PROJECT.format('c', checks.REASON.format('x.model'))} AS projected, p_in, p_out FROM ({_SAID}) x JOIN book_of b ON x.model = b.model),
+      asked_p AS (SELECT DISTINCT model, c AS tin, projected AS tout, c * p_in + projected * p_out AS now FROM p), g AS ({checks.suggestions('asked_p')})
+      SELECT session_id, seq, projected, cast(c * p_in + projected * p_out AS double) / 1e13 AS projected_usd, pick AS cheaper, c > CASE WHEN (SELECT count(*) FROM usage_log) >= {_D.min_turns} THEN coalesce(p90, {_D.snowball_tokens}) ELSE {_D.snowball_tokens} END AS large,
+        concat_ws(',', CASE WHEN seq % 9 > {_D.max_refs} THEN 'many_references' END, CASE WHEN regexp_matches(prompt, '^{checks.SPACES}*(```|[A-Za-z]:\\\\|/)') OR (length(prompt) > 600 AND NOT regexp_matches(prompt, '(?i)^{checks.SPACES}*(?:{S.STABLE_LEAD})')) THEN 'cache_order' END,
+          CASE WHEN NOT {checks.hint(_D.cheap_hints, 'p.model')} AND ({checks.word('prompt', S.TRIVIAL)} OR NOT {checks.word('prompt', S.HARD)}) AND length(prompt) < 600 AND pick IS NOT NULL THEN 'overkill' END,
+          CASE WHEN {checks.word('prompt', S.GENERATIVE)} AND NOT {checks.word('prompt', S.BRIEF)} AND length(prompt) < 2000 THEN 'no_cap' END, CASE WHEN {checks.hint(_D.reasoning_hints, 'p.model')} THEN 'reasoning' END, CASE WHEN price_key IS NULL THEN 'unknown_price' END) AS findings
+      FROM p LEFT JOIN g ON p.model = g.model AND c = tin AND projected = tout, p90"""),
+    "stream_session_state": f"""WITH p AS (SELECT *, {_WORDS} AS words FROM ({_SAID})), b AS (SELECT a.session_id, a.seq, max({checks.JACCARD.format('a.words', 'x.words')}) AS similarity FROM p a JOIN p x ON a.session_id = x.session_id AND x.seq < a.seq GROUP BY ALL),
+      r AS (SELECT p.session_id, p.seq, c, coalesce(similarity, 0.0) AS similarity, coalesce(similarity, 0) < {_D.dup_threshold} AS ran FROM p LEFT JOIN b ON p.session_id = b.session_id AND p.seq = b.seq)
+      SELECT session_id, seq, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS turn_index, similarity, c - last_value(CASE WHEN ran THEN c END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS growth, ran FROM r""",
+    "stream_budget": checks.statement("spent", f"""SELECT session_id, seq, turn_index, cast(su AS bigint) AS session_used, {checks.level('(su + projected)', '(du + projected)').split(', CASE')[0]} FROM (
+      SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS turn_index, {checks.BEFORE.format('session_id, segment')} AS su, {checks.BEFORE.format('session_id, run')} AS du FROM (
+        SELECT *, sum(CASE WHEN seq % 29 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY seq) AS segment, sum(moved) OVER (PARTITION BY session_id ORDER BY seq) AS run FROM (SELECT *, CASE WHEN d = lag(d) OVER (PARTITION BY session_id ORDER BY seq) THEN 0 ELSE 1 END AS moved FROM spent)))"""),
+    "stream_sink": checks.statement("turns book_of", "SELECT session_id, seq, t.model, input_tokens, output_tokens, floor(cast(input_tokens * p_in + output_tokens * p_out AS double) / 1e13 * 1e6 + 0.5) / 1e6 AS cost_usd FROM turns t JOIN book_of b ON t.model = b.model"),
+}
