@@ -14,91 +14,135 @@ from pyspark.sql import functions as F
 
 from tokenledger.llm.common import bounded, save, table
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|object)\b(?:"[^"]*"|'[^']*'|[^>"'])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<[!?][^>]*>""", re.S | re.I)
-_CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_WORD = re.compile(r"[a-z]+")
+_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|template|textarea)\b(?:"[^"]*"|'[^']*'|[^>"'])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<[!?][^>]*>""", re.S | re.I)
+_LABEL = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_DIGITS = re.compile(r"\d+")
 #: Fixed values of HTML: elements without content, elements that start a block, elements apart from an article.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 APART = frozenset("head nav footer aside form button select dialog menu title".split())
-APART_WORDS = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer masthead menu modal nav navbar navigation newsletter notice popup promo promoted related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+APART_WORDS = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter notice popup promo promoted related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+#: Words that may stand beside one of these in a class name.
+BESIDE = frozenset("area bar block bottom box button buttons container content form group icons inner item items left link links list main module outer page panel post posts right row section site stories text thread title top wrap wrapper".split())
 CLOSED_BY = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Share of a host's pages, and number of pages, from which an equivalence class of tokens is template.
-SUPPORT, PAGES = 0.5, 5
+#: Share of a host's pages, and number of pages, from which an equivalence class of tokens can be template; tokens that a class has.
+SUPPORT, PAGES, MEMBERS = 0.5, 5, 2
 
 
-def blocks(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(path, text, apart, in an article) of a page's blocks of text in order: references decoded, white space as one space.
+def is_apart(label: str) -> bool:
+    """Whether a class, id or role is, as a whole, that of a menu, advert, comment or the like."""
+    words = [w for w in re.split(r"[-_]", label) if w]
+    return any(w in APART_WORDS for w in words) and all(w in APART_WORDS or w in BESIDE for w in words)
 
-    apart: inside an element that is never article (menus, forms, footers,
-    adverts, comments and such by name, class, id or role). Unclosed elements
-    end with the one around them, a paragraph at the next block.
+
+class Page:
+    """A page's elements and blocks of text in order.
+
+    Elements are known by a hash of the names and labels from the root on
+    (digits in labels count alike) and by their parent's number. Blocks are
+    (element, text, apart, in an article): references decoded, white space as
+    one space. apart: inside an element that is never article. Unclosed
+    elements end with the one around them, a paragraph at the next block.
     """
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
-    said: list[str] = []
-    at = 0
-
-    def flush():
-        text = " ".join(entities.unescape("".join(said)).split())
-        said.clear()
-        return [(stack[-1][1], text, stack[-1][2], stack[-1][3])] if text else []
-
-    for m in _MARKUP.finditer(page):
-        said.append(page[at : m.start()])
-        at = m.end()
-        name = (m[3] or "").lower()
-        if not name:
-            continue
-        if name == "br":
-            said.append(" ")
-            continue
-        if name in BLOCK or name in APART or m[2] and any(x[0] == name and x[2] != y[2] for x, y in zip(stack[1:], stack, strict=False)):
-            yield from flush()
-        if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-            continue
-        ends = {"p"} if name in BLOCK else set()
-        ends |= CLOSED_BY.get(name, set())
+
+    def __init__(self, page: str):
+        self.path, self.parent, self.blocks = [0], [0], []
+        # open elements: name, number, apart, in an article
+        stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        self._said: list[str] = []
+        at = 0
+        for m in _MARKUP.finditer(page):
+            self._said.append(page[at : m.start()])
+            at = m.end()
+            name = (m[3] or "").lower()
+            if not name:
+                continue
+            if name == "br":
+                self._said.append(" ")
+            elif m[2]:
+                self._close(stack, name)
+            else:
+                self._open(stack, name, m[4])
+        self._said.append(page[at:])
+        self._flush(stack)
+        del self._said
+
+    def _flush(self, stack) -> None:
+        text = " ".join(entities.unescape("".join(self._said)).split())
+        self._said.clear()
+        if text:
+            self.blocks.append((stack[-1][1], text, stack[-1][2], stack[-1][3]))
+
+    def _close(self, stack, name: str) -> None:
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i][0] == name:
+                if name in BLOCK or name in APART or stack[i][2] != stack[i - 1][2]:
+                    self._flush(stack)
+                del stack[i:]
+                return
+        if name in BLOCK:
+            self._flush(stack)
+
+    def _open(self, stack, name: str, attributes: str) -> None:
+        if name in BLOCK or name in APART:
+            self._flush(stack)
+        ends = ({"p"} if name in BLOCK else set()) | CLOSED_BY.get(name, set())
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in ends:
                 del stack[i:]
                 break
             if stack[i][0] in BLOCK:
                 break
-        if name in VOID or m[4].rstrip().endswith("/"):
-            continue
-        _, path, apart, inside = stack[-1]
-        label = " ".join(x.strip("\"'").lower() for x in _CLASS.findall(m[4]))
-        words = set(_WORD.findall(label))
-        now = apart or name in APART or name == "header" and not inside or name not in ("html", "body", "article", "main") and bool(words & APART_WORDS)
+        if name in VOID or attributes.rstrip().endswith("/"):
+            return
+        _, up, apart, inside = stack[-1]
+        labels = " ".join(x.strip("\"'").lower() for x in _LABEL.findall(attributes)).split() if attributes else []
+        now = apart or name in APART or name == "header" and not inside or name not in ("html", "body", "article", "main") and any(map(is_apart, labels))
         if now and not apart:
-            yield from flush()
-        stack.append((name, f"{path}/{name}" + (f".{label}" if label else ""), now, inside or name in ("article", "main")))
-    said.append(page[at:])
-    yield from flush()
+            self._flush(stack)
+        number = len(self.path)
+        self.path.append(xxhash.xxh64_intdigest(f"{self.path[up]}/{name}.{_DIGITS.sub('#', ' '.join(labels))}") - (1 << 63))
+        self.parent.append(up)
+        stack.append((name, number, now, inside or name in ("article", "main")))
+
+    def below(self, path: int) -> list[bool]:
+        """For each element whether it or one around it has this path."""
+        out: list[bool] = []
+        for p, up in zip(self.path, self.parent, strict=True):
+            out.append(p == path or bool(out) and out[up])
+        return out
 
 
-def _token(path: str, text: str) -> int:
+def _token(path: int, text: str) -> int:
     return xxhash.xxh64_intdigest(f"{path}\0{text}") - (1 << 63)
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens of pages: paths (with the text they hold) and, outside articles, texts at paths, with their numbers of occurrences."""
+    """Tokens of pages with their numbers of occurrences: paths (token 0), with their depth and the text below them, and texts at paths."""
+    names = ["host", "page", "path", "token", "depth", "n", "chars"]
     for batch in batches:
-        host, page, path, token, count, size = [], [], [], [], [], []
-        for h, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            found: dict[tuple[str, int], list[int]] = {}
-            for where, said, apart, inside in blocks(text or ""):
-                for kind in [(where.rsplit("/", 1)[0], 0)] + ([] if inside or apart else [(where, _token(where, said))]):
-                    x = found.setdefault(kind, [0, 0])
-                    x[0] += 1
-                    x[1] += 0 if apart else len(said)
-            for (where, t), (n, chars) in found.items():
-                host.append(h), page.append(key), path.append(where), token.append(t), count.append(n), size.append(chars)
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(page, pa.int64()), pa.array(path, pa.string()), pa.array(token, pa.int64()), pa.array(count, pa.int64()), pa.array(size, pa.int64())], ["host", "page", "path", "token", "n", "chars"])
+        out: list[list] = [[] for _ in names]
+        for host, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            page = Page(text or "")
+            below, depth = [0] * len(page.path), [0] * len(page.path)
+            found: dict[tuple[int, int], list[int]] = {}
+            for number, said, apart, _ in page.blocks:
+                below[number] += 0 if apart else len(said)
+                x = found.setdefault((page.path[number], _token(page.path[number], said)), [0, 0, 0])
+                x[1] += 1
+                x[2] += 0 if apart else len(said)
+            for i in range(1, len(page.path)):
+                depth[i] = depth[page.parent[i]] + 1
+            for i in range(len(page.path) - 1, 0, -1):
+                below[page.parent[i]] += below[i]
+            for i, p in enumerate(page.path):
+                x = found.setdefault((p, 0), [depth[i], 0, 0])
+                x[1] += 1
+                x[2] += below[i]
+            for (path, token), (level, n, chars) in found.items():
+                for column, value in zip(out, (host, key, path, token, level, n, chars), strict=True):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), *(pa.array(c, pa.int64()) for c in out[1:])], names)
 
 
 def host_of(url):
@@ -111,31 +155,37 @@ def templates(pages: DataFrame) -> DataFrame:
     A token's occurrence vector is the list of its numbers of occurrences on
     the host's pages; a sum of page hashes times these numbers stands for it,
     so that vectors are built by a combining aggregation and no host's pages
-    are gathered. Tokens of one vector are an equivalence class; classes on
-    SUPPORT of the host's pages and on PAGES of them are its template, the
-    larger supports enclosing the smaller. fixed: the template's texts. main:
-    the path, below which most text is left in slots.
+    are gathered. Tokens of one vector are an equivalence class. A class of
+    MEMBERS tokens on SUPPORT of the host's pages, and on PAGES of them, is
+    part of the template. fixed: the template's texts. main: the slot that
+    holds the article; it is the innermost of the nested elements of the
+    template, once a page each, below which more than half of the host's text
+    is left that stands in no fixed token.
     """
     page = F.xxhash64("url", "html")
-    found = pages.select(host_of(F.col("url")).alias("host"), page.alias("page"), F.col("html").cast("string")).mapInArrow(_occurrences, "host string, page long, path string, token long, n long, chars long")
+    found = pages.select(host_of(F.col("url")).alias("host"), page.alias("page"), F.col("html").cast("string")).mapInArrow(_occurrences, "host string, page long, path long, token long, depth long, n long, chars long")
     vector = F.sum((F.shiftright("page", 24) * F.col("n")).cast("decimal(28,0)"))
-    tokens = save(found.groupBy("host", "path", "token").agg(vector.alias("vector"), F.count("*").alias("support"), F.sum("chars").alias("chars")), "html-tokens")
+    tokens = save(found.groupBy("host", "path", "token").agg(vector.alias("vector"), F.count("*").alias("support"), F.sum("n").alias("times"), F.max("depth").alias("depth"), F.sum("chars").alias("chars")), "html-tokens")
     totals = pages.groupBy(host_of(F.col("url")).alias("host")).agg(F.count("*").alias("pages"))
-    classes = tokens.groupBy("host", "vector", "support").agg(F.count("*").alias("members")).join(totals, "host").where((F.col("support") >= SUPPORT * F.col("pages")) & (F.col("support") >= PAGES))
-    own = tokens.join(classes.select("host", "vector", "support"), ["host", "vector", "support"], "left_semi")
-    fixed = own.where("token <> 0").groupBy("host").agg(F.collect_set("token").alias("fixed"))
-    main = tokens.where("token = 0 AND chars > 0").groupBy("host").agg(F.max(F.struct("chars", "path"))["path"].alias("main"))
-    return save(totals.join(main, "host", "left").join(fixed, "host", "left").select("host", "fixed", "main"), "html-templates")
-
-
-def main_text(page: str, fixed: set[int], main: str | None) -> str:
-    found = list(blocks(page))
-    if any(inside for _, _, _, inside in found):
-        kept = [text for _, text, apart, inside in found if inside and not apart]
-    else:
-        slots = [(where, text) for where, text, apart, _ in found if not apart and _token(where, text) not in fixed]
-        below = [text for where, text in slots if main and (where == main or where.startswith(main + "/"))]
-        kept = below or [text for _, text in slots]
+    classes = tokens.groupBy("host", "vector", "support").agg(F.count("*").alias("members")).join(totals, "host")
+    valid = classes.where((F.col("members") >= MEMBERS) & (F.col("support") >= SUPPORT * F.col("pages")) & (F.col("support") >= PAGES))
+    own = save(tokens.join(valid.select("host", "vector", "support"), ["host", "vector", "support"], "left_semi"), "html-own")
+    text = own.where("token <> 0")
+    fixed = text.groupBy("host").agg(F.collect_set("token").alias("fixed"), F.sum("chars").alias("fixed_chars"))
+    free = tokens.where("token = 0 AND depth = 0").select("host", F.col("chars").alias("every")).join(fixed.select("host", "fixed_chars"), "host", "left").select("host", (F.col("every") - F.coalesce("fixed_chars", F.lit(0))).alias("free"))
+    slots = own.where("token = 0 AND depth > 0 AND times = support").join(free, "host").where("free > 0 AND 2 * chars > free")
+    main = slots.groupBy("host").agg(F.max_by("path", F.struct("depth", "chars", "path")).alias("main"))
+    return save(totals.join(main, "host", "left").join(fixed.drop("fixed_chars"), "host", "left").select("host", "fixed", "main"), "html-templates")
+
+
+def main_text(html: str, fixed: set[int], main: int | None) -> str:
+    """The blocks in the template's main slot; without one on this page those in an article or main element, or all that are not template."""
+    page = Page(html)
+    below = page.below(main) if main is not None else []
+    kept = [text for number, text, apart, _ in page.blocks if below and below[number] and not apart]
+    kept = kept or [text for _, text, apart, inside in page.blocks if inside and not apart]
+    if not kept and not any(inside for *_, inside in page.blocks):
+        kept = [text for number, text, apart, _ in page.blocks if not apart and _token(page.path[number], text) not in fixed]
     return "\n\n".join(kept)
 
 
@@ -149,11 +199,12 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, url, text, n_chars.
 
-    The text of the page's article (article or main elements; without them
-    the slots of its host's template), without what stands apart. Null or
-    empty html and pages without an article's text: the empty text. Null
-    urls and urls without a host share one template. Repeated rows: each is
-    returned. Other columns are ignored. A template is broadcast where the
+    The text in the main slot of the host's template (see templates), without
+    what stands apart. Hosts of few pages and pages without that slot: what
+    their article or main elements hold, and without these all that stands
+    neither apart nor in the template. Null or empty html: the empty text.
+    Null urls and urls without a host share one template. Repeated rows: each
+    is returned. Other columns are ignored. A template is broadcast where the
     hosts are few (counted); else pages are joined to it by shuffling.
     """
     small = bounded(templates(pages), 20_000)
@@ -162,4 +213,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, a template for each host."""
     return extract(table(spark, sf_dir, "pages"))
