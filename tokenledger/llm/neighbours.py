@@ -11,19 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokenledger.llm.common import bounded, groups, save, table
+from tokenledger.llm.common import bounded, discard, groups, save, table
 
 #: Neighbours kept in the graph, first neighbours from each random tree, trees, members of a leaf (about) and of a block (at most).
-DEGREE, FIRST, TREES, LEAF, BLOCK = 24, 12, 14, 1_500, 2_500
-ROUNDS = 2
-#: Search: nodes kept for a query, nodes expanded in a hop, hops.
-BEAM, WIDTH, HOPS = 64, 12, 4
+DEGREE, FIRST, TREES, LEAF, BLOCK = 24, 14, 12, 1_100, 1_900
+#: Rounds of NN-descent end when fewer than this share of all lists change, or after so many.
+SETTLED, MOST_ROUNDS = 0.01, 12
+#: Search: nodes kept for a query, nodes expanded in a hop. Hops end when every kept node is expanded.
+BEAM, WIDTH = 96, 24
 
 _GRAPH = "id long, near array<long>, score array<float>"
 
 
 def _matrix(column, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in column), np.float16).reshape(-1, dim).astype(np.float32)
+    return np.frombuffer(b"".join(x.as_py() for x in column), np.float32).reshape(-1, dim)
 
 
 def _best(ids, near, score, keep: int) -> pa.RecordBatch:
@@ -64,7 +65,9 @@ def _local_joins(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.Rec
         x = _matrix(group["vector"].combine_chunks(), dim)[first]
         s = x @ x.T
         np.fill_diagonal(s, -np.inf)
-        a, b = np.nonzero(s > group["worst"].to_numpy()[first][:, None] + 1e-4)
+        worst, last = (group[k].to_numpy()[first][:, None] for k in ("worst", "last"))
+        near = 1e-6 * np.abs(worst)  # of equal scores the smaller id is nearer
+        a, b = np.nonzero((s > worst + near) | (s >= worst - near) & (ids[None, :] < last))
         for column, value in zip(out, (ids[a], ids[b], s[a, b]), strict=True):
             column.append(value)
         if sum(map(len, out[0])) > 200_000:
@@ -91,16 +94,22 @@ def _merge(lists: DataFrame) -> DataFrame:
 
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
-    """(id, x, vector): the first row of each vec_id whose vector has finite components, not all 0; vector as half floats."""
+    """(id, x): vectors of finite components, not all 0; of the rows of one vec_id the least."""
     x = F.col("embedding").cast("array<double>")
     ok = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall(x, lambda v: F.coalesce((F.abs(v) < float("inf")) & ~F.isnan(v), F.lit(False))) & F.exists(x, lambda v: v != 0)
-    rows = vectors.where(ok).select(F.col("vec_id").cast("long").alias("id"), x.alias("x")).dropDuplicates(["id"])
+    return vectors.where(ok).select(F.col("vec_id").cast("long").alias("id"), x.alias("x")).groupBy("id").agg(F.min("x").alias("x"))
+
+
+def packed(rows: DataFrame, dim: int, largest: float) -> DataFrame:
+    """rows (id, x) with vector: dim single floats, all vectors divided by one number, so that inner products keep their order."""
 
     def pack(batches):
         for batch in batches:
-            half = [np.asarray(v.as_py()) for v in batch.column(1)]
-            half = [(v / max(1e-300, np.abs(v).max()) if np.abs(v).max() > 1e3 else v).astype(np.float16).tobytes() for v in half]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(half, pa.binary())], ["id", "x", "vector"])
+            out = np.zeros((batch.num_rows, dim), np.float32)
+            for i, v in enumerate(batch.column(1)):
+                x = np.asarray(v.as_py())
+                out[i, : len(x)] = x / largest
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in out], pa.binary())], ["id", "x", "vector"])
 
     return rows.mapInArrow(pack, "id long, x array<double>, vector binary")
 
@@ -111,9 +120,9 @@ def build_graph(vectors: DataFrame, dim: int, count: int, seed: int = 1) -> Data
     Random trees give the first lists: a leaf is a pattern of signs before
     random hyperplanes, of LEAF members on average whatever the input's size;
     larger leaves are dealt at random into blocks, and one tree is random
-    blocks alone. Then, ROUNDS times, every node is a pivot: its neighbours
-    and DEGREE of those that it is a neighbour of are joined with their
-    vectors, meet there, and lists take what is nearer.
+    blocks alone. Then, in rounds until SETTLED, every node is a pivot: its
+    neighbours and DEGREE of those that it is a neighbour of are joined with
+    their vectors, meet there, and lists take what is nearer.
     """
     bits = max(0, math.ceil(math.log2(max(1, count) / LEAF)))
     planes = np.random.default_rng(seed).normal(size=(TREES, bits, dim)).astype(np.float32)
@@ -133,14 +142,20 @@ def build_graph(vectors: DataFrame, dim: int, count: int, seed: int = 1) -> Data
     blocks = dealt.join(vectors.select("id", "vector"), "id").select("block", "id", "vector")
     first = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(lambda it: _leaves(it, dim), _GRAPH)
     graph = save(_merge(first), "ann-graph")
-    for _ in range(ROUNDS):
+    for _ in range(MOST_ROUNDS):
         edges = graph.select(F.col("id").alias("pivot"), F.explode("near").alias("id"))
         back = graph.select("id", F.posexplode("near").alias("rank", "pivot"))
         back = back.withColumn("n", F.row_number().over(Window.partitionBy("pivot").orderBy("rank", "id"))).where(F.col("n") <= DEGREE).select("pivot", "id")
-        own = graph.select("id", F.when(F.size("score") < DEGREE, F.lit(-3.0e38)).otherwise(F.element_at("score", -1)).cast("float").alias("worst")).join(vectors.select("id", "vector"), "id")
-        meet = edges.unionByName(back).join(own, "id").select("pivot", "id", "vector", "worst")
+        full = F.size("score") >= DEGREE
+        own = graph.select("id", F.when(full, F.element_at("score", -1)).otherwise(F.lit(-3.0e38)).cast("float").alias("worst"), F.when(full, F.element_at("near", -1)).otherwise(F.lit(-1)).alias("last")).join(vectors.select("id", "vector"), "id")
+        meet = edges.unionByName(back).join(own, "id").select("pivot", "id", "vector", "worst", "last")
         better = meet.repartition("pivot").sortWithinPartitions("pivot").mapInArrow(lambda it: _local_joins(it, dim), _GRAPH)
-        graph = save(_merge(graph.unionByName(better)), "ann-graph")
+        new = save(_merge(graph.unionByName(better)), "ann-graph")
+        moved = new.join(graph.select("id", F.array_sort("near").alias("was")), "id").where(F.array_sort("near") != F.col("was")).count()
+        discard(graph)
+        graph = new
+        if moved <= SETTLED * count:
+            break
     return graph
 
 
@@ -160,13 +175,17 @@ def search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, k: int) ->
 
     start = graph.join(queries.select("id"), "id").select(F.col("id").alias("q"), F.explode("near").alias("node"))
     beam = save(scored(start).withColumn("open", F.lit(True)), "ann-beam")
-    for _ in range(HOPS):
+    while True:
         ranked = beam.withColumn("n", F.row_number().over(Window.partitionBy("q", "open").orderBy(F.desc("score"), "node")))
         ranked = save(ranked.withColumn("go", F.col("open") & (F.col("n") <= WIDTH)).select("q", "node", "score", "open", "go"), "ann-hop")
+        if not ranked.where("go").limit(1).count():
+            break
         reached = ranked.where("go").select("q", F.col("node").alias("id")).join(graph, "id").select("q", F.explode("near").alias("node")).distinct()
         new = scored(reached.join(ranked.select("q", "node"), ["q", "node"], "left_anti")).withColumn("open", F.lit(True))
-        beam = ranked.select("q", "node", "score", (F.col("open") & ~F.col("go")).alias("open")).unionByName(new)
-        beam = save(beam.withColumn("n", F.row_number().over(best)).where(F.col("n") <= BEAM).drop("n"), "ann-beam")
+        grown = ranked.select("q", "node", "score", (F.col("open") & ~F.col("go")).alias("open")).unionByName(new)
+        kept = save(grown.withColumn("n", F.row_number().over(best)).where(F.col("n") <= BEAM).drop("n"), "ann-beam")
+        discard(beam), discard(ranked)
+        beam = kept
     return beam.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), "rank", F.col("node").alias("vec_id"), "score")
 
 
@@ -174,18 +193,17 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """The k nearest other rows of the rows of vectors (vec_id, embedding) whose vec_id is divisible by every, by inner product.
 
     Null vectors and vectors that are zero, empty or hold null or non-finite
-    components take no part; of rows of one vec_id one counts. Vectors of
-    another length than the most frequent one take no part either. Up to BLOCK
-    vectors one block holds all, and the result is exact. Other columns are
-    ignored.
+    components take no part; of rows of one vec_id the least counts. Shorter
+    vectors are taken as ending in zeros. No rows: no rows. Other columns are
+    ignored. The graph is approximate: a search can miss neighbours.
     """
-    rows = valid_vectors(vectors)
-    rows = save(rows, "ann-vectors")
-    dims = rows.groupBy(F.size("x").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    dim, count = (dims[0]["dim"], dims[0]["count"]) if dims else (1, 0)
-    rows = rows.where(F.size("x") == dim)
-    return search(rows, build_graph(rows, dim, count), rows.where(F.col("id") % every == 0), k)
+    rows = save(valid_vectors(vectors), "ann-valid")
+    size = rows.agg(F.max(F.size("x")).alias("dim"), F.count("*").alias("n"), F.max(F.array_max(F.transform("x", F.abs))).alias("most")).first()
+    dim, count = size["dim"] or 1, size["n"]
+    data = save(packed(rows, dim, size["most"] or 1.0), "ann-vectors")
+    return search(data, build_graph(data, dim, count), data.where(F.col("id") % every == 0), k)
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors, the 20 nearest of each twentieth."""
     return nearest(table(spark, sf_dir, "embeddings"))
