@@ -1,4 +1,4 @@
-"""Removal of long repeated byte strings: anchored suffixes compared by prefix polynomial hashes."""
+"""Removal of long repeated byte strings: suffixes at anchors, sorted by comparisons of prefix polynomial hashes."""
 
 from __future__ import annotations
 
@@ -7,33 +7,141 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tokenledger.llm.common import _TABLE, bounded, mix, powers, save, table, text_chunks
+from tokenledger.llm.common import _TABLE, bounded, discard, mix, powers, save, table, text_chunks
 
-#: Two odd bases: spans are equal only if both their hashes are.
-BASES = (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47)
+#: The odd base of the prefix hashes.
+BASE = 0x2545F4914F6CDD1D
 #: Members of a group from which it is dealt again, by ranges of offsets and what these have in common.
 HOT = 2_000
+#: Members up to which all of them are broadcast.
+MEMBERS = 1_000_000
 
 
 class Spans:
-    """Hashes of any span of some bytes, from prefix sums of two polynomials."""
+    """Hashes of any span of some bytes, from prefix sums of a polynomial."""
 
     def __init__(self, data: np.ndarray):
-        value = _TABLE[data]
-        self.sums, self.back = [], []
-        for base in BASES:
-            s = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(value * powers(base, len(data)), out=s[1:])
-            self.sums.append(s)
-            self.back.append(powers(pow(base, -1, 1 << 64), len(data) + 1))
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_TABLE[data] * powers(BASE, len(data)), out=self.sums[1:])
+        self.back = powers(pow(BASE, -1, 1 << 64), len(data) + 1)
 
-    def hash(self, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-        s = self.sums[which]
-        return mix((s[end] - s[start]) * self.back[which][start] + (end - start).astype(np.uint64))
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
+
+
+class Suffixes:
+    """Texts read from some places of some bytes onwards (step 1) or backwards (step -1), as far as size tells, sorted within keys.
+
+    Two are compared by the length of what they have in common, found by
+    binary search on the prefix hashes, and the byte behind it: a number of
+    steps that grows with the logarithm of their length. order: the sorted
+    suffixes; common: what each has in common with the one before it, 0 at the
+    first of a key. Neighbours that the hashes call equal are compared byte by
+    byte; where one pair is not, all are sorted by their bytes instead.
+    """
+
+    def __init__(self, data: np.ndarray, spans: Spans, at: np.ndarray, size: np.ndarray, key: np.ndarray, step: int):
+        self.data, self.spans, self.at, self.size, self.key, self.step = data, spans, at, size, key, step
+        self.order = self._sorted()
+        a, b = self.order[:-1], self.order[1:]
+        same = key[a] == key[b]
+        self.common = np.zeros(len(at), np.int64)
+        self.common[1:][same] = self.extension(a[same], b[same])
+        if not self._verified():
+            said = [data[x : x + n].tobytes() if step > 0 else data[x - n : x].tobytes()[::-1] for x, n in zip(at, size, strict=True)]
+            self.order = np.array(sorted(range(len(at)), key=lambda i: (key[i], said[i])), np.int64)
+            for k in range(1, len(at)):
+                x, y = (said[i] for i in self.order[k - 1 : k + 1])
+                n = min(len(x), len(y))
+                apart = np.flatnonzero(np.frombuffer(x[:n], np.uint8) != np.frombuffer(y[:n], np.uint8))
+                self.common[k] = 0 if key[self.order[k - 1]] != key[self.order[k]] else int(apart[0]) if len(apart) else n
+
+    def extension(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The longest common beginnings of the suffixes i and j, by binary search."""
+        low, high = np.zeros(len(i), np.int64), np.minimum(self.size[i], self.size[j])
+        a, b = self.at[i], self.at[j]
+        while (low < high).any():
+            n = (low + high + 1) // 2
+            same = self.spans.hash(a, a + n) == self.spans.hash(b, b + n) if self.step > 0 else self.spans.hash(a - n, a) == self.spans.hash(b - n, b)
+            low, high = np.where(same, n, low), np.where(same, high, n - 1)
+        return low
+
+    def _before(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the suffixes i stand before j: by key, by the byte behind what they share, the shorter and then the lower number first."""
+        out = self.key[i] < self.key[j]
+        tied = np.flatnonzero(self.key[i] == self.key[j])
+        a, b = i[tied], j[tied]
+        n = self.extension(a, b)
+        ended = (n == self.size[a]) | (n == self.size[b])
+        to = (lambda x: self.at[x] + n) if self.step > 0 else (lambda x: self.at[x] - n - 1)
+        last = len(self.data) - 1
+        x, y = (self.data[np.clip(to(z), 0, last)] for z in (a, b))
+        shorter = (self.size[a] < self.size[b]) | (self.size[a] == self.size[b]) & (a < b)
+        out[tied] = np.where(ended, shorter, x < y)
+        return out
+
+    def _sorted(self) -> np.ndarray:
+        """Mergesort from the bottom up: all runs of a width are merged at once, each element placed by binary search in the other run."""
+        n = len(self.at)
+        order = np.argsort(self.key, kind="stable")
+        width = 1
+        while width < n:
+            place = np.arange(n)
+            start = place // (2 * width) * (2 * width)
+            left = place - start < width
+            other = np.where(left, start + width, start)
+            low, high = np.minimum(other, n), np.minimum(np.where(left, start + 2 * width, start + width), n)
+            first = low.copy()
+            while True:
+                open_ = np.flatnonzero(low < high)
+                if not len(open_):
+                    break
+                mid = (low[open_] + high[open_]) // 2
+                behind = self._before(order[mid], order[open_])
+                low[open_], high[open_] = np.where(behind, mid + 1, low[open_]), np.where(behind, high[open_], mid)
+            merged = np.empty(n, np.int64)
+            merged[np.where(left, place, place - width) + (low - first)] = order
+            order, width = merged, 2 * width
+        return order
+
+    def _verified(self) -> bool:
+        """Whether neighbours have in common, byte by byte, what the hashes say."""
+        n = self.common[1:]
+        shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        a, b = (np.repeat(self.at[x], n) + (shift if self.step > 0 else -1 - shift) for x in (self.order[:-1], self.order[1:]))
+        return bool((self.data[a] == self.data[b]).all())
+
+    def classes(self, length: int) -> np.ndarray:
+        """A number for each suffix: equal for those of one key that have length bytes in common."""
+        out = np.empty(len(self.at), np.int64)
+        out[self.order] = np.cumsum(self.common < length) if length else np.cumsum(np.concatenate([[True], self.key[self.order[1:]] != self.key[self.order[:-1]]]))
+        return out
+
+
+def repeated_windows(data: np.ndarray, begin: np.ndarray, lo: np.ndarray, hi: np.ndarray, pos: np.ndarray, key: np.ndarray, length: int) -> np.ndarray:
+    """For each member and each number of bytes from a window's start to the anchor (0 to length / 2), whether another member of its key has the same window.
+
+    The members' bytes, from lo to hi + length, begin at begin in data. The
+    windows of two members at one distance before the anchor are equal if the
+    members share that many bytes before their anchors and the rest behind.
+    """
+    spans = Spans(data)
+    at = begin + pos - lo
+    right = Suffixes(data, spans, at, hi + length - pos, key, 1)
+    left = Suffixes(data, spans, at, pos - lo, key, -1)
+    out = np.zeros((len(lo), length // 2 + 1), bool)
+    for before in range(length // 2 + 1):
+        mine = np.flatnonzero((lo <= pos - before) & (pos - before <= hi))
+        if len(mine) < 2:
+            continue
+        kind = right.classes(length - before)[mine] * (len(lo) + 1) + left.classes(before)[mine]
+        _, which, many = np.unique(kind, return_inverse=True, return_counts=True)
+        out[mine, before] = many[which] > 1
+    return out
 
 
 def _least_at(g: np.ndarray, width: int) -> np.ndarray:
@@ -55,7 +163,7 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int):
     A window's anchor is the smallest hash among its runs of length / 2 bytes,
     so equal windows have equal anchors at equal offsets. Consecutive windows
     of one anchor are one row: (document, anchor, first window, last window,
-    anchor hash, two hashes of all bytes of the windows).
+    anchor hash, and two hashes of all bytes of the windows: the polynomial one and an independent one).
     """
     gram = length // 2
     none = np.zeros(0, np.int64)
@@ -74,7 +182,9 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int):
     first = inside[new]
     last = inside[np.append(np.flatnonzero(new)[1:], len(inside)) - 1]
     anchor, owner = at[first], doc[first]
-    return owner, anchor, first, last, g[anchor], spans.hash(first, last + length), spans.hash(first, last + length, 1)
+    said = memoryview(np.ascontiguousarray(data))
+    own = np.fromiter((xxhash.xxh64_intdigest(said[a:b]) for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)), np.uint64, len(first))
+    return owner, anchor, first, last, g[anchor], spans.hash(first, last + length), own
 
 
 _ANCHORS = "doc long, gram long, pos int, lo int, hi int, run long, run2 long"
@@ -83,7 +193,7 @@ _ANCHORS = "doc long, gram long, pos int, lo int, hi int, run long, run2 long"
 def _scan(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = batch.column(0)
-        for at, rows, data, offsets in text_chunks(batch, limit=1_000_000):
+        for at, rows, data, offsets in text_chunks(batch, limit=500_000):
             doc, anchor, first, last, g, h, h2 = anchored_runs(data, offsets, length)
             base = offsets[doc] if len(doc) else doc
             arrays = [keys.slice(at, rows).take(pa.array(doc)), pa.array(g.view(np.int64)), *(pa.array((x - base).astype(np.int32)) for x in (anchor, first, last)), pa.array(h.view(np.int64)), pa.array(h2.view(np.int64))]
@@ -109,29 +219,18 @@ def _repeated(batches: Iterator[pa.RecordBatch], length: int, limit: int = 4_000
 
     def tile(rows: pa.Table) -> pa.RecordBatch:
         buffers = rows["bytes"].combine_chunks().cast(pa.large_binary())
-        lo, hi, pos, done, key = (rows[k].to_numpy() for k in ("lo", "hi", "pos", "done", "tile"))
-        ends = np.concatenate([[0], np.cumsum(hi - lo + length)])
+        lo, hi, pos = (rows[k].to_numpy().astype(np.int64) for k in ("lo", "hi", "pos"))
+        done, key = rows["done"].to_numpy(), rows["tile"].to_numpy()
+        begin = np.concatenate([[0], np.cumsum(hi - lo + length)])[:-1]
         data = np.frombuffer(b"".join(x.as_py() for x in buffers), np.uint8)
-        n = hi - lo + 1
-        row = np.repeat(np.arange(len(lo)), n)
-        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        start = ends[row] + step
-        spans = Spans(data)
-        h, h2 = spans.hash(start, start + length), spans.hash(start, start + length, 1)
-        offset = (lo[row] + step - pos[row]).astype(np.int64)
-        order = np.lexsort((h2, h, offset, key[row]))
-        same = np.zeros(len(order) + 1, bool)
-        r, o = row[order], order
-        same[1:-1] = (h[o[1:]] == h[o[:-1]]) & (h2[o[1:]] == h2[o[:-1]]) & (offset[o[1:]] == offset[o[:-1]]) & (key[r[1:]] == key[r[:-1]])
-        hit = np.zeros(len(order), bool)
-        hit[order] = same[1:] | same[:-1]
-        hit &= ~done[row]
-        i = np.flatnonzero(hit)
-        new = np.ones(len(i), bool)
-        new[1:] = (np.diff(i) > 1) | (row[i[1:]] != row[i[:-1]])
-        first = i[new]
-        last = i[np.append(np.flatnonzero(new)[1:], len(i)) - 1] if len(i) else i
-        out = [rows["doc"].combine_chunks().take(pa.array(row[first])), pa.array((lo[row[first]] + step[first]).astype(np.int64)), pa.array((lo[row[last]] + step[last] + length).astype(np.int64))]
+        hit = repeated_windows(data, begin, lo, hi, pos, key, length) & ~done[:, None]
+        row, before = np.nonzero(hit[:, ::-1])  # windows of a member from its first on
+        start = pos[row] - (hit.shape[1] - 1 - before)
+        new = np.ones(len(row), bool)
+        new[1:] = (np.diff(start) != 1) | (np.diff(row) != 0)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(row)) - 1 if len(first) else first
+        out = [rows["doc"].combine_chunks().take(pa.array(row[first])), pa.array(start[first]), pa.array(start[last] + length)]
         return pa.RecordBatch.from_arrays(out, ["doc", "s", "e"])
 
     size = 0
@@ -175,12 +274,14 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
 
     Removed is every byte covered by a string of length bytes that also starts
     elsewhere. Each window of that length is anchored at its smallest hash of
-    half the length; anchors that occur once are done with. Runs of windows
-    of one anchor that are equal as a whole (two 64-bit hashes) are repeated
-    throughout. Of the others, and of one run for each kind of equal ones, the
-    bytes are brought together by anchor, and each window's two hashes are
-    sorted to find those that occur twice. Groups of HOT or more are dealt
-    again by ranges of offsets and the bytes common to such a range.
+    half the length, and anchors whose half length occurs once are done with:
+    what is left are the suffixes at anchors, dealt out by their first bytes.
+    Runs of windows of one anchor that are equal as a whole (by two independent
+    64-bit hashes) are repeated throughout. The others, and one run for each
+    kind of equal ones, meet by anchor and are sorted there, onwards and
+    backwards from the anchor (see Suffixes); what neighbours have in common
+    tells which windows occur twice. Groups of HOT or more are dealt again by
+    ranges of offsets and the bytes common to such a range.
 
     Null text: no bytes. Texts under length: nothing removed. Repeated rows
     are documents of their own. Null doc_id and clashing column names: fine,
@@ -188,15 +289,20 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """
     text = docs.select(F.xxhash64("doc_id", "text").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = text.select("doc", "text").mapInArrow(lambda it: _scan(it, length), _ANCHORS)
-    gram = Window.partitionBy("gram")
-    runs = save(found.withColumn("n", F.count("*").over(gram)).where("n > 1").drop("n"), "repeats-anchors")
+    found = save(found, "repeats-found")
+    # counts are combined before the shuffle, and a common anchor's rows may be split in the join
+    twice = save(found.groupBy("gram").count().where("count > 1").select("gram"), "repeats-grams")
+    runs = save(found.join(bounded(twice), "gram"), "repeats-anchors")
+    discard(found), discard(twice)
     kinds = runs.groupBy("gram", "run", "run2", F.expr("lo - pos").alias("x"), F.expr("hi - pos").alias("y")).agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos", "lo", "hi")).alias("one"))
-    kinds = save(kinds.withColumn("kinds", F.count("*").over(gram)), "repeats-kinds")
+    kinds = save(kinds, "repeats-kinds")
     whole = runs.join(kinds.where("n > 1").select("gram", "run", "run2", "x", "y"), ["gram", "run", "run2"], "left_semi")
     covered = whole.select("doc", F.col("lo").cast("long").alias("s"), (F.col("hi") + length).cast("long").alias("e"))
-    part = kinds.where("kinds > 1").select("gram", "one.*", (F.col("n") > 1).alias("done"), "kinds")
+    several = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    part = kinds.join(several, "gram").select("gram", "one.*", (F.col("n") > 1).alias("done"), "kinds")
     per = save(part.groupBy("doc").agg(F.collect_list(F.struct("gram", "pos", "lo", "hi", "done", "kinds")).alias("members")), "repeats-members")
-    rows = text.select("doc", "text").join(bounded(per, 100_000), "doc").select("doc", "text", "members")
+    members = per.agg(F.coalesce(F.sum(F.size("members")), F.lit(0))).first()[0]  # of 33 bytes each
+    rows = text.select("doc", "text").join(F.broadcast(per) if members <= MEMBERS else per, "doc").select("doc", "text", "members")
     rows = rows.mapInArrow(lambda it: _contexts(it, length), "gram long, doc long, pos int, lo int, hi int, done boolean, kinds long, bytes binary").dropDuplicates(["gram", "doc", "pos"])
     tiles = rows.where(F.col("kinds") < HOT).select(F.xxhash64("gram").alias("tile"), "doc", "pos", "lo", "hi", "bytes", "done")
     step = length // 16 + 1  # offsets from anchors go from 0 to length / 2: 8 ranges
@@ -205,7 +311,7 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     hot = hot.select(F.xxhash64("gram", "range", core).alias("tile"), "doc", "pos", F.col("a").alias("lo"), F.col("b").alias("hi"), F.expr(f"substring(bytes, a - lo + 1, b - a + {length})").alias("bytes"), "done")
     tiles = tiles.unionByName(hot)
     tiles = tiles.repartition("tile").sortWithinPartitions("tile")
-    some = tiles.mapInArrow(lambda it: _repeated(it, length), "doc long, s long, e long")
+    some = save(tiles.mapInArrow(lambda it: _repeated(it, length), "doc long, s long, e long"), "repeats-spans")
     # coverage of equal rows (one key) is that of each of them; a text that occurs as two rows is repeated as a whole
     twice = text.where(F.octet_length("text") >= length).groupBy("doc").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).cast("long").alias("e")).where("n > 1").select("doc", F.lit(0).cast("long").alias("s"), "e")
     spans = covered.unionByName(some).unionByName(twice).groupBy("doc").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
