@@ -25,6 +25,8 @@ APART_WORDS = frozenset("ad ads advert advertisement banner breadcrumb breadcrum
 #: Words that may stand beside one of these in a class name.
 BESIDE = frozenset("area bar block bottom box button buttons container content form group icons inner item items left link links list main module outer page panel post posts right row section site stories text thread title top wrap wrapper".split())
 CLOSED_BY = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements that can be the slot of an article: they hold blocks.
+HOLDERS = frozenset("article body center div main section table tbody td tr".split())
 #: Share of a host's pages, and number of pages, from which an equivalence class of tokens can be template; tokens that a class has.
 SUPPORT, PAGES, MEMBERS = 0.5, 5, 2
 
@@ -46,7 +48,7 @@ class Page:
     """
 
     def __init__(self, page: str):
-        self.path, self.parent, self.blocks = [0], [0], []
+        self.path, self.parent, self.holder, self.blocks = [0], [0], [False], []
         # open elements: name, number, apart, in an article
         stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
         self._said: list[str] = []
@@ -103,6 +105,7 @@ class Page:
         number = len(self.path)
         self.path.append(xxhash.xxh64_intdigest(f"{self.path[up]}/{name}.{_DIGITS.sub('#', ' '.join(labels))}") - (1 << 63))
         self.parent.append(up)
+        self.holder.append(name in HOLDERS)
         stack.append((name, number, now, inside or name in ("article", "main")))
 
     def below(self, path: int) -> list[bool]:
@@ -118,7 +121,7 @@ def _token(path: int, text: str) -> int:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens of pages with their numbers of occurrences: paths (token 0), with their depth and the text below them, and texts at paths."""
+    """Tokens of pages with their numbers of occurrences: paths (token 0), with their depth (0 if they are no HOLDERS) and the text below them, and texts at paths."""
     names = ["host", "page", "path", "token", "depth", "n", "chars"]
     for batch in batches:
         out: list[list] = [[] for _ in names]
@@ -136,7 +139,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(len(page.path) - 1, 0, -1):
                 below[page.parent[i]] += below[i]
             for i, p in enumerate(page.path):
-                x = found.setdefault((p, 0), [depth[i], 0, 0])
+                x = found.setdefault((p, 0), [depth[i] if page.holder[i] else 0, 0, 0])
                 x[1] += 1
                 x[2] += below[i]
             for (path, token), (level, n, chars) in found.items():
@@ -158,7 +161,7 @@ def templates(pages: DataFrame) -> DataFrame:
     are gathered. Tokens of one vector are an equivalence class. A class of
     MEMBERS tokens on SUPPORT of the host's pages, and on PAGES of them, is
     part of the template. fixed: the template's texts. main: the slot that
-    holds the article; it is the innermost of the nested elements of the
+    holds the article; it is the innermost of the nested HOLDERS of the
     template, once a page each, below which more than half of the host's text
     is left that stands in no fixed token.
     """
@@ -172,7 +175,7 @@ def templates(pages: DataFrame) -> DataFrame:
     own = save(tokens.join(valid.select("host", "vector", "support"), ["host", "vector", "support"], "left_semi"), "html-own")
     text = own.where("token <> 0")
     fixed = text.groupBy("host").agg(F.collect_set("token").alias("fixed"), F.sum("chars").alias("fixed_chars"))
-    free = tokens.where("token = 0 AND depth = 0").select("host", F.col("chars").alias("every")).join(fixed.select("host", "fixed_chars"), "host", "left").select("host", (F.col("every") - F.coalesce("fixed_chars", F.lit(0))).alias("free"))
+    free = tokens.where("token = 0 AND depth = 0").where("path = 0").select("host", F.col("chars").alias("every")).join(fixed.select("host", "fixed_chars"), "host", "left").select("host", (F.col("every") - F.coalesce("fixed_chars", F.lit(0))).alias("free"))
     slots = own.where("token = 0 AND depth > 0 AND times = support").join(free, "host").where("free > 0 AND 2 * chars > free")
     main = slots.groupBy("host").agg(F.max_by("path", F.struct("depth", "chars", "path")).alias("main"))
     return save(totals.join(main, "host", "left").join(fixed.drop("fixed_chars"), "host", "left").select("host", "fixed", "main"), "html-templates")
