@@ -1,0 +1 @@
+"""The ledger's operators: functions of DataFrames and Settings, without actions."""
