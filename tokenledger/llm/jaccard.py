@@ -362,12 +362,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         return out
 
     tested = save(open_pairs(tiles.select(F.col("key").alias("tile"), "node", F.col("node").alias("component")), None), "jaccard-pairs")
-    links, most = [verified(tested.select("a", "b"))], 1
+    known, most = verified(tested.select("a", "b")), 1
+    named = components(known)
     while True:
-        known = links[0]
-        for more in links[1:]:
-            known = known.unionByName(more)
-        named = components(known)
         part = tiles.join(named.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         apart = part.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("x <> y").select("key", "blocks")
         dealt = part.join(apart, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -375,13 +372,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         found = save(open_pairs(dealt, most), "jaccard-pairs")
         rest = save(found.join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "b"), "jaccard-rest")
         if rest.limit(1).count():
-            links.append(verified(rest))
+            more = verified(rest)
+            if more.limit(1).count():
+                known = known.unionByName(more)
+                named = components(known)
         if not found.where("cut").limit(1).count():
             break
-        tested, most = tested.select("a", "b").unionByName(rest), most * 16
-    if len(links) > 1:
-        known = known.unionByName(links[-1])
-        named = components(known)
+        tested, most = tested.select("a", "b").unionByName(rest), most * 64
     degree = known.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     label = nodes.select("node", "least").join(named.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     label = label.join(label.groupBy("component").agg(F.min("least").alias("component_id")), "component").join(degree, "node", "left").select("node", "n_links", "component_id")
