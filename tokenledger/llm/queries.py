@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tokenledger.llm import decontamination, html_text, jaccard, language_id, line_dedup, mixing, neighbours, substring_dedup, toxicity, warc
+from tokenledger.llm import decontamination, fill_middle, filter_audit, html_text, jaccard, language_id, line_dedup, mixing, neighbours, sharding, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_decontaminate": decontamination.op9_decontaminate,
     "op10_html_text": html_text.op10_html_text,
+    "op11_fill_middle": fill_middle.op11_fill_middle,
+    "op12_shard": sharding.op12_shard,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
-ORACLES = {"op5_jaccard_join": jaccard.ORACLE_SQL, "op9_decontaminate": decontamination.ORACLE_SQL}
+ORACLES = {"op5_jaccard_join": jaccard.ORACLE_SQL, "op9_decontaminate": decontamination.ORACLE_SQL, "op11_fill_middle": fill_middle.ORACLE_SQL, "op13_filter_audit": filter_audit.ORACLE_SQL}
