@@ -4,7 +4,6 @@ import datetime
 import sqlite3
 
 import duckdb
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,15 +303,7 @@ def test_stream_equals_batch_over_several_batches(spark, tmp_path):
     assert rows(got) == rows(con.execute(jobs.ORACLES["stream_daily"]).df())
 
 
-def test_coach_state_carries_on(spark):
-    batch = lambda *r: pd.DataFrame([(i, k, d, w, c, c, c) for i, k, d, w, c in r], columns=["seq", "kind", "day", "words", "context_tokens", "projected", "spent"])
-    s = Settings(session_budget=100, daily_budget=1000)
-    first, state = jobs.coached("s", batch((1, "request", "a", "x y", 60), (2, "request", "a", "x y", 70)), None, s)
-    assert [(r[2], r[3], r[4], r[5], r[9]) for r in first] == [(1, 0.0, None, 0, True), (2, 1.0, 10, 60, False)]
-    second, state = jobs.coached("s", batch((3, "request", "b", "z", 50), (4, "reset", "b", "", 0), (5, "request", "b", "q", 30)), state, s)
-    assert [(r[2], r[4], r[5], r[6], r[7]) for r in second] == [(3, -10, 60, 0, "over"), (4, -20, 0, 50, "ok")]
-    blocked, _ = jobs.coached("s", batch((1, "request", "a", "x", 60), (2, "request", "a", "y", 60), (3, "request", "a", "z", 30)), None, Settings(session_budget=100, hard_block=True))
-    assert [(r[5], r[9]) for r in blocked] == [(0, True), (60, False), (60, True)]
+def test_tables_are_refreshed_by_batch_number(spark):
     reads = []
     table = jobs.refreshed(lambda x: reads.append(1) or x.range(1), 25)
     for n in range(30):

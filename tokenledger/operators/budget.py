@@ -2,39 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from tokenledger import staging
 from tokenledger.functions.text import half_up
-from tokenledger.operators.pricing import output_multiplier, projected_output
+from tokenledger.operators.carry import running_before, sums_before
+from tokenledger.operators.pricing import output_multiplier, projected_output, with_learnt
 from tokenledger.settings import DEFAULTS, Settings
 
-#: Values of the order column that one block of a running sum spans.
-BLOCK = 1 << 16
 
+def with_projection(turns: DataFrame, s: Settings = DEFAULTS, multipliers: DataFrame | None = None) -> DataFrame:
+    """turns with projected (their context and expected output) and spent (what they are billed for).
 
-def running_before(rows: DataFrame, keys: list[str], order: str, value: Column, name: str, width: int = BLOCK) -> DataFrame:
-    """rows with name: the sum of value over the earlier rows of the same keys (not null), by order, a unique long.
-
-    Sums of blocks of the order's values, their running sums, and then windows
-    within blocks: a key with a third of all rows is spread over many tasks.
+    multipliers: (model, multiplier) learnt from history. A turn whose skipped
+    is true, where that is a column, was answered by an earlier one and spends nothing.
     """
-    rows = rows.withColumn("block_", F.floor(F.col(order) / width)).withColumn("value_", value)
-    earlier = Window.partitionBy(*keys).orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy(*keys, "block_").agg(F.sum("value_").alias("sum_")).withColumn("base_", F.coalesce(F.sum("sum_").over(earlier), F.lit(0))).drop("sum_")
-    inside = Window.partitionBy(*keys, "block_").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.join(sums, [*keys, "block_"]).withColumn(name, (F.col("base_") + F.coalesce(F.sum("value_").over(inside), F.lit(0))).cast("long"))
-    return out.drop("block_", "value_", "base_")
-
-
-def with_projection(turns: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """turns with projected (their context and expected output) and spent (what they are billed for)."""
-    m = output_multiplier(F.col("model"), s)
-    return turns.withColumn("projected", F.col("input_tokens") + projected_output(F.col("input_tokens"), m)).withColumn("spent", F.col("input_tokens") + F.ceil(F.col("output_tokens") * m).cast("long"))
+    turns, own = with_learnt(turns, multipliers)
+    m = output_multiplier(F.col("model"), s, own)
+    spent = F.col("input_tokens") + F.ceil(F.col("output_tokens") * m).cast("long")
+    if "skipped" in turns.columns:
+        spent = F.when(F.col("skipped"), F.lit(0).cast("long")).otherwise(spent)
+    return turns.withColumn("projected", F.col("input_tokens") + projected_output(F.col("input_tokens"), m)).withColumn("spent", spent).drop("learnt")
 
 
 def verdict(session_after: Column, day_after: Column, s: Settings = DEFAULTS) -> tuple[Column, Column]:
@@ -47,55 +38,104 @@ def verdict(session_after: Column, day_after: Column, s: Settings = DEFAULTS) ->
     return level, budget
 
 
-def _shown(rows: DataFrame, s: Settings) -> DataFrame:
+def shown(rows: DataFrame, s: Settings) -> DataFrame:
+    """rows (session_used, day_used, projected) with percentages, level and budget."""
     a, b = F.col("session_used") + F.col("projected"), F.col("day_used") + F.col("projected")
     level, budget = verdict(a, b, s)
     return rows.withColumns({"session_pct": half_up(a * 100.0 / s.session_budget), "day_pct": half_up(b * 100.0 / s.daily_budget), "level": level, "budget": budget})
 
 
-def budget_replay(turns: DataFrame, s: Settings = DEFAULTS, owner: str = "session_id", daily_owner: str = "project") -> DataFrame:
+#: Open turns of a day's owner up to which they are settled in order at once.
+FOLDED = 2048
+
+#: Open turns in order: x.s and x.d are keys, ran what has run since the bases.
+_FOLD = """
+aggregate(open, named_struct('ran', slice(open, 1, 0), 'stopped', cast(array() AS array<bigint>)),
+  (a, x) -> if(x.session_base + aggregate(filter(a.ran, y -> y.s <=> x.s), 0L, (t, y) -> t + y.spent) + x.projected < {session}
+           AND x.day_base + aggregate(filter(a.ran, y -> y.d <=> x.d), 0L, (t, y) -> t + y.spent) + x.projected < {daily},
+    named_struct('ran', if(x.spent > 0, concat(a.ran, array(x)), a.ran), 'stopped', a.stopped),
+    named_struct('ran', a.ran, 'stopped', concat(a.stopped, array(x.seq)))),
+  a -> a.stopped)
+"""
+
+
+def _folded(open_: DataFrame, s: Settings, session: list[str], day: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(seq of stopped turns, turns that stay open): owners of few open turns, and of sessions of their own alone, are settled in order."""
+    owner = day[0]
+    alone = open_.groupBy(*session).agg((F.min(owner) == F.max(owner)).alias("alone_"))
+    small = open_.join(alone, session).groupBy(owner).agg(F.count("*").alias("n_"), F.min("alone_").alias("alone_")).where(f"n_ <= {FOLDED} AND alone_").select(owner)
+    turn = F.struct("seq", F.struct(*session).alias("s"), F.struct(*day).alias("d"), "projected", "spent", "session_base", "day_base")
+    lists = open_.join(small, owner, "left_semi").groupBy(owner).agg(F.array_sort(F.collect_list(turn)).alias("open"))  # FOLDED turns at most
+    stopped = lists.select(F.explode(F.expr(_FOLD.format(session=int(s.session_budget), daily=int(s.daily_budget)))).alias("seq"))
+    return stopped, open_.join(small, owner, "left_anti")
+
+
+def blocked_turns(rows: DataFrame, s: Settings, session: list[str], day: list[str]) -> DataFrame:
+    """(seq) of the turns that hard blocking stops. rows: seq, the keys, projected, spent, and session_base and day_base, used before all of them.
+
+    A turn is stopped if what ran before it in its session or in its owner's
+    day, and its own projection, reach a budget; one that is stopped adds
+    nothing to either. So each verdict rests on earlier ones of all sessions of
+    the day. They are settled in rounds from two sides: with all open turns
+    counted as run, a turn that stays below both budgets runs for certain; with
+    only those counted that run for certain, one that still reaches a budget is
+    stopped for certain. The rest is open, and the next round starts from the
+    totals of what has been settled. The first open turn of a session and day
+    is settled by every round, and as a rule all up to the next one at which
+    the two sides differ; the rounds' sums are carried over blocks, so no owner
+    is held by one task, and only open turns are read again. An owner with few
+    open turns left (FOLDED) has them settled in order, in one expression.
+    """
+    keys = [*dict.fromkeys([*session, *day])]
+    open_ = rows.select("seq", *keys, "projected", "spent", "session_base", "day_base")
+    rounds, parts = [], []
+    while True:
+        spent = F.col("spent")
+        most = running_before(running_before(open_, session, "seq", spent, "session_most"), day, "seq", spent, "day_most")
+        below = lambda a, b: (F.col("session_base") + F.col(a) + F.col("projected") < s.session_budget) & (F.col("day_base") + F.col(b) + F.col("projected") < s.daily_budget)
+        most = most.withColumn("runs", below("session_most", "day_most")).drop("session_most", "day_most")
+        sure = F.when(F.col("runs"), spent).otherwise(0)
+        least = running_before(running_before(most, session, "seq", sure, "session_least"), day, "seq", sure, "day_least")
+        done = staging.save(least.withColumn("stops", ~F.col("runs") & ~below("session_least", "day_least")), "budget-round")
+        rounds.append(done)
+        parts.append(done.where("stops").select("seq"))
+        left = done.where("NOT runs AND NOT stops")
+        if left.isEmpty():
+            break
+        left = left.withColumns({"session_base": F.col("session_base") + F.col("session_least"), "day_base": F.col("day_base") + F.col("day_least")}).drop("runs", "stops", "session_least", "day_least")
+        stopped, open_ = _folded(left, s, session, day)
+        parts.append(stopped)
+        if open_.isEmpty():
+            break
+    stopped = staging.save(functools.reduce(DataFrame.unionByName, parts), "budget-stopped")
+    for done in rounds:
+        staging.discard(done)
+    return stopped
+
+
+def metered(rows: DataFrame, s: Settings, session: list[str], day: list[str]) -> DataFrame:
+    """rows (seq, keys, projected, spent, session_base, day_base) with session_used and day_used before each; with hard_block, blocked, and spent 0 where it is true."""
+    if s.hard_block:
+        stopped = blocked_turns(rows, s, session, day).withColumn("blocked", F.lit(True))
+        rows = rows.join(stopped, "seq", "left").withColumn("blocked", F.coalesce("blocked", F.lit(False))).withColumn("spent", F.when(F.col("blocked"), F.lit(0).cast("long")).otherwise(F.col("spent")))
+    rows = running_before(rows, session, "seq", F.col("spent"), "session_used")
+    rows = running_before(rows, day, "seq", F.col("spent"), "day_used")
+    return rows.withColumns({"session_used": F.col("session_used") + F.col("session_base"), "day_used": F.col("day_used") + F.col("day_base")})
+
+
+def budget_replay(turns: DataFrame, s: Settings = DEFAULTS, owner: str = "session_id", daily_owner: str = "project", multipliers: DataFrame | None = None) -> DataFrame:
     """turns (seq, ts, model, input_tokens, output_tokens) with session_used and day_used before each, the percentages with its projection, level, budget.
 
-    The session's budget counts per owner, the day's per daily_owner and day
-    (turns without a time share one); is_reset, where it is a column, starts an
-    owner's session anew. With hard_block a turn that would be over adds
-    nothing, and blocked says so: each verdict then rests on those before it,
-    so the owner's turns are folded in order, and daily_owner is the owner.
+    The session's budget counts per owner, the day's per daily_owner and day,
+    over all sessions (turns without a time share one); is_reset, where it is a
+    column, starts an owner's session anew. With hard_block a turn that would be
+    over adds nothing to either, and blocked says so. multipliers: (model,
+    multiplier) learnt from history.
     """
-    rows = with_projection(turns, s).withColumn("day_", F.coalesce(F.to_date("ts").cast("string"), F.lit("")))
-    if s.hard_block:
-        return _shown(_folded(rows, s, owner), s).drop("day_")
+    rows = with_projection(turns, s, multipliers).withColumn("day_", F.coalesce(F.to_date("ts").cast("string"), F.lit("")))
     keys = [owner]
     if "is_reset" in turns.columns:
-        rows = running_before(rows, [owner], "seq", F.col("is_reset").cast("long"), "segment").withColumn("segment", F.col("segment") + F.col("is_reset").cast("long"))
+        rows = sums_before(rows, [owner], "seq", {"segment": F.col("is_reset").cast("long")}).withColumn("segment", F.col("segment") + F.col("is_reset").cast("long"))
         keys = [owner, "segment"]
-    rows = running_before(rows, keys, "seq", F.col("spent"), "session_used")
-    rows = running_before(rows, [daily_owner, "day_"], "seq", F.col("spent"), "day_used")
-    return _shown(rows, s).drop("day_")
-
-
-def _folded(rows: DataFrame, s: Settings, owner: str) -> DataFrame:
-    """The hard-block fold: rows of one owner in order, a batch at a time; only the totals are carried on."""
-    resets = F.col("is_reset") if "is_reset" in rows.columns else F.lit(False)
-    work = rows.select(F.struct(*rows.columns).alias("row"), F.col(owner).cast("string").alias("owner"), "seq", "day_", "projected", "spent", resets.alias("reset"))
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, session, days = None, 0, {}
-        for batch in batches:
-            out: list[list] = [[], [], []]
-            for who, day, projected, spent, reset in zip(*(batch.column(k).to_pylist() for k in (1, 3, 4, 5, 6)), strict=True):
-                if who != last:
-                    last, session, days = who, 0, {}
-                session = 0 if reset else session
-                over = session + projected >= s.session_budget or days.get(day, 0) + projected >= s.daily_budget
-                for column, value in zip(out, (session, days.get(day, 0), over), strict=True):
-                    column.append(value)
-                if not over:
-                    session, days = session + spent, days | {day: days.get(day, 0) + spent}
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], ["row", "session_used", "day_used", "blocked"])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([work.schema["row"], T.StructField("session_used", T.LongType()), T.StructField("day_used", T.LongType()), T.StructField("blocked", T.BooleanType())])
-    done = work.repartition("owner").sortWithinPartitions("owner", "seq").mapInArrow(fold, schema)
-    return done.select("row.*", "session_used", "day_used", "blocked")
+    rows = rows.withColumns({"session_base": F.lit(0).cast("long"), "day_base": F.lit(0).cast("long")})
+    return shown(metered(rows, s, keys, [daily_owner, "day_"]), s).drop("day_", "session_base", "day_base")

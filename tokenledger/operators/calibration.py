@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tokenledger.functions.text import half_up
+from tokenledger.operators.carry import previous
 from tokenledger.operators.pricing import is_reasoning, total_usd
 from tokenledger.settings import DEFAULTS, Settings
 
@@ -30,8 +31,8 @@ def duplicate_rate(log: DataFrame) -> DataFrame:
 
 def context_growth(log: DataFrame) -> DataFrame:
     """(session_id, seq, turn_index, growth): input against the turn before, none for a session's first turn."""
-    before = F.lag("input_tokens").over(Window.partitionBy("session_id").orderBy("turn_index", "seq"))
-    return log.withColumn("growth", F.col("input_tokens") - before).where("growth IS NOT NULL").select("session_id", "seq", "turn_index", "growth")
+    rows = previous(log, ["session_id"], "turn_index", F.col("input_tokens"), "before_", ties=("seq",))
+    return rows.withColumn("growth", F.col("input_tokens") - F.col("before_")).where("growth IS NOT NULL").select("session_id", "seq", "turn_index", "growth")
 
 
 def nearest_rank(df: DataFrame, column: str, tenths: int = 9) -> DataFrame:

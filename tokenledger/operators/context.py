@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tokenledger.functions.text import long_words, token_estimate
-from tokenledger.operators.budget import running_before
+from tokenledger.operators.carry import running_before
 from tokenledger.settings import DEFAULTS, Settings
 
 

@@ -6,43 +6,93 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from tokenledger import staging
 from tokenledger.functions.text import history_norm, history_words, jaccard, prompt_words
 from tokenledger.settings import DEFAULTS, Settings
 
 
-def _similar_sets(sets: DataFrame, key: list[str], threshold: float) -> DataFrame:
-    """(key, a, b, similarity) of sets (key, id, words) that reach the threshold, a <> b, both ways round.
+def longest_first(words: Column) -> Column:
+    """Words in an order that never changes: the longest first, which are seldom the commonest."""
+    return F.transform(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
 
-    Prefix filter: with words in one order, the rarest first, two such sets
-    share one of the first n - ceil(threshold n) + 1 words of each; sizes
-    must lie within the threshold. Candidates are compared word by word.
+
+def word_counts(sets: DataFrame) -> DataFrame:
+    """(word, df): in how many sets a word is."""
+    return sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+
+
+def rarest_first(sets: DataFrame, often: DataFrame) -> DataFrame:
+    """sets (id, words, ...), id unique, with their words in the order of often (word, df), unknown words first."""
+    ranked = sets.select("id", F.explode("words").alias("word")).join(often, "word", "left")
+    ranked = ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("ranked"))  # the words of one text
+    return sets.drop("words").join(ranked, "id").withColumn("words", F.col("ranked.word")).drop("ranked")
+
+
+def _band(n: Column, threshold: float) -> Column:
+    """Sets of sizes within the threshold of each other are in the same band or in neighbouring ones."""
+    return F.floor(F.log(n) / math.log(1 / threshold) + 1e-9).cast("int")
+
+
+def _prefix(sets: DataFrame, key: list[str], threshold: float, bands: tuple[int, ...], names: tuple[str, str, str]) -> DataFrame:
+    """(key, word, band, id, n, place) of the words that a similar set must share one of, for each of the bands around the set's own."""
+    n = F.size("words")
+    rows = sets.select(*key, F.col("id").alias(names[0]), n.alias(names[1]), _band(n, threshold).alias("own_"), F.posexplode(F.slice("words", F.lit(1), (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))).alias(names[2], "word"))
+    rows = rows.withColumn("band", F.explode(F.array(*[F.col("own_") + b for b in bands])) if bands != (0,) else F.col("own_"))
+    return rows.drop("own_")
+
+
+def similar_sets(sets: DataFrame, key: list[str], threshold: float, old: DataFrame | None = None) -> DataFrame:
+    """(key, a, b, similarity) that reach the threshold, a <> b: pairs within sets (key, id, words) both ways round, and of sets with old ones.
+
+    Both are saved tables; words stand in one and the same order in all of
+    them. Two such sets share a word among the first n - ceil(threshold n) + 1
+    of each (prefix filter), their sizes are in neighbouring bands, by which a
+    common word is split (size filter), and from the first word that they share
+    on enough is left of both to reach the overlap that the threshold asks for
+    (positional filter). What passes is compared word by word.
     """
-    words = sets.select(*key, "id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    often = words.groupBy(*key, "word").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy(*key, "id").orderBy("df", "word"))
-    prefix = words.join(often, [*key, "word"]).withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
-    left, right = prefix.select(*key, "word", F.col("id").alias("a"), F.col("n").alias("n_a")), prefix.select(*key, "word", F.col("id").alias("b"), F.col("n").alias("n_b"))
-    fits = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold)
-    pairs = left.join(right, [*key, "word"]).where(fits).select(*key, "a", "b").distinct()
-    own = sets.select(*key, "id", "words")
-    pairs = pairs.join(own.withColumnsRenamed({"id": "a", "words": "x"}), [*key, "a"]).join(own.withColumnsRenamed({"id": "b", "words": "y"}), [*key, "b"])
-    pairs = pairs.withColumn("similarity", jaccard(F.col("x"), F.col("y"))).where(F.col("similarity") >= threshold).select(*key, "a", "b", "similarity")
-    return pairs.unionByName(pairs.select(*key, F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-
-
-def session_duplicates(prompts: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    index, a, b = ("b", "n_b", "at_b"), F.col("n_a"), F.col("n_b")
+    left = F.least(a - F.col("at_a"), b - F.col("at_b"))
+    fits = (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-9) & (left >= F.ceil((a + b) * (threshold / (1 + threshold)) - 1e-9))
+    on = [*key, "word", "band"]
+
+    def verified(pairs: DataFrame, others: DataFrame) -> DataFrame:
+        own = lambda df, i, w: df.select(*key, F.col("id").alias(i), F.col("words").alias(w))
+        rows = pairs.select(*key, "a", "b").distinct().join(own(sets, "a", "x"), [*key, "a"]).join(own(others, "b", "y"), [*key, "b"])
+        return rows.withColumn("similarity", jaccard(F.col("x"), F.col("y"))).where(F.col("similarity") >= threshold).select(*key, "a", "b", "similarity")
+
+    larger = (a > b) | ((a == b) & (F.col("a") > F.col("b")))
+    pairs = _prefix(sets, key, threshold, (0, -1), ("a", "n_a", "at_a")).join(_prefix(sets, key, threshold, (0,), index), on).where(larger & fits)
+    found = verified(pairs, sets)
+    found = found.withColumn("way_", F.explode(F.array(F.lit(0), F.lit(1)))).select(*key, F.when(F.col("way_") == 0, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("way_") == 0, F.col("b")).otherwise(F.col("a")).alias("b"), "similarity")
+    if old is None:
+        return found
+    again = _prefix(sets, key, threshold, (0, -1, 1), ("a", "n_a", "at_a")).join(_prefix(old, key, threshold, (0,), index), on).where((F.col("a") != F.col("b")) & fits)
+    return found.unionByName(verified(again, old))
+
+
+def prompt_sets(prompts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(said, sets) of prompts (session_id, seq, prompt): the word set id of each, and the sets of each session with the place of their first prompt."""
+    said = prompts.select("session_id", "seq", prompt_words(F.col("prompt")).alias("words")).where(F.size("words") > 0).withColumn("id", F.xxhash64(F.array_join("words", " ")))
+    sets = said.groupBy("session_id", "id").agg(F.min("seq").alias("first"), F.first("words").alias("words"))
+    return said.select("session_id", "seq", "id"), sets.withColumn("words", longest_first(F.col("words")))
+
+
+def session_duplicates(prompts: DataFrame, s: Settings = DEFAULTS, earlier: DataFrame | None = None) -> DataFrame:
     """(session_id, seq, similarity) of prompts (session_id, seq, prompt) that reach dup_threshold with an earlier one of their session.
 
     Equal sets of words are one set with the place of its first prompt, so a
-    session that repeats itself is not paired with itself.
+    session that repeats itself is not paired with itself. earlier: the sets
+    (session_id, id, first, words; saved) of prompts before all of these.
     """
-    said = prompts.select("session_id", "seq", prompt_words(F.col("prompt")).alias("words")).where(F.size("words") > 0).withColumn("id", F.xxhash64(F.array_join("words", " ")))
-    sets = said.groupBy("session_id", "id").agg(F.min("seq").alias("first"), F.first("words").alias("words"))
-    again = said.join(sets.select("session_id", "id", "first"), ["session_id", "id"]).where("seq > first").select("session_id", "seq", F.lit(1.0).alias("similarity"))
-    near = _similar_sets(sets, ["session_id"], s.dup_threshold).join(sets.select("session_id", F.col("id").alias("b"), "first"), ["session_id", "b"])
-    near = said.select("session_id", "seq", F.col("id").alias("a")).join(near, ["session_id", "a"]).where("first < seq").select("session_id", "seq", "similarity")
+    said, sets = prompt_sets(prompts)
+    sets = staging.save(sets, "prompt-sets")
+    firsts = sets if earlier is None else sets.unionByName(earlier.select(*sets.columns))
+    firsts = firsts.groupBy("session_id", "id").agg(F.min("first").alias("first"))
+    again = said.join(firsts, ["session_id", "id"]).where("seq > first").select("session_id", "seq", F.lit(1.0).alias("similarity"))
+    near = similar_sets(sets, ["session_id"], s.dup_threshold, earlier).join(firsts.withColumnRenamed("id", "b"), ["session_id", "b"])
+    near = said.withColumnRenamed("id", "a").join(near, ["session_id", "a"]).where("first < seq").select("session_id", "seq", "similarity")
     return again.unionByName(near).groupBy("session_id", "seq").agg(F.max("similarity").alias("similarity"))
 
 
@@ -64,28 +114,37 @@ def _lsh_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     return found.where(F.col("similarity") >= threshold).distinct()
 
 
-def history_duplicates(prompts: DataFrame, index: DataFrame, s: Settings = DEFAULTS, method: str = "exact") -> DataFrame:
+def history_duplicates(prompts: DataFrame, index: DataFrame, s: Settings = DEFAULTS, method: str = "exact", indexed: bool = False) -> DataFrame:
     """(session_id, seq, norm, similarity, latest, project): the most similar entry of the index that was first asked before the prompt, the latest of equals.
 
     prompts: session_id, seq, prompt, asked_at. Norms are compared once,
-    whatever the number of prompts that have them. method: exact, or lsh.
+    whatever the number of prompts that have them, with their words ranked from
+    the rarest on. method: exact, or lsh. With indexed, the index has id (a
+    norm's hash) and ranked words, and holds the prompts' own norms: then only
+    these are compared with it.
     """
     t = s.history_threshold
-    said = prompts.select("session_id", "seq", "asked_at", history_norm(F.col("prompt")).alias("asked"))
-    own = said.select(F.col("asked").alias("norm")).distinct().withColumn("words", history_words(F.col("norm"))).where(F.size("words") >= 4)
-    sets = own.unionByName(index.select("norm", "words")).dropDuplicates(["norm"]).withColumn("id", F.xxhash64("norm"))
-    near = _similar_sets(sets, [], t) if method == "exact" else _lsh_pairs(sets, t)
-    near = near.unionByName(sets.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
-    found = said.withColumn("a", F.xxhash64("asked")).join(near, "a").join(index.withColumn("b", F.xxhash64("norm")), "b").where("first < asked_at")
+    said = staging.save(prompts.select("session_id", "seq", "asked_at", history_norm(F.col("prompt")).alias("norm")).withColumn("id", F.xxhash64("norm")), "asked")
+    own = said.groupBy("id").agg(F.first("norm").alias("norm")).withColumn("words", history_words(F.col("norm"))).where(F.size("words") >= 4).select("id", "words")
+    if indexed:
+        entries = index
+        asked = staging.save(index.select("id", "words").join(own.select("id"), "id", "left_semi"), "asked-sets")
+        near = similar_sets(asked, [], t, index.select("id", "words"))
+    else:
+        entries = staging.save(index.withColumn("id", F.xxhash64("norm")), "entries")
+        sets = own.unionByName(entries.select("id", "words")).dropDuplicates(["id"])
+        if method == "exact":
+            sets = staging.save(sets, "norms")
+            sets = staging.save(rarest_first(sets, word_counts(sets)), "norm-sets")
+        near = similar_sets(sets, [], t) if method == "exact" else _lsh_pairs(sets, t)
+    near = near.select("a", "b", "similarity").distinct()
+    itself = said.join(entries.select("id", "norm", "first", "latest", "project"), ["id", "norm"]).withColumn("similarity", F.lit(1.0))
+    other = said.select("session_id", "seq", "asked_at", F.col("id").alias("a")).join(near, "a").join(entries.select(F.col("id").alias("b"), "norm", "first", "latest", "project"), "b")
+    found = itself.select("session_id", "seq", "asked_at", "norm", "similarity", "first", "latest", "project").unionByName(other.select("session_id", "seq", "asked_at", "norm", "similarity", "first", "latest", "project")).where("first < asked_at")
     best = found.groupBy("session_id", "seq").agg(F.max_by(F.struct("norm", "similarity", "latest", "project"), F.struct("similarity", "latest", "norm")).alias("m"))
     return best.select("session_id", "seq", "m.*")
 
 
-def least_shared(n: int, threshold: float) -> int:
-    """Words that a set of n has in its prefix."""
-    return n - math.ceil(threshold * n) + 1
-
-
 def first_prompt_anchor(prompts: DataFrame) -> DataFrame:
     """(session_id, anchor): a stable name of a conversation, the hash of the first 80 characters of its first prompt."""
     first = prompts.groupBy("session_id").agg(F.min_by("prompt", "seq").alias("prompt"))

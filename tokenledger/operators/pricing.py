@@ -85,6 +85,13 @@ def output_multiplier(model: Column, s: Settings = DEFAULTS, calibrated: Column
     return F.when(is_reasoning(model, s), own if calibrated is None else F.coalesce(calibrated, own)).otherwise(1.0)
 
 
+def with_learnt(rows: DataFrame, multipliers: DataFrame | None) -> tuple[DataFrame, Column | None]:
+    """rows with learnt, the multiplier (model, multiplier) of their model's history, and that column; rows as they are and None without any."""
+    if multipliers is None:
+        return rows, None
+    return rows.join(F.broadcast(multipliers.select("model", F.col("multiplier").alias("learnt"))), "model", "left"), F.col("learnt")  # a row for each model
+
+
 def projected_output(context_tokens: Column, multiplier: Column) -> Column:
     """The output expected of a request: three tenths of its context, 2000 at most, times the multiplier, rounded up."""
     return F.ceil(F.least(F.lit(2000.0), F.ceil(context_tokens * 0.3).cast("double")) * multiplier).cast("long")
@@ -150,9 +157,7 @@ def turn_receipts(turns: DataFrame, s: Settings = DEFAULTS, multipliers: DataFra
 
     multipliers: (model, multiplier) learnt from history; without it the setting counts for reasoning models.
     """
-    own = None
-    if multipliers is not None:
-        turns, own = turns.join(F.broadcast(multipliers.select("model", F.col("multiplier").alias("learnt"))), "model", "left"), F.col("learnt")
+    turns, own = with_learnt(turns, multipliers)
     p, c, m = price_of(F.col("model"), s), credits_of(F.col("model"), s), output_multiplier(F.col("model"), s, own)
     out = turns.withColumn("p", p).withColumn("c", c).withColumn("m", m)
     out = out.withColumns({"input_total": F.col("input_tokens") + F.col("tool_result_tokens"), "billed_output": F.ceil(F.col("output_tokens") * F.col("m")).cast("long"), "projected": projected_output(F.col("input_tokens"), F.col("m"))})

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tokenledger import settings as S
 from tokenledger.functions.text import SPACE, has_output_cap, has_word, whole_workspace
-from tokenledger.operators.pricing import cheaper_of, has_hint, is_reasoning, output_multiplier, price_of, projected_output, usd
+from tokenledger.operators.carry import last_before
+from tokenledger.operators.pricing import cheaper_of, has_hint, is_reasoning, output_multiplier, price_of, projected_output, usd, with_learnt
 from tokenledger.settings import DEFAULTS, Settings
 
 #: The rules in the order in which their findings stand.
@@ -69,22 +69,34 @@ def _details(s: Settings) -> dict[str, tuple[str, Column]]:
     }
 
 
-def evaluate_rules(prompts: DataFrame, dups: DataFrame, hist: DataFrame, s: Settings = DEFAULTS, threshold: DataFrame | None = None) -> DataFrame:
+def with_growth(prompts: DataFrame, dups: DataFrame, s: Settings = DEFAULTS, carried: DataFrame | None = None) -> DataFrame:
+    """prompts (session_id, seq, prompt, context_tokens) with similarity (to an earlier prompt of the session), duplicate, and growth of the context.
+
+    Growth counts from the last turn that ran: one that was skipped as a
+    duplicate leaves the context as it was. carried: (session_id, context) the
+    last contexts that ran before all of these prompts.
+    """
+    rows = prompts.join(dups.select("session_id", "seq", "similarity"), ["session_id", "seq"], "left")
+    rows = rows.withColumn("duplicate", F.col("similarity").isNotNull() & (F.trim("prompt") != ""))
+    ran = F.when(~F.col("duplicate") | F.lit(not s.block_duplicates), F.col("context_tokens"))
+    rows = last_before(rows, ["session_id"], "seq", ran, "before_")
+    if carried is not None:
+        rows = rows.join(carried.select("session_id", F.col("context").alias("carried_")), "session_id", "left").withColumn("before_", F.coalesce("before_", "carried_")).drop("carried_")
+    return rows.withColumn("growth", F.col("context_tokens") - F.col("before_")).drop("before_")
+
+
+def evaluate_rules(prompts: DataFrame, dups: DataFrame, hist: DataFrame, s: Settings = DEFAULTS, threshold: DataFrame | None = None, multipliers: DataFrame | None = None, carried: DataFrame | None = None) -> DataFrame:
     """prompts (session_id, seq, prompt, model, context_tokens, ref_count, ref_ids) with duplicate, growth, projected, findings (array of rule, title, detail).
 
     dups and hist: as session_duplicates and history_duplicates give them.
     threshold: one row, what growth the context may have (else the setting).
-    Growth counts from the last turn that ran: one that was skipped as a
-    duplicate leaves the context as it was.
+    multipliers: (model, multiplier) learnt from history. carried: as in with_growth.
     """
-    key = ["session_id", "seq"]
     rows = prompts if "ref_ids" in prompts.columns else prompts.withColumn("ref_ids", F.array().cast("array<string>"))
-    rows = rows.join(dups.select(*key, "similarity"), key, "left").join(hist.select(*key, F.col("similarity").alias("past_similarity"), F.col("project").alias("past_project")), key, "left")
+    rows = with_growth(rows, dups, s, carried).join(hist.select("session_id", "seq", F.col("similarity").alias("past_similarity"), F.col("project").alias("past_project")), ["session_id", "seq"], "left")
     rows = rows.join(F.broadcast(threshold.select("threshold")), how="cross") if threshold is not None else rows.withColumn("threshold", F.lit(s.snowball_tokens).cast("long"))
-    rows = rows.withColumn("duplicate", F.col("similarity").isNotNull() & (F.trim("prompt") != ""))
-    ran = F.when(~F.col("duplicate") | F.lit(not s.block_duplicates), F.col("context_tokens"))
-    before = F.last(ran, ignorenulls=True).over(Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("growth", F.col("context_tokens") - before).withColumn("projected", projected_output(F.col("context_tokens"), output_multiplier(F.col("model"), s)))
+    rows, own = with_learnt(rows, multipliers)
+    rows = rows.withColumn("projected", projected_output(F.col("context_tokens"), output_multiplier(F.col("model"), s, own))).drop("learnt")
     rows = rows.withColumn("cheaper_", cheaper_of(F.col("model"), F.col("context_tokens"), F.col("projected"), s))
     fires = rule_columns(prompts.sparkSession, s, F.col("cheaper_")) | {
         "duplicate": F.col("duplicate"), "asked_before": ~F.col("duplicate") & F.col("past_similarity").isNotNull() & (F.trim("prompt") != ""), "snowball": F.coalesce(F.col("growth") > F.col("threshold"), F.lit(False)),

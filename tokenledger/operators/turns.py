@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tokenledger.functions.text import norm_uri
+from tokenledger.operators import carry
 
 
 def union_turns(legacy: DataFrame, agent: DataFrame) -> DataFrame:
@@ -27,7 +28,7 @@ def dedup_turns(turns: DataFrame) -> DataFrame:
 
 def turn_index(turns: DataFrame, owner: str = "session_id", order: str = "seq") -> DataFrame:
     """turns with turn_index, their place within the session from 1."""
-    return turns.withColumn("turn_index", F.row_number().over(Window.partitionBy(owner).orderBy(order)).cast("long"))
+    return carry.place(turns, [owner], order, "turn_index")
 
 
 def scope_workspace(turns: DataFrame, workspace: str | None = None) -> DataFrame:

@@ -226,10 +226,10 @@ CHECKS: dict[str, tuple[str, str]] = {
       CASE WHEN seq % 13 <> 0 THEN pick END AS suggested_cheaper_model, CASE WHEN seq % 13 <> 0 THEN floor({usd('now - best')} * 1e6 + 0.5) / 1e6 END AS potential_savings_usd FROM turns t LEFT JOIN suggested g ON t.model = g.model AND input_tokens = tin AND output_tokens = tout"""),
     "budget_replay": ("spent", f"""SELECT session_id, seq, cast(su AS bigint) AS session_used, cast(du AS bigint) AS day_used, cast(floor((su + projected) * 100.0e0 / {D.session_budget} + 0.5) AS bigint) AS session_pct, cast(floor((du + projected) * 100.0e0 / {D.daily_budget} + 0.5) AS bigint) AS day_pct, {level('(su + projected)', '(du + projected)')}
       FROM (SELECT *, {BEFORE.format('session_id')} AS su, {BEFORE.format('project, d')} AS du FROM spent)"""),
-    "budget_hard_block": ("spent", f"""WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n FROM spent),
-      r AS (SELECT session_id, cast(0 AS bigint) AS n, cast(0 AS bigint) AS seq, cast(0 AS bigint) AS su, cast(0 AS bigint) AS du, cast(0 AS bigint) AS projected, cast(0 AS bigint) AS s_after, map([''], [cast(0 AS bigint)]) AS days FROM (SELECT DISTINCT session_id FROM t)
-        UNION ALL SELECT x.session_id, x.n, x.seq, r.s_after, coalesce(r.days[x.d], 0), x.projected, r.s_after + CASE WHEN x.over THEN 0 ELSE x.spent END, CASE WHEN x.over THEN r.days ELSE map_concat(r.days, map([x.d], [coalesce(r.days[x.d], 0) + x.spent])) END
-        FROM r JOIN (SELECT t.*, r2.session_id AS s2, r2.s_after + t.projected >= {BLOCKING.session_budget} OR coalesce(r2.days[t.d], 0) + t.projected >= {BLOCKING.daily_budget} AS over FROM t JOIN r r2 ON t.session_id = r2.session_id AND t.n = r2.n + 1) x ON x.session_id = r.session_id AND x.n = r.n + 1)
+    "budget_hard_block": ("spent", f"""WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY seq) AS n FROM spent),
+      r AS (SELECT DISTINCT project, cast(0 AS bigint) AS n, '' AS session_id, cast(0 AS bigint) AS seq, cast(0 AS bigint) AS su, cast(0 AS bigint) AS du, cast(0 AS bigint) AS projected, map([''], [cast(0 AS bigint)]) AS sessions, map(['-'], [cast(0 AS bigint)]) AS days FROM t
+        UNION ALL SELECT project, n, session_id, seq, su, du, projected, CASE WHEN over THEN sessions ELSE map_concat(sessions, map([session_id], [su + spent])) END, CASE WHEN over THEN days ELSE map_concat(days, map([d], [du + spent])) END
+        FROM (SELECT t.*, coalesce(r.sessions[t.session_id], 0) AS su, coalesce(r.days[t.d], 0) AS du, coalesce(r.sessions[t.session_id], 0) + t.projected >= {BLOCKING.session_budget} OR coalesce(r.days[t.d], 0) + t.projected >= {BLOCKING.daily_budget} AS over, r.sessions, r.days FROM r JOIN t ON t.project = r.project AND t.n = r.n + 1))
       SELECT session_id, seq, su AS session_used, du AS day_used, {level('(su + projected)', '(du + projected)', BLOCKING)}, su + projected >= {BLOCKING.session_budget} OR du + projected >= {BLOCKING.daily_budget} AS blocked FROM r WHERE n > 0"""),
     "budget_reset": ("spent", f"""SELECT session_id, seq, segment, cast(su AS bigint) AS session_used, {level('(su + projected)', '(du + projected)').split(', CASE')[0]} FROM (SELECT *, {BEFORE.format('session_id, segment')} AS su, {BEFORE.format('project, d')} AS du FROM (SELECT *, cast(sum(CASE WHEN seq % 29 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY seq) AS bigint) AS segment FROM spent))"""),
     "session_duplicates": ("session_best", "SELECT session_id, seq, similarity FROM session_best"),

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import sqlite3
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,16 +13,7 @@ from tokenledger import adapters as T
 from tokenledger.operators import dashboard, duplicates, pricing, turns, usage
 from tokenledger.plans import checks
 from tokenledger.sources import readers, sinks
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; of our own only on a local master where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="tokenledger-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from tokenledger.staging import shared_folder
 
 
 # --- chat sessions ---------------------------------------------------------------
