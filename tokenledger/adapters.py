@@ -43,9 +43,10 @@ def priced(spark: SparkSession, sf_dir: str, s: Settings = DEFAULTS, monthly: bo
     return price_turns(dedup_turns(turns(spark, sf_dir, monthly)), s)
 
 
-def usage_log(spark: SparkSession, sf_dir: str, s: Settings = DEFAULTS) -> DataFrame:
-    """The usage log of monthly sessions: skipped duplicates have no tokens and no cost."""
-    rows = turn_index(priced(spark, sf_dir, s, monthly=True)).withColumn("duplicate", F.col("seq") % 13 == 0).withColumn("reasoning", is_reasoning(F.col("model"), s))
+def usage_log(spark: SparkSession, sf_dir: str, s: Settings = DEFAULTS, indexed: bool = True) -> DataFrame:
+    """The usage log of monthly sessions: skipped duplicates have no tokens and no cost. indexed: with turn_index."""
+    rows = priced(spark, sf_dir, s, monthly=True)
+    rows = (turn_index(rows) if indexed else rows).withColumn("duplicate", F.col("seq") % 13 == 0).withColumn("reasoning", is_reasoning(F.col("model"), s))
     return rows.withColumns({c: F.when(F.col("duplicate"), F.lit(0).cast("long")).otherwise(F.col(c)) for c in ("input_tokens", "output_tokens", "input_units", "output_units", "cost_units")})
 
 
@@ -65,6 +66,12 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def prompt_log(spark: SparkSession, sf_dir: str, s: Settings = DEFAULTS) -> DataFrame:
+    """A usage log of the prompts: their contexts as input, and one to three times as much output."""
+    rows = turn_index(prompts(spark, sf_dir).select("session_id", "seq", "model", F.col("context_tokens").alias("input_tokens"), (F.col("context_tokens") * (F.col("session_id") % 3 + 1)).alias("output_tokens")))
+    return rows.withColumns({"cost_units": F.lit(0).cast("long"), "reasoning": is_reasoning(F.col("model"), s), "duplicate": F.lit(False)})
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "CASE role WHEN 'assistant' THEN 'tool_result' ELSE 'text' END AS kind", "text")
 

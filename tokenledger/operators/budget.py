@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenledger import staging
 from tokenledger.functions.text import half_up
 from tokenledger.operators.carry import running_before, sums_before
-from tokenledger.operators.pricing import output_multiplier, projected_output, with_learnt
+from tokenledger.operators.pricing import local_day, output_multiplier, projected_output, with_learnt
 from tokenledger.settings import DEFAULTS, Settings
 
 
@@ -132,7 +132,7 @@ def budget_replay(turns: DataFrame, s: Settings = DEFAULTS, owner: str = "sessio
     over adds nothing to either, and blocked says so. multipliers: (model,
     multiplier) learnt from history.
     """
-    rows = with_projection(turns, s, multipliers).withColumn("day_", F.coalesce(F.to_date("ts").cast("string"), F.lit("")))
+    rows = with_projection(turns, s, multipliers).withColumn("day_", F.coalesce(local_day(F.col("ts"), s).cast("string"), F.lit("")))
     keys = [owner]
     if "is_reset" in turns.columns:
         rows = sums_before(rows, [owner], "seq", {"segment": F.col("is_reset").cast("long")}).withColumn("segment", F.col("segment") + F.col("is_reset").cast("long"))

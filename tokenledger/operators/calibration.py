@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,10 +12,10 @@ from tokenledger.operators.pricing import is_reasoning, total_usd
 from tokenledger.settings import DEFAULTS, Settings
 
 
-def calibrate_models(log: DataFrame) -> DataFrame:
-    """Per model of a log (model, input_tokens, output_tokens, cost_units, reasoning): turns, averages, output to input (null without input), reasoning."""
+def calibrate_models(log: DataFrame, *more: Column) -> DataFrame:
+    """Per model of a log (model, input_tokens, output_tokens, cost_units, reasoning): turns, averages, output to input (null without input), reasoning, and more aggregates."""
     ratio = F.try_divide(F.sum("output_tokens").cast("double"), F.sum("input_tokens"))
-    out = log.groupBy("model").agg(F.count("*").alias("turns"), F.avg("input_tokens").alias("avg_input"), F.avg("output_tokens").alias("avg_output"), (total_usd("cost_units") / F.count("*")).alias("avg_cost"), ratio.alias("out_in_ratio"), F.bool_or("reasoning").alias("reasoning"))
+    out = log.groupBy("model").agg(F.count("*").alias("turns"), F.avg("input_tokens").alias("avg_input"), F.avg("output_tokens").alias("avg_output"), (total_usd("cost_units") / F.count("*")).alias("avg_cost"), ratio.alias("out_in_ratio"), F.bool_or("reasoning").alias("reasoning"), *more)
     return out.orderBy(F.desc("turns"), "model")
 
 

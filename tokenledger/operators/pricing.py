@@ -110,12 +110,19 @@ def input_units(tokens: Column, price: Column, cache_read: Column, s: Settings =
     return F.when(cache_read.isNotNull(), real).otherwise(assumed)
 
 
+def local_day(ts: Column, s: Settings = DEFAULTS) -> Column:
+    """The day of a time in the settings' time zone; in the session's where they name none."""
+    if s.timezone is None:
+        return F.to_date(ts)
+    return F.to_date(F.convert_timezone(F.current_timezone(), F.lit(s.timezone), ts.cast("timestamp").cast("timestamp_ntz")))
+
+
 def price_turns(turns: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """turns with day, price_key, p_in, p_out, cached_tokens, input_units, output_units, cost_units."""
     out = turns.withColumn("price", price_of(F.col("model"), s))
     out = out.withColumn("input_units", input_units(F.col("input_tokens"), F.col("price.p_in"), F.col("cache_read_tokens"), s))
     out = out.withColumns({
-        "day": F.to_date("ts"), "price_key": F.col("price.price_key"), "p_in": F.col("price.p_in"), "p_out": F.col("price.p_out"),
+        "day": local_day(F.col("ts"), s), "price_key": F.col("price.price_key"), "p_in": F.col("price.p_in"), "p_out": F.col("price.p_out"),
         "cached_tokens": F.greatest(F.lit(0).cast("long"), F.least("cache_read_tokens", "input_tokens")), "output_units": F.col("output_tokens") * F.col("price.p_out"),
     })
     return out.withColumn("cost_units", F.col("input_units") + F.col("output_units")).drop("price")

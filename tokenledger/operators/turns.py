@@ -43,3 +43,13 @@ def scope_open_folders(sessions: DataFrame, open_folders: DataFrame) -> DataFram
     none = folders.groupBy().agg((F.count("*") == 0).alias("none_"))
     inside = rows.join(folders.withColumn("open_", F.lit(True)), "dir_", "left").crossJoin(F.broadcast(none))
     return inside.where("none_ OR open_").drop("dir_", "open_", "none_")
+
+
+def with_projects(turns: DataFrame, workspaces: DataFrame, limit: int = 500_000) -> DataFrame:
+    """turns (workspace_hash) with project, by workspaces (workspace_hash, project); 'unknown' where none is told.
+
+    The workspaces are broadcast if they are at most limit rows (counted), and else shuffled.
+    """
+    names = workspaces.groupBy("workspace_hash").agg(F.min(F.nullif("project", F.lit(""))).alias("project"))
+    names = F.broadcast(names) if names.limit(limit + 1).count() <= limit else names
+    return turns.drop("project").join(names, "workspace_hash", "left").withColumn("project", F.coalesce("project", F.lit("unknown")))

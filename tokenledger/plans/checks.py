@@ -133,6 +133,19 @@ _SHOWN = f"cast(day AS varchar) AS day, model, project, turns, input_tokens, out
 _SESSIONS = f"project, session_id, turns, input_tokens, output_tokens, {usd('cost_units')} AS cost, cast(first_day AS varchar) AS first_day, title"
 _COUNTS = ", ".join(f"count(*) FILTER (verdict = '{v}') AS {v}" for v in ("kept", "rework", "discarded", "pending"))
 _RATIO = "CASE WHEN {1} = 0 THEN 0.0e0 ELSE ({0}) / cast({1} AS double) END"
+_LEARNT = lambda m: f"CASE WHEN {hint(D.reasoning_hints, m)} THEN coalesce(multiplier, {D.reasoning_multiplier}e0) ELSE 1.0e0 END"
+#: The same parts, with what a log shows in the place of the settings.
+PARTS |= {
+    "prompt_log": ("prompts", f"SELECT session_id, seq, model, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS turn_index, context_tokens AS input_tokens, context_tokens * (session_id % 3 + 1) AS output_tokens, {hint(D.reasoning_hints, 'model')} AS reasoning FROM prompts"),
+    "prompt_models": ("prompt_log", "SELECT model, count(*) AS turns, sum(output_tokens) / nullif(cast(sum(input_tokens) AS double), 0) AS out_in_ratio FROM prompt_log GROUP BY model"),
+    "prompt_multipliers": ("prompt_models", f"""SELECT model, CASE WHEN turns >= {D.min_turns} AND out_in_ratio > 0 AND baseline > 0 THEN greatest(1.0e0, least(5.0e0, floor(out_in_ratio / baseline * 100 + 0.5) / 100)) END AS multiplier FROM (
+      SELECT m.model, c.turns, c.out_in_ratio, row_number() OVER (PARTITION BY m.model ORDER BY c.turns DESC, lower(c.model)) AS n FROM prompt_models m JOIN prompt_models c ON contains(lower(m.model), lower(c.model)) OR contains(lower(c.model), lower(m.model))), (SELECT sum(output_tokens) / cast(sum(input_tokens) AS double) AS baseline FROM prompt_log WHERE NOT reasoning) WHERE n = 1"""),
+    "prompt_p90": ("prompt_log", f"SELECT CASE WHEN count(*) >= {D.min_turns} THEN coalesce(list_sort(list(g) FILTER (g > 0))[least(count(*) FILTER (g > 0), (9 * (count(*) FILTER (g > 0))) // 10 + 1)], {COACH.snowball_tokens}) ELSE {COACH.snowball_tokens} END AS threshold FROM (SELECT input_tokens - lag(input_tokens) OVER (PARTITION BY session_id ORDER BY seq) AS g FROM prompt_log)"),
+    "prompts_learnt": ("prompts prompt_multipliers", f"SELECT prompts.*, {PROJECT.format('context_tokens', _LEARNT('prompts.model'))} AS projected FROM prompts JOIN prompt_multipliers USING (model)"),
+    "asked_learnt": ("turns prompts_learnt book_of", _ASKED.replace("prompts_projected", "prompts_learnt")), "suggested_learnt": ("asked_learnt", suggestions("asked_learnt")),
+    "flags_learnt": ("prompts_learnt session_best history_best suggested_learnt book_of prompt_p90", PARTS["flags"][1].replace("prompts_projected", "prompts_learnt").replace("LEFT JOIN suggested g", "LEFT JOIN suggested_learnt g").replace(f"> {COACH.snowball_tokens}, false", "> (SELECT threshold FROM prompt_p90), false")),
+    "spent_learnt": ("turns_monthly multipliers", f"SELECT t.*, coalesce(cast(cast(ts AS date) AS varchar), '') AS d, input_tokens + {PROJECT.format('input_tokens', _LEARNT('t.model'))} AS projected, input_tokens + cast(ceil(output_tokens * {_LEARNT('t.model')}) AS bigint) AS spent FROM turns_monthly t LEFT JOIN multipliers m ON t.model = m.model"),
+}
 _RULES = ("duplicate", "asked_before", "whole_workspace", "many_references", "snowball", "sensitive", "cache_order", "overkill", "no_cap", "reasoning", "unknown_price")
 
 
@@ -224,6 +237,8 @@ CHECKS: dict[str, tuple[str, str]] = {
     "calibrated_multiplier": ("multipliers", "SELECT model, multiplier FROM multipliers"),
     "savings_columns": ("turns suggested", f"""SELECT seq, cast(ceil(CASE WHEN seq % 5 = 0 THEN greatest(0, input_tokens - 400) ELSE 0 END / 4) AS bigint) AS tokens_saved_by_compaction, CASE WHEN seq % 13 = 0 THEN input_tokens + {PROJECT.format('input_tokens', REASON.format('t.model'))} ELSE 0 END AS tokens_saved_by_duplicate_block, CASE WHEN seq % 7 = 0 THEN output_tokens ELSE 0 END AS tokens_saved_by_tiering,
       CASE WHEN seq % 13 <> 0 THEN pick END AS suggested_cheaper_model, CASE WHEN seq % 13 <> 0 THEN floor({usd('now - best')} * 1e6 + 0.5) / 1e6 END AS potential_savings_usd FROM turns t LEFT JOIN suggested g ON t.model = g.model AND input_tokens = tin AND output_tokens = tout"""),
+    "usage_cells_staged": ("cells", f"SELECT cast(day AS varchar) AS day, model, project, turns, input_tokens, output_tokens, {usd('input_units')} AS input_cost, {usd('output_units')} AS output_cost, {usd('cost_units')} AS cost FROM cells"),
+    "usage_open_projects": ("cells", f"SELECT cast(day AS varchar) AS day, model, project, turns, input_tokens, output_tokens, {usd('input_units')} AS input_cost, {usd('output_units')} AS output_cost, {usd('cost_units')} AS cost FROM cells WHERE day BETWEEN '2024-01-03' AND '2024-01-20' AND project IN (SELECT 'p' || (n_nationkey % 9) FROM nation WHERE n_regionkey = 1)"),
     "budget_replay": ("spent", f"""SELECT session_id, seq, cast(su AS bigint) AS session_used, cast(du AS bigint) AS day_used, cast(floor((su + projected) * 100.0e0 / {D.session_budget} + 0.5) AS bigint) AS session_pct, cast(floor((du + projected) * 100.0e0 / {D.daily_budget} + 0.5) AS bigint) AS day_pct, {level('(su + projected)', '(du + projected)')}
       FROM (SELECT *, {BEFORE.format('session_id')} AS su, {BEFORE.format('project, d')} AS du FROM spent)"""),
     "budget_hard_block": ("spent", f"""WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY seq) AS n FROM spent),
@@ -236,6 +251,8 @@ CHECKS: dict[str, tuple[str, str]] = {
     "prompt_index": ("history", "SELECT norm, first, latest, project FROM history ORDER BY latest DESC, norm LIMIT 4000"),
     "history_duplicates": ("history_best", "SELECT * FROM history_best"),
     "guardrail_findings": ("flags", f"SELECT session_id, seq, concat_ws(',', {', '.join(f'CASE WHEN {r} THEN {chr(39)}{r}{chr(39)} END' for r in _RULES)}) AS findings FROM flags"),
+    "guardrail_learnt": ("flags_learnt", f"SELECT session_id, seq, projected, concat_ws(',', {', '.join(f'CASE WHEN {r} THEN {chr(39)}{r}{chr(39)} END' for r in _RULES)}) AS findings FROM flags_learnt"),
+    "budget_learnt": ("spent_learnt", f"SELECT session_id, seq, cast(projected AS bigint) AS projected, cast(su AS bigint) AS session_used, cast(du AS bigint) AS day_used, {level('(su + projected)', '(du + projected)').split(', CASE')[0]} FROM (SELECT *, {BEFORE.format('session_id')} AS su, {BEFORE.format('project, d')} AS du FROM spent_learnt)"),
     "rule_counts": ("flags", " UNION ALL ".join(f"SELECT '{r}' AS rule, count(*) FILTER ({r}) AS prompts FROM flags" for r in _RULES)),
     "duplicate_savings": ("flags book_of", f"SELECT count(*) AS skipped, cast(coalesce(sum(context_tokens), 0) AS bigint) AS input_tokens_saved, cast(coalesce(sum(projected), 0) AS bigint) AS output_tokens_saved, {usd('coalesce(sum(cast(context_tokens * p_in + projected * p_out AS hugeint)), 0)')} AS usd_saved FROM flags f JOIN book_of b ON f.model = b.model WHERE duplicate"),
     "session_anchor": ("prompts", "SELECT session_id, sha256(left(arg_min(prompt, seq), 80)) AS anchor FROM prompts GROUP BY session_id"),

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenledger import adapters as T
+from tokenledger import staging
 from tokenledger.functions import text as X
-from tokenledger.operators import budget, calibration, context, dashboard, duplicates, pricing, roi, rules, turns, usage
+from tokenledger.operators import budget, calibration, context, dashboard, duplicates, pricing, roi, rules, staged, turns, usage
 from tokenledger.settings import DEFAULTS, Settings
 
 #: The tables hold nothing sensitive and no long contexts, so two rules are given something to find.
@@ -112,7 +113,7 @@ def receipt_delta(spark, d, s):
 
 @_query("turn_receipt")
 def turn_receipt(spark, d, s):
-    log = T.usage_log(spark, d, s)
+    log = T.usage_log(spark, d, s, indexed=False)
     learnt = calibration.calibrated_multiplier(_models(spark, d), calibration.calibrate_models(log), calibration.baseline_ratio(log), s)
     return pricing.turn_receipts(T.requests(spark, d), s, learnt).select("seq", "model", "input_total", "billed_output", F.col("cost_usd").alias("cost"), "credits")
 
@@ -214,14 +215,35 @@ for _name, _f in {
     "export_cells": lambda spark, d, s: dashboard.export_rows(_filtered(_cells(spark, d, s))),
 }.items():
     QUERIES[_name] = lambda spark, d, s=DEFAULTS, f=_f: text_days(f(spark, d, s))
-#: Queries that use the cube more than once: it is small and kept while they run.
+#: Queries that use the cube more than once: it is small and written once.
 for _name, _f in {
     "trend_delta": lambda cells, s: dashboard.trend_delta(_filtered(cells), cells),
     "attribution_share": lambda cells, s: dashboard.attribution(cells, "model").select(F.lit("model").alias("kind"), F.col("model").alias("name"), "cost", "share").unionByName(dashboard.attribution(cells, "project").select(F.lit("project").alias("kind"), F.col("project").alias("name"), "cost", "share")),
     "cost_stack": lambda cells, s: dashboard.stacked_layers(cells),
     "daily_top_models": lambda cells, s: dashboard.daily_top_models(cells),
 }.items():
-    QUERIES[_name] = lambda spark, d, s=DEFAULTS, f=_f: text_days(f(_cells(spark, d, s).persist(), s))
+    QUERIES[_name] = lambda spark, d, s=DEFAULTS, f=_f: text_days(f(staging.save(_cells(spark, d, s), "cells"), s))
+
+
+def _staged(spark, d, s) -> str:
+    """Turns staged in two steps: all but each seventh day's, then those, which refreshes the partitions that they touch."""
+    turns_, path = T.turns(spark, d), staging.shared_folder(spark, "turns-priced")
+    late = F.coalesce(F.dayofmonth("ts") % 7 == 0, F.lit(False))
+    staged.stage_turns(turns_.where(~late), path, s)
+    staged.refresh_turns(turns_, turns_.where(late), path, s)
+    return path
+
+
+@_query("usage_cells_staged")
+def usage_cells_staged(spark, d, s):
+    return text_days(pricing.in_dollars(usage.usage_cells(staged.read_staged(spark, _staged(spark, d, s)))))
+
+
+@_query("usage_open_projects")
+def usage_open_projects(spark, d, s):
+    """Cells of a span of days and of the projects whose folders are open: neither reads the partitions of others."""
+    folders = T.table(spark, d, "nation").where("n_regionkey = 1").select(F.concat(F.lit("p"), F.col("n_nationkey") % 9).alias("project"))
+    return text_days(pricing.in_dollars(usage.usage_cells(staged.read_staged(spark, _staged(spark, d, s), ("2024-01-03", "2024-01-20"), folders))))
 
 
 @_query("session_detail")
@@ -245,23 +267,23 @@ def filter_domains(spark, d, s):
 
 @_query("insights")
 def insights(spark, d, s):
-    return dashboard.insights(_cells(spark, d, s).persist(), _sessions(spark, d, s), s)
+    return dashboard.insights(staging.save(_cells(spark, d, s), "cells"), _sessions(spark, d, s), s)
 
 
 # --- calibration ----------------------------------------------------------------
 @_query("calibration_models")
 def calibration_models(spark, d, s):
-    return calibration.calibrate_models(T.usage_log(spark, d, s))
+    return calibration.calibrate_models(T.usage_log(spark, d, s, indexed=False))
 
 
 @_query("calibration_baseline")
 def calibration_baseline(spark, d, s):
-    return calibration.baseline_ratio(T.usage_log(spark, d, s))
+    return calibration.baseline_ratio(T.usage_log(spark, d, s, indexed=False))
 
 
 @_query("duplicate_rate")
 def duplicate_rate(spark, d, s):
-    return calibration.duplicate_rate(T.usage_log(spark, d, s))
+    return calibration.duplicate_rate(T.usage_log(spark, d, s, indexed=False))
 
 
 @_query("context_growth")
@@ -286,7 +308,7 @@ def calibration_real(spark, d, s):
 
 @_query("calibrated_multiplier")
 def calibrated_multiplier(spark, d, s):
-    log = T.usage_log(spark, d, s)
+    log = T.usage_log(spark, d, s, indexed=False)
     named = _models(spark, d).unionByName(_models(spark, d).select(F.concat(F.lit("v/"), "model").alias("model"))).unionByName(_models(spark, d).select(F.left("model", F.lit(2)).alias("model")))
     return calibration.calibrated_multiplier(named, calibration.calibrate_models(log), calibration.baseline_ratio(log), s)
 
@@ -313,6 +335,14 @@ def budget_hard_block(spark, d, s):
     return budget.budget_replay(T.turns(spark, d, monthly=True), s).select("session_id", "seq", "session_used", "day_used", "level", "budget", "blocked")
 
 
+@_query("budget_learnt")
+def budget_learnt(spark, d, s):
+    """The replay with the output multipliers that the log shows."""
+    log = staging.save(T.usage_log(spark, d, s, indexed=False).select("model", "input_tokens", "output_tokens", "cost_units", "reasoning"), "log")
+    learnt = calibration.calibrated_multiplier(_models(spark, d), calibration.calibrate_models(log), calibration.baseline_ratio(log), s)
+    return budget.budget_replay(T.turns(spark, d, monthly=True), s, multipliers=learnt).select("session_id", "seq", "projected", "session_used", "day_used", "level")
+
+
 @_query("budget_reset")
 def budget_reset(spark, d, s):
     rows = T.turns(spark, d, monthly=True).withColumn("is_reset", F.col("seq") % 29 == 0)
@@ -321,12 +351,12 @@ def budget_reset(spark, d, s):
 
 # --- prompts ----------------------------------------------------------------------
 def _history(spark, d, s, method="exact") -> DataFrame:
-    said = T.prompts(spark, d).persist()
+    said = staging.save(T.prompts(spark, d), "prompts")
     return duplicates.history_duplicates(said, duplicates.build_prompt_index(said, None), s, method)
 
 
 def _evaluated(spark, d, s) -> DataFrame:
-    said = T.prompts(spark, d).persist()  # read by three operators
+    said = staging.save(T.prompts(spark, d), "prompts")  # read by three operators
     past = duplicates.history_duplicates(said, duplicates.build_prompt_index(said, None), s)
     return rules.evaluate_rules(said, duplicates.session_duplicates(said, s), past, s)
 
@@ -356,6 +386,16 @@ def guardrail_findings(spark, d, s):
     return _evaluated(spark, d, s).select("session_id", "seq", F.array_join("findings.rule", ",").alias("findings"))
 
 
+@_query("guardrail_learnt", COACH)
+def guardrail_learnt(spark, d, s):
+    """The findings with the threshold and the multipliers that the prompts' own log shows."""
+    said, log = staging.save(T.prompts(spark, d), "prompts"), staging.save(T.prompt_log(spark, d, s), "log")
+    learnt = calibration.calibrated_multiplier(said.select("model").distinct(), calibration.calibrate_models(log), calibration.baseline_ratio(log), s)
+    past = duplicates.history_duplicates(said, duplicates.build_prompt_index(said, None), s)
+    rows = rules.evaluate_rules(said, duplicates.session_duplicates(said, s), past, s, calibration.snowball_threshold(log, s), learnt)
+    return rows.select("session_id", "seq", "projected", F.array_join("findings.rule", ",").alias("findings"))
+
+
 @_query("rule_counts", COACH)
 def rule_counts(spark, d, s):
     return rules.rule_counts(_evaluated(spark, d, s))
@@ -383,9 +423,9 @@ def edit_roi_files(spark, d, s):
 
 @_query("model_roi")
 def model_roi(spark, d, s):
-    log = T.usage_log(spark, d, s)
-    first = log.groupBy("model").agg(F.min("seq").alias("ordinal"))
-    return roi.model_roi(_files(spark, d), calibration.calibrate_models(log).join(first, "model"))
+    # one pass over the log, kept as a table of a row for each model
+    log = staging.save(calibration.calibrate_models(T.usage_log(spark, d, s, indexed=False), F.min("seq").alias("ordinal")), "calibrated")
+    return roi.model_roi(_files(spark, d), log)
 
 
 @_query("roi_totals")

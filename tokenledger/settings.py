@@ -49,7 +49,8 @@ class Settings:
     max_tools: int = 64
     min_turns: int = 8
     suggestion_floor: float = 0.4
-    timezone: str = "UTC"
+    #: Of days; the session's where it is None.
+    timezone: str | None = None
 
     def prices(self) -> list[tuple[int, str, float, float]]:
         """The price book in order: an override takes its key's place, new keys follow."""

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tokenledger.functions.text import normalize_model, project_from_uri
 
@@ -24,25 +25,43 @@ def text(v: Column, path: str) -> Column:
     return F.when(kind == "STRING", F.try_variant_get(v, path, "string"))
 
 
+def whole_lines(files: DataFrame) -> DataFrame:
+    """(file, line_no, line) of whole files (value, file), one row a file."""
+    return files.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+
+
+def read_lines(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
+    """(file, line_no, line) of text files, a large file by its splits: a line's number is its place in its split, after the lines of the splits before.
+
+    Lines end with a line feed alone, as in whole_lines; within a task, rows
+    come in the order of the file, which their ascending ids keep.
+    """
+    rows = spark.read.text(path, lineSep="\n", **options).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"))
+    inside = Window.partitionBy("file", "split").orderBy("id")
+    counts = rows.groupBy("file", "split").agg(F.count("*").alias("n"))
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    numbered = rows.withColumn("place", F.row_number().over(inside) - 1).join(counts, ["file", "split"])
+    return numbered.select("file", (F.col("before") + F.col("place")).cast("int").alias("line_no"), "line")
+
+
 def chat_entries(files: DataFrame, session: str = r"([^/]+)\.jsonl$", workspace: str = r"([^/]+)/chatSessions/[^/]*$") -> DataFrame:
-    """(workspace_hash, session_id, line_no, entry variant) of files (value: a whole file, file: its path); malformed and blank lines are left out.
+    """(workspace_hash, session_id, line_no, entry variant) of lines (file: its path, line_no, line) or whole files (value, file); malformed and blank lines are left out.
 
     session and workspace are the patterns whose first groups name them in a path.
     """
-    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    lines = files if "line" in files.columns else whole_lines(files)
     lines = lines.withColumn("entry", F.try_parse_json("line")).where("entry IS NOT NULL")
     return lines.select(F.regexp_extract("file", workspace, 1).alias("workspace_hash"), F.regexp_extract("file", session, 1).alias("session_id"), "line_no", "entry")
 
 
 def read_chat_sessions(spark: SparkSession, path: str, workspace: str = "*", glob: str = "*.jsonl") -> DataFrame:
     """chat_entries of <path>/<workspace>/chatSessions/<session>.jsonl; a workspace's hash reads its folder alone."""
-    files = spark.read.text(f"{path}/{workspace}/chatSessions", wholetext=True, pathGlobFilter=glob).select("value", F.col("_metadata.file_path").alias("file"))
-    return chat_entries(files)
+    return chat_entries(read_lines(spark, f"{path}/{workspace}/chatSessions", pathGlobFilter=glob))
 
 
 def bad_lines(files: DataFrame) -> DataFrame:
     """(file, bad): the lines of each file that are neither blank nor JSON."""
-    lines = files.select("file", F.explode(F.split("value", "\n")).alias("line")).where("trim(line) <> ''")
+    lines = (files if "line" in files.columns else whole_lines(files)).where("trim(line) <> ''")
     return lines.groupBy("file").agg(F.count_if(F.try_parse_json("line").isNull()).alias("bad"))
 
 

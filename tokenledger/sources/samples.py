@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenledger import adapters as T
+from tokenledger import staging
 from tokenledger.operators import dashboard, duplicates, pricing, turns, usage
 from tokenledger.plans import checks
 from tokenledger.sources import readers, sinks
@@ -39,14 +40,26 @@ def _chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = said.selectExpr("concat('w', conv_id % 7) AS w", "concat('c', conv_id) AS s", "turn", f"CASE (conv_id + turn) % 6 {kinds} END AS value")
     path = shared_folder(spark, "chats")
     lines.repartition("w", "s").sortWithinPartitions("w", "s", "turn").select("w", "s", "value").write.partitionBy("w", "s").text(path)
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="part-*").select("value", F.col("_metadata.file_path").alias("file"))
-    return readers.chat_entries(files, r"/s=([^/]+)/", r"/w=([^/]+)/")
+    lines = readers.read_lines(spark, path, recursiveFileLookup=True, pathGlobFilter="part-*")
+    return readers.chat_entries(lines, r"/s=([^/]+)/", r"/w=([^/]+)/")
 
 
 def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.extract_turns(_chat(spark, sf_dir)).select("workspace_hash", "session_id", "response_id", "model", F.col("ts").cast("string").alias("ts"), "input_tokens", "output_tokens", "snippet", "file")
 
 
+def chat_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage by project of raw chat files and the workspace files beside them; one workspace has no file, one names no folder."""
+    path = shared_folder(spark, "workspaces")
+    names = T.table(spark, sf_dir, "conversations").selectExpr("conv_id % 7 AS n").distinct().where("n <> 6")
+    folder = "CASE n WHEN 5 THEN '{}' WHEN 3 THEN '{\"workspace\": \"file:///w/team.code-workspace\"}' ELSE concat('{\"folder\": \"file:///w/My%20App', n % 2, '/\"}') END AS value"
+    names.selectExpr("concat('w', n) AS hash", folder).repartition("hash").write.partitionBy("hash").text(path)
+    workspaces = readers.read_workspaces(spark, path, "part-*").withColumn("workspace_hash", F.replace("workspace_hash", F.lit("hash=")))
+    said = turns.with_projects(readers.extract_turns(_chat(spark, sf_dir)), workspaces)
+    said = said.withColumn("cache_read_tokens", F.lit(None).cast("long")).withColumn("ts", F.col("ts").cast("timestamp"))
+    return usage.usage_by_project(pricing.price_turns(said))
+
+
 def chat_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.session_titles(_chat(spark, sf_dir))
 
@@ -97,7 +110,7 @@ def agent_store_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agent_working_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = _store(spark, sf_dir).persist()
+    store = staging.save(_store(spark, sf_dir), "store")
     return readers.working_dirs(store).join(readers.agent_titles(store.where("kind <> 'corrupt'")), "session_id")
 
 
@@ -169,7 +182,7 @@ def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "src_chat_jsonl": chat_entries, "turn_extract": chat_turns, "session_titles": chat_titles, "chat_prompt_index": chat_index, "src_agent_store": agent_store, "agent_store_turns": agent_store_turns, "agent_working_dir": agent_working_dir, "agent_scope": agent_scope, "src_workspaces": workspaces,
+    "src_chat_jsonl": chat_entries, "turn_extract": chat_turns, "chat_projects": chat_projects, "session_titles": chat_titles, "chat_prompt_index": chat_index, "src_agent_store": agent_store, "agent_store_turns": agent_store_turns, "agent_working_dir": agent_working_dir, "agent_scope": agent_scope, "src_workspaces": workspaces,
     "edit_ops_read": edit_ops, "request_models": request_models, "usage_log_read": usage_log_read, "usage_log_record": usage_log_record, "export_csv": export_csv, "export_json": export_json,
 }
 
@@ -182,6 +195,9 @@ ORACLES = {
     "src_chat_jsonl": f"SELECT 'w' || (conv_id % 7) AS workspace_hash, 'c' || conv_id AS session_id, count(*) AS entries, cast(sum(CASE WHEN k = 3 THEN 3 ELSE 1 END) - 1 AS int) AS last_line FROM ({_USERS}) GROUP BY conv_id",
     "turn_extract": f"""SELECT 'w' || (conv_id % 7) AS workspace_hash, 'c' || conv_id AS session_id, CASE k WHEN 0 THEN 'r' || conv_id || '-' || turn WHEN 1 THEN 'x' ELSE '' END AS response_id, ['gpt-4o-mini', 'claude-3-5-sonnet', 'o3', '', '', 'unknown'][k + 1] AS model,
       CASE WHEN k = 0 THEN strftime(make_timestamp(1700000000000000 + turn * 1000000), '%Y-%m-%d %H:%M:%S') END AS ts, CASE k WHEN 0 THEN 3 * length(text) WHEN 1 THEN 7 ELSE 0 END AS input_tokens, CASE k WHEN 0 THEN length(text) WHEN 4 THEN 5 WHEN 5 THEN length(text) ELSE 0 END AS output_tokens, left(text, 140) AS snippet, CASE WHEN k = 5 THEN 'a' || turn || '.py' ELSE '' END AS file FROM ({_USERS}) WHERE k <> 3""",
+    "chat_projects": checks.statement("book", f"""WITH t AS (SELECT conv_id % 7 AS n, ['gpt-4o-mini', 'claude-3-5-sonnet', 'o3', '', '', 'unknown'][k + 1] AS model, CASE k WHEN 0 THEN 3 * length(text) WHEN 1 THEN 7 ELSE 0 END AS input_tokens, CASE k WHEN 0 THEN length(text) WHEN 4 THEN 5 WHEN 5 THEN length(text) ELSE 0 END AS output_tokens FROM ({_USERS}) WHERE k <> 3),
+      b AS (SELECT * FROM (SELECT m.model, coalesce(p_in, {round(2.0 * pricing.UNITS)}) AS p_in, coalesce(p_out, {round(8.0 * pricing.UNITS)}) AS p_out, row_number() OVER (PARTITION BY m.model ORDER BY length(price_key) DESC, ordinal) AS r FROM (SELECT DISTINCT model FROM t) m LEFT JOIN book ON contains(lower(m.model), price_key)) WHERE r = 1)
+      SELECT CASE WHEN n IN (5, 6) THEN 'unknown' WHEN n = 3 THEN 'team.code-workspace' ELSE 'My App' || (n % 2) END AS project, count(*) AS turns, cast(sum(input_tokens) AS bigint) AS input_tokens, cast(sum(output_tokens) AS bigint) AS output_tokens, cast(sum(cast(input_tokens * p_in + output_tokens * p_out AS hugeint)) AS double) / 1e13 AS cost FROM t JOIN b ON t.model = b.model GROUP BY 1"""),
     "session_titles": f"SELECT 'w' || (conv_id % 7) AS workspace_hash, 'c' || conv_id AS session_id, 'T' || max(turn) AS title FROM ({_USERS}) WHERE k = 0 GROUP BY conv_id",
     "chat_prompt_index": f"SELECT norm, max(asked) AS latest, arg_max(w, row(asked, w)) AS project FROM (SELECT {_NORM} AS norm, CASE WHEN k = 0 THEN 1700000000000 + turn * 1000 ELSE 0 END AS asked, 'w' || (conv_id % 7) AS w FROM ({_USERS})) WHERE len({checks.WORDS.format('norm', 2)}) >= 4 GROUP BY norm ORDER BY latest DESC, norm LIMIT 4000",
     "src_agent_store": checks.statement("turns", f"SELECT kind, count(*) AS n, count(DISTINCT session_id) AS sessions FROM (SELECT session_id, 'turn_usage' AS kind FROM ({_AGENT}) WHERE first % 40 <> 0 UNION ALL SELECT session_id, unnest(CASE WHEN first % 40 = 0 THEN ['corrupt'] WHEN first % 2 = 1 THEN ['session_metadata', 'session_metadata', 'session_metadata'] ELSE ['session_metadata', 'session_metadata'] END) FROM ({_AGENT}) WHERE n = 0) GROUP BY kind"),

@@ -37,9 +37,17 @@ def usage_records(turns: DataFrame, prefix: str) -> DataFrame:
     return turns.select(F.to_json(record, {"ignoreNullFields": "false"}).alias("value"))
 
 
-def write_usage_log(turns: DataFrame, path: str, prefix: str) -> None:
-    """Append records to a folder of JSON Lines files; what is there is never rewritten."""
-    usage_records(turns, prefix).write.mode("append").text(path)
+def write_usage_log(turns: DataFrame, path: str, prefix: str, batch: int | str | None = None) -> None:
+    """Append records to a folder of JSON Lines files; what is there is never rewritten.
+
+    With a batch's name they are the folder's partition of that name: a batch
+    that is written again, after a failure, takes its own place, and others stay.
+    """
+    records = usage_records(turns, prefix)
+    if batch is None:
+        records.write.mode("append").text(path)
+    else:
+        records.withColumn("batch", F.lit(str(batch))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").text(path)
 
 
 def export_cells(cells: DataFrame, path: str, kind: str = "csv") -> None:
@@ -56,4 +64,5 @@ def export_cells(cells: DataFrame, path: str, kind: str = "csv") -> None:
     line = F.concat_ws(",", "date", quoted("model"), quoted("project"), *[F.col(c).cast("string") for c in ("turns", "input_tokens", "output_tokens")], *costs)
     body = cells.select(line.alias("value"), F.struct(F.lit(1).alias("n"), "date", "model", "project").alias("place"))
     head = cells.sparkSession.range(1).select(F.lit(",".join(cells.columns)).alias("value"), F.struct(F.lit(0).alias("n"), *[F.lit("").alias(c) for c in ("date", "model", "project")]).alias("place"))
-    head.unionByName(body).coalesce(1).sortWithinPartitions("place").select("value").write.mode("overwrite").text(path)
+    # one file, but the cells are aggregated by as many tasks as before
+    head.unionByName(body).repartition(1).sortWithinPartitions("place").select("value").write.mode("overwrite").text(path)
