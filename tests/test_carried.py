@@ -192,3 +192,16 @@ def test_lsh_finds_most(spark):
     exact = {(r["session_id"], r["seq"]) for r in duplicates.history_duplicates(df, index).collect()}
     found = {(r["session_id"], r["seq"]) for r in duplicates.history_duplicates(df, index, method="lsh").collect()}
     assert found <= exact and len(found) >= 0.9 * len(exact) > 0
+
+
+def test_first_turns_of_a_stream(spark, tmp_path):
+    at = lambda d: datetime.datetime(2024, 1, d)
+    row = lambda i, r, d=1, source="agent": (source, "p", "s", i, r, "m", at(d) if d else None, i, 0, None)
+    frame = lambda *rows: spark.createDataFrame(list(rows), "source string, project string, session_id string, seq long, response_id string, model string, ts timestamp, input_tokens long, output_tokens long, cache_read_tokens long")
+    first = jobs.FirstTurns(str(tmp_path / "f"), idle=5, every=2)
+    kept = lambda n, *rows: sorted(r["seq"] for r in first.told(frame(*rows), n).collect())
+    assert kept(0, row(3, "a"), row(2, "a"), row(9, "a", source="legacy"), row(4, ""), row(5, ""), row(6, None), row(7, "u", None)) == [4, 5, 6, 7, 9]
+    assert kept(1, row(10, "a"), row(11, "b"), row(12, "")) == [11, 12]
+    assert kept(1, row(10, "a"), row(11, "b"), row(12, "")) == [11, 12]  # the batch runs again
+    assert kept(2, row(13, "c", 20), row(14, "u")) == [13]  # a full version: a and b are forgotten, the undated u is not
+    assert kept(3, row(15, "a", 21), row(16, "c", 21), row(17, "u")) == [15]

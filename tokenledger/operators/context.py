@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokenledger.functions.text import long_words, token_estimate
+from tokenledger import staging
+from tokenledger.functions.text import long_words
 from tokenledger.operators.carry import running_before
 from tokenledger.settings import DEFAULTS, Settings
 
@@ -63,23 +64,30 @@ def tier_tools(prompts: DataFrame, catalog: DataFrame, s: Settings = DEFAULTS, l
     said = F.concat_ws("", "name", "description", "input_schema")
     tools = catalog.select("ordinal", F.lower(F.concat(F.coalesce("name", F.lit("")), F.lit(" "), F.coalesce("description", F.lit("")))).alias("hay"), F.length(said).alias("chars"))
     terms = tools.select("hay").distinct().select("hay", F.explode(F.array_distinct(F.filter(F.split("hay", "[^a-z0-9]+"), lambda w: F.length(w) > 2))).alias("term"))
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.length("term") - 2), lambda i: F.transform(F.sequence(F.lit(3), F.length("term") - i + 1), lambda k: F.substring(F.col("term"), i, k))))
-    index = terms.select("term").distinct().select("term", F.explode(F.array_distinct(parts)).alias("gram")).join(terms, "term").select("hay", "gram").distinct()
     asked = prompts.select("session_id", "seq", F.explode_outer(long_words(F.col("prompt"))).alias("word"))
+    # a word that is part of a term begins with one of the term's trigrams
+    trigrams = terms.select("term").distinct().select("term", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("term") - 2), lambda i: F.substring(F.col("term"), i, 3)))).alias("trigram"))
+    words = asked.where("word IS NOT NULL").select("word").distinct().withColumn("trigram", F.left("word", F.lit(3)))
+    index = words.join(trigrams, "trigram").where(F.col("term").contains(F.col("word"))).select(F.col("word").alias("gram"), "term").join(terms, "term").select("hay", "gram").distinct()
+    index = staging.save(index, "tool-index")
     hits = asked.join(index.select("gram").distinct(), F.col("word") == F.col("gram"), "left").groupBy("session_id", "seq").agg(F.array_sort(F.collect_list("gram")).alias("hits"))
-    kinds = hits.select("hits").distinct()
+    hits = staging.save(hits, "tool-hits")
+    kinds = hits.where(F.size("hits") > 0).select("hits").distinct()
     scores = kinds.select("hits", F.explode("hits").alias("gram")).join(index, "gram").groupBy("hits", "hay").agg(F.count("*").alias("score"))
     best = Window.partitionBy("hits").orderBy(F.desc("score"), "ordinal")
     front = tools.withColumn("place", F.row_number().over(Window.partitionBy("hay").orderBy("ordinal"))).where(F.col("place") <= n).drop("place")
     scored = scores.join(front, "hay").select("hits", "ordinal", "chars", "score").withColumn("place", F.row_number().over(best)).where(F.col("place") <= n).drop("place")
-    # a tool that scores and is among the catalogue's first alone is beaten by n others, so its 0 there does no harm
-    first = kinds.join(F.broadcast(tools.orderBy("ordinal").limit(n).select("ordinal", "chars")), how="cross").withColumn("score", F.lit(0).cast("long"))
-    kept = scored.unionByName(first).groupBy("hits", "ordinal", "chars").agg(F.max("score").alias("score")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= n)
-    kept = kept.groupBy("hits").agg(F.array_sort(F.collect_list("ordinal")).alias("kept_ids"), F.sum("chars").alias("chars"))
+    ranked = scored.groupBy("hits").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("rank"), "ordinal", "chars"))).alias("scored"))  # n at most
+    # places that are left go to the catalogue's first, of which those that score are n at most
+    first = tools.orderBy("ordinal").limit(n).groupBy().agg(F.array_sort(F.collect_list(F.struct(F.lit(0).cast("long").alias("rank"), "ordinal", "chars"))).alias("first"))
     every = tools.agg(F.coalesce(F.sum("chars"), F.lit(0)).alias("every"))
-    out = hits.join(kept, "hits", "left").join(F.broadcast(every), how="cross")
-    ids = F.coalesce("kept_ids", F.array().cast(kept.schema["kept_ids"].dataType))
-    return out.select("session_id", "seq", F.size(ids).cast("long").alias("kept"), ids.alias("kept_ids"), F.ceil((F.col("every") - F.coalesce("chars", F.lit(0))) / 4).cast("long").alias("tokens_saved"))
+    out = hits.join(ranked, "hits", "left").join(F.broadcast(first.join(every, how="cross")), how="cross")  # one row
+    none = F.array().cast(ranked.schema["scored"].dataType)
+    own = F.coalesce("scored", none)
+    kept = F.slice(F.concat(own, F.filter("first", lambda x: ~F.array_contains(F.transform(own, lambda y: y["ordinal"]), x["ordinal"]))), 1, n) if n else none
+    out = out.withColumn("kept_", kept)
+    ids, chars = F.array_sort(F.transform("kept_", lambda x: x["ordinal"])), F.aggregate("kept_", F.lit(0).cast("long"), lambda t, x: t + x["chars"])
+    return out.select("session_id", "seq", F.size(ids).cast("long").alias("kept"), ids.alias("kept_ids"), F.ceil((F.col("every") - chars) / 4).cast("long").alias("tokens_saved"))
 
 
 def glob_pattern(glob: str) -> str:
@@ -129,7 +137,3 @@ def corpus_grep(files: DataFrame, query: str, is_regex: bool = False, glob: str
     small = _matching(files, glob, exclude).where(F.octet_length("content") <= max_bytes)
     lines = small.select("path", F.posexplode(F.split("content", "\r?\n")).alias("i", "text")).where(F.col("text").rlike(pattern))
     return lines.select("path", (F.col("i") + 1).cast("long").alias("line"), F.left("text", F.lit(clip)).alias("text")).orderBy("path", "line").limit(limit)
-
-
-def estimated_tokens(files: DataFrame) -> DataFrame:
-    return files.withColumn("tokens", token_estimate(F.col("content")))

@@ -13,6 +13,7 @@ from tokenledger import staging
 from tokenledger.functions.text import token_estimate
 from tokenledger.operators import carry, duplicates, pricing, rules
 from tokenledger.operators.budget import metered, shown, with_projection
+from tokenledger.operators.turns import dedup_turns
 from tokenledger.plans import checks
 from tokenledger.plans.queries import COACH
 from tokenledger.settings import DEFAULTS, Settings
@@ -26,10 +27,14 @@ def read_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", str(files)).parquet(path)
 
 
-def enrich(requests: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """requests (prompt, model, context_tokens, ref_count, ref_ids) with projected output and dollars, a cheaper model, and the rules that need no state."""
-    m = pricing.output_multiplier(F.col("model"), s)
-    out = requests.withColumn("projected", pricing.projected_output(F.col("context_tokens"), m))
+def enrich(requests: DataFrame, s: Settings = DEFAULTS, multipliers: DataFrame | None = None) -> DataFrame:
+    """requests (prompt, model, context_tokens, ref_count, ref_ids) with projected output and dollars, a cheaper model, and the rules that need no state.
+
+    multipliers: (model, multiplier) learnt from history, a static table that each batch is joined with.
+    """
+    requests, own = pricing.with_learnt(requests, multipliers)
+    m = pricing.output_multiplier(F.col("model"), s, own)
+    out = requests.withColumn("projected", pricing.projected_output(F.col("context_tokens"), m)).drop("learnt")
     p, c = pricing.price_of(F.col("model"), s), pricing.cheaper_of(F.col("model"), F.col("context_tokens"), F.col("projected"), s)
     found = F.array(*[F.when(v, F.lit(k)) for k, v in rules.rule_columns(requests.sparkSession, s).items()])
     return out.withColumns({"projected_usd": pricing.usd(F.col("context_tokens") * p["p_in"] + F.col("projected") * p["p_out"]), "cheaper": c["model"], "findings": F.filter(found, lambda x: x.isNotNull())})
@@ -41,10 +46,31 @@ def stream_daily(turns: DataFrame, delay: str = "31 days") -> DataFrame:
 
 
 def stream_dedup(turns: DataFrame, delay: str = "1 day") -> DataFrame:
-    """The first turn of each response id within the delay."""
+    """A turn of each response id within the delay, in Spark's own state: for dated turns with ids, whichever of a batch's equals stays."""
     return turns.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["response_id"])
 
 
+class FirstTurns:
+    """dedup_turns over a stream: of a response id the first batch's turn stays, within a batch the first in dedup_turns' order; turns without an id all stay.
+
+    Ids that came are kept as versions by batch; those whose last day lies more
+    than idle days before the latest are forgotten when a full version is written.
+    """
+
+    def __init__(self, path: str, idle: int | None = None, every: int = 16):
+        self.seen, self.idle = Versions(f"{path}/seen", ["response_id"], "response_id string, day date", every), idle
+
+    def told(self, batch: DataFrame, n: int) -> DataFrame:
+        batch = staging.save(batch, "turns")
+        held = self.seen.before(batch.sparkSession, n, batch.where("response_id <> ''").select("response_id"))
+        out = staging.save(dedup_turns(batch.join(held.select("response_id"), "response_id", "left_anti").select(*batch.columns)), "first-turns")
+        ids = out.where("response_id <> ''").select("response_id", F.to_date("ts").alias("day"))
+        last = ids.agg(F.max("day")).first()[0]
+        keep = None if self.idle is None or last is None else F.coalesce(F.col("day") >= F.date_sub(F.lit(last), self.idle), F.lit(True))
+        self.seen.put(ids, n, keep)
+        return out
+
+
 class Coach:
     """The live coach on prompts: what a request is told rests on its session and on all that was asked before, kept as versions by batch.
 
@@ -189,10 +215,11 @@ def run_to_table(df: DataFrame, mode: str = "append", keys: list[str] | None = N
     return done.drop("batch")
 
 
-def in_batches(df: DataFrame, order: str, batches: int = 5, files: int = 2) -> DataFrame:
-    """df as a stream of so many batches of near sizes in the order of a column, each in files of its own and in no order within."""
+def in_batches(df: DataFrame, order: str, batches: int = 5, files: int = 2, align: int = 1) -> DataFrame:
+    """df as a stream of so many batches of near sizes in the order of a column, each in files of its own and in no order within; they end before multiples of align."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession, "batches")
     cuts = df.selectExpr(f"percentile_approx({order}, array({', '.join(str(i / batches) for i in range(1, batches))})) AS c").first()["c"] or []
+    cuts = [c // align * align - 1 if align > 1 else c for c in cuts]
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = df if low is None else df.where(F.col(order) > low)
         part = part if high is None else part.where(F.col(order) <= high)
@@ -220,8 +247,10 @@ def daily_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _turns(spark, sf_dir).where("ts IS NOT NULL AND response_id <> ''")
-    return run_to_table(stream_dedup(rows, "40 days")).select("response_id")
+    """Three batches of turns; none parts a response from its repetition, so the result is that of all turns at once."""
+    path = shared_folder(spark, "first-turns")
+    rows = T.turns(spark, sf_dir).select("source", "project", "session_id", "seq", "response_id", "model", "ts", "input_tokens", "output_tokens")
+    return run_to_table(in_batches(rows, "seq", 3, align=20), each=FirstTurns(f"{path}/state").told, path=path)
 
 
 def enrich_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,10 +288,10 @@ def budget_query(spark: SparkSession, sf_dir: str, s: Settings = DEFAULTS) -> Da
 
 
 def sink_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The usage log as a file sink: records are appended by the stream and read back."""
+    """The usage log as a sink: each batch writes its records in a place of its own, whether it runs once or again; then they are read back."""
     path = shared_folder(spark, "stream-log")
     rows = pricing.list_cost(_turns(spark, sf_dir)).withColumn("turn_index", F.col("seq"))
-    query = sinks.usage_records(rows, "ledger").writeStream.format("text").option("path", f"{path}/log").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query = rows.writeStream.foreachBatch(lambda batch, n: sinks.write_usage_log(batch, f"{path}/log", "ledger", n)).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return readers.read_usage_log(spark, f"{path}/log", "ledger").select("session_id", F.col("turn_index").alias("seq"), "model", "input_tokens", "output_tokens", "cost_usd")
 
@@ -274,7 +303,7 @@ _SAID = "SELECT 'c' || conv_id AS session_id, turn AS seq, text AS prompt, CASE
 _WORDS = checks.WORDS.format("lower(prompt)", 1)
 ORACLES = {
     "stream_daily": checks.statement("turns", "SELECT cast(cast(ts AS date) AS varchar) AS day, model, count(*) AS turns, cast(sum(input_tokens) AS bigint) AS input_tokens FROM turns WHERE ts IS NOT NULL GROUP BY ALL"),
-    "stream_dedup": checks.statement("turns", "SELECT DISTINCT response_id FROM turns WHERE ts IS NOT NULL AND response_id <> ''"),
+    "stream_dedup": checks.check_sql("turns_dedup"),
     "stream_enrich": checks.statement("book_of", f"""WITH p AS (SELECT x.*, b.price_key, {checks.PROJECT.format('c', checks.REASON.format('x.model'))} AS projected, p_in, p_out FROM ({_SAID}) x JOIN book_of b ON x.model = b.model),
       asked_p AS (SELECT DISTINCT model, c AS tin, projected AS tout, c * p_in + projected * p_out AS now FROM p), g AS ({checks.suggestions('asked_p')})
       SELECT session_id, seq, projected, cast(c * p_in + projected * p_out AS double) / 1e13 AS projected_usd, pick AS cheaper,
