@@ -134,7 +134,6 @@ def history_duplicates(prompts: DataFrame, index: DataFrame, s: Settings = DEFAU
         entries = staging.save(index.withColumn("id", F.xxhash64("norm")), "entries")
         sets = own.unionByName(entries.select("id", "words")).dropDuplicates(["id"])
         if method == "exact":
-            sets = staging.save(sets, "norms")
             sets = staging.save(rarest_first(sets, word_counts(sets)), "norm-sets")
         near = similar_sets(sets, [], t) if method == "exact" else _lsh_pairs(sets, t)
     near = near.select("a", "b", "similarity").distinct()

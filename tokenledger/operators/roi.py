@@ -22,8 +22,11 @@ def edit_roi_files(ops: DataFrame, request_models: DataFrame, inventory: DataFra
     Discarded: created and gone. Then rework from three iterations on, kept if
     it is there, else pending.
     """
-    rows = within(ops, root).join(request_models.select("request_id", "model"), "request_id", "left")
-    files = rows.groupBy("fs_path").agg(F.count("*").alias("ops"), F.greatest(F.lit(1).cast("long"), F.count_distinct(F.nullif("request_id", F.lit("")))).alias("iterations"), F.bool_or(F.col("type") == "create").alias("created"), F.array_sort(F.collect_set("model")).alias("models"))
+    # plain counts by path and request, then by path and model; only a file's few models are gathered
+    asked = within(ops, root).groupBy("fs_path", "request_id").agg(F.count("*").alias("ops"), F.bool_or(F.col("type") == "create").alias("created"))
+    rows = asked.join(request_models.select("request_id", "model"), "request_id", "left")
+    per = rows.groupBy("fs_path", "model").agg(F.sum("ops").alias("ops"), F.count_if(F.col("request_id") != "").alias("requests"), F.bool_or("created").alias("created"))
+    files = per.groupBy("fs_path").agg(F.sum("ops").alias("ops"), F.greatest(F.lit(1).cast("long"), F.sum("requests")).alias("iterations"), F.bool_or("created").alias("created"), F.array_sort(F.collect_list("model")).alias("models"))
     files = files.join(inventory.select("fs_path").distinct().withColumn("there", F.lit(True)), "fs_path", "left").withColumn("there", F.coalesce("there", F.lit(False)))
     verdict = F.when(~F.col("there") & F.col("created"), "discarded").when(F.col("iterations") >= 3, "rework").when(F.col("there"), "kept").otherwise("pending")
     return files.withColumn("verdict", verdict)
@@ -42,8 +45,9 @@ def model_roi(files: DataFrame, calibrated: DataFrame) -> DataFrame:
     per = files.select(F.explode("models").alias("model"), "iterations", "verdict").groupBy("model").agg(F.count("*").alias("files"), F.sum("iterations").alias("iterations"), *_counts())
     c = calibrated.select(F.lower("model").alias("own"), "avg_cost", "ordinal")
     name = F.lower("model")
-    first = per.select("model").join(F.broadcast(c), name.contains(F.col("own")) | F.col("own").contains(name)).groupBy("model").agg(F.min_by("avg_cost", F.struct("ordinal", "own")).alias("avg_cost"))
-    out = per.join(F.broadcast(first), "model", "left").withColumn("est_cost", F.col("avg_cost") * F.col("iterations")).drop("avg_cost")
+    # a row for each model on both sides; the files are read once
+    fit = per.join(F.broadcast(c), name.contains(F.col("own")) | F.col("own").contains(name), "left")
+    out = fit.groupBy(per.columns).agg((F.min_by("avg_cost", F.when(F.col("own").isNotNull(), F.struct("ordinal", "own"))) * F.col("iterations")).alias("est_cost"))
     return out.orderBy(F.desc(F.coalesce("est_cost", F.lit(0.0))), F.desc("iterations"), "model")
 
 
