@@ -92,22 +92,76 @@ def test_tiles_above_a_block(spark, monkeypatch):
     assert [r["component_id"] for r in jaccard.jaccard_components(docs, 3, 80).orderBy("doc_id").collect()] == name
 
 
+def site(body, n=12, host="h"):
+    return [(i, f"http://{host}/{i}", f"<body>{body(i)}</body>") for i in range(n)]
+
+
+def pages_frame(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def main_texts(spark, rows):
+    return {r["page_id"]: r["text"] for r in html_text.extract(pages_frame(spark, rows)).collect()}
+
+
 def test_classes_are_tokens_of_one_occurrence_vector(spark):
-    pages = []
-    for i in range(12):
+    def body(i):
         rows = "".join(f"<li>{i} {k}</li>" for k in range(1 + i % 3))
-        pages.append((i, f"http://h/{i}", f'<body><div id="post-{i}" class=top><ul>{rows}</ul></div><div class="story"><p>long text of page {i} {"x" * 80}</p><noscript>kept</noscript><div class="related-work">also</div><div class="share-buttons">no</div></div><p>Same</p></body>'))
-    docs = spark.createDataFrame(pages, "page_id long, url string, html string")
-    found = html_text.templates(docs).first()
+        return f'<div id="post-{i}" class=top><ul>{rows}</ul></div><div class="story"><p>long text of page {i} {"x" * 80}</p><noscript>kept</noscript><div class="related-work">also</div><div class="share-buttons">no</div></div><p>Same</p>'
+
+    rows = site(body)
+    tokens, classes = html_text.classes_of(pages_frame(spark, [*rows, (99, "http://h/copy", rows[3][2])]))  # a copy is no further page
     vectors: dict = {}
-    for i, _, text in pages:
-        page = html_text.Page(text)
-        for path, n in Counter(page.path).items():
-            vectors.setdefault(path, [0] * 12)[i] = n
-    story = next(p for p in html_text.Page(pages[0][2]).path if html_text.Page(pages[5][2]).below(p)[-2] is not None and vectors[p] == [1] * 12 and p == found["main"])
-    assert story and len(found["fixed"]) >= 1  # "Same"
-    got = {r["page_id"]: r["text"] for r in html_text.extract(docs).collect()}
-    assert got[3] == f"long text of page 3 {'x' * 80}\n\nkept\n\nalso"
+    for i, _, text in rows:
+        for token, n in Counter(html_text.Page(text).tokens()).items():
+            vectors.setdefault(token, [0] * 12)[i] = n
+    want, got = {}, {}
+    for token, vector in vectors.items():
+        want.setdefault(tuple(vector), set()).add(token)
+    for r in tokens.collect():
+        got.setdefault(r["class"], set()).add((r["path"], r["token"]))
+    assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values()))
+    assert {(r["members"], r["support"], r["pages"]) for r in classes.collect()} == {(len(v), sum(map(bool, k)), 12) for k, v in want.items()}
+    # what each page says inside the slot is the template's
+    assert main_texts(spark, rows)[3] == f"long text of page 3 {'x' * 80}"
+
+
+def test_all_slots_and_nothing_of_the_template(spark):
+    said = lambda i, part: f"{part} of page {i}: " + " ".join(f"w{(i * 7 + k * k) % 97}" for k in range(40 + i % 5))
+    menu = lambda i: '<div class="x1"><a>Home</a><p>All about us</p></div>'
+    two = site(lambda i: f'{menu(i)}<div class="wrap"><div class="pa"><p>{said(i, "first")}</p><p>Read on below.</p></div><div class="teaser"><p>t{i}</p></div><div class="pb"><p>{said(i, "second")}</p></div></div><div class="end"><p>Made by us</p></div>')
+    got = main_texts(spark, two)
+    assert all(got[i] == f"{said(i, 'first')}\n\n{said(i, 'second')}" for i in range(12))
+    # the same pages by themselves: no template, so that all is taken
+    alone = main_texts(spark, [(i, f"http://h{i}/", text) for i, _, text in two])
+    assert sum(alone[i] != got[i] for i in range(12)) == 12
+    # an own text between the slots of a wrapper keeps the wrapper whole
+    own = site(lambda i: f'{menu(i)}<div class="wrap"><p>{said(i, "lead")}</p><div class="pa"><p>{said(i, "first")}</p></div></div>')
+    assert all(t == f"{said(i, 'lead')}\n\n{said(i, 'first')}" for i, t in main_texts(spark, own).items())
+    # pages that are copies but for a number keep their text
+    near = site(lambda i: f'{menu(i)}<div class="pa"><p>{said(1, "first")}</p><p>{said(2, "second")}</p><p>No. {i}</p></div>')
+    assert all(t == f"{said(1, 'first')}\n\n{said(2, 'second')}\n\nNo. {i}" for i, t in main_texts(spark, near).items())
+    # article elements: the template takes its own lines out, and brings in the slot beside
+    tagged = site(lambda i: f'<article><p>{said(i, "first")}</p><p>Share this with friends</p></article><div class="more"><p>{said(i, "second")}</p></div>')
+    assert all(t == f"{said(i, 'first')}\n\n{said(i, 'second')}" for i, t in main_texts(spark, tagged).items())
+
+
+def test_classes_that_do_not_nest_are_no_template(spark):
+    a, b = '<div class="a1"></div>', '<div class="b1"></div>'
+    mixed = lambda i: (a + b if i % 4 else b + a) + f'<div class="s"><p>words of page {i} {"y" * 60}</p></div>'
+    rows = site(mixed)
+    pages = pages_frame(spark, rows)
+    own = {p for p in html_text.Page(rows[0][2]).path}
+    found, n = html_text.templates(pages)
+    assert n == 0 and found.count() == 0 and own  # one class, in two orders
+    # two classes, of which one goes on behind the other's start
+    crossed = lambda i: '<i class="ka"></i>' + ('<i class="ma"></i>' if i % 3 else "") + '<i class="kb"></i>' + ('<i class="mb"></i>' if i % 3 else "") + f'<div class="s"><p>words of page {i} {"y" * 60}</p></div>'
+    rows = site(crossed)
+    found, n = html_text.templates(pages_frame(spark, rows))
+    tokens, classes = html_text.classes_of(pages_frame(spark, rows))
+    whole = classes.where("support = 12").first()["members"]
+    assert n == whole and {r["members"] for r in classes.where("support = 8").collect()} == {2}
+    assert html_text.extract(pages.where("false")).count() == 0
 
 
 def test_neighbours_over_several_leaves(spark, monkeypatch):
