@@ -21,14 +21,15 @@ def words(rng, n, vocabulary=60):
     return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
 
 
-def test_substring_dedup(spark):
+@pytest.mark.parametrize("bits", [64, 0])  # 0: all runs of windows have the hashes of any other
+def test_substring_dedup(spark, bits):
     rng = random.Random(3)
     shared = [words(rng, 30) for _ in range(4)]
     texts = [None, "", "é" * 70, "ab" * 60] + [" ".join(rng.choice([*shared, words(rng, 20, 999)]) for _ in range(3)) for _ in range(40)]
     size = 60
     data = [(t or "").encode() for t in texts]
     seen = Counter(b[j : j + size] for b in data for j in range(len(b) - size + 1))
-    for row in substring_dedup.remove_repeats(frame(spark, texts), size).collect():
+    for row in substring_dedup.remove_repeats(frame(spark, texts), size, bits).collect():
         b = data[row["doc_id"]]
         gone = bytearray(len(b))
         for j in range(len(b) - size + 1):
@@ -39,7 +40,7 @@ def test_substring_dedup(spark):
         assert row["kept_sha256"] == hashlib.sha256(bytes(x for x, y in zip(b, gone, strict=True) if not y)).hexdigest()
     assert substring_dedup.remove_repeats(frame(spark, ["x" * 50]).where("false"), size).count() == 0
     twice = frame(spark, ["q" + words(rng, 30, 999)])
-    assert {r["n_removed"] == r["n_bytes"] for r in substring_dedup.remove_repeats(twice.union(twice), size).collect()} == {True}
+    assert {r["n_removed"] == r["n_bytes"] for r in substring_dedup.remove_repeats(twice.union(twice), size, bits).collect()} == {True}
 
 
 def distance(a, b):

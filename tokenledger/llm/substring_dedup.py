@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -190,16 +191,32 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int):
 _ANCHORS = "doc long, gram long, pos int, lo int, hi int, run long, run2 long"
 
 
-def _scan(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], length: int, bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = batch.column(0)
         for at, rows, data, offsets in text_chunks(batch, limit=500_000):
             doc, anchor, first, last, g, h, h2 = anchored_runs(data, offsets, length)
-            base = offsets[doc] if len(doc) else doc
+            base, mask = offsets[doc] if len(doc) else doc, np.uint64((1 << bits) - 1)
+            h, h2 = h & mask, h2 & mask
             arrays = [keys.slice(at, rows).take(pa.array(doc)), pa.array(g.view(np.int64)), *(pa.array((x - base).astype(np.int32)) for x in (anchor, first, last)), pa.array(h.view(np.int64)), pa.array(h2.view(np.int64))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc", "gram", "pos", "lo", "hi", "run", "run2"])
 
 
+_BYTES = "gram long, run long, run2 long, x int, y int, bytes binary"
+
+
+def _run_bytes(batches: Iterator[pa.RecordBatch], length: int, rows: int = 5_000) -> Iterator[pa.RecordBatch]:
+    """The bytes of runs of windows, some thousand at a time; of each document (text, members) in turn."""
+    for batch in batches:
+        for i, text in enumerate(batch.column(0)):
+            data, members = (text.as_py() or "").encode("utf-8", "surrogatepass"), batch.column(1)[i].values
+            for at in range(0, len(members), rows):
+                part = members.slice(at, rows)
+                gram, run, run2, pos, lo, hi = (pa.array(part.field(k)) for k in ("gram", "run", "run2", "pos", "lo", "hi"))
+                said = [data[a : b + length] for a, b in zip(lo.to_pylist(), hi.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([gram, run, run2, pc.subtract(lo, pos), pc.subtract(hi, pos), pa.array(said, pa.binary())], ["gram", "run", "run2", "x", "y", "bytes"])
+
+
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for key, text, members in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
@@ -269,16 +286,31 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+def _unlike(text: DataFrame, alike: DataFrame, length: int) -> DataFrame:
+    """Of the kinds of alike (gram, run, run2, x, y: runs of equal hashes; doc, pos, lo, hi) those whose runs differ in bytes.
+
+    Runs are grouped by kind and bytes, before the shuffle as well, so a run
+    that many documents of a task have is sent once.
+    """
+    per = alike.groupBy("doc").agg(F.collect_list(F.struct("gram", "run", "run2", "pos", "lo", "hi")).alias("members"))
+    rows = text.select("doc", "text").join(F.broadcast(per) if alike.limit(MEMBERS + 1).count() <= MEMBERS else per, "doc").select("text", "members")
+    said = rows.mapInArrow(lambda it: _run_bytes(it, length), _BYTES).distinct()
+    kinds = said.groupBy("gram", "run", "run2", "x", "y").count()
+    return save(kinds.where("count > 1").drop("count"), "repeats-unlike")
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, hash_bits: int = 64) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes).
 
     Removed is every byte covered by a string of length bytes that also starts
     elsewhere. Each window of that length is anchored at its smallest hash of
     half the length, and anchors whose half length occurs once are done with:
     what is left are the suffixes at anchors, dealt out by their first bytes.
-    Runs of windows of one anchor that are equal as a whole (by two independent
-    64-bit hashes) are repeated throughout. The others, and one run for each
-    kind of equal ones, meet by anchor and are sorted there, onwards and
+    Runs of windows of one anchor that are equal as a whole are repeated
+    throughout. Two hashes (of hash_bits bits; fewer only bring more work) find
+    them, and a grouping by their bytes verifies them: where runs of equal
+    hashes differ, all of them go on as unlike ones. These, and one run for
+    each kind of equal ones, meet by anchor and are sorted there, onwards and
     backwards from the anchor (see Suffixes); what neighbours have in common
     tells which windows occur twice. Groups of HOT or more are dealt again by
     ranges of offsets and the bytes common to such a range.
@@ -288,16 +320,22 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     rows are known by an own key. No rows: no rows.
     """
     text = docs.select(F.xxhash64("doc_id", "text").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = text.select("doc", "text").mapInArrow(lambda it: _scan(it, length), _ANCHORS)
+    found = text.select("doc", "text").mapInArrow(lambda it: _scan(it, length, hash_bits), _ANCHORS)
     found = save(found, "repeats-found")
     # counts are combined before the shuffle, and a common anchor's rows may be split in the join
     twice = save(found.groupBy("gram").count().where("count > 1").select("gram"), "repeats-grams")
     runs = save(found.join(bounded(twice), "gram"), "repeats-anchors")
     discard(found), discard(twice)
-    kinds = runs.groupBy("gram", "run", "run2", F.expr("lo - pos").alias("x"), F.expr("hi - pos").alias("y")).agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos", "lo", "hi")).alias("one"))
-    kinds = save(kinds, "repeats-kinds")
-    whole = runs.join(kinds.where("n > 1").select("gram", "run", "run2", "x", "y"), ["gram", "run", "run2"], "left_semi")
-    covered = whole.select("doc", F.col("lo").cast("long").alias("s"), (F.col("hi") + length).cast("long").alias("e"))
+    kind = ["gram", "run", "run2", "x", "y"]
+    runs = runs.select("*", F.expr("lo - pos").alias("x"), F.expr("hi - pos").alias("y"))
+    kinds = save(runs.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos", "lo", "hi")).alias("one")), "repeats-kinds")
+    alike = save(runs.join(kinds.where("n > 1").select(*kind), kind, "left_semi"), "repeats-alike")
+    lying = _unlike(text, alike, length)
+    if lying.limit(1).count():
+        apart = alike.join(lying, kind, "left_semi").select(*kind, F.lit(1).cast("long").alias("n"), F.struct("doc", "pos", "lo", "hi").alias("one"))
+        kinds = kinds.join(lying, kind, "left_anti").unionByName(apart)
+        alike = alike.join(lying, kind, "left_anti")
+    covered = alike.select("doc", F.col("lo").cast("long").alias("s"), (F.col("hi") + length).cast("long").alias("e"))
     several = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
     part = kinds.join(several, "gram").select("gram", "one.*", (F.col("n") > 1).alias("done"), "kinds")
     per = save(part.groupBy("doc").agg(F.collect_list(F.struct("gram", "pos", "lo", "hi", "done", "kinds")).alias("members")), "repeats-members")
@@ -315,6 +353,9 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     # coverage of equal rows (one key) is that of each of them; a text that occurs as two rows is repeated as a whole
     twice = text.where(F.octet_length("text") >= length).groupBy("doc").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).cast("long").alias("e")).where("n > 1").select("doc", F.lit(0).cast("long").alias("s"), "e")
     spans = covered.unionByName(some).unionByName(twice).groupBy("doc").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    spans = save(spans, "repeats-covered")
+    for done in (runs, kinds, alike, lying, per, some):
+        discard(done)
     out = text.join(spans, "doc", "left").select("doc_id", "text", "spans")
     return out.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
