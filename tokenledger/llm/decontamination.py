@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenledger.llm.common import bounded, save, table
+from tokenledger.llm.common import bounded, discard, save, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words: runs of ASCII letters and digits and of anything beyond ASCII.
@@ -37,8 +39,9 @@ def _grams(size: int) -> str:
     return _combine("transform(words, w -> xxhash64(w))", size, "xxhash64")
 
 
-def _runs(length: int) -> str:
-    return f"transform(sequence(0, size(words) - {length}), i -> array_join(slice(words, i + 1, {length}), ' '))"
+def _by_length(lengths: list[int], body: Callable[[int], str], name: str = "n") -> str:
+    """SQL: body(length) for the length that the column name has."""
+    return "CASE " + name + " " + " ".join(f"WHEN {n} THEN {body(n)}" for n in lengths) + " END"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -49,9 +52,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     of a shorter one. Of each window's hashes of gram words the smallest is
     kept on the document's side and looked up among all of the benchmark's, so
     a shared span of a window's length always shares a fingerprint; hits are
-    extended to whole windows and compared as text. Only hits leave the scan
-    of the documents: the benchmark's fingerprints are broadcast where they
-    are few (counted), and else joined by shuffling fingerprints alone.
+    extended to whole windows and compared as text. One scan looks up the
+    fingerprints for all lengths of windows, one more extends hits, and the
+    words are counted beside the last join. Only hits leave the first scan:
+    the benchmark's fingerprints are broadcast where they are few (counted),
+    and else joined by shuffling fingerprints alone.
 
     Null or empty text: no words, not contaminated. Items without words, an
     empty benchmark: no hits. Items of null item_id hit but are not counted.
@@ -59,39 +64,43 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     """
     spark = docs.sparkSession
     items = save(benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words")).where(F.size("words") > 0).withColumn("n", F.least(F.size("words"), F.lit(window))), "bench-items")
-    lengths = sorted(r["n"] for r in items.select("n").distinct().collect())  # at most window values
+    lengths = [r["n"] for r in items.select("n").distinct().orderBy("n").collect()]  # at most window values
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     # Unicode lower case keeps the words apart as they are and unites more: enough for fingerprints, and faster
     loose = F.coalesce(F.array_remove(F.split(F.lower("text"), NOT_WORD), ""), F.array().cast("array<string>")).alias("words")
-    split = keyed.select("doc_id", "text_hash", loose)
-    counted, found = None, None
-    for length in lengths or [0]:
-        k = min(gram, max(length, 1))
-        span = length - k + 1
-        own = items.where(F.col("n") == length)
-        lowered = own.select("item_id", F.transform("words", F.lower).alias("words"))
-        # 0 stands for the document itself, so that one scan yields both its hits and its number of words
-        known = save(lowered.select(F.explode(F.expr(_grams(k))).alias("print")).unionByName(spark.range(1).select(F.col("id").alias("print"))).distinct(), "bench-prints")
-        windows = save(own.select("item_id", F.explode(F.expr(_runs(length))).alias("run")).distinct(), "bench-windows") if length else None
-        kept = _let("words", "words", _combine(_grams(k), span, "least")) if length else "array()"
-        rows = split.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), F.explode(F.expr(f"concat(array(0L), array_distinct({kept}))")).alias("print"))
-        hits = save(rows.join(bounded(known, 1_000_000), "print", "left_semi"), "bench-hits")
-        counted = hits.where("print = 0").select("doc_id", "text_hash", "n_words") if counted is None else counted
-        if not length:
-            break
-        hits = save(hits.where("print <> 0").groupBy("doc_id", "text_hash").agg(F.collect_set("print").alias("prints")), "bench-prints")
-        mine = bounded(hits.toDF("d", "h", "prints"), 100_000)
-        rows = keyed.join(mine, keyed["doc_id"].eqNullSafe(mine["d"]) & (keyed["text_hash"] == mine["h"])).dropDuplicates(["doc_id", "text_hash"])
-        starts = _let(_grams(k).replace("xxhash64(w)", "xxhash64(lower(w))"), "g", f"array_distinct(flatten(transform(filter(sequence(0, size(g) - 1), i -> array_contains(prints, g[i])), i -> sequence(greatest(0, i - {span - 1}), i))))")
-        rows = rows.select("doc_id", "text_hash", "prints", words_of(F.col("text")).alias("words")).where(F.size("words") >= length)
-        rows = rows.select("doc_id", "text_hash", "words", F.explode(F.expr(starts)).alias("start")).where(F.col("start") <= F.size("words") - length)
-        rows = rows.select("doc_id", "text_hash", "start", F.expr(f"array_join(slice(words, start + 1, {length}), ' ')").alias("run"))
-        rows = rows.join(bounded(windows, 200_000), "run").select("doc_id", "text_hash", "start", F.lit(length).alias("length"), "item_id")
-        found = rows if found is None else found.unionByName(rows)
-    if found is None:
+    counted = keyed.select("doc_id", "text_hash", F.size(loose).cast("long").alias("n_words"))
+    if lengths:
+        k = {n: min(gram, n) for n in lengths}
+        prints = F.expr(_by_length(lengths, lambda n: _grams(k[n])))
+        known = save(items.select("n", F.transform("words", F.lower).alias("words")).select("n", F.explode(prints).alias("print")).distinct(), "bench-prints")
+        windows = save(items.select("item_id", F.explode(F.expr("transform(sequence(0, size(words) - n), i -> array_join(slice(words, i + 1, n), ' '))")).alias("run")).distinct(), "bench-windows")
+        kept = ", ".join(f"transform(array_distinct({_let('words', 'words', _combine(_grams(k[n]), n - k[n] + 1, 'least'))}), p -> struct({n} AS n, p AS print))" for n in lengths)
+        rows = keyed.select("doc_id", "text_hash", loose).select("doc_id", "text_hash", F.expr(f"inline(concat({kept}))"))
+        hits = save(rows.join(bounded(known, 1_000_000), ["n", "print"], "left_semi"), "bench-hits")
+        mine = hits.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "n").agg(F.collect_set("print").alias("prints"))
+        mine = F.broadcast(mine) if hits.limit(1_000_001).count() <= 1_000_000 else mine  # of 8 bytes each, and no more arrays than prints
+        rows = keyed.join(mine, keyed["doc_id"].eqNullSafe(mine["d"]) & (keyed["text_hash"] == mine["h"])).dropDuplicates(["doc_id", "text_hash", "n"])
+        rows = rows.select("doc_id", "text_hash", "n", "prints", words_of(F.col("text")).alias("words")).where("size(words) >= n")
+
+        def starts(n: int) -> str:
+            own = _grams(k[n]).replace("xxhash64(w)", "xxhash64(lower(w))")
+            return _let(own, "g", f"array_distinct(flatten(transform(filter(sequence(0, size(g) - 1), i -> array_contains(prints, g[i])), i -> sequence(greatest(0, i - {n - k[n]}), i))))")
+
+        rows = rows.select("doc_id", "text_hash", "n", "words", F.explode(F.expr(_by_length(lengths, starts))).alias("start")).where("start <= size(words) - n")
+        rows = rows.select("doc_id", "text_hash", "start", F.col("n").alias("length"), F.expr("array_join(slice(words, start + 1, n), ' ')").alias("run"))
+        # a run has as many words as its item's windows, so windows of other lengths never equal it
+        size = windows.agg(F.sum(F.octet_length("run") + F.coalesce(F.octet_length("item_id"), F.lit(0)) + 32)).first()[0] or 0
+        found = rows.join(F.broadcast(windows) if size <= 32_000_000 else windows, "run").select("doc_id", "text_hash", "start", "length", "item_id")
+    else:
         found = counted.where("false").select("doc_id", "text_hash", F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit("").alias("item_id"))
     per = found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.sort_array(F.collect_set("item_id")).alias("items"))
     per = per.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.expr("size(array_distinct(flatten(transform(spans, s -> sequence(s.start, s.start + s.length - 1)))))").cast("long").alias("hit"), "items")
+    if lengths:
+        per = save(per, "bench-found")
+        ids = per.agg(F.sum(F.size("items") + 1)).first()[0] or 0
+        per = F.broadcast(per) if ids <= 500_000 else per
+        discard(hits), discard(known), discard(windows)
+    discard(items)
     out = counted.join(per, counted["doc_id"].eqNullSafe(per["d"]) & (counted["text_hash"] == per["h"]), "left")
     hit, ids = F.coalesce("hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
     return out.select("doc_id", "text_hash", "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), ids.alias("items"))
