@@ -21,7 +21,10 @@ def sample(df: DataFrame, rows: int, chars: int, seed: int, labels: DataFrame |
     characters in all, and passes over texts of more than a twentieth of that.
     Of rows of one doc_id the least counts; rows without doc_id are not drawn.
     With by, rows and chars hold for each value of that column, and a doc_id
-    counts once for each of its values.
+    counts once for each of its values. A value's ids are ranked only up to the
+    hash under which some 2 * rows + 64 of them are expected (all, if it has no
+    more), so no task ranks a frequent value's ids; that fewer than rows lie
+    there has a chance of less than 1e-20.
     """
     key = ["doc_id", *([by] if by else [])]
     size = F.coalesce(F.length("text"), F.lit(0))
@@ -30,6 +33,9 @@ def sample(df: DataFrame, rows: int, chars: int, seed: int, labels: DataFrame |
     ids = fit.select(*key, size.alias("size")).groupBy(*key).agg(F.max("size").alias("size"))
     ids = ids if labels is None else ids.join(labels, "doc_id")
     place = Window.partitionBy(by).orderBy(*order) if by else Window.orderBy(*order)
+    if by:
+        many = ids.groupBy(F.col(by).alias("of")).agg((F.lit(2.0 * rows + 64) / F.count("*")).alias("share"))
+        ids = ids.join(many, ids[by].eqNullSafe(many["of"])).where(order[0] / F.lit(2.0**64) + 0.5 <= F.col("share")).select(*ids.columns)
     ids = ids.withColumn("place", F.row_number().over(place)).where(F.col("place") <= rows).drop("place") if by else ids.orderBy(*order).limit(rows)
     ids = ids.withColumn("all", F.sum("size").over(place)).where(F.col("all") <= chars).drop("size", "all")
     chosen = fit.join(F.broadcast(ids), key)
