@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tokenledger.llm.common import bounded, components, discard, mix, save, table, text_chunks, word_hashes, word_spans
 
@@ -337,10 +336,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     all_sets = save(text.mapInArrow(lambda it: _sets(it, width), "doc_id long, t long, n long, node long, bits binary"), "jaccard-sets")
     sets = all_sets.select("doc_id", "t", "n", "node")
     nodes = save(all_sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.min(F.struct("doc_id", "t")).alias("of"), F.first("bits").alias("bits")), "jaccard-nodes")
-    same = Window.partitionBy("key")
-    tiles = text.select("text").mapInArrow(lambda it: _keys(it, width, percent), "key long, node long")
-    tiles = tiles.select("key", "node", F.min("node").over(same).alias("lead"), F.max("node").over(same).alias("last"))
-    tiles = save(tiles.where("lead <> last").select("key", "node").distinct(), "jaccard-tiles")
+    keys = save(text.select("text").mapInArrow(lambda it: _keys(it, width, percent), "key long, node long"), "jaccard-keys")
+    # smallest and largest are combined before the shuffle, and a common key's rows may be split in the join
+    shared = keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").select("key")
+    tiles = save(keys.join(shared, "key", "left_semi").distinct(), "jaccard-tiles")
+    discard(keys)
     bits = nodes.select("node", "n", "bits")
 
     def open_pairs(part: DataFrame, most: int | None) -> DataFrame:
