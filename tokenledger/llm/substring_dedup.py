@@ -290,10 +290,11 @@ def _unlike(text: DataFrame, alike: DataFrame, length: int) -> DataFrame:
     """Of the kinds of alike (gram, run, run2, x, y: runs of equal hashes; doc, pos, lo, hi) those whose runs differ in bytes.
 
     Runs are grouped by kind and bytes, before the shuffle as well, so a run
-    that many documents of a task have is sent once.
+    that many documents of a task have is sent once. The members grow with the
+    copies in the corpus: they are shuffled to their texts at every size.
     """
     per = alike.groupBy("doc").agg(F.collect_list(F.struct("gram", "run", "run2", "pos", "lo", "hi")).alias("members"))
-    rows = text.select("doc", "text").join(F.broadcast(per) if alike.limit(MEMBERS + 1).count() <= MEMBERS else per, "doc").select("text", "members")
+    rows = text.select("doc", "text").join(per.hint("shuffle_merge"), "doc").select("text", "members")
     said = rows.mapInArrow(lambda it: _run_bytes(it, length), _BYTES).distinct()
     kinds = said.groupBy("gram", "run", "run2", "x", "y").count()
     return save(kinds.where("count > 1").drop("count"), "repeats-unlike")
@@ -330,6 +331,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, hash_bits: int = 64) -> D
     runs = runs.select("*", F.expr("lo - pos").alias("x"), F.expr("hi - pos").alias("y"))
     kinds = save(runs.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos", "lo", "hi")).alias("one")), "repeats-kinds")
     alike = save(runs.join(kinds.where("n > 1").select(*kind), kind, "left_semi"), "repeats-alike")
+    discard(runs)
     lying = _unlike(text, alike, length)
     if lying.limit(1).count():
         apart = alike.join(lying, kind, "left_semi").select(*kind, F.lit(1).cast("long").alias("n"), F.struct("doc", "pos", "lo", "hi").alias("one"))
@@ -354,7 +356,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, hash_bits: int = 64) -> D
     twice = text.where(F.octet_length("text") >= length).groupBy("doc").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).cast("long").alias("e")).where("n > 1").select("doc", F.lit(0).cast("long").alias("s"), "e")
     spans = covered.unionByName(some).unionByName(twice).groupBy("doc").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     spans = save(spans, "repeats-covered")
-    for done in (runs, kinds, alike, lying, per, some):
+    for done in (kinds, alike, lying, per, some):
         discard(done)
     out = text.join(spans, "doc", "left").select("doc_id", "text", "spans")
     return out.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
