@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tokenledger.llm import html_text, jaccard, language_id, neighbours, substring_dedup, toxicity
@@ -60,7 +61,6 @@ def test_linked_sets_share_a_tile():
 
 
 def test_bitmaps_never_rule_out_a_link():
-    import pyarrow as pa
 
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 400, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for n in rng.integers(1, 300, 40)]
@@ -92,6 +92,38 @@ def test_tiles_above_a_block(spark, monkeypatch):
     assert [r["component_id"] for r in jaccard.jaccard_components(docs, 3, 80).orderBy("doc_id").collect()] == name
 
 
+@pytest.mark.parametrize("cut", [1, 2, 3, 50])
+def test_shared_keys_over_batches(cut):
+    rng = random.Random(cut)
+    rows = sorted((rng.randrange(12), rng.randrange(4)) for _ in range(40))
+    hot = {3, 5}
+    batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.int64()), pa.array([n for _, n in part], pa.int64()), pa.array([k in hot for k, _ in part], pa.bool_())], ["key", "node", "hot"]) for part in (rows[i : i + cut] for i in range(0, len(rows), cut))]
+    got = [(r["key"], r["node"]) for b in jaccard._shared(iter(batches)) for r in b.to_pylist()]
+    nodes = {k: {n for j, n in rows if j == k} for k, _ in rows}
+    assert got == [(k, n) for k in sorted(nodes) for n in sorted(nodes[k]) if len(nodes[k]) > 1 or k in hot]
+
+
+@pytest.mark.parametrize("least", [2, 1_000])
+def test_tiles_with_and_without_hot_keys(spark, monkeypatch, least):
+    monkeypatch.setattr(jaccard, "HOT_SAMPLE", 2)
+    monkeypatch.setattr(jaccard, "HOT_LEAST", least)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*base[: i % 50], f"z{i}", *base[i % 50 + 1 :]]) for i in range(40)] * 2 + ["", None, "other words alone"]
+    keys, nodes = [], []
+    for t in {t for t in texts if t}:
+        data = np.frombuffer(t.encode(), np.uint8)
+        h, at = jaccard.shingle_sets(data, np.array([0, len(data)]), 3)
+        key, _ = jaccard.tile_keys(h, at, 80)
+        keys += key.tolist()
+        nodes += [int(jaccard._group_sums(h, at)[0])] * len(key)
+    held = {}
+    for k, n in zip(keys, nodes, strict=True):
+        held.setdefault(k, set()).add(n)
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = sorted(tuple(r) for r in jaccard.shared_keys(frame, 3, 80).collect())
+    assert got == sorted((k, n) for k, s in held.items() if len(s) > 1 for n in s)
+
+
 def site(body, n=12, host="h"):
     return [(i, f"http://{host}/{i}", f"<body>{body(i)}</body>") for i in range(n)]
 

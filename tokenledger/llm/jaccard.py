@@ -18,6 +18,9 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 #: Set hashes that a task remembers, so as to deal the keys of equal sets once.
 SEEN = 200_000
+#: One text in so many, by hash, tells which keys are hot: those of at least HOT_LEAST sets among them and of a share
+#: of their keys of one in HOT_KEYS or more, so that there are no more than HOT_KEYS; a hot key goes to HOT_PARTS tasks.
+HOT_SAMPLE, HOT_LEAST, HOT_KEYS, HOT_PARTS = 64, 16, 20_000, 64
 #: Nodes of a tile that are held against each other at once; larger tiles are dealt out as pairs of blocks.
 BLOCK = 4_096
 #: Bytes of text that a task takes into arrays at once, and nodes that it holds against a tile's others at once.
@@ -288,6 +291,26 @@ def _keys(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterat
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(nodes[new][which])], ["key", "node"])
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, node, hot) sorted by key and node the distinct ones whose key has another node, or is hot; one row is held over a batch's end."""
+    last, sent = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)], False
+    for batch in batches:
+        key, node, hot = (np.concatenate([held, batch.column(i).to_numpy(zero_copy_only=False)]) for i, held in enumerate(last))
+        if not len(key):
+            continue
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node, hot = key[new], node[new], hot[new]
+        keep = hot.copy()
+        same = key[1:] == key[:-1]
+        keep[1:] |= same
+        keep[:-1] |= same
+        keep[0] &= not sent
+        sent = bool(keep[-1]) or (sent and len(key) == 1)
+        last = [x[-1:] for x in (key, node, hot)]
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep])], ["key", "node"])
+
+
 def _arrays(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, data, offsets in text_chunks(batch, limit=TEXT_BYTES):
@@ -313,6 +336,27 @@ def _exact(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep)), b.filter(pa.array(keep))], ["a", "b"])
 
 
+def shared_keys(text: DataFrame, width: int, percent: int) -> DataFrame:
+    """key, node: of texts the tiles of two nodes or more, each node of a tile once.
+
+    The keys are shuffled once and read in order, one row held at a time. The
+    keys of a part of the texts tell the hottest ones, which certainly have
+    several nodes: their rows are dealt over many tasks and need no company.
+    """
+    def keys(part: DataFrame) -> DataFrame:
+        return part.select("text").mapInArrow(lambda it: _keys(it, width, percent), "key long, node long")
+
+    some = keys(text.where(F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(HOT_SAMPLE)) == 0)).distinct().groupBy("key").agg(F.count("*").alias("times"))
+    some = save(some.where(F.col("times") >= HOT_LEAST), "jaccard-hot")
+    least = (some.agg(F.sum("times")).first()[0] or 0) / HOT_KEYS
+    hot = some.where(F.col("times") >= least).select("key", F.lit(True).alias("hot"))
+    dealt = keys(text).join(bounded(hot), "key", "left").select("key", "node", F.coalesce("hot", F.lit(False)).alias("hot"))
+    dealt = dealt.repartition("key", F.when(F.col("hot"), F.pmod("node", F.lit(HOT_PARTS))).otherwise(0)).sortWithinPartitions("key", "node")
+    tiles = save(dealt.mapInArrow(_shared, "key long, node long"), "jaccard-tiles")
+    discard(some)
+    return tiles
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, t (hash of the text), n_shingles, n_links, component_id.
 
@@ -336,11 +380,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     all_sets = save(text.mapInArrow(lambda it: _sets(it, width), "doc_id long, t long, n long, node long, bits binary"), "jaccard-sets")
     sets = all_sets.select("doc_id", "t", "n", "node")
     nodes = save(all_sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.min(F.struct("doc_id", "t")).alias("of"), F.first("bits").alias("bits")), "jaccard-nodes")
-    keys = save(text.select("text").mapInArrow(lambda it: _keys(it, width, percent), "key long, node long"), "jaccard-keys")
-    # smallest and largest are combined before the shuffle, and a common key's rows may be split in the join
-    shared = keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").select("key")
-    tiles = save(keys.join(shared, "key", "left_semi").distinct(), "jaccard-tiles")
-    discard(keys)
+    tiles = shared_keys(text, width, percent)
     bits = nodes.select("node", "n", "bits")
 
     def open_pairs(part: DataFrame, most: int | None) -> DataFrame:
