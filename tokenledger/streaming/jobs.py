@@ -88,11 +88,11 @@ class Coach:
         self.contexts = Versions(f"{path}/contexts", ["session_id"], f"session_id {session}, turns bigint, context bigint", every)
         self.index = Versions(f"{path}/index", ["norm"], "norm string, id bigint, words array<string>, first bigint, latest bigint, project string", refresh)
 
-    def _repeats(self, batch: DataFrame, n: int) -> DataFrame:
-        """(session_id, seq, similarity) as session_duplicates has it for all prompts so far; the batch's new sets are kept."""
+    def _repeats(self, batch: DataFrame, n: int, below: bool = False) -> DataFrame:
+        """(session_id, seq, similarity) as session_duplicates has it for all prompts so far, or with below as nearest_earlier has it; the batch's new sets are kept."""
         spark = batch.sparkSession
         earlier = staging.save(self.sets.before(spark, n, batch.select("session_id")), "earlier-sets")
-        found = staging.save(duplicates.session_duplicates(batch, self.s, earlier), "repeats")
+        found = staging.save(duplicates.nearest_earlier(batch, earlier) if below else duplicates.session_duplicates(batch, self.s, earlier), "repeats")
         _, sets = duplicates.prompt_sets(batch)
         asked = batch.groupBy("session_id").agg(F.max("asked_at").alias("asked_at"))
         # sets of sessions that asked again are as young as their session
@@ -126,13 +126,19 @@ class Coach:
         self.index.put(changed, n, remake=ranked)
         return found
 
-    def told(self, batch: DataFrame, n: int, findings: bool = True, threshold: DataFrame | None = None, multipliers: DataFrame | None = None) -> DataFrame:
-        """The n-th batch of prompts (as evaluate_rules takes them, with asked_at) with similarity, growth, turn_index, ran (not skipped as a duplicate), and findings; without these no history is kept."""
+    def told(self, batch: DataFrame, n: int, findings: bool = True, threshold: DataFrame | None = None, multipliers: DataFrame | None = None, below: bool = False) -> DataFrame:
+        """The n-th batch of prompts (as evaluate_rules takes them, with asked_at) with similarity, growth, turn_index, ran (not skipped as a duplicate), and findings; without these no history is kept.
+
+        below: similarities under the threshold are told as well, 0 for a prompt that is like no earlier one.
+        """
         spark = batch.sparkSession
         batch = staging.save(batch, "asked")
-        repeats = self._repeats(batch, n)
+        nearest = self._repeats(batch, n, below)
+        repeats = nearest.where(F.col("similarity") >= self.s.dup_threshold)
         held = staging.save(self.contexts.before(spark, n, batch.select("session_id")), "contexts")
         rows = rules.evaluate_rules(batch, repeats, self._past(batch, n), self.s, threshold, multipliers, held) if findings else rules.with_growth(batch, repeats, self.s, held)
+        if below:
+            rows = rows.drop("similarity").join(nearest.hint("merge"), ["session_id", "seq"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
         rows = carry.place(rows, ["session_id"], "seq", "turn_index").join(held.select("session_id", "turns"), "session_id", "left")
         rows = rows.withColumn("turn_index", F.col("turn_index") + F.coalesce("turns", F.lit(0))).drop("turns").withColumn("ran", ~(F.col("duplicate") & F.lit(self.s.block_duplicates)))
         rows = staging.save(rows, "told")
@@ -264,7 +270,7 @@ def session_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = request_rows(T.table(spark, sf_dir, "conversations")).withColumn("asked_at", F.col("seq"))
     path = shared_folder(spark, "sessions")
     live = Coach(f"{path}/state")
-    return run_to_table(in_batches(said, "seq", 3), each=lambda batch, n: live.told(batch, n, findings=False).select("session_id", "seq", "turn_index", "similarity", "growth", "ran"), path=path)
+    return run_to_table(in_batches(said, "seq", 3), each=lambda batch, n: live.told(batch, n, findings=False, below=True).select("session_id", "seq", "turn_index", "similarity", "growth", "ran"), path=path)
 
 
 def findings_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,7 +320,7 @@ ORACLES = {
           CASE WHEN {checks.word('prompt', S.GENERATIVE)} AND NOT {checks.word('prompt', S.BRIEF)} AND length(prompt) < 2000 THEN 'no_cap' END, CASE WHEN {checks.hint(_D.reasoning_hints, 'p.model')} THEN 'reasoning' END, CASE WHEN price_key IS NULL THEN 'unknown_price' END) AS findings
       FROM p LEFT JOIN g ON p.model = g.model AND c = tin AND projected = tout, p90"""),
     "stream_session_state": f"""WITH p AS (SELECT *, {_WORDS} AS words FROM ({_SAID})), b AS (SELECT a.session_id, a.seq, max({checks.JACCARD.format('a.words', 'x.words')}) AS similarity FROM p a JOIN p x ON a.session_id = x.session_id AND x.seq < a.seq GROUP BY ALL),
-      r AS (SELECT p.session_id, p.seq, c, CASE WHEN similarity >= {_D.dup_threshold} THEN similarity END AS similarity, coalesce(similarity, 0) < {_D.dup_threshold} AS ran FROM p LEFT JOIN b ON p.session_id = b.session_id AND p.seq = b.seq)
+      r AS (SELECT p.session_id, p.seq, c, coalesce(similarity, 0.0) AS similarity, coalesce(similarity, 0) < {_D.dup_threshold} AS ran FROM p LEFT JOIN b ON p.session_id = b.session_id AND p.seq = b.seq)
       SELECT session_id, seq, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS turn_index, similarity, c - last_value(CASE WHEN ran THEN c END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS growth, ran FROM r""",
     "stream_findings": checks.check_sql("guardrail_findings"),
     "stream_budget": checks.statement("spent", f"""SELECT session_id, seq, turn_index, cast(su AS bigint) AS session_used, cast(du AS bigint) AS day_used, {checks.level('(su + projected)', '(du + projected)').split(', CASE')[0]} FROM (
