@@ -140,18 +140,21 @@ def cheaper_of(model: Column, tokens_in: Column, tokens_out: Column, s: Settings
     The book is gone through in order: a key that isn't part of the model's
     name is taken if it costs less than the best so far by a thousandth.
     """
-    name = F.lower(F.coalesce(model, F.lit("")))
     own = price_of(model, s)
     now = tokens_in * own["p_in"] + tokens_out * own["p_out"]
     book = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(round(a * UNITS)).cast("long").alias("a"), F.lit(round(b * UNITS)).cast("long").alias("b")) for _, k, a, b in s.prices()])
-    start = F.struct(now.alias("best"), F.lit(None).cast("string").alias("model"))
+    # arrays of one: their lambdas name what has been worked out, where an expression used twice would be worked out twice
+    asked = F.array(F.struct(F.lower(F.coalesce(model, F.lit(""))).alias("name"), tokens_in.alias("tin"), tokens_out.alias("tout"), now.alias("now")))
 
-    def step(acc: Column, p: Column) -> Column:
-        cost = tokens_in * p["a"] + tokens_out * p["b"]
-        return F.when(~name.contains(p["k"]) & (cost < acc["best"] * 0.999), F.struct(cost.alias("best"), p["k"].alias("model"))).otherwise(acc)
+    def found(q: Column) -> Column:
+        def step(acc: Column, p: Column) -> Column:
+            cost = q["tin"] * p["a"] + q["tout"] * p["b"]
+            return F.when(~q["name"].contains(p["k"]) & (cost < acc["best"] * 0.999), F.struct(cost.alias("best"), p["k"].alias("model"))).otherwise(acc)
 
-    found = F.aggregate(book, start, step, lambda acc: F.struct(acc["model"].alias("model"), now.alias("now"), acc["best"].alias("best")))
-    return F.when(found["model"].isNotNull() & (found["now"] > 0) & ((found["now"] - found["best"]) / found["now"].cast("double") >= s.suggestion_floor), found)
+        start = F.struct(q["now"].alias("best"), F.lit(None).cast("string").alias("model"))
+        return F.aggregate(book, start, step, lambda acc: F.struct(acc["model"].alias("model"), q["now"].alias("now"), acc["best"].alias("best")))
+
+    return F.get(F.filter(F.transform(asked, found), lambda x: x["model"].isNotNull() & (x["now"] > 0) & ((x["now"] - x["best"]) / x["now"].cast("double") >= s.suggestion_floor)), 0)
 
 
 def cheapest_family(s: Settings = DEFAULTS) -> tuple[str, int, int]:

@@ -317,7 +317,7 @@ def calibrated_multiplier(spark, d, s):
 def savings_columns(spark, d, s):
     rows = pricing.price_turns(T.requests(spark, d), s)
     projected = pricing.projected_output(F.col("input_tokens"), pricing.output_multiplier(F.col("model"), s))
-    cheaper = pricing.cheaper_of(F.col("model"), F.col("input_tokens"), F.col("output_tokens"), s)
+    rows, cheaper = rows.withColumn("cheaper", pricing.cheaper_of(F.col("model"), F.col("input_tokens"), F.col("output_tokens"), s)), F.col("cheaper")
     return rows.select(
         "seq", F.ceil(F.col("compacted_chars") / 4).cast("long").alias("tokens_saved_by_compaction"), F.when(F.col("duplicate"), F.col("input_tokens") + projected).otherwise(0).alias("tokens_saved_by_duplicate_block"), F.col("tiered_tokens").alias("tokens_saved_by_tiering"),
         F.when(~F.col("duplicate"), cheaper["model"]).alias("suggested_cheaper_model"), F.when(~F.col("duplicate"), X.half_up(pricing.usd(cheaper["now"] - cheaper["best"]), 6)).alias("potential_savings_usd"),
