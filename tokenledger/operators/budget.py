@@ -45,79 +45,101 @@ def shown(rows: DataFrame, s: Settings) -> DataFrame:
     return rows.withColumns({"session_pct": half_up(a * 100.0 / s.session_budget), "day_pct": half_up(b * 100.0 / s.daily_budget), "level": level, "budget": budget})
 
 
-#: Open turns of a day's owner up to which they are settled in order at once.
+#: Open turns of an owner's day, its earliest, that one round takes in order.
 FOLDED = 2048
 
-#: Open turns in order: x.s and x.d are keys, ran what has run since the bases.
+#: Turns of a day in order: what has run before each, and which run.
 _FOLD = """
-aggregate(open, named_struct('ran', slice(open, 1, 0), 'stopped', cast(array() AS array<bigint>)),
-  (a, x) -> if(x.session_base + aggregate(filter(a.ran, y -> y.s <=> x.s), 0L, (t, y) -> t + y.spent) + x.projected < {session}
-           AND x.day_base + aggregate(filter(a.ran, y -> y.d <=> x.d), 0L, (t, y) -> t + y.spent) + x.projected < {daily},
-    named_struct('ran', if(x.spent > 0, concat(a.ran, array(x)), a.ran), 'stopped', a.stopped),
-    named_struct('ran', a.ran, 'stopped', concat(a.stopped, array(x.seq)))),
-  a -> a.stopped)
+aggregate(turns, named_struct('used', 0L, 'ran', cast(array() AS array<bigint>)),
+  (a, x) -> if(x.day_base + a.used + x.projected < {daily}, named_struct('used', a.used + x.spent, 'ran', concat(a.ran, array(x.seq))), a))
 """
 
 
-def _folded(open_: DataFrame, s: Settings, session: list[str], day: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(seq of stopped turns, turns that stay open): owners of few open turns, and of sessions of their own alone, are settled in order."""
-    owner = day[0]
-    alone = open_.groupBy(*session).agg((F.min(owner) == F.max(owner)).alias("alone_"))
-    small = open_.join(alone, session).groupBy(owner).agg(F.count("*").alias("n_"), F.min("alone_").alias("alone_")).where(f"n_ <= {FOLDED} AND alone_").select(owner)
-    turn = F.struct("seq", F.struct(*session).alias("s"), F.struct(*day).alias("d"), "projected", "spent", "session_base", "day_base")
-    lists = open_.join(small, owner, "left_semi").groupBy(owner).agg(F.array_sort(F.collect_list(turn)).alias("open"))  # FOLDED turns at most
-    stopped = lists.select(F.explode(F.expr(_FOLD.format(session=int(s.session_budget), daily=int(s.daily_budget)))).alias("seq"))
-    return stopped, open_.join(small, owner, "left_anti")
+def _run_of_days(open_: DataFrame, s: Settings, day: list[str]) -> DataFrame:
+    """(seq) of the turns (seq, day, projected, spent, day_base) that run if only the day's budget stops turns.
 
+    Rounds: turns that stay below the budget with all open ones before them
+    counted run, the first FOLDED open ones of a day are taken in order, and of
+    the later ones those stay open that fit beside what has run of these.
+    """
+    spent, kept, parts = F.col("spent"), [], []
+    fits = lambda used: F.col("day_base") + F.col(used) + F.col("projected") < s.daily_budget
+    open_ = open_.select("seq", *day, "projected", "spent", "day_base")
+    while True:
+        most = sums_before(open_, day, "seq", {"most": spent, "place": F.lit(1).cast("long")})
+        most = staging.save(most.withColumn("runs", fits("most")).drop("most"), "budget-round")
+        lists = most.where(F.col("place") < FOLDED).groupBy(*day).agg(F.array_sort(F.collect_list(F.struct("seq", "projected", "spent", "day_base"))).alias("turns"))  # FOLDED turns at most
+        told = staging.save(lists.select(*day, F.expr(_FOLD.format(daily=int(s.daily_budget))).alias("told")).select(*day, "told.used", "told.ran"), "budget-told")
+        long = most.where(F.col("place") == FOLDED).select(*day)  # a row for FOLDED turns at most
+        used = F.broadcast(long.join(told.select(*day, "used"), day, "left").withColumn("used", F.coalesce("used", F.lit(0).cast("long"))))
+        later = staging.save(most.where(F.col("place") >= FOLDED).join(used, day).where(F.col("runs") | fits("used")).drop("place", "used"), "budget-later")
+        kept += [most, told, later]
+        parts += [told.select(F.explode("ran").alias("seq")), later.where("runs").select("seq")]
+        if later.where("NOT runs").isEmpty():
+            break
+        # what ran for certain among later turns, and all that ran of the first ones
+        sure = F.when(F.col("runs"), spent).otherwise(F.lit(0).cast("long"))
+        left = running_before(later, day, "seq", sure, "ran").where("NOT runs").join(used, day).withColumn("day_base", F.col("day_base") + F.col("used") + F.col("ran"))
+        open_ = left.where(F.col("day_base") + F.col("projected") < s.daily_budget).drop("runs", "ran", "used")
+    ran = staging.save(functools.reduce(DataFrame.unionByName, parts), "budget-ran")
+    for done in kept:
+        staging.discard(done)
+    return ran
 
-def blocked_turns(rows: DataFrame, s: Settings, session: list[str], day: list[str]) -> DataFrame:
-    """(seq) of the turns that hard blocking stops. rows: seq, the keys, projected, spent, and session_base and day_base, used before all of them.
+
+def running_turns(rows: DataFrame, s: Settings, session: list[str], day: list[str]) -> DataFrame:
+    """(seq) of the turns that hard blocking lets run. rows: seq, the keys, projected, spent, and session_base and day_base, used before all of them.
 
     A turn is stopped if what ran before it in its session or in its owner's
     day, and its own projection, reach a budget; one that is stopped adds
     nothing to either. So each verdict rests on earlier ones of all sessions of
-    the day. They are settled in rounds from two sides: with all open turns
-    counted as run, a turn that stays below both budgets runs for certain; with
-    only those counted that run for certain, one that still reaches a budget is
-    stopped for certain. The rest is open, and the next round starts from the
-    totals of what has been settled. The first open turn of a session and day
-    is settled by every round, and as a rule all up to the next one at which
-    the two sides differ; the rounds' sums are carried over blocks, so no owner
-    is held by one task, and only open turns are read again. An owner with few
-    open turns left (FOLDED) has them settled in order, in one expression.
+    the day. Days are run as if no session's budget were reached. Then the
+    sessions are summed up: days with a turn that ran over its session's budget
+    are watched from then on, and run again with the turns left out that their
+    sessions stop, until these stay the same. Verdicts that agree with all that
+    ran before them are those of the turns taken in order: the first one that
+    differed would rest on equal ones. A day that is not watched is read once.
     """
     keys = [*dict.fromkeys([*session, *day])]
-    open_ = rows.select("seq", *keys, "projected", "spent", "session_base", "day_base")
-    rounds, parts = [], []
+    spent, projected, zero = F.col("spent"), F.col("projected"), F.lit(0).cast("long")
+    # a turn of unknown projection is never stopped
+    rows = rows.select("seq", *keys, F.coalesce(projected, F.lit(-(1 << 62))).alias("projected"), F.coalesce(spent, zero).alias("spent"), "session_base", "day_base")
+    rows = staging.save(rows.where((F.col("session_base") + projected < s.session_budget) & (F.col("day_base") + projected < s.daily_budget)), "budget-turns")
+    first = _run_of_days(rows, s, day)
+    kept = [rows, first]
+    state = rows.join(first, "seq").withColumns({"watched": F.lit(False), "runs": F.lit(True), "fits": F.lit(True)})
     while True:
-        spent = F.col("spent")
-        most = running_before(running_before(open_, session, "seq", spent, "session_most"), day, "seq", spent, "day_most")
-        below = lambda a, b: (F.col("session_base") + F.col(a) + F.col("projected") < s.session_budget) & (F.col("day_base") + F.col(b) + F.col("projected") < s.daily_budget)
-        most = most.withColumn("runs", below("session_most", "day_most")).drop("session_most", "day_most")
-        sure = F.when(F.col("runs"), spent).otherwise(0)
-        least = running_before(running_before(most, session, "seq", sure, "session_least"), day, "seq", sure, "day_least")
-        done = staging.save(least.withColumn("stops", ~F.col("runs") & ~below("session_least", "day_least")), "budget-round")
-        rounds.append(done)
-        parts.append(done.where("stops").select("seq"))
-        left = done.where("NOT runs AND NOT stops")
-        if left.isEmpty():
-            break
-        left = left.withColumns({"session_base": F.col("session_base") + F.col("session_least"), "day_base": F.col("day_base") + F.col("day_least")}).drop("runs", "stops", "session_least", "day_least")
-        stopped, open_ = _folded(left, s, session, day)
-        parts.append(stopped)
-        if open_.isEmpty():
+
+        def summed(turns: DataFrame) -> DataFrame:
+            out = running_before(turns, session, "seq", F.when(F.col("runs"), spent).otherwise(zero), "used")
+            out = staging.save(out.withColumn("now", F.col("session_base") + F.col("used") + projected < s.session_budget).drop("used"), "budget-sessions")
+            kept.append(out)
+            return out
+
+        state = summed(state)
+        over = staging.save(state.where("NOT watched AND NOT now").select(*day).distinct(), "budget-over")
+        kept.append(over)
+        if not over.isEmpty():
+            more = rows.join(over, day, "left_semi").join(state.where("NOT watched").select("seq", "runs"), "seq", "left")
+            more = more.withColumns({"watched": F.lit(True), "runs": F.coalesce("runs", F.lit(False)), "fits": F.lit(True)})
+            state = summed(state.drop("now").join(over, day, "left_anti").unionByName(more))
+        if state.where("watched AND now <> fits").isEmpty():
             break
-    stopped = staging.save(functools.reduce(DataFrame.unionByName, parts), "budget-stopped")
-    for done in rounds:
+        again = _run_of_days(state.where("watched AND now"), s, day)
+        kept.append(again)
+        state = state.drop("fits").withColumnRenamed("now", "fits").join(again.withColumn("again", F.lit(True)), "seq", "left")
+        state = state.withColumn("runs", F.when(F.col("watched"), F.coalesce("again", F.lit(False))).otherwise(F.col("runs"))).drop("again")
+    ran = staging.save(state.where("runs").select("seq"), "budget-running")
+    for done in kept:
         staging.discard(done)
-    return stopped
+    return ran
 
 
 def metered(rows: DataFrame, s: Settings, session: list[str], day: list[str]) -> DataFrame:
     """rows (seq, keys, projected, spent, session_base, day_base) with session_used and day_used before each; with hard_block, blocked, and spent 0 where it is true."""
     if s.hard_block:
-        stopped = blocked_turns(rows, s, session, day).withColumn("blocked", F.lit(True))
-        rows = rows.join(stopped, "seq", "left").withColumn("blocked", F.coalesce("blocked", F.lit(False))).withColumn("spent", F.when(F.col("blocked"), F.lit(0).cast("long")).otherwise(F.col("spent")))
+        ran = running_turns(rows, s, session, day).withColumn("runs", F.lit(True))
+        rows = rows.join(ran, "seq", "left").withColumn("blocked", F.col("runs").isNull()).drop("runs").withColumn("spent", F.when(F.col("blocked"), F.lit(0).cast("long")).otherwise(F.col("spent")))
     rows = running_before(rows, session, "seq", F.col("spent"), "session_used")
     rows = running_before(rows, day, "seq", F.col("spent"), "day_used")
     return rows.withColumns({"session_used": F.col("session_used") + F.col("session_base"), "day_used": F.col("day_used") + F.col("day_base")})
