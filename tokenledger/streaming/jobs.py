@@ -108,14 +108,14 @@ class Coach:
         """history_duplicates for the batch's prompts among all prompts so far; the index is ranked anew every refresh batches."""
         spark = batch.sparkSession
         own = duplicates.build_prompt_index(batch, None).withColumn("id", F.xxhash64("norm"))
-        own = staging.save(own, "own-norms")
+        own = staging.save(own, "own-norms")  # joined by their ids, as everywhere: texts stay where they are
         often = spark.read.schema("word string, df bigint").parquet(self._often(n - 1)) if n else duplicates.word_counts(own)
         before = self.index.before(spark, n)
-        old = before.join(own.select("norm"), "norm", "left_semi").select("norm", *[F.col(c).alias(f"old_{c}") for c in ("first", "latest", "project")])
-        both = duplicates.rarest_first(own, often).join(old, "norm", "left")
+        old = before.join(own.select("id"), "id", "left_semi").select("id", *[F.col(c).alias(f"old_{c}") for c in ("first", "latest", "project")])
+        both = duplicates.rarest_first(own, often).join(old, "id", "left")
         project = F.when(F.col("old_latest") > F.col("latest"), F.col("old_project")).otherwise(F.col("project"))
         changed = staging.save(both.select("norm", "id", "words", F.least("first", "old_first").alias("first"), F.greatest("latest", "old_latest").alias("latest"), project.alias("project")), "norms")
-        index = before.join(changed.select("norm"), "norm", "left_anti").unionByName(changed)
+        index = staging.save(before.join(changed.select("id"), "id", "left_anti").unionByName(changed), "all-norms")  # read by five joins
         found = staging.save(duplicates.history_duplicates(batch, index, self.s, indexed=True), "past")
 
         def ranked(rows: DataFrame) -> DataFrame:
@@ -224,12 +224,14 @@ def run_to_table(df: DataFrame, mode: str = "append", keys: list[str] | None = N
 def in_batches(df: DataFrame, order: str, batches: int = 5, files: int = 2, align: int = 1) -> DataFrame:
     """df as a stream of so many batches of near sizes in the order of a column, each in files of its own and in no order within; they end before multiples of align."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession, "batches")
+    df = staging.save(df, "unbatched")  # made once, not for each batch
     cuts = df.selectExpr(f"percentile_approx({order}, array({', '.join(str(i / batches) for i in range(1, batches))})) AS c").first()["c"] or []
     cuts = [c // align * align - 1 if align > 1 else c for c in cuts]
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = df if low is None else df.where(F.col(order) > low)
         part = part if high is None else part.where(F.col(order) <= high)
         part.repartition(files, F.xxhash64(F.lit(7), F.col(order))).write.mode("append").parquet(path)
+    staging.discard(df)
     return read_stream(spark, path, files)
 
 
