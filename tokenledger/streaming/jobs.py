@@ -221,10 +221,15 @@ def run_to_table(df: DataFrame, mode: str = "append", keys: list[str] | None = N
     return done.drop("batch")
 
 
+#: Rows of a batch for which it has a file more, so that its tasks grow with it.
+FILE_ROWS = 250_000
+
+
 def in_batches(df: DataFrame, order: str, batches: int = 5, files: int = 2, align: int = 1) -> DataFrame:
-    """df as a stream of so many batches of near sizes in the order of a column, each in files of its own and in no order within; they end before multiples of align."""
+    """df as a stream of so many batches of near sizes in the order of a column, each in files of its own (files at least) and in no order within; they end before multiples of align."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession, "batches")
     df = staging.save(df, "unbatched")  # made once, not for each batch
+    files = max(files, df.count() // (batches * FILE_ROWS))
     cuts = df.selectExpr(f"percentile_approx({order}, array({', '.join(str(i / batches) for i in range(1, batches))})) AS c").first()["c"] or []
     cuts = [c // align * align - 1 if align > 1 else c for c in cuts]
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
