@@ -91,6 +91,23 @@ def test_short_lines_are_removed_as_exact_repeats(spark):
     assert got == {0: (texts[0], 0, 0), 1: ("\nWh.\nThis line has thirty letters..", 2, 0), 2: ("All right reserved.", 2, 1)}
 
 
+def test_letters_are_counted_only_of_lines_that_meet(spark, monkeypatch):
+    """Of 40 lines without a common segment and two near ones, letters of the two alone are counted."""
+    rng = random.Random(4)
+    lines = ["".join(rng.choice("abcdefghij") for _ in range(40)) for _ in range(40)]
+    texts = ["\n".join(lines[:25]), "\n".join(lines[25:]), lines[7][:20] + "zz" + lines[7][22:]]
+    counted, save = [], line_dedup.save
+
+    def seen(df, name):
+        out = save(df, name)
+        counted.append(out.where("counts IS NOT NULL").count() if "counts" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(line_dedup, "save", seen)
+    assert {r["doc_id"]: r["n_near"] for r in line_dedup.dedup_lines(frame(spark, texts)).collect()} == {0: 0, 1: 0, 2: 1}
+    assert sum(counted) == 2
+
+
 @pytest.mark.parametrize(("width", "percent"), [(3, 90), (2, 60)])
 def test_jaccard_components(spark, width, percent):
     rng = random.Random(5)

@@ -68,8 +68,8 @@ def deduped(docs: DataFrame, min_chars: int | None = None, edits: int = EDITS) -
     in its own. A given min_chars is the least length for both. Equal
     lines are one node from the scan on (a combining aggregation), so that a
     line that a third of all documents hold is one row. Near lines are found
-    through equal segments; counts of some letters, in the join's condition,
-    turn most others away, and the bit-parallel distance decides.
+    through equal segments; of lines that share one, counts of some letters, in
+    the join's condition, turn most others away, and the bit-parallel distance decides.
 
     Null text: no lines, empty result. Empty text: one empty line, kept.
     Null doc_id sorts first. Repeated rows are one document returned twice.
@@ -80,23 +80,28 @@ def deduped(docs: DataFrame, min_chars: int | None = None, edits: int = EDITS) -
     lines = docs.where("text IS NOT NULL").select(*key, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("line", F.trim("line")).withColumn("n", F.length("line")).where(F.col("n") >= least)
     lines = lines.withColumn("h", F.xxhash64(F.lit(1), "line"))
     index, probe = _segment_keys(edits)
-    # counts modulo 8, three bits each: their circular difference is never above the true one
-    counts = [((F.col("n") - F.length(F.replace(F.col("line"), F.lit(x)))) % 8).cast("long") for x in LETTERS]
-    packed = sum((F.shiftleft(c, 3 * i) for i, c in enumerate(counts)), F.lit(0).cast("long"))
-    mine = lines.select("doc_id", "t", "pos", "h", "n", packed.alias("counts"), F.expr(f"CASE WHEN n >= {near_chars} THEN array({', '.join(probe)}) END").alias("probe"))
-    nodes = mine.groupBy("h").agg(F.min(F.struct("doc_id", "t", "pos")).alias("first"), F.count("*").alias("times"), F.first(F.struct("n", "counts", "probe")).alias("line"))
+    mine = lines.select("doc_id", "t", "pos", "h", F.expr(f"CASE WHEN n >= {near_chars} THEN array({', '.join(probe)}) END").alias("probe"))
+    nodes = mine.groupBy("h").agg(F.min(F.struct("doc_id", "t", "pos")).alias("first"), F.count("*").alias("times"), F.first(F.struct("probe")).alias("line"))
     nodes = save(nodes.select("h", "first", "times", "line.*"), "lines-nodes")
     places = [probe.index(k) for k in index]
-    asked = nodes.select(F.col("h").alias("a"), F.col("counts").alias("x"), F.explode("probe").alias("key"))
-    held = nodes.where("probe IS NOT NULL").select(F.col("h").alias("b"), F.col("counts").alias("y"), F.explode(F.array(*[F.element_at("probe", p + 1) for p in places])).alias("key"))
-    apart = " + ".join(f"(4 - abs(4 - abs((shiftright(x, {3 * i}) & 7) - (shiftright(y, {3 * i}) & 7))))" for i in range(len(LETTERS)))
-    pairs = asked.join(held, (asked["key"] == held["key"]) & (F.col("a") != F.col("b")) & F.expr(f"{apart} <= {2 * edits}"))
-    pairs = save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "lines-pairs")
-    wanted = save(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "h").select("h", "first.*"), "lines-wanted")
+    asked = nodes.select(F.col("h").alias("a"), F.explode("probe").alias("key"))
+    held = nodes.where("probe IS NOT NULL").select(F.col("h").alias("b"), F.explode(F.array(*[F.element_at("probe", p + 1) for p in places])).alias("key"))
+    # most lines meet none: letters are counted, and texts fetched, for those alone that do (a semi-join stops at the first other line)
+    asked = save(asked.join(held, (asked["key"] == held["key"]) & (F.col("a") != F.col("b")), "left_semi"), "lines-asked")
+    held = save(held.join(bounded(asked.select("key").distinct(), 200_000), "key"), "lines-held")
+    wanted = save(nodes.join(asked.select("a").unionByName(held.select(F.col("b").alias("a"))).distinct().toDF("h"), "h").select("h", "first.*"), "lines-wanted")
     small = bounded(wanted.select(F.col("doc_id").alias("d"), F.col("t").alias("u"), F.col("pos").alias("p"), "h"), 200_000)
     text = docs.where("text IS NOT NULL").select(*key, "text")
-    chars = text.join(small, text["doc_id"].eqNullSafe(small["d"]) & (text["t"] == small["u"])).select("h", F.split(F.trim(F.element_at(F.split("text", "\n", -1), F.col("p") + 1)), "").alias("chars")).dropDuplicates(["h"])
-    chars = save(chars, "lines-chars")
+    chars = text.join(small, text["doc_id"].eqNullSafe(small["d"]) & (text["t"] == small["u"])).select("h", F.trim(F.element_at(F.split("text", "\n", -1), F.col("p") + 1)).alias("line")).dropDuplicates(["h"])
+    # counts modulo 8, three bits each: their circular difference is never above the true one
+    counts = [((F.length("line") - F.length(F.replace(F.col("line"), F.lit(x)))) % 8).cast("long") for x in LETTERS]
+    packed = sum((F.shiftleft(c, 3 * i) for i, c in enumerate(counts)), F.lit(0).cast("long"))
+    chars = save(chars.select("h", packed.alias("counts"), F.split("line", "").alias("chars")), "lines-chars")
+    apart = " + ".join(f"(4 - abs(4 - abs((shiftright(x, {3 * i}) & 7) - (shiftright(y, {3 * i}) & 7))))" for i in range(len(LETTERS)))
+    own = lambda df, h, c: df.join(chars.select(F.col("h").alias(h), F.col("counts").alias(c)), h)
+    pairs = own(asked, "a", "x").join(own(held, "b", "y").withColumnRenamed("key", "same"), (F.col("key") == F.col("same")) & (F.col("a") != F.col("b")) & F.expr(f"{apart} <= {2 * edits}"))
+    pairs = save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "lines-pairs")
+    chars = chars.select("h", "chars")
     # the distances cost far more than the pairs' bytes tell: deal them out by number
     joined = pairs.join(chars.toDF("a", "x"), "a").join(chars.toDF("b", "y"), "b").withColumn("n", F.size("x")).withColumn("m", F.size("y")).repartition(max(1, min(20_000, pairs.count() // 1_000)))
     # (a column, not a condition: the optimiser moves conditions below the dealing)
@@ -109,7 +114,7 @@ def deduped(docs: DataFrame, min_chars: int | None = None, edits: int = EDITS) -
     gone = lines.select("doc_id", "t", "pos", "h").join(bounded(known, 200_000), "h").where(F.col("near") | (F.struct("doc_id", "t", "pos") != F.col("first")))
     gone = gone.groupBy("doc_id", "t").agg(F.collect_set("pos").alias("gone"), F.collect_set(F.when(F.col("near"), F.col("pos"))).alias("near"))
     gone = save(gone.select(F.col("doc_id").alias("d"), F.col("t").alias("u"), "gone", "near"), "lines-gone")
-    for done in (nodes, pairs, wanted, chars, made, known):
+    for done in (nodes, asked, held, pairs, wanted, chars, made, known):
         discard(done)
     rows = docs.select(*key, F.col("text"), F.struct(*docs.columns).alias("row"))
     small = bounded(gone, 200_000)
