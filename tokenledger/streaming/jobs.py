@@ -202,11 +202,16 @@ def run_to_table(df: DataFrame, mode: str = "append", keys: list[str] | None = N
     A batch that is run again takes its own place. In update mode, of the
     versions of a row (keys) the last batch's counts. each changes a batch
     before it is written. With a path the job goes on where a former run ended.
+    What batches and their state join grows with the input, and its files tell
+    less than its rows take in the driver: in the stream's own session only
+    tables marked for it are broadcast.
     """
     spark = df.sparkSession
     path = path or shared_folder(spark, "stream")
 
     def put(batch: DataFrame, number: int) -> None:
+        for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            batch.sparkSession.conf.set(name, "-1")
         out = each(batch, number) if each else batch
         out.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
