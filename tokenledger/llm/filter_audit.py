@@ -8,11 +8,13 @@ from math import factorial
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tokenledger.llm.common import WORD, bounded, discard, save, table
+from tokenledger.llm.common import WORD, bounded, discard, few, save, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Copies of the table of repeated texts that a join with many of them is salted over.
 SALT = 32
+#: Repeated texts up to which their table is broadcast.
+REPEATED = 100_000
 
 
 def text_filters(text: Column) -> dict[str, Column]:
@@ -37,15 +39,15 @@ def failing_ids(docs: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"))
     checks = text_filters(F.col("text"))
-    read = rows.select("doc_id", "part", F.sha2(F.col("text").cast("binary"), 256).alias("t"), F.array(*[F.when(v, F.lit(k)) for k, v in checks.items()]).alias("fails"))
+    read = rows.select("doc_id", "part", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("t"), F.array(*[F.when(v, F.lit(k)) for k, v in checks.items()]).alias("fails"))
     read = save(read.groupBy("doc_id", "t", "part", "fails").agg(F.count("*").alias("n")), "audit-read")
     out = {k: save(read.where(F.array_contains("fails", k)).select("doc_id", "t").distinct(), f"audit-{k}") for k in checks}
 
     twice = save(read.where("doc_id IS NOT NULL").groupBy("t").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("t", "least"), "audit-texts")
     ids = read.select("doc_id", "t").where("doc_id IS NOT NULL")
-    small = bounded(twice, 100_000)
-    if small is twice:  # a text that many documents share is dealt out over SALT keys
-        small = twice.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    small = F.broadcast(twice)
+    if not few(twice, REPEATED):  # a text that many documents share is dealt out over SALT keys; the files of twice don't tell its rows, so the join is marked
+        small = twice.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).hint("merge")
         ids = ids.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
     again = ids.join(small, [c for c in small.columns if c != "least"]).where("doc_id > least").select("doc_id", "t").distinct()
     out["E"] = save(again, "audit-E")
